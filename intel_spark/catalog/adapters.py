@@ -25,6 +25,51 @@ ADAPTERS: dict[str, str] = {
     "quotes": """SELECT event_type AS asset, CAST(ts AS TIMESTAMP) AS ts, value AS price FROM events WHERE user_id % 2 = 1""",
     "raw_alerts": """SELECT event_id AS alert_id, event_type AS asset, concat('x', CAST(user_id % 3 AS STRING)) AS exchange, 'price_anomaly' AS alert_type, CAST(ts AS TIMESTAMP) AS ts,
         CASE WHEN value > 200 THEN 'critical' WHEN value > 120 THEN 'high' WHEN value > 60 THEN 'medium' ELSE 'low' END AS severity FROM events""",
+    # vessel fixes: one vessel per user, wandering inside a box of a few degrees
+    "positions": """SELECT event_id AS id, concat('21', lpad(CAST(user_id AS STRING), 7, '0')) AS mmsi, user_id AS vessel_id, CAST(ts AS TIMESTAMP) AS ts,
+        55 + (user_id % 10) * 5e-1 + ((event_id * 37) % 100) / 199e0 AS lat, 10 + (user_id % 12) * 5e-1 + ((event_id * 53) % 100) / 199e0 AS lon,
+        CASE WHEN event_id % 3 = 0 THEN 5e-1 WHEN event_id % 7 = 1 THEN CAST(NULL AS DOUBLE) ELSE value % 40 END AS speed, CAST(event_id % 360 AS DOUBLE) AS heading, CAST(event_id % 361 AS DOUBLE) AS course,
+        CASE WHEN event_id % 5 = 0 THEN CAST(NULL AS STRING) ELSE concat('SHIP ', CAST(user_id AS STRING), CASE WHEN event_id % 11 = 1 THEN ' II' WHEN event_id % 11 = 2 THEN ' 2' WHEN event_id % 13 = 7 THEN ' STAR' WHEN event_id % 29 = 5 THEN ' MOON' ELSE '' END) END AS name,
+        CASE WHEN event_id % 4 = 0 THEN concat('90000', lpad(CAST(user_id % 60 AS STRING), 2, '0')) END AS imo,
+        CASE WHEN event_id % 23 = 3 THEN 'IR' WHEN event_id % 19 = 1 THEN 'XX' WHEN user_id % 3 = 0 THEN 'PA' WHEN user_id % 3 = 1 THEN 'LR' ELSE 'GA' END AS flag,
+        CASE user_id % 5 WHEN 0 THEN 'Tanker' WHEN 1 THEN 'Cargo' WHEN 2 THEN 'Crude Oil Tanker' WHEN 3 THEN 'Fishing' ELSE 'Passenger' END AS ship_type,
+        CASE WHEN event_id % 6 = 0 THEN concat('CS', CAST(event_id % 7 AS STRING)) END AS call_sign, CASE WHEN event_id % 6 = 1 THEN concat('DEST ', CAST(event_id % 9 AS STRING)) END AS destination,
+        CASE WHEN event_id % 3 = 2 THEN CAST(event_id % 45 AS DOUBLE) END AS draught, CASE WHEN event_id % 8 = 0 THEN CAST(100 + (user_id % 30) * 10 AS DOUBLE) END AS length_m FROM events""",
+    # latest state per vessel
+    "vessels": """SELECT user_id AS id, concat('21', lpad(CAST(user_id AS STRING), 7, '0')) AS mmsi, CASE WHEN user_id % 7 <> 0 THEN concat('90000', lpad(CAST(user_id % 60 AS STRING), 2, '0')) END AS imo,
+        concat('SHIP ', CAST(user_id AS STRING)) AS name, CASE WHEN user_id % 3 = 0 THEN 'PA' WHEN user_id % 3 = 1 THEN 'LR' ELSE 'GA' END AS flag,
+        CASE user_id % 5 WHEN 0 THEN 'Tanker' WHEN 1 THEN 'Cargo' WHEN 2 THEN 'Crude Oil Tanker' WHEN 3 THEN 'Fishing' ELSE 'Passenger' END AS ship_type,
+        CASE WHEN user_id % 2 = 0 THEN 56 + (user_id % 40) * 3e-3 ELSE 55 + (user_id % 50) * 2e-2 END AS lat, CASE WHEN user_id % 2 = 0 THEN 11 + floor(user_id / 40) * 4e-3 ELSE 10 + floor(user_id / 3) * 7e-3 END AS lon,
+        CASE WHEN user_id % 9 = 0 THEN 5e0 ELSE 5e-1 END AS speed, CASE WHEN user_id % 10 = 0 THEN 'moored' ELSE 'underway' END AS nav_status, CAST(100 + (user_id % 30) * 10 AS DOUBLE) AS length_m,
+        CASE WHEN user_id % 8 = 0 THEN 'breach_ofac' WHEN user_id % 8 = 1 THEN 'flagged' ELSE 'clear' END AS sanctioned_status, (user_id % 10) / 10e0 AS risk_score,
+        CASE WHEN user_id % 4 <> 3 THEN concat('OWNER ', CAST(user_id % 17 AS STRING)) END AS owner, concat('OPERATOR ', CAST(user_id % 23 AS STRING)) AS operator,
+        CASE WHEN user_id % 6 = 0 THEN concat('HOLDER ', CAST(user_id % 5 AS STRING)) END AS beneficial_owner, CAST(max(ts) AS TIMESTAMP) AS last_ais_update FROM events GROUP BY user_id""",
+    # diamonds |x - cx| + |y - cy| < r around points of a grid
+    "zones": """SELECT n_name AS name, CASE n_nationkey % 4 WHEN 0 THEN 'sanctions_zone' WHEN 1 THEN 'war_zone' WHEN 2 THEN 'piracy_zone' ELSE 'sts_hub' END AS kind, concat('note ', n_name) AS context, false AS choke_point,
+        10.0137e0 + (n_nationkey % 5) * 1.3e0 AS cx, 55.0071e0 + floor(n_nationkey / 5) * 1.1e0 AS cy, 45e-2 AS r FROM nation""",
+    "lanes": """SELECT r_name AS name, 'lane' AS kind, '' AS context, r_regionkey % 2 = 0 AS choke_point, 11.0219e0 + r_regionkey * 9e-1 AS cx, 56.0033e0 + r_regionkey * 7e-1 AS cy, 9e-1 AS r FROM region""",
+    "land": """SELECT n_nationkey AS polygon_id, 10.4137e0 + (n_nationkey % 5) * 1.3e0 AS cx, 55.5071e0 + floor(n_nationkey / 5) * 1.1e0 AS cy, 6e-1 AS r, CASE WHEN n_nationkey % 2 = 0 THEN 2e-1 ELSE 0e0 END AS hole FROM nation""",
+    "ports": """SELECT concat('PORT ', CAST(n_nationkey AS STRING)) AS name, concat('C', CAST(n_nationkey % 9 AS STRING)) AS country, 55.1e0 + floor(n_nationkey / 5) * 1.05e0 AS lat, 10.2e0 + (n_nationkey % 5) * 1.25e0 AS lon,
+        CAST(15 + n_nationkey AS DOUBLE) AS radius_km, CASE n_nationkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'safe' END AS risk_level, n_nationkey % 6 = 0 AS sanctioned_facility FROM nation""",
+    "facilities": """SELECT CAST(n_nationkey AS BIGINT) AS id, concat('FACILITY ', CAST(n_nationkey AS STRING)) AS name, CASE n_nationkey % 4 WHEN 0 THEN 'export_terminal' WHEN 1 THEN 'refinery' WHEN 2 THEN 'sts_hub' ELSE 'lng_plant' END AS type,
+        CASE n_nationkey % 5 WHEN 0 THEN 'RU' WHEN 1 THEN 'IR' WHEN 2 THEN 'NL' WHEN 3 THEN 'TR' ELSE 'CN' END AS country, CASE n_nationkey % 4 WHEN 3 THEN 'lng' WHEN 1 THEN 'products' ELSE 'crude' END AS commodity, n_nationkey % 3 = 0 AS sanctioned,
+        55.2e0 + floor(n_nationkey / 5) * 1.0e0 AS lat, 10.3e0 + (n_nationkey % 5) * 1.1e0 AS lon, CAST(10 + n_nationkey AS DOUBLE) AS radius_km, 100000e0 + n_nationkey * 1000e0 AS capacity_bpd,
+        CASE WHEN n_nationkey % 2 = 0 THEN concat('PORT ', CAST(n_nationkey AS STRING)) END AS port_name, concat('OWNER ', CAST(n_nationkey AS STRING), ' (state)') AS owner FROM nation""",
+    "evasion": """SELECT event_id AS id, user_id AS vessel_id, concat('21', lpad(CAST(user_id AS STRING), 7, '0')) AS mmsi, CAST(ts AS TIMESTAMP) AS ts,
+        CASE event_type WHEN 'error' THEN 'spoofing_cluster' WHEN 'click' THEN 'ais_gap' WHEN 'view' THEN 'position_anomaly' WHEN 'signup' THEN 'name_change' ELSE 'flag_change' END AS event_type,
+        CASE WHEN value > 120 THEN 'critical' WHEN value > 60 THEN 'high' WHEN value > 30 THEN 'medium' ELSE 'low' END AS severity, (event_id % 100) / 100e0 AS confidence,
+        55 + ((event_id * 37) % 400) / 100e0 AS lat, 10 + ((event_id * 53) % 600) / 100e0 AS lon, concat('event ', CAST(event_id AS STRING)) AS summary FROM events""",
+    "anomalies": """SELECT event_id AS id, user_id AS vessel_id, CAST(ts AS TIMESTAMP) AS ts, 15 + ((event_id * 37) % 4000) / 100e0 + 5e-3 AS lat, 10 + ((event_id * 53) % 6000) / 100e0 + 5e-3 AS lon FROM events WHERE event_type = 'error'""",
+    "sts": """SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS vessel_a, l_partkey % 150 AS vessel_b, CAST(l_shipdate AS TIMESTAMP) AS ts, l_quantity * 10 AS proximity_m, CAST(l_quantity AS INT) * 12 AS duration_min, l_discount * 10 AS confidence,
+        CASE WHEN l_returnflag = 'R' THEN 'cleared' ELSE 'possible' END AS status FROM lineitem WHERE l_suppkey <> l_partkey % 150""",
+    "breaches": """SELECT o_orderkey AS id, o_custkey % 150 AS vessel_id, CASE WHEN o_orderkey % 3 = 0 THEN 'OFAC' WHEN o_orderkey % 3 = 1 THEN 'EU' ELSE 'UN' END AS authority, concat('ENTITY ', CAST(o_orderkey % 40 AS STRING)) AS listed, o_orderkey % 40 AS entity_id,
+        'direct_match' AS breach_type, CASE WHEN o_orderkey % 5 = 0 THEN 'name_exact' ELSE 'imo' END AS match_type, (o_orderkey % 90) / 100e0 AS confidence, CASE WHEN o_orderstatus = 'F' THEN 'cleared' WHEN o_orderstatus = 'P' THEN 'review' ELSE 'flagged' END AS status,
+        CASE WHEN o_orderkey % 4 = 0 THEN 'critical' WHEN o_orderkey % 4 = 1 THEN 'high' ELSE 'medium' END AS severity, CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders""",
+    "port_calls": """SELECT o_orderkey AS id, o_custkey % 150 AS vessel_id, concat('PORT ', CAST(o_custkey % 25 AS STRING)) AS port, concat('C', CAST(o_custkey % 9 AS STRING)) AS country, o_orderkey % 6 = 0 AS is_sanctioned,
+        CASE o_custkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'safe' END AS risk_level, CAST(o_orderdate AS TIMESTAMP) AS arrival, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' HOUR * (o_orderkey % 120) END AS departure,
+        5 + o_orderkey % 10 + 0e0 AS draught_arr, 5 + (o_orderkey * 7) % 13 + 0e0 AS draught_dep, CAST(o_custkey % 25 AS BIGINT) AS facility_id FROM orders""",
+    "psc": """SELECT o_orderkey AS id, concat('90000', lpad(CAST(o_custkey % 90 AS STRING), 2, '0')) AS imo, CASE WHEN o_orderkey % 17 = 0 THEN 'ban' ELSE 'detention' END AS event_type, CAST(o_orderdate AS TIMESTAMP) AS event_date,
+        concat('SHIP ', CAST(o_custkey % 150 AS STRING)) AS ship_name, CASE WHEN o_orderkey % 2 = 0 THEN 'Oil Tanker' ELSE 'Bulk carrier' END AS ship_type, CASE WHEN o_orderkey % 3 = 0 THEN 'tokyo_mou' ELSE 'paris_mou' END AS source, concat('S', CAST(o_orderkey AS STRING)) AS source_id, concat('C', CAST(o_custkey % 9 AS STRING)) AS port_country FROM orders""",
 }
 
 

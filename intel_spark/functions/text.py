@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Words that carry no identity in a listing name.
 LISTING_STOPWORDS = ["THE", "OF", "AND", "CO", "LTD", "LLC", "INC", "SA", "AO", "OOO", "COMPANY", "LIMITED", "SHIPPING", "MV", "MT"]
@@ -117,7 +118,7 @@ def topic_tokens(title: Column) -> Column:
     return F.filter(words, lambda w: ~F.array_contains(stop, w))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     matcher = SequenceMatcher(autojunk=False)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intel_spark.functions.scoring import clamp, severity_for, severity_rank
-from intel_spark.operators.timeline import asof, gap_islands, latest_per_key, top_per_key
+from intel_spark.operators.timeline import latest_per_key, top_per_key
 
 # Severity ladders.
 PRICE_SIGMA = (3.0, 4.0, 5.0, 7.0)
@@ -74,11 +74,10 @@ def volatility_series(candles: DataFrame, window_minutes: int = 60) -> DataFrame
 
 def volatility_clusters(series: DataFrame, multiple: float = 2.0, window_minutes: int = 60) -> DataFrame:
     """Runs of consecutive windows above ``multiple`` times the median."""
-    from intel_spark.operators.timeline import drop_bucket, islands, next_row, previous_row
+    from intel_spark.operators.timeline import around_row, drop_bucket, islands
 
     active = F.when(F.col("baseline") > 0, F.col("vol") > F.col("baseline") * multiple).otherwise(F.col("vol") > 0)
-    flagged = previous_row(series.withColumn("active", active), SERIES, "w", ["active"])
-    flagged = next_row(flagged, SERIES, "w", ["w"])
+    flagged = around_row(series.withColumn("active", active), SERIES, "w", ["w", "active"])
     starts = F.col("active") & ~F.coalesce(F.col("prev.active"), F.lit(False))
     runs = drop_bucket(islands(flagged, SERIES, "w", starts)).where("active")
     # a run ends where the next surviving window begins; the last window of a series ends on the clock
@@ -190,9 +189,11 @@ def coordination(candles: DataFrame, min_correlation: float = 0.85, min_move: fl
 
 
 def cascades(orders: DataFrame, gap_minutes: float = 2.0, min_events: int = 5, min_usd: float = 1_000_000) -> DataFrame:
-    """W05 + G05: bursts of liquidation orders no further apart than the gap, with their summary."""
-    runs = gap_islands(orders, SERIES, "ts", gap_minutes * 60)
-    sums = runs.groupBy(*SERIES, "island").agg(
+    """W05 + G05: bursts of liquidation orders no further apart than the gap, with their summary.
+
+    Sessions are merged inside each map task before the shuffle, so a venue holding most orders ships few rows.
+    """
+    sums = orders.groupBy(*SERIES, F.session_window("ts", f"{int(gap_minutes * 60)} seconds").alias("w")).agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("count"), F.min_by("usd", "ts").alias("initial_usd"), F.sum("usd").alias("total_usd"),
         F.min_by("price", "ts").alias("p0"), F.max_by("price", "ts").alias("p1"), F.sum(F.when(F.col("side") == "sell", F.col("usd")).otherwise(0.0)).alias("sells"),
     ).where((F.col("count") >= min_events) & (F.col("total_usd") >= min_usd))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from intel_spark.functions.geo import cell, haversine_m, inside_ring, neighbour_offsets, wrapped_column
 
 KM_PER_DEGREE = 111.0
-POLAR_LATITUDE = 85.0
+POLAR_LATITUDE = 89.5
 
 
 def _cells(rows: Column, cols: Column) -> Column:
@@ -21,8 +21,8 @@ def _cells(rows: Column, cols: Column) -> Column:
 
 def _lookup(dim: DataFrame, cells: Column, entry: Column, name: str, degrees: float) -> DataFrame:
     """Cell -> array of dimension entries. The array is bounded by how many dims reach one cell, not by the points."""
-    spread = dim.select(entry.alias("_e"), F.explode(cells).alias("_c")).select("_e", F.col("_c.r").alias("_row"), wrapped_column(F.col("_c.c"), degrees).alias("_col"))
-    return spread.groupBy("_row", "_col").agg(F.collect_list("_e").alias(name))
+    spread = dim.select(entry.alias("_entry"), F.explode(cells).alias("_key")).select("_entry", F.col("_key.r").alias("_row"), wrapped_column(F.col("_key.c"), degrees).alias("_col"))
+    return spread.groupBy("_row", "_col").agg(F.collect_list("_entry").alias(name))
 
 
 def _join_lookup(points: DataFrame, lookup: DataFrame, degrees: float) -> DataFrame:
@@ -202,3 +202,11 @@ def proximity_pairs(vessels: DataFrame, ports: DataFrame | None, land: DataFrame
     if land is not None:
         pairs = with_inland(pairs, land).where(~F.col("inland")).drop("inland")
     return pairs
+
+
+def areas_at(df: DataFrame, areas: DataFrame, lat: Column, lon: Column, name: str) -> DataFrame:
+    """``areas_containing`` for coordinates other than the frame's own lat and lon."""
+    moved = df.withColumnsRenamed({"lat": "_lat0", "lon": "_lon0"}) if "lat" in df.columns else df
+    moved = moved.withColumn("lat", lat).withColumn("lon", lon)
+    found = areas_containing(moved, areas, name).drop("lat", "lon")
+    return found.withColumnsRenamed({"_lat0": "lat", "_lon0": "lon"})

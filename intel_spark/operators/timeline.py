@@ -51,6 +51,19 @@ def next_row(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str]
     return _carry(rows.withColumn(name, F.lead(wanted).over(local)), heads, keys).withColumn(name, F.coalesce(name, "_after")).drop("_after")
 
 
+def around_row(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], tie: Sequence[str] = (), seconds: int = DAY) -> DataFrame:
+    """Add structs ``prev`` and ``next`` in one pass."""
+    rows = with_bucket(df, order, seconds)
+    at = F.struct(*_order(order, tie))
+    wanted = F.struct(*cols)
+    local = Window.partitionBy(*keys, BUCKET).orderBy(*_order(order, tie))
+    per_key = Window.partitionBy(*keys).orderBy(BUCKET)
+    ends = rows.groupBy(*keys, BUCKET).agg(F.max_by(wanted, at).alias("_tail"), F.min_by(wanted, at).alias("_head"))
+    ends = ends.select(*keys, BUCKET, F.lag("_tail").over(per_key).alias("_before"), F.lead("_head").over(per_key).alias("_after"))
+    joined = _carry(rows.select("*", F.lag(wanted).over(local).alias("prev"), F.lead(wanted).over(local).alias("next")), ends, keys)
+    return joined.withColumn("prev", F.coalesce("prev", "_before")).withColumn("next", F.coalesce("next", "_after")).drop("_before", "_after")
+
+
 def last_known(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], tie: Sequence[str] = (), include_current: bool = True, seconds: int = DAY) -> DataFrame:
     """Add, per name, the latest non-null value of its expression up to this row (or strictly before it)."""
     rows = with_bucket(df, order, seconds)
@@ -160,3 +173,18 @@ def top_per_key(df: DataFrame, keys: Sequence[str], ordering: Sequence[Column],
     """First n rows per key; Spark keeps n per key on each side of the shuffle, so a hot key never travels whole."""
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*ordering)))
     return ranked.where(F.col(name) <= n)
+
+
+def previous_rows(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], n: int, tie: Sequence[str] = (), name: str = "prev", seconds: int = DAY) -> DataFrame:
+    """Add array ``name`` with the n rows before this one, nearest last."""
+    rows = with_bucket(df, order, seconds)
+    wanted = F.struct(*cols)
+    at = F.struct(*_order(order, tie))
+    local = Window.partitionBy(*keys, BUCKET).orderBy(*_order(order, tie)).rowsBetween(-n, -1)
+    tails = top_per_key(rows.select(*keys, BUCKET, at.alias("at"), wanted.alias("w")), [*keys, BUCKET], [F.col("at").desc()], n)
+    tails = tails.groupBy(*keys, BUCKET).agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("_tail"))
+    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(-n, -1)
+    tails = tails.select(*keys, BUCKET, F.flatten(F.collect_list(F.col("_tail.w")).over(before)).alias("_before"))
+    joined = _carry(rows.withColumn("_local", F.collect_list(wanted).over(local)), tails, keys)
+    both = F.concat("_before", "_local")
+    return joined.withColumn(name, F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), n)).drop("_local", "_before")
