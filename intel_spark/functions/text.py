@@ -43,7 +43,7 @@ def _folding() -> tuple[str, str, dict[str, str]]:
         if len(folded) == 1:
             source.append(chr(point))
             target.append(folded)
-        elif len(folded) > 1 and (point < 0x250 or point >= 0xFB00):
+        elif len(folded) > 1 and (point < 0x2100 or 0xFB00 <= point < 0xFB07):
             longer[chr(point)] = folded
     return "".join(source), "".join(target), longer
 
