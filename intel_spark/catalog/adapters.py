@@ -127,6 +127,8 @@ ADAPTERS: dict[str, str] = {
     "imo_texts": """SELECT concat('IMO ', CAST(1000000 + (l_partkey * 7919 + l_suppkey * 104729 + l_linenumber * 13) % 8999999 AS STRING)) AS raw FROM lineitem""",
     "slugs": """SELECT event_id AS id, CASE event_id % 9 WHEN 0 THEN 'tanker seized near Hormuz by Iranian forces' WHEN 1 THEN 'missile strike hits oil refinery pipeline' WHEN 2 THEN 'North Korean couple fights in Equatorial Guinea' WHEN 3 THEN 'new sanctions hit Russian shipping fleet' WHEN 4 THEN 'port of Odesa closed after attack'
         WHEN 5 THEN 'french parliament votes' WHEN 6 THEN 'Romania and Oman talk trade' WHEN 7 THEN 'red sea blockade and nuclear lng tanker' ELSE props END AS slug FROM events""",
+    "oil_candles": """SELECT 'OIL' AS asset, 'x' AS exchange, CAST(l_shipdate AS TIMESTAMP) AS ts, l_extendedprice AS close FROM lineitem""",
+    "utxo_lines": """SELECT concat('O', CAST(l_orderkey AS STRING)) AS tx_hash, CAST(l_shipdate AS TIMESTAMP) AS ts, concat('W', CAST(l_suppkey AS STRING)) AS src, concat('P', CAST(l_partkey AS STRING)) AS dst, l_extendedprice AS usd FROM lineitem""",
 }
 
 

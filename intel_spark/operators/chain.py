@@ -30,7 +30,7 @@ def wallet_assets(listings: DataFrame, labels: DataFrame) -> DataFrame:
 def label_transfers(transfers: DataFrame, labels: DataFrame) -> DataFrame:
     """Wallet type and name on both ends of each transfer; Spark broadcasts the labels while they are small."""
     marks = labels.where(F.col("wallet_type").isin("sanctioned", "exchange", "mixer")).select("chain", "address", "wallet_type", F.coalesce("owner", "label").alias("who"))
-    named = transfers.withColumn("_f", normalize_address(F.col("chain"), F.col("from"))).withColumn("_t", normalize_address(F.col("chain"), F.col("to")))
+    named = transfers.withColumn("_f", normalize_address(F.col("chain"), F.col("src"))).withColumn("_t", normalize_address(F.col("chain"), F.col("dst")))
     src = marks.select("chain", F.col("address").alias("_f"), F.col("wallet_type").alias("from_type"), F.col("who").alias("source_entity"))
     dst = marks.select("chain", F.col("address").alias("_t"), F.col("wallet_type").alias("to_type"), F.col("who").alias("destination_entity"))
     return named.join(src, ["chain", "_f"], "left").join(dst, ["chain", "_t"], "left").drop("_f", "_t")
@@ -68,7 +68,7 @@ def capture(transfers: DataFrame, labels: DataFrame, stored: DataFrame, watched:
     scored = assess_transfers(transfers, labels, whale_usd)
     keep = F.col("involves_sanctioned") | F.col("involves_mixer") | (F.col("pattern") == "whale_transfer")
     if watched is not None:
-        ends = scored.select("chain", "tx_hash", F.explode(F.array("from", "to")).alias("address"))
+        ends = scored.select("chain", "tx_hash", F.explode(F.array("src", "dst")).alias("address"))
         touched = ends.join(watched.select("chain", "address").distinct(), ["chain", "address"], "left_semi").select("chain", "tx_hash").distinct().withColumn("_w", F.lit(True))
         scored = scored.join(touched, ["chain", "tx_hash"], "left")
         keep = keep | F.coalesce("_w", F.lit(False))
@@ -90,8 +90,8 @@ def wallet_transfers(utxo: DataFrame, wallets: DataFrame) -> DataFrame:
     first_other = F.try_element_at(F.filter("outputs", lambda o: o["addr"] != F.col("address")), F.lit(1))["addr"]
     out = F.col("sent") > 0
     return flows.select(
-        "address", "tx_hash", "ts", F.when(out, "out").otherwise("in").alias("direction"), F.when(out, F.col("address")).otherwise(F.try_element_at("inputs", F.lit(1))["addr"]).alias("from"),
-        F.when(out, first_other).otherwise(F.col("address")).alias("to"), F.when(out, F.col("sent")).otherwise(F.col("received")).alias("amount"), "sent", "received",
+        "address", "tx_hash", "ts", F.when(out, "out").otherwise("in").alias("direction"), F.when(out, F.col("address")).otherwise(F.try_element_at("inputs", F.lit(1))["addr"]).alias("src"),
+        F.when(out, first_other).otherwise(F.col("address")).alias("dst"), F.when(out, F.col("sent")).otherwise(F.col("received")).alias("amount"), "sent", "received",
     )
 
 

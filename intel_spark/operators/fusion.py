@@ -117,7 +117,7 @@ def collect_signals(tables: dict[str, DataFrame], since: datetime) -> DataFrame:
     if (t := recent("transfers", "ts")) is not None:
         t = t.where(F.col("involves_sanctioned") | F.col("involves_mixer"))
         severity = F.when(F.col("risk_score") >= 0.9, "critical").when(F.col("involves_sanctioned"), "high").otherwise("medium")
-        keys = keys_of(("entity", F.col("source_entity")), ("entity", F.col("destination_entity")), ("wallet", F.col("from")), ("wallet", F.col("to")), ("asset", F.col("token")), ("sector", F.lit("finance")), ("theme", F.when(F.col("involves_sanctioned"), "sanctions").otherwise("crypto")))
+        keys = keys_of(("entity", F.col("source_entity")), ("entity", F.col("destination_entity")), ("wallet", F.col("src")), ("wallet", F.col("dst")), ("asset", F.col("token")), ("sector", F.lit("finance")), ("theme", F.when(F.col("involves_sanctioned"), "sanctions").otherwise("crypto")))
         parts.append(signal(t, "blockchain_tx", "id", "ts", severity, keys, F.col("summary")))
     if (t := recent("companies", "updated_at")) is not None:
         t = with_entity(t.where(F.col("listed") & F.col("match_type").isin("parent", "ultimate_parent", "child")))

@@ -37,8 +37,10 @@ def rows_of(columns, rows):
 
 
 def compare(spark, con, name, queries, oracles):
+    start = time.time()
     df = queries[name](spark, SF)
     got = rows_of(df.columns, df.collect())
+    print(f"[{time.time() - start:.1f}s spark]", end=" ")
     if name not in oracles:
         return f"rows-only {len(got)}"
     result = con.execute(oracles[name])
