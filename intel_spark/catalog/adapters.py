@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations", "benchmark"]
 
 ADAPTERS: dict[str, str] = {
     # hourly candles: asset = event type, exchange = one of three venues
@@ -115,7 +115,7 @@ ADAPTERS: dict[str, str] = {
     "signals": """SELECT CASE event_id % 6 WHEN 0 THEN 'evasion_event' WHEN 1 THEN 'blockchain_tx' WHEN 2 THEN 'dark_oil' WHEN 3 THEN 'sanctions_update' WHEN 4 THEN 'legal_event' ELSE 'market_alert' END AS type, event_id AS id,
         CASE event_id % 6 WHEN 0 THEN 'maritime' WHEN 1 THEN 'blockchain' WHEN 2 THEN 'energy' WHEN 3 THEN 'sanctions' WHEN 4 THEN 'legal' ELSE 'market' END AS domain, CAST(ts AS TIMESTAMP) AS ts,
         CASE WHEN value > 120 THEN 'critical' WHEN value > 60 THEN 'high' WHEN value > 30 THEN 'medium' ELSE 'low' END AS severity, concat('signal ', CAST(event_id AS STRING)) AS summary,
-        concat('E', CAST((event_id * 7919) % 4500 AS STRING)) AS k_entity, concat('C', CAST((event_id * 31) % 400 AS STRING)) AS k_country, concat('S', CAST(event_id % 3 AS STRING)) AS k_sector FROM events""",
+        concat('E', CAST(CAST(floor(event_id / 5) AS BIGINT) % 1500 AS STRING)) AS k_entity, concat('C', CAST((event_id * 31) % 400 AS STRING)) AS k_country, concat('S', CAST(event_id % 3 AS STRING)) AS k_sector FROM events""",
     "list_updates": """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'OFAC' WHEN 1 THEN 'EU' ELSE 'UN' END AS authority, CASE o_orderkey % 4 WHEN 0 THEN 'new_designation' WHEN 1 THEN 'delisting' WHEN 2 THEN 'relisted' ELSE 'name_change' END AS update_type, concat('ENTITY ', CAST(o_custkey AS STRING)) AS entity, o_custkey AS entity_id, CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders""",
     # two editions of a list: keys, renames, reprogramming and returns decided by the key
     "list_old": """SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'EU' ELSE 'OFAC' END AS authority, concat('K', CAST(c_custkey AS STRING)) AS source_id, concat('ENTITY ', CAST(c_custkey AS STRING)) AS name, 'company' AS entity_type, split(concat('P', CAST(c_nationkey % 3 AS STRING), ';Q'), ';') AS programs,
@@ -129,6 +129,11 @@ ADAPTERS: dict[str, str] = {
         WHEN 5 THEN 'french parliament votes' WHEN 6 THEN 'Romania and Oman talk trade' WHEN 7 THEN 'red sea blockade and nuclear lng tanker' ELSE props END AS slug FROM events""",
     "oil_candles": """SELECT 'OIL' AS asset, 'x' AS exchange, CAST(l_shipdate AS TIMESTAMP) AS ts, l_extendedprice AS close FROM lineitem""",
     "utxo_lines": """SELECT concat('O', CAST(l_orderkey AS STRING)) AS tx_hash, CAST(l_shipdate AS TIMESTAMP) AS ts, concat('W', CAST(l_suppkey AS STRING)) AS src, concat('P', CAST(l_partkey AS STRING)) AS dst, l_extendedprice AS usd FROM lineitem""",
+    # two-word names taken from the benchmark prose, and single words of six letters or more
+    "word_pairs": """SELECT DISTINCT concat('N', CAST(item_id AS STRING)) AS name_id, lower(concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 3))) AS name FROM benchmark WHERE regexp_replace(split_part(text, ' ', 2), '[a-z]+', '') = '' AND regexp_replace(split_part(text, ' ', 3), '[a-z]+', '') = ''""",
+    "facility_words": """SELECT DISTINCT concat('F', CAST(item_id AS STRING)) AS name_id, lower(split_part(text, ' ', 4)) AS name FROM benchmark WHERE regexp_replace(split_part(text, ' ', 4), '[a-z]+', '') = '' AND length(split_part(text, ' ', 4)) >= 5""",
+    "watch_items": """SELECT c_custkey AS id, CASE WHEN c_custkey % 20 = 0 THEN 'keyword' ELSE 'vessel' END AS kind, CASE WHEN c_custkey % 20 = 0 THEN substr('thereionerattionheren', CAST(1 + c_custkey % 15 AS INT), CAST(3 + c_custkey % 3 AS INT)) ELSE concat('21', lpad(CAST(c_custkey AS STRING), 7, '0')) END AS key,
+        CAST(TIMESTAMP '2024-01-20 00:00:00' AS TIMESTAMP) + INTERVAL '1' HOUR * (c_custkey % 100) AS created_at, CASE WHEN c_custkey % 3 = 0 THEN CAST(TIMESTAMP '2024-01-24 00:00:00' AS TIMESTAMP) + INTERVAL '1' HOUR * (c_custkey % 90) END AS last_checked_at FROM customer""",
 }
 
 

@@ -60,3 +60,8 @@ def ts(col: str, alias: str | None = None) -> str:
 
 def r4(expression: str, alias: str | None = None) -> str:
     return f"round(CAST({expression} AS DOUBLE), 5) + 0.0 AS {alias or expression}"
+
+
+def half_up(expression: str, places: int) -> str:
+    """Round the shortest decimal spelling of a double half up, as Spark does."""
+    return f"CAST(round(CAST(CAST(CAST({expression} AS DOUBLE) AS VARCHAR) AS DECIMAL(24, 18)), {places}) AS DOUBLE)"

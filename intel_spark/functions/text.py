@@ -51,9 +51,9 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 def fold_ascii(text: Column) -> Column:
     """Accents removed, other non-ASCII characters dropped."""
     source, target, longer = _folding()
-    expanded = text
-    for char, replacement in longer.items():
-        expanded = F.replace(expanded, F.lit(char), F.lit(replacement))
+    # characters that fold to several letters are rare: only such texts are taken apart
+    several = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    expanded = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
     text = F.when(text.rlike("[" + "".join(longer) + "]"), expanded).otherwise(text)
     # plain ASCII input, the common case, skips the table
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(text, source, target), r"[^\x00-\x7F]", "")).otherwise(text)

@@ -266,7 +266,8 @@ def substring_join(texts: DataFrame, needles: DataFrame, width: int = 3) -> Data
     size = F.least(F.length("needle"), F.lit(width))
     grams = lowered.select("needle_id", "needle", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("needle") - size + 1), lambda i: F.col("needle").substr(i, size)))).alias("gram"))
     t = texts.select("text_id", F.lower("text").alias("text"))
-    cuts = [F.when(F.length("text") >= w, F.transform(F.sequence(F.lit(1), F.length("text") - w + 1), lambda i, w=w: F.col("text").substr(i, F.lit(w)))).otherwise(F.array().cast("array<string>")) for w in range(1, width + 1)]
+    # a lookahead walks the text once, whatever its length
+    cuts = [F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{w}}}))"), 1) for w in range(1, width + 1)]
     wanted = grams.select("gram").distinct()
     held = t.select("text_id", F.explode(F.array_distinct(F.concat(*cuts))).alias("gram")).join(wanted, "gram")
     df = held.groupBy("gram").agg(F.count("*").alias("df"))

@@ -21,11 +21,9 @@ def listing_names(listings: DataFrame) -> DataFrame:
 
 
 def _with_grams(names: DataFrame, col: str, width: int) -> DataFrame:
-    text = F.col(col)
-    count = F.greatest(F.length(text) - F.lit(width - 1), F.lit(1))
-    grams = F.transform(F.sequence(F.lit(1), count), lambda i: text.substr(i, F.lit(width)))
-    repeats = F.transform(grams, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g)).cast("string")))
-    return names.withColumn("_grams", repeats)
+    """Distinct character grams; a name shorter than one gram is its own."""
+    grams = F.array_distinct(F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{width}}}))"), 1))
+    return names.withColumn("_grams", F.when(F.length(col) >= width, grams).otherwise(F.array(col)))
 
 
 def similar_names(left: DataFrame, right: DataFrame, left_col: str, right_col: str, min_ratio: float, mode: str = "levenshtein") -> DataFrame:
