@@ -106,7 +106,7 @@ ADAPTERS: dict[str, str] = {
     "geo_signals": """SELECT CASE event_type WHEN 'error' THEN 'evasion_event' WHEN 'click' THEN 'sanctions_breach' WHEN 'view' THEN 'transshipment' WHEN 'signup' THEN 'market_alert' ELSE 'sanctions_update' END AS kind, event_id AS id, CAST(ts AS TIMESTAMP) AS ts,
         CASE event_type WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'energy' ELSE 'finance' END WHEN 'purchase' THEN 'finance' ELSE 'shipping' END AS sector, split(CASE user_id % 4 WHEN 0 THEN 'RU' WHEN 1 THEN 'PA' WHEN 2 THEN 'LR' ELSE 'IR' END, ';') AS countries FROM events""",
     "posts": """SELECT o_orderkey AS post_id, concat(CASE o_custkey % 5 WHEN 0 THEN 'Rosneft Unit ' WHEN 1 THEN 'Ocean Star Unit ' WHEN 2 THEN 'City Hospital ' WHEN 3 THEN 'Plain Store ' ELSE 'Meridian Unit ' END, CAST(o_custkey % 120 AS STRING), ' Ltd') AS victim, concat('d', CAST(o_custkey AS STRING), '.example.com') AS domain,
-        CASE o_custkey % 4 WHEN 0 THEN 'RU' WHEN 1 THEN 'DE' WHEN 2 THEN 'PA' END AS country, CASE o_custkey % 6 WHEN 0 THEN 'Energy' WHEN 1 THEN 'Banking' WHEN 2 THEN 'Retail' END AS sector, CAST(o_totalprice * 100 AS BIGINT) AS records, CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders""",
+        CASE o_custkey % 4 WHEN 0 THEN 'RU' WHEN 1 THEN 'DE' WHEN 2 THEN 'PA' END AS country, CASE o_custkey % 6 WHEN 0 THEN 'Energy' WHEN 1 THEN 'Banking' WHEN 2 THEN 'Retail' END AS sector, CAST(floor(o_totalprice) * 100 AS BIGINT) AS records, CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders""",
     "domains": """SELECT c_custkey AS id, concat('d', CAST(c_custkey AS STRING), '.example.com') AS domain, c_custkey % 2 = 0 AS entity_linked, CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_live, CASE c_nationkey % 6 WHEN 0 THEN 'RU' WHEN 1 THEN 'US' WHEN 2 THEN 'VG' WHEN 3 THEN 'NL' END AS hosting_country,
         CAST(c_custkey % 40 AS INT) AS certificate_count, split(concat('ns1.', CASE WHEN c_custkey % 5 = 0 THEN 'cloudflare' ELSE 'host' END, '.com;ns2.example.com'), ';') AS nameservers, CASE WHEN c_custkey % 4 <> 0 THEN concat('REG ', CAST(c_custkey % 9 AS STRING)) END AS registrar, c_name AS entity_name, c_acctbal / 10000 AS old_score FROM customer""",
     "domain_checks": """SELECT concat('d', CAST(user_id AS STRING), '.example.com') AS domain, CAST(ts AS TIMESTAMP) AS ts, event_type <> 'error' AS is_live, (event_id % 90) / 100e0 AS risk_score FROM events""",
@@ -134,6 +134,7 @@ ADAPTERS: dict[str, str] = {
     "facility_words": """SELECT DISTINCT concat('F', CAST(item_id AS STRING)) AS name_id, lower(split_part(text, ' ', 4)) AS name FROM benchmark WHERE regexp_replace(split_part(text, ' ', 4), '[a-z]+', '') = '' AND length(split_part(text, ' ', 4)) >= 5""",
     "watch_items": """SELECT c_custkey AS id, CASE WHEN c_custkey % 20 = 0 THEN 'keyword' ELSE 'vessel' END AS kind, CASE WHEN c_custkey % 20 = 0 THEN substr('thereionerattionheren', CAST(1 + c_custkey % 15 AS INT), CAST(3 + c_custkey % 3 AS INT)) ELSE concat('21', lpad(CAST(c_custkey AS STRING), 7, '0')) END AS key,
         CAST(TIMESTAMP '2024-01-20 00:00:00' AS TIMESTAMP) + INTERVAL '1' HOUR * (c_custkey % 100) AS created_at, CASE WHEN c_custkey % 3 = 0 THEN CAST(TIMESTAMP '2024-01-24 00:00:00' AS TIMESTAMP) + INTERVAL '1' HOUR * (c_custkey % 90) END AS last_checked_at FROM customer""",
+    "web_pages": """SELECT page_id, url, html FROM pages""",
 }
 
 
