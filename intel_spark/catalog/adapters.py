@@ -60,7 +60,7 @@ ADAPTERS: dict[str, str] = {
         CASE WHEN value > 120 THEN 'critical' WHEN value > 60 THEN 'high' WHEN value > 30 THEN 'medium' ELSE 'low' END AS severity, (event_id % 100) / 100e0 AS confidence,
         55 + ((event_id * 37) % 400) / 100e0 AS lat, 10 + ((event_id * 53) % 600) / 100e0 AS lon, concat('event ', CAST(event_id AS STRING)) AS summary FROM events""",
     "anomalies": """SELECT event_id AS id, user_id AS vessel_id, CAST(ts AS TIMESTAMP) AS ts, 15 + ((event_id * 37) % 4000) / 100e0 + 5e-3 AS lat, 10 + ((event_id * 53) % 6000) / 100e0 + 5e-3 AS lon FROM events WHERE event_type = 'error'""",
-    "sts": """SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS vessel_a, l_partkey % 150 AS vessel_b, CAST(l_shipdate AS TIMESTAMP) AS ts, l_quantity * 10 AS proximity_m, CAST(l_quantity AS INT) * 12 AS duration_min, l_discount * 10 AS confidence,
+    "sts": """SELECT ((l_orderkey * 10 + l_linenumber) * 10000 + l_partkey) * 1000 + l_suppkey AS id, l_suppkey AS vessel_a, l_partkey % 150 AS vessel_b, CAST(l_shipdate AS TIMESTAMP) AS ts, l_quantity * 10 AS proximity_m, CAST(l_quantity AS INT) * 12 AS duration_min, l_discount * 10 AS confidence,
         CASE WHEN l_returnflag = 'R' THEN 'cleared' ELSE 'possible' END AS status FROM lineitem WHERE l_suppkey <> l_partkey % 150""",
     "breaches": """SELECT o_orderkey AS id, o_custkey % 150 AS vessel_id, CASE WHEN o_orderkey % 3 = 0 THEN 'OFAC' WHEN o_orderkey % 3 = 1 THEN 'EU' ELSE 'UN' END AS authority, concat('ENTITY ', CAST(o_orderkey % 40 AS STRING)) AS listed, o_orderkey % 40 AS entity_id,
         'direct_match' AS breach_type, CASE WHEN o_orderkey % 5 = 0 THEN 'name_exact' ELSE 'imo' END AS match_type, (o_orderkey % 90) / 100e0 AS confidence, CASE WHEN o_orderstatus = 'F' THEN 'cleared' WHEN o_orderstatus = 'P' THEN 'review' ELSE 'flagged' END AS status,
@@ -135,6 +135,7 @@ ADAPTERS: dict[str, str] = {
     "watch_items": """SELECT c_custkey AS id, CASE WHEN c_custkey % 20 = 0 THEN 'keyword' ELSE 'vessel' END AS kind, CASE WHEN c_custkey % 20 = 0 THEN substr('thereionerattionheren', CAST(1 + c_custkey % 15 AS INT), CAST(3 + c_custkey % 3 AS INT)) ELSE concat('21', lpad(CAST(c_custkey AS STRING), 7, '0')) END AS key,
         CAST(TIMESTAMP '2024-01-20 00:00:00' AS TIMESTAMP) + INTERVAL '1' HOUR * (c_custkey % 100) AS created_at, CASE WHEN c_custkey % 3 = 0 THEN CAST(TIMESTAMP '2024-01-24 00:00:00' AS TIMESTAMP) + INTERVAL '1' HOUR * (c_custkey % 90) END AS last_checked_at FROM customer""",
     "web_pages": """SELECT page_id, url, html FROM pages""",
+    "audit": """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'breach_detected' WHEN 1 THEN 'cleared' WHEN 2 THEN 'escalated' ELSE 'entity_check' END AS action, CAST(o_custkey % 150 AS BIGINT) AS vessel_id, CASE WHEN o_orderkey % 3 = 0 THEN 'system' ELSE 'analyst' END AS user_id, CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders""",
 }
 
 
