@@ -93,8 +93,10 @@ ADAPTERS: dict[str, str] = {
         concat('W', CAST(l_suppkey AS STRING)) AS src, concat('P', CAST(l_partkey AS STRING)) AS dst, l_extendedprice AS usd, 'USDT' AS token FROM lineitem""",
     "wallet_labels": """SELECT 'bitcoin' AS chain, concat('W', CAST(s_suppkey AS STRING)) AS address, CASE s_suppkey % 7 WHEN 0 THEN 'sanctioned' WHEN 1 THEN 'exchange' WHEN 2 THEN 'mixer' ELSE 'service' END AS wallet_type, s_name AS label, CASE WHEN s_suppkey % 2 = 0 THEN concat('HOLDER ', s_name) END AS owner FROM supplier
         UNION ALL SELECT 'bitcoin', concat('P', CAST(p_partkey AS STRING)), CASE p_partkey % 9 WHEN 0 THEN 'exchange' WHEN 1 THEN 'sanctioned' WHEN 2 THEN 'mixer' ELSE 'service' END, p_name, CAST(NULL AS STRING) FROM part""",
-    "spend_inputs": """SELECT 'bitcoin' AS chain, concat('O', CAST(l_orderkey AS STRING)) AS tx_hash, concat('A', CAST(l_partkey AS STRING)) AS address FROM lineitem WHERE l_quantity < 3""",
-    "headlines": """SELECT doc_id AS item_id, split_part(text, '.', 1) AS title, source AS outlet, lang, CAST(TIMESTAMP '2024-01-01 00:00:00' AS TIMESTAMP) + INTERVAL '1' MINUTE * (doc_id % 40000) AS ts FROM documents""",
+    # every line spends; wallets repeat only among neighbouring orders, so clusters stay local
+    "spend_inputs": """SELECT 'bitcoin' AS chain, concat('O', CAST(l_orderkey AS STRING)) AS tx_hash, concat('A', CAST(l_partkey % 300 AS STRING), '-', CAST(CAST(floor(l_orderkey / 40) AS BIGINT) AS STRING)) AS address FROM lineitem""",
+    # page titles, whole
+    "headlines": """SELECT page_id AS item_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, split_part(url, '/', 3) AS outlet, regexp_extract(html, 'lang="([a-z]*)"', 1) AS lang, CAST(TIMESTAMP '2024-01-01 00:00:00' AS TIMESTAMP) + INTERVAL '1' MINUTE * (page_id % 40000) AS ts FROM pages""",
     "coded_events": """SELECT CAST(event_id AS STRING) AS id, CAST(ts AS TIMESTAMP) AS date, CAST(ts AS TIMESTAMP) AS added, lpad(CAST(10 + event_id % 11 AS STRING), 2, '0') AS root_code, CASE event_id % 9 WHEN 0 THEN '163' WHEN 1 THEN '172' WHEN 2 THEN '191' WHEN 3 THEN '145' ELSE concat(CAST(10 + event_id % 11 AS STRING), '0') END AS base_code,
         (user_id % 21) - 10e0 AS goldstein, CAST(floor(value) AS INT) AS mentions, CAST(1 + event_id % 7 AS INT) AS sources, 'actor one' AS actor1, CASE event_id % 5 WHEN 0 THEN 'RU' WHEN 1 THEN 'US' WHEN 2 THEN 'BR' END AS actor1_country, 'other party' AS actor2, CASE event_id % 4 WHEN 0 THEN 'IR' WHEN 1 THEN 'FR' END AS actor2_country,
         CASE event_id % 3 WHEN 0 THEN 'Tehran' WHEN 1 THEN '*' END AS location, CASE event_id % 6 WHEN 0 THEN 'RU' WHEN 1 THEN 'BR' WHEN 2 THEN 'CL' WHEN 3 THEN 'UA' WHEN 4 THEN 'PE' END AS country, 1e0 AS lat, 2e0 AS lon,

@@ -144,10 +144,13 @@ def _(psc, vessels, calls):
 
 
 @query("w22_flights", inputs="sightings", oracle=f"""
-    WITH l AS (SELECT *, lag(ts) OVER w AS pt, lag(source) OVER w AS ps FROM {{sightings}} WINDOW w AS (PARTITION BY registration ORDER BY ts, source)), k AS (SELECT *, concat(registration, ':', strftime(ts, '%Y%m%d'), ':', coalesce(callsign, '-')) AS flight_key FROM l WHERE NOT coalesce(epoch_us(ts) - epoch_us(pt) < 7200000000 AND ps = source, false))
-    SELECT id, flight_key, coalesce(lag(flight_key) OVER (PARTITION BY registration ORDER BY ts, source) <> flight_key, true) AS new_flight FROM k""")
+    WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY registration ORDER BY ts, id) AS k FROM {{sightings}}), w AS (SELECT id, registration, k, true AS kept, ts AS lt, source AS ls FROM o WHERE k = 1
+      UNION ALL SELECT o.id, o.registration, o.k, epoch_us(o.ts) - epoch_us(w.lt) >= 21600000000 OR o.source <> w.ls, CASE WHEN epoch_us(o.ts) - epoch_us(w.lt) >= 21600000000 OR o.source <> w.ls THEN o.ts ELSE w.lt END, CASE WHEN epoch_us(o.ts) - epoch_us(w.lt) >= 21600000000 OR o.source <> w.ls THEN o.source ELSE w.ls END
+      FROM w JOIN o ON o.registration = w.registration AND o.k = w.k + 1),
+    k AS (SELECT o.*, concat(o.registration, ':', strftime(o.ts, '%Y%m%d'), ':', coalesce(callsign, '-')) AS flight_key FROM w JOIN o USING (id) WHERE kept)
+    SELECT id, flight_key, coalesce(lag(flight_key) OVER (PARTITION BY registration ORDER BY ts, id) <> flight_key, true) AS new_flight FROM k""")
 def _(sightings):
-    return m.flights(sightings, 7200).select("id", "flight_key", "new_flight")
+    return m.flights(sightings, 21_600).select("id", "flight_key", "new_flight")
 
 
 @query("j24_aircraft_assets", inputs="listings", oracle="SELECT concat('EP-', CAST(id AS STRING)) AS registration, regexp_extract(remarks, 'Aircraft Model ([^;]+)', 1) AS model, 'IR' AS country, id AS entity_id FROM {listings} WHERE entity_type = 'person'")

@@ -40,11 +40,12 @@ def _risk_zones(areas: Column) -> Column:
 
 
 def ais_gaps(positions: DataFrame, zones: DataFrame, hours: float = 6.0) -> DataFrame:
-    """Silences of at least ``hours``, graded by speed before them, length, and risk zones at either end.
+    """Silences of at least ``hours``, graded by speed before them, length, and risk zones at either end."""
+    return grade_gaps(drop_bucket(previous_row(positions, ["mmsi"], "ts", ["ts", "speed", "lat", "lon"])), zones, hours)
 
-    Zones are looked up only for the few rows that end a gap.
-    """
-    seen = drop_bucket(previous_row(positions, ["mmsi"], "ts", ["ts", "speed", "lat", "lon"]))
+
+def grade_gaps(seen: DataFrame, zones: DataFrame, hours: float = 6.0) -> DataFrame:
+    """W08 on fixes that carry ``prev``; zones are looked up only for the few rows that end a gap."""
     gaps = seen.withColumn("gap_hours", hours_between(F.col("prev.ts"), F.col("ts"))).where(F.col("gap_hours") >= hours)
     gaps = gaps.select("mmsi", "ts", "lat", "lon", "gap_hours", F.col("prev.ts").alias("last_seen"), (F.coalesce("prev.speed", F.lit(0.0)) >= 1.0).alias("underway"), F.col("prev.lat").alias("plat"), F.col("prev.lon").alias("plon"))
     both = areas_containing(areas_at(gaps, zones, F.col("plat"), F.col("plon"), "before"), zones, "after")
@@ -60,7 +61,11 @@ def ais_gaps(positions: DataFrame, zones: DataFrame, hours: float = 6.0) -> Data
 
 def position_anomalies(positions: DataFrame) -> DataFrame:
     """Speeds no such ship makes, and jumps over 5 nm implying more than 60 knots."""
-    seen = drop_bucket(previous_row(positions, ["mmsi"], "ts", ["ts", "lat", "lon"]))
+    return grade_positions(drop_bucket(previous_row(positions, ["mmsi"], "ts", ["ts", "lat", "lon"])))
+
+
+def grade_positions(seen: DataFrame) -> DataFrame:
+    """W09 on fixes that carry ``prev``."""
     limit = plausible_max_speed(F.col("ship_type"))
     hours = hours_between(F.col("prev.ts"), F.col("ts"))
     nm = haversine_m(F.col("prev.lat"), F.col("prev.lon"), F.col("lat"), F.col("lon")) / 1852

@@ -1,0 +1,93 @@
+"""Keyed state for streams whose detectors need the fix before the current one."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+PREVIOUS = T.StructType([
+    T.StructField("ts", T.TimestampType()), T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType()), T.StructField("speed", T.DoubleType()), T.StructField("name", T.StringType()), T.StructField("flag", T.StringType()),
+])
+FIX_COLUMNS = ["ts", "lat", "lon", "speed", "name", "flag", "ship_type"]
+NAMES_KEPT = 4
+
+
+def _micros(ts) -> int:
+    return pd.Timestamp(ts).value // 1000
+
+
+def vessel_history(positions: DataFrame, silence_hours: float, watermark: str = "30 minutes") -> DataFrame:
+    """T01 + T02: each fix with the fix before it (prev_* columns) and the vessel's recent names; a report not newer than the
+    last one is dropped. A vessel silent past the threshold in event time gives one row of kind "silent".
+
+    The state per vessel is one fix and a few names; detectors run on the output as ordinary expressions.
+    """
+    out = T.StructType([T.StructField("mmsi", T.StringType()), T.StructField("kind", T.StringType())] + [T.StructField(c, T.TimestampType() if c == "ts" else T.DoubleType() if c in ("lat", "lon", "speed") else T.StringType()) for c in FIX_COLUMNS]
+                       + [T.StructField(f"prev_{f.name}", f.dataType) for f in PREVIOUS.fields] + [T.StructField("names", T.ArrayType(T.StringType()))])
+    state = T.StructType([*[T.StructField(f.name, T.LongType() if f.name == "ts" else f.dataType) for f in PREVIOUS.fields], T.StructField("names", T.ArrayType(T.StringType()))])
+    span_ms = int(silence_hours * 3_600_000)
+    columns = [f.name for f in out.fields]
+
+    def step(key, frames: Iterator[pd.DataFrame], held: GroupState):
+        last = dict(zip(state.fieldNames(), held.get)) if held.exists else None
+        if held.hasTimedOut:
+            row = {c: last[c] for c in ("lat", "lon", "speed", "name", "flag")}
+            # the vessel stays known, so its next report is still compared with this one
+            yield pd.DataFrame([{**{c: None for c in columns}, **row, "mmsi": key[0], "kind": "silent", "ts": pd.Timestamp(last["ts"], unit="us"), "names": last["names"]}], columns=columns)
+            held.update(tuple(last[n] for n in state.fieldNames()))
+            return
+        rows = []
+        for fix in pd.concat(list(frames)).sort_values("ts", kind="stable").to_dict("records"):
+            fix = {k: (None if v is None or v is pd.NaT or v != v else v) for k, v in fix.items()}
+            at = _micros(fix["ts"])
+            if last is not None and at <= last["ts"]:
+                continue
+            names = list(last["names"]) if last else []
+            before = {f"prev_{n}": (None if last is None else pd.Timestamp(last["ts"], unit="us") if n == "ts" else last[n]) for n in PREVIOUS.fieldNames()}
+            rows.append({"mmsi": key[0], "kind": "fix", **{c: fix[c] for c in FIX_COLUMNS}, **before, "names": names})
+            if fix["name"] and (not names or names[-1] != fix["name"]):
+                names = [*names, fix["name"]][-NAMES_KEPT:]
+            last = {**{n: fix[n] if n not in ("name", "flag") else (fix[n] or (last or {}).get(n)) for n in PREVIOUS.fieldNames() if n != "ts"}, "ts": at, "names": names}
+        if last is not None:
+            held.update(tuple(last[n] for n in state.fieldNames()))
+            held.setTimeoutTimestamp(max(last["ts"] // 1000 + span_ms, held.getCurrentWatermarkMs() + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    slim = positions.withWatermark("ts", watermark).select("mmsi", *FIX_COLUMNS)
+    return slim.groupBy("mmsi").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def with_prev(history: DataFrame) -> DataFrame:
+    """The stream's fixes in the shape the batch detectors read: ``prev`` as a struct, null on a vessel's first fix."""
+    prev = F.struct(*[F.col(f"prev_{n}").alias(n) for n in PREVIOUS.fieldNames()])
+    return history.where("kind = 'fix'").select("mmsi", *FIX_COLUMNS, F.when(F.col("prev_ts").isNotNull(), prev).alias("prev"), "names")
+
+
+def kept_sightings(sightings: DataFrame, min_gap_s: int = 120, watermark: str = "10 minutes") -> DataFrame:
+    """Sightings without repeats, each with its flight key and whether it opens a flight. State: the last kept fix."""
+    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("registration", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("source", T.StringType()), T.StructField("flight_key", T.StringType()), T.StructField("new_flight", T.BooleanType())])
+    state = T.StructType([T.StructField("ts", T.LongType()), T.StructField("source", T.StringType()), T.StructField("flight_key", T.StringType())])
+
+    def step(key, frames: Iterator[pd.DataFrame], held: GroupState):
+        last = held.get if held.exists else None
+        rows = []
+        for fix in pd.concat(list(frames)).sort_values(["ts", "id"]).to_dict("records"):
+            at = _micros(fix["ts"])
+            if last is not None and (at < last[0] or (at - last[0] < min_gap_s * 1_000_000 and fix["source"] == last[1])):
+                continue
+            call = (fix["callsign"] or "").strip() or "-"
+            flight = f"{key[0]}:{pd.Timestamp(fix['ts']):%Y%m%d}:{call}"
+            rows.append({"id": fix["id"], "registration": key[0], "ts": fix["ts"], "source": fix["source"], "flight_key": flight, "new_flight": last is None or last[2] != flight})
+            last = (at, fix["source"], flight)
+        if last is not None:
+            held.update(tuple(last))
+        if rows:
+            yield pd.DataFrame(rows)
+
+    return sightings.withWatermark("ts", watermark).groupBy("registration").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
