@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intel_spark.functions.scoring import clamp, severity_for, severity_rank
-from intel_spark.operators.timeline import latest_per_key, top_per_key
+from intel_spark.operators.timeline import latest_per_key, newest_rows, top_per_key
 
 # Severity ladders.
 PRICE_SIGMA = (3.0, 4.0, 5.0, 7.0)
@@ -91,10 +91,10 @@ def volatility_clusters(series: DataFrame, multiple: float = 2.0, window_minutes
 def price_anomalies(candles: DataFrame, sigma: float = 3.0, baseline: int = 10_080, min_points: int = 60, last: int = 10) -> DataFrame:
     """Closes more than ``sigma`` deviations from the trailing mean that excludes them, in the last rows only.
 
-    Only the newest ``last + baseline`` candles of a series can matter, so each map task keeps that many and a series
-    holding most of the table still shuffles a bounded number of rows.
+    Only the newest ``last + baseline`` candles of a series can matter. Older days are dropped by a count per day, so a
+    series holding most of the table still brings a bounded number of rows to its window.
     """
-    recent = top_per_key(candles.select(*SERIES, "ts", "close"), SERIES, [F.col("ts").desc()], last + baseline, "age")
+    recent = newest_rows(candles.select(*SERIES, "ts", "close"), SERIES, "ts", last + baseline)
     history = Window.partitionBy(*SERIES).orderBy("ts").rowsBetween(-baseline, -1)
     scored = recent.select("*", F.avg("close").over(history).alias("mean"), F.stddev_samp("close").over(history).alias("std"), F.count("close").over(history).alias("points"))
     z = (F.col("close") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0))

@@ -218,18 +218,22 @@ def listing_peers(listings: DataFrame) -> DataFrame:
 def mentions(texts: DataFrame, names: DataFrame, min_length: int = 8) -> DataFrame:
     """Texts (text_id, text) that contain a name (name_id, name) as whole words.
 
-    Names under ``min_length`` characters count only when they have two words. Each text is cut into word runs as long
-    as the longest name, and runs meet names in an equi-join, so texts are never paired with every name.
+    Names under ``min_length`` characters count only when they have two words. Single words and neighbouring pairs of each
+    text meet the first word or two of the names in an equi-join; the few longer names found that way are then compared
+    word for word, so texts are never paired with every name and never copied per word.
     """
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    wanted = names.select("name_id", "name", F.array_join(words(F.col("name")), " ").alias("run"), F.size(words(F.col("name"))).alias("_size")).where((F.length("name") >= min_length) | (F.col("_size") >= 2))
-    sizes = wanted.groupBy("_size").agg(F.lit(1).alias("one")).select("_size")
+    wanted = names.select("name_id", "name", words(F.col("name")).alias("_parts")).where((F.length("name") >= min_length) | (F.size("_parts") >= 2)).where(F.size("_parts") > 0)
+    wanted = wanted.withColumn("run", F.array_join(F.slice("_parts", 1, 2), " "))
     cut = texts.select("text_id", words(F.col("text")).alias("_words"))
-    # distinct words per text first shorten long texts; runs are built per name length that occurs
-    runs = cut.join(sizes, F.size("_words") >= F.col("_size")).select(
-        "text_id", "_size", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_words") - F.col("_size") + 1), lambda i: F.array_join(F.slice("_words", i, F.col("_size")), " ")))).alias("run")
-    )
-    return runs.join(wanted.drop("_size"), "run").select("text_id", "name_id", "name").distinct()
+    n = F.size("_words")
+    singles = cut.select("text_id", F.posexplode("_words").alias("at", "run"))
+    pairs = cut.where(n >= 2).select("text_id", F.posexplode(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice("_words", i, 2), " "))).alias("at", "run"))
+    found = singles.unionByName(pairs).join(wanted, "run")
+    short = found.where(F.size("_parts") <= 2).select("text_id", "name_id", "name")
+    long = found.where(F.size("_parts") > 2).select("text_id", "at", "name_id", "name", "_parts").join(cut, "text_id")
+    whole = long.where(F.slice("_words", F.col("at") + 1, F.size("_parts")) == F.col("_parts")).select("text_id", "name_id", "name")
+    return short.unionByName(whole).distinct()
 
 
 def party_filter(dockets: DataFrame, listings: DataFrame) -> DataFrame:

@@ -188,3 +188,13 @@ def previous_rows(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence
     joined = _carry(rows.withColumn("_local", F.collect_list(wanted).over(local)), tails, keys)
     both = F.concat("_before", "_local")
     return joined.withColumn(name, F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), n)).drop("_local", "_before")
+
+
+def newest_rows(df: DataFrame, keys: Sequence[str], order: str, n: int, name: str = "age", seconds: int = DAY) -> DataFrame:
+    """The n newest rows per key, numbered from 1. For large n: rows per time bucket are counted first, buckets older than the
+    one holding the n-th row are dropped, and only what is left is ordered per key."""
+    rows = with_bucket(df, order, seconds)
+    newer = Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, BUCKET).agg(F.count("*").alias("_n"))
+    needed = counts.withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0))).where(F.col("_newer") < n).select(*keys, BUCKET)
+    return top_per_key(rows.join(needed, [*keys, BUCKET], "left_semi").drop(BUCKET), keys, [F.col(order).desc()], n, name)
