@@ -49,17 +49,26 @@ def similar_names(left: DataFrame, right: DataFrame, left_col: str, right_col: s
     frequency = grams_r.select(F.explode("_grams").alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_df"))
 
     def prefix(side: DataFrame) -> DataFrame:
-        exploded = side.select("_name", F.size("_grams").alias("_n"), F.explode("_grams").alias("_gram")).join(frequency, "_gram", "left")
+        exploded = side.select("_name", F.explode("_grams").alias("_gram")).join(frequency, "_gram", "left")
         by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_gram").alias("gram"))))
-        ordered = exploded.groupBy("_name", "_n").agg(by_rarity.alias("_sorted"))
-        keep = F.least(F.col("_n"), edits(F.length("_name")) * width + 1)
-        return ordered.select("_name", F.explode(F.slice(F.col("_sorted.gram"), F.lit(1), keep)).alias("_gram"))
+        ordered = exploded.groupBy("_name").agg(by_rarity.alias("_sorted"))
+        kept = ordered.select("_name", F.slice(F.col("_sorted.gram"), F.lit(1), edits(F.length("_name")) * width + 1).alias("_prefix"))
+        return kept.select("_name", "_prefix", F.explode("_prefix").alias("_gram"))
 
-    pl, pr = prefix(grams_l).withColumnRenamed("_name", "a"), prefix(grams_r).withColumnRenamed("_name", "b")
+    pl = prefix(grams_l).withColumnsRenamed({"_name": "a", "_prefix": "_pa"})
+    pr = prefix(grams_r).withColumnsRenamed({"_name": "b", "_prefix": "_pb"})
     la, lb = F.length("a"), F.length("b")
     limit = F.floor(F.greatest(la, lb) * spread + 1e-9) if mode != "sequence" else F.floor((la + lb) * spread + 1e-9)
-    pairs = pl.join(pr, "_gram").where(F.abs(la - lb) <= limit).select("a", "b").distinct()
-    return pairs.withColumn("ratio", name_ratio(F.col("a"), F.col("b"), mode)).where(F.col("ratio") >= min_ratio - 1e-12)
+    met = pl.join(pr, "_gram").withColumn("_limit", limit.cast("int")).where(F.abs(la - lb) <= F.col("_limit"))
+    # a pair that meets in several grams is kept at the rarest of them, so no shuffle is needed to drop repeats
+    first_meeting = F.element_at(F.array_intersect("_pa", "_pb"), 1) == F.col("_gram")
+    if mode == "sequence":
+        pairs = met.where(first_meeting).select("a", "b")
+        return pairs.withColumn("ratio", name_ratio(F.col("a"), F.col("b"), mode)).where(F.col("ratio") >= min_ratio - 1e-12)
+    # the bounded distance gives up early and costs less than the repeat test, so it goes first
+    near = met.withColumn("_distance", F.expr("levenshtein(a, b, _limit)")).where("_distance >= 0").where(first_meeting)
+    pairs = near.select("a", "b", (1 - F.col("_distance") / F.greatest(la, lb)).alias("ratio"))
+    return pairs.where(F.col("ratio") >= min_ratio - 1e-12)
 
 
 def match_identifiers(vessels: DataFrame, listings: DataFrame) -> DataFrame:
