@@ -113,3 +113,27 @@ def test_fusion_cluster_batch_and_stream(spark, tmp_path):
     assert fusion.composite_alerts(fusion.score_pairs(signals), signals, existing=stored).count() == 0
     jobs.start_fusion(as_stream(spark, signals, str(tmp_path / "in"), parts=1), str(tmp_path / "cp"), str(tmp_path / "store"), str(tmp_path / "out"), available_now=True).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+CANDLES = "asset string, exchange string, timeframe string, ts timestamp, open double, high double, low double, close double, volume double"
+
+
+def test_market_alerts_once(spark, tmp_path):
+    rows = [("BTC", "x", "1m", minutes(i), c, c, c, c, 10.0) for i, c in enumerate([100.0 + (i % 7) * 0.1 for i in range(100)] + [160.0])]
+    candles = spark.createDataFrame(rows, CANDLES)
+    candles.write.parquet(str(tmp_path / "history"))
+    for run in ("a", "b"):
+        stream = as_stream(spark, candles.limit(3), str(tmp_path / f"in{run}"), parts=1)
+        jobs.start_market_alerts(stream, str(tmp_path / f"cp{run}"), str(tmp_path / "history"), str(tmp_path / "out"), available_now=True).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r.alert_type, r.severity) for r in got] == [("price_anomaly", "critical")]
+
+
+def test_resample_equals_batch(spark, tmp_path):
+    rows = [("BTC", "x", "1m", minutes(i * 5), float(i), float(i + 2), float(i - 2), float(i + 1), 1.0) for i in range(30)]
+    candles = spark.createDataFrame(rows, CANDLES)
+    jobs.start_resample(as_stream(spark, candles, str(tmp_path / "in")), str(tmp_path / "cp"), str(tmp_path / "out"), available_now=True).awaitTermination()
+    columns = ["ts", "open", "high", "low", "close", "volume"]
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*columns).collect()}
+    batch = {tuple(r) for r in market.resample(candles, "1h").select(*columns).collect()}
+    assert len(got) >= 2 and got <= batch
