@@ -8,9 +8,8 @@ are spelled with byte pieces. A segmentation's probability is its weight over th
 log-probability is a Gumbel variate, the children of a node get variates that are conditioned on their maximum being the
 node's own, and nodes are expanded best first. The complete segmentations come out in the order of their perturbed
 log-probabilities, which is a sample without replacement. A child is settled by its path's continuation, so expanding a
-node walks one full path; only the side branches that can still win are given a variate. Since these are made of uniform
-numbers of 32 bits, none is more than ``CEILING`` above its log-probability, and a branch that stays under the k-th best
-even so is left out without any loss. The inclusion score is log(1 - exp(-exp(log p - kappa))), kappa being the perturbed
+node walks one full path and settles its side branches: those of the first ``NEAR`` steps one by one, all later ones by
+the variate of their maximum, which is split up over them only if it can still win. The inclusion score is log(1 - exp(-exp(log p - kappa))), kappa being the perturbed
 log-probability of the best segmentation that was not drawn (0 if all were drawn).
 
 All random numbers are hashes of the row key, the draw and the place in the text: the same row gives the same samples
@@ -43,7 +42,7 @@ UNIT = 64
 LONGEST = 16
 BLOCK = 800_000  # code points taken together
 CACHED = 300_000  # words whose lattices a task keeps
-CEILING = 23.0
+NEAR = 48
 MARK = 0x2581
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD1342543DE82EF95)
@@ -88,11 +87,23 @@ class Vocabulary:
         self.ids = np.array(ids, np.int32)[order]
         self.weights = np.array(weights)[order]
         self.byte_weight = -theta * np.log(n + SHIFT)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        bucket = (self.keys >> np.uint64(44)).astype(np.int64)
+        self.slot = np.full(1 << 20, -1, np.int32)  # a bucket's only key, -1 for none, -2 for several
+        self.slot[bucket] = np.arange(len(bucket))
+        self.slot[bucket[1:][bucket[1:] == bucket[:-1]]] = -2
         self.bytes = np.frombuffer(b"".join(decoded), np.uint8)
         self.bounds = np.concatenate([[0], np.cumsum([len(d) for d in decoded])])
 
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are pieces, and their slots."""
+        slot = self.slot[(keys >> np.uint64(44)).astype(np.int64)]
+        hit = np.flatnonzero(slot != -1)
+        slot, own = slot[hit], keys[hit]
+        several = np.flatnonzero(slot == -2)
+        slot[several] = np.minimum(np.searchsorted(self.keys, own[several]), len(self.keys) - 1)
+        same = self.keys[slot] == own
+        return hit[same], slot[same]
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of a run of pieces, without the leading mark's space."""
         size = (self.bounds[1:] - self.bounds[:-1])[ids]
@@ -163,6 +174,7 @@ class Lattices:
         numbers = np.array([self.known.get(k, -1) for k in keys.tolist()], np.int64)
         new = np.flatnonzero(numbers < 0)
         if len(new):
+            new = new[np.argsort(ends[new] - starts[new], kind="stable")]  # short words together
             numbers[new] = self._first.size + np.arange(len(new))
             self.known.update(zip(keys[new].tolist(), numbers[new].tolist()))
             for lo in range(0, len(new), 4096):
@@ -179,8 +191,8 @@ class Lattices:
         left = length[word] - place
         node = np.arange(len(word)) + word  # a word of n characters has n + 1 nodes
         rows = int(min(LONGEST, length.max()))
-        weight = np.full((rows, len(text)), -np.inf)  # by piece length, the longest first
-        slots = np.zeros((rows, len(text)), np.int32)
+        weight = np.full((len(text), rows), -np.inf)  # by piece length, the longest first
+        slots = np.zeros((len(text), rows), np.int32)
         at, value = np.arange(len(text)), np.zeros(len(text), np.uint64)
         for n in range(1, rows + 1):
             if n > 1:
@@ -188,16 +200,14 @@ class Lattices:
                 at, value = at[keep], value[keep]
             value = value * _SPREAD + text[at + (n - 1)] + np.uint64(1)
             key = value * _HASH
-            hit = np.flatnonzero(vocab.maybe[(key >> np.uint64(44)).astype(np.int64)])
-            slot = np.minimum(np.searchsorted(vocab.keys, key[hit]), len(vocab.keys) - 1)
-            same = vocab.keys[slot] == key[hit]
-            hit, slot = at[hit[same]], slot[same]
-            weight[rows - n, hit] = vocab.weights[slot]
-            slots[rows - n, hit] = vocab.ids[slot]
-        by_bytes = np.flatnonzero(np.isinf(weight[-1]))
+            hit, slot = vocab.find(key)
+            hit = at[hit]
+            weight[hit, rows - n] = vocab.weights[slot]
+            slots[hit, rows - n] = vocab.ids[slot]
+        by_bytes = np.flatnonzero(np.isinf(weight[:, -1]))
         code = text[by_bytes].astype(np.int64)
-        weight[-1, by_bytes] = vocab.byte_weight * (1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
-        slots[-1, by_bytes] = -1 - code
+        weight[by_bytes, -1] = vocab.byte_weight * (1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
+        slots[by_bytes, -1] = -1 - code
         # log-sum of the completions of every node, from the words' ends backwards
         beta = np.zeros(len(text) + len(starts))
         order = np.argsort(left, kind="stable")
@@ -205,13 +215,13 @@ class Lattices:
         for d in range(1, len(bounds)):
             own = order[bounds[d - 1] : bounds[d]]
             reach = min(rows, d)
-            score = weight[rows - reach :, own] + beta[node[own][None, :] + np.arange(reach, 0, -1)[:, None]]
-            top = score.max(axis=0)
-            beta[node[own]] = top + np.log(np.exp(score - top).sum(axis=0))
-        place, row = np.nonzero(np.isfinite(weight).T)
+            score = weight[own, rows - reach :] + beta[node[own][:, None] + np.arange(reach, 0, -1)]
+            top = score.max(axis=1)
+            beta[node[own]] = top + np.log(np.exp(score - top[:, None]).sum(axis=1))
+        place, row = np.nonzero(weight > -np.inf)
         source = node[place]
         target = source + rows - row
-        log_p = weight[row, place] + beta[target] - beta[source]
+        log_p = weight[place, row] + beta[target] - beta[source]
         counts = np.bincount(source, minlength=len(beta))
         ends_at = np.cumsum(counts)
         running = np.cumsum(np.exp(log_p))
@@ -228,7 +238,7 @@ class Lattices:
         self._log_p.add(log_p)
         self._source.add(source + nodes)
         self._target.add(target + nodes)
-        self._piece.add(slots[row, place])
+        self._piece.add(slots[place, row])
 
 
 def uniform(*parts) -> np.ndarray:
@@ -289,11 +299,11 @@ class Sampler:
             taken[first[active] + i] = edge
         return taken, first
 
-    def branches(self, own: np.ndarray, at: int, log_at: np.ndarray, top: float, seed: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(perturbed value, step, edge) of those side branches of the steps ``own`` that may exceed ``least``.
+    def branches(self, own: np.ndarray, at: int, log_at: np.ndarray, top: float, seed: np.ndarray, cap: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(perturbed value, step, edge) of the side branches of the steps ``own``.
 
         ``at`` is the first step's place in its path, ``log_at`` the log-probability of the path before each step, ``top``
-        the path's own value.
+        the path's own value, and ``cap`` the branches' maximum if it has been drawn.
         """
         net = self.lattices
         source = net.source[own]
@@ -301,13 +311,20 @@ class Sampler:
         count = net.edges_at[source + 1] - first
         step = np.repeat(np.arange(len(own)), count)
         edge = np.arange(len(step)) + np.repeat(first - np.cumsum(count) + count, count)
+        other = np.flatnonzero(edge != own[step])
+        step, edge = step[other], edge[other]
         phi = log_at[step] + net.log_p[edge]
-        open_ = np.flatnonzero((phi > least - CEILING) & (edge != own[step]))
-        step, edge, phi = step[open_], edge[open_], phi[open_]
         value = mix(seed ^ ((step + at).astype(np.uint64) << np.uint64(8)) ^ (edge - first[step]).astype(np.uint64))
-        u = ((value >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32
-        # a Gumbel variate at phi, below top
-        return phi - np.log(np.exp(np.minimum(phi - top, 700.0)) - np.log(u)), step + at, edge
+        noise = -np.log(((value >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+        if cap is None:  # Gumbel variates at phi, below top
+            return phi - np.log(np.exp(np.minimum(phi - top, 700.0)) + noise), step + at, edge
+        free = phi - np.log(noise)
+        with np.errstate(over="ignore", divide="ignore"):
+            tied = -np.log(np.maximum(np.exp(-cap) - np.exp(-free.max()) + np.exp(-free), 0.0)) if len(free) else free
+        if len(free):
+            tied = np.minimum(tied, cap)
+            tied[np.argmax(free)] = cap
+        return tied, step + at, edge
 
     def finish(self, node: int, key: int, draw: int, step: int) -> list[int]:
         """The rest of a word's path from a node."""
@@ -353,21 +370,29 @@ class Sampler:
             out.append((own, float(total[-1]), top))
             wanted = self.k - draw  # as many branches as can still be drawn, and one for kappa
             heap = heapq.nsmallest(wanted, heap)
-            at, size = step + 1 if origin is not None else 0, 64
             seed = mix(np.array([key], np.uint64) + np.array([draw + 1], np.uint64) * _SPREAD)
-            while at < len(own) and (len(heap) < wanted or total[at] + CEILING > -heap[-1][0]):
-                least = -heap[-1][0] if len(heap) == wanted else -np.inf
-                value, place, branch = self.branches(own[at : at + size], at, total[at : at + size], top, seed, least)
-                best = np.argsort(-value)[:wanted] if len(value) > wanted else range(len(value))
-                heap += [(-float(value[i]), draw, int(place[i]), int(branch[i])) for i in best]
-                heap = heapq.nsmallest(wanted, heap)
-                at, size = at + size, size * 2
+            at = step + 1 if origin is not None else 0
+            heap = self._kept(heap, wanted, draw, self.branches(own[at : at + NEAR], at, total[at:], top, seed, None))
+            at += NEAR
+            if at < len(own) and total[-1] < total[at]:  # the maximum of all later branches
+                mass = float(total[at] + np.log(-np.expm1(total[-1] - total[at])))
+                noise = -float(np.log(uniform(np.uint64(key), 0x4E57 + draw)[0]))
+                cap = mass - float(np.log(np.exp(min(mass - top, 700.0)) + noise))
+                if len(heap) < wanted or cap > -heap[-1][0]:
+                    heap = self._kept(heap, wanted, draw, self.branches(own[at:], at, total[at:], top, seed, cap))
             if not heap:
                 return out + [(None, 0.0, -np.inf)]
             value, origin, step, edge = heap.pop(0)
             entry = (-value, origin, step, edge)
         return out + [(None, 0.0, entry[0])]
 
+    @staticmethod
+    def _kept(heap: list, wanted: int, draw: int, found) -> list:
+        """The best entries of a list and of newly found branches, in order."""
+        value, place, branch = found
+        best = np.argsort(-value)[:wanted] if len(value) > wanted else range(len(value))
+        return heapq.nsmallest(wanted, heap + [(-float(value[i]), draw, int(place[i]), int(branch[i])) for i in best])
+
     def ids(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of a path; spelled characters become byte pieces."""
         piece = self.lattices.piece[edges]
