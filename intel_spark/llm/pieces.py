@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -452,7 +453,7 @@ def sample_encode(docs: DataFrame, key: str = "doc_id", k: int = K, seed: int =
         for batch in batches:
             texts, row = batch.column("text"), 0
             keys = row_keys(batch.column("key"), seed)
-            lengths = [0 if x is None else x for x in pa.compute.utf8_length(texts).to_pylist()]
+            lengths = [0 if x is None else x for x in pc.utf8_length(texts).to_pylist()]
             while row < len(texts):
                 end, total = row + 1, lengths[row]
                 while end < len(texts) and total + lengths[end] <= BLOCK:
