@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from intel_spark.llm.base import query, settled, table
+from intel_spark.llm.base import query, settled, stored, table
 from intel_spark.llm.shingles import WORDS, mix, shingle_rows
 from intel_spark.operators.graph import connected_components
 
@@ -116,53 +116,121 @@ def match_count(frequency: np.ndarray, first: int, limit: int) -> int:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, percent: int, k: int = WORDS) -> DataFrame:
-    """(token, salt, hot, a, b, n, pos, l): the prefix shingles of every class, pos from 0."""
+    """(token, a, b, n, l, place): the prefix shingles of every class, those of one shingle in one partition in order.
+
+    ``place`` is the position from 0, or -1 - position for shingles estimated to be hot: these are dealt out over several
+    partitions. Until they get there, a class's shingles for a partition travel in one row.
+    """
     bits = int(counts.size).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(counts)
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = ["part", "a", "b", "n", "l", "tokens", "places"]
 
     def emit(batches):
-        table_ = shared.value
-        names = ["token", "salt", "hot", "a", "b", "n", "pos", "l"]
         held, rows = [], 0
 
         def batch():
-            cols = [np.concatenate(c) for c in zip(*held)]
-            return pa.record_batch([pa.array(c) for c in cols], names)
+            part, a, b, n, l, ends, tokens, places = (np.concatenate(c) for c in zip(*held))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(ends)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (tokens, places)]
+            return pa.record_batch([pa.array(part), pa.array(a), pa.array(b), pa.array(n), pa.array(l), *lists], names)
 
         for own, a, b in _classes_once(batches, k):
             n = len(own)
             need = -(-percent * n // 100)
             first = n - need + 1
             limit = min(MAX_MATCH, need)
-            estimate = table_[(own >> np.uint64(64 - bits)).astype(np.int64)]
+            estimate = shared.value[(own >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int64)
             order = np.lexsort((own, estimate))[: first + limit - 1]
             l = match_count(estimate[order], first, limit)
             order = order[: first + l - 1]
-            size = len(order)
-            split = estimate[order].astype(np.int64) // HOT + 1
-            salt = (np.uint64(a & ((1 << 64) - 1)) % split.astype(np.uint64)).astype(np.int32)
-            held.append((own[order].view(np.int64), salt, split > 1, np.full(size, a, np.int64), np.full(size, b, np.int32), np.full(size, n, np.int32), np.arange(size, dtype=np.int32), np.full(size, l, np.int32)))
+            split = (estimate[order] // HOT + 1).astype(np.uint64)
+            place = np.arange(len(order), dtype=np.int32)
+            place = np.where(split > 1, -1 - place, place)
+            salt = np.uint64(a & ((1 << 64) - 1)) % split
+            part = (mix(own[order] ^ mix(salt)) % np.uint64(parts)).astype(np.int32)
+            sort = np.argsort(part, kind="stable")
+            different, begin = np.unique(part[sort], return_index=True)
+            size = len(different)
+            held.append((different, np.full(size, a, np.int64), np.full(size, b, np.int32), np.full(size, n, np.int32), np.full(size, l, np.int32), np.diff(np.append(begin, len(sort))), own[order][sort].view(np.int64), place[sort].astype(np.int32)))
             rows += size
-            if rows >= 50_000:
+            if rows >= 20_000:
                 yield batch()
                 held, rows = [], 0
         if held:
             yield batch()
 
-    return docs.select("text").mapInArrow(emit, "token long, salt int, hot boolean, a long, b int, n int, pos int, l int")
+    packed = docs.select("text").mapInArrow(emit, "part int, a long, b int, n int, l int, tokens array<long>, places array<int>")
+    dealt = packed.repartitionById(parts, "part").select("a", "b", "n", "l", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
+    return dealt.select(F.col("t.tokens").alias("token"), "a", "b", "n", "l", F.col("t.places").alias("place")).sortWithinPartitions("token", "n", "a", "b")
 
 
-def _shared_postings(rows: DataFrame) -> DataFrame:
-    """Prefix rows whose shingle another class has too, once per class, with the centre: the first row of the shingle."""
-    by = Window.partitionBy("token", "salt").orderBy("n", "a", "b")
-    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.lag(F.struct("a", "b")).over(by)
-    return (
-        rows.select("*", before.alias("before"), F.first(F.struct("a", "b", "n", "pos")).over(whole).alias("c"), F.last(F.struct("a", "b")).over(whole).alias("z"))
-        .where("before is null or before.a <> a or before.b <> b")
-        .where("hot or c.a <> z.a or c.b <> z.b")
-        .drop("before", "z")
-    )
+def _shared_postings(rows: DataFrame, percent: int) -> DataFrame:
+    """(token, a, b, n, pos, l, c): prefix rows that another class can meet, with the shingle's centre, its first row.
+
+    Rows come in order, so one look ahead tells whether a shingle has another class; sizes are in order as well, so a row
+    without a neighbour of a fitting size has no partner, nor have two rows alone whose pair cannot make a link.
+    """
+    fields = ["token", "a", "b", "n", "l", "place"]
+    out = ["token", "a", "b", "n", "pos", "l", "ca", "cb", "cn", "cpos"]
+
+    def run(batches):
+        carry, centre = None, None  # the last row, and the centre of its shingle
+        for batch in batches:
+            own = {f: batch.column(f).to_numpy() for f in fields}
+            if carry is not None:
+                own = {f: np.concatenate([carry[f], own[f]]) for f in fields}
+            if not len(own["token"]):
+                continue
+            again = np.zeros(len(own["token"]), bool)
+            again[1:] = (own["token"][1:] == own["token"][:-1]) & (own["a"][1:] == own["a"][:-1]) & (own["b"][1:] == own["b"][:-1])
+            own = {f: v[~again] for f, v in own.items()}
+            done, carry, centre = kept(own, carry is not None, centre, False)
+            if len(done):
+                yield done
+        if carry is not None:
+            done, _, _ = kept(carry, True, centre, True)
+            if len(done):
+                yield done
+
+    def kept(own, carried, centre, last):
+        token, n, l = own["token"], own["n"].astype(np.int64), own["l"].astype(np.int64)
+        hot = own["place"] < 0
+        pos = np.where(hot, -1 - own["place"], own["place"]).astype(np.int64)
+        first = np.ones(len(token), bool)
+        first[1:] = token[1:] != token[:-1]
+        starts = np.flatnonzero(first)
+        which = np.cumsum(first) - 1
+        c = [x[starts].copy() for x in (own["a"], own["b"], n, pos)]
+        open_run = carried and centre is not None
+        if open_run:  # the first run began in an earlier batch
+            for x, value in zip(c, centre):
+                x[0] = value
+        ends = np.append(starts[1:], len(token))
+        length = (ends - starts)[which]
+        fits = 100 * n[:-1] >= percent * n[1:]
+        same = ~first[1:]
+        near = np.zeros(len(token), bool)
+        near[1:] |= same & fits
+        near[:-1] |= same & fits
+        edge = (which == 0) & open_run | (which == which[-1]) & (not last)
+        pair = np.flatnonzero((length[:-1] == 2) & same & ~edge[:-1] & ~edge[1:])
+        remaining = np.minimum(n[pair] - pos[pair], n[pair + 1] - pos[pair + 1]) + np.minimum(l[pair], l[pair + 1]) - 1
+        poor = pair[(100 + percent) * remaining < percent * (n[pair] + n[pair + 1])]
+        near[poor] = near[poor + 1] = False
+        keep = near | hot | edge
+        settled_rows = len(token) if last else len(token) - 1
+        if open_run and not last and len(token) > 1 or last:
+            keep[0] |= open_run  # its neighbours were seen in an earlier batch
+        keep[settled_rows:] = False
+        at = np.flatnonzero(keep)
+        cols = [token[at], own["a"][at], own["b"][at], own["n"][at], pos[at].astype(np.int32), own["l"][at], *(x[which[at]] for x in c)]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        done = pa.record_batch([pa.array(x).cast(kind) for x, kind in zip(cols, kinds)], out)
+        return done, {f: v[-1:] for f, v in own.items()}, [x[-1] for x in c]
+
+    kind = "token long, a long, b int, n int, pos int, l int, ca long, cb int, cn int, cpos int"
+    return rows.mapInArrow(run, kind).select("token", "a", "b", "n", "pos", "l", F.struct(F.col("ca").alias("a"), F.col("cb").alias("b"), F.col("cn").alias("n"), F.col("cpos").alias("pos")).alias("c"))
 
 
 def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
@@ -224,7 +292,7 @@ def _grouped(docs: DataFrame, percent: int, k: int) -> DataFrame:
     rows = settled(docs.select("doc_id", F.xxhash64("text").alias("tk"), key.alias("s")).select("doc_id", "tk", "s.*"))
     classes = settled(rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.min("tk").alias("tk")))
     counts = sketch(docs, k)
-    postings = settled(_shared_postings(prefixes(docs, counts, percent, k)))
+    postings = stored(_shared_postings(prefixes(docs, counts, percent, k), percent), "shared-shingles")
 
     n, cn = F.col("n"), F.col("cn")
     star = (
@@ -258,7 +326,7 @@ def _open_pairs(postings: DataFrame, joined: DataFrame, percent: int) -> DataFra
     """
     label = F.coalesce("component", F.struct("a", "b"))
     rows = postings.join(joined.select("node.a", "node.b", "component"), ["a", "b"], "left").select("token", "a", "b", "n", "pos", "l", label.alias("label"))
-    rows = settled(rows)
+    rows = stored(rows, "labelled-shingles")
     main = rows.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("label", "c").alias("main"), F.count("*").alias("labels")).where("labels > 1")
     rows = rows.join(main.select("token", "main"), "token").withColumn("left_in_text", F.col("n") - F.col("pos"))
 
