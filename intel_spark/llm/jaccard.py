@@ -11,7 +11,8 @@ its partners must share more of it. A pair uses the smaller l of the two.
 * Equal sets are one class and take part once.
 * A shared prefix shingle first links every class to one centre per shingle; classes so connected need no further pairs,
   so a group of n near copies costs n pairs and not n * n. All pairs of prefix partners that are not yet connected are
-  then enumerated under the size, position and match-count conditions, none of which can lose a link.
+  then enumerated under the size and position conditions, and those with too few matches in their l-prefixes go. None of
+  the conditions can lose a link.
 * Candidates are verified on the whole sets.
 
 Nulls and empty texts have no shingles and link with nothing. Equal rows are copies of one class. Rows without an id
@@ -318,50 +319,55 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = WORDS) -> Da
     return _grouped(docs, percent, k).select("doc_id", F.col("n").cast("long").alias("n_shingles"), least.alias("component_id"))
 
 
+def _level(pos: Column, n: Column, percent: int) -> Column:
+    """The least l whose prefix holds a position."""
+    return F.greatest(F.lit(1), pos - (n - F.ceil(n * percent / 100)) + 1)
+
+
 def _open_pairs(postings: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     """All pairs of prefix partners not yet connected that pass the size, position and match-count conditions.
 
-    Rows of a shingle's largest component never meet each other: only the rows outside it are paired, with all rows.
-    They meet within size classes, so that the join key holds the partner's size as well as the shingle.
+    Two linked sets share a first shingle in the order, which stands in both 1-prefixes, and what follows it in either set
+    must be enough for the overlap: pairs meet on such shingles only. Rows of a shingle's largest component never meet
+    each other: only the rows outside it are paired, with all rows. They meet within size classes, so that the join key
+    holds the partner's size as well as the shingle.
     """
     label = F.coalesce("component", F.struct("a", "b"))
-    rows = postings.join(joined.select("node.a", "node.b", "component"), ["a", "b"], "left").select("token", "a", "b", "n", "pos", "l", label.alias("label"))
+    rows = postings.where(_level(F.col("pos"), F.col("n"), percent) == 1)
+    rows = rows.join(joined.select("node.a", "node.b", "component"), ["a", "b"], "left").select("token", "a", "b", "n", "l", (F.col("n") - F.col("pos")).alias("remaining"), label.alias("label"))
     rows = stored(rows, "labelled-shingles")
     main = rows.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("label", "c").alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    rows = rows.join(main.select("token", "main"), "token").withColumn("left_in_text", F.col("n") - F.col("pos"))
+    rows = rows.join(main.select("token", "main"), "token")
 
     def size_class(size: Column) -> Column:
         return F.floor(F.log(1.2, size.cast("double"))).cast("int")
 
-    n, l, remaining = F.col("n"), F.col("l"), F.col("left_in_text")
-    widest = F.least(F.floor(n * 100 / percent), F.floor((remaining + l - 1) * (100 + percent) / percent) - n)
-    narrowest = F.greatest(F.lit(1), F.floor(n * percent / 100))
-    outside = (
-        rows.where("label <> main and not (label is null)").where(widest >= narrowest)
-        .select("token", F.explode(F.sequence(size_class(narrowest), size_class(widest))).alias("size"), *[F.col(c).alias(f"o_{c}") for c in ("a", "b", "n", "pos", "l", "left_in_text", "label")])
-    )
-    inside = rows.select("token", size_class(n).alias("size"), "a", "b", "n", "pos", "l", "left_in_text", "label", (F.col("label") != F.col("main")).alias("outside"))
-
-    def level(pos: str, size: str) -> Column:
-        first = F.col(size) - F.ceil(F.col(size) * percent / 100) + 1
-        return F.greatest(F.lit(1), F.col(pos) - first + 2)
-
-    m = F.least("l", "o_l")
-    fits = (
-        (F.col("label") != F.col("o_label"))
-        & (~F.col("outside") | (F.struct("o_a", "o_b") < F.struct("a", "b")))
-        & (level("pos", "n") <= m) & (level("o_pos", "o_n") <= m)
-        & _sizes_fit(F.col("n"), F.col("o_n"), percent)
-        & _reach(F.least("left_in_text", "o_left_in_text") + m - 1, F.col("n"), F.col("o_n"), percent)
-    )
-    met = outside.join(inside, ["token", "size"]).where(fits)
+    n, remaining = F.col("n"), F.col("remaining")
+    widest = F.least(F.floor(n * 100 / percent), F.floor(remaining * (100 + percent) / percent) - n)
+    narrowest = F.greatest(F.lit(1), F.ceil(n * percent / 100))
+    sizes = F.explode(F.sequence(size_class(narrowest), size_class(widest))).alias("size")
+    outside = rows.where("label <> main").where(widest >= narrowest).select("token", sizes, *[F.col(c).alias(f"o_{c}") for c in ("a", "b", "n", "l", "remaining", "label")])
+    inside = rows.select("token", size_class(n).alias("size"), "a", "b", "n", "l", "remaining", "label", (F.col("label") != F.col("main")).alias("outside"))
     low = F.struct("o_a", "o_b") < F.struct("a", "b")
+    fits = (F.col("label") != F.col("o_label")) & (~F.col("outside") | low) & _sizes_fit(F.col("n"), F.col("o_n"), percent) & _reach(F.least("remaining", "o_remaining"), F.col("n"), F.col("o_n"), percent)
+    met = outside.join(inside, ["token", "size"]).where(fits)
 
     def end(first: bool, name: str) -> Column:
         return F.when(low, F.col(f"o_{name}" if first else name)).otherwise(F.col(name if first else f"o_{name}"))
 
-    pair = met.select(end(True, "a").alias("a"), end(True, "b").alias("b"), end(True, "n").alias("n"), end(False, "a").alias("ca"), end(False, "b").alias("cb"), end(False, "n").alias("cn"), m.alias("m"))
-    return pair.groupBy("a", "b", "n", "ca", "cb", "cn").agg(F.count("*").alias("shared"), F.max("m").alias("m")).where("shared >= m").select("a", "b", "n", "ca", "cb", "cn")
+    m = F.least("l", "o_l").alias("m")
+    pairs = met.select(end(True, "a").alias("a"), end(True, "b").alias("b"), end(True, "n").alias("n"), end(False, "a").alias("ca"), end(False, "b").alias("cb"), end(False, "n").alias("cn"), m).distinct()
+    return _enough_matches(settled(pairs), postings, percent)
+
+
+def _enough_matches(pairs: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose m-prefixes share at least m shingles, m being the smaller l of the two."""
+    names = ["a", "b", "n", "ca", "cb", "cn"]
+    own = postings.select("a", "b", "token", _level(F.col("pos"), F.col("n"), percent).alias("level"))
+    left = pairs.where("m > 1").join(own, ["a", "b"]).where("level <= m").drop("level")
+    other = own.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "token", "level")
+    both = left.join(other, ["ca", "cb", "token"]).where("level <= m")
+    return pairs.where("m = 1").select(*names).union(both.groupBy(*names, "m").agg(F.count("*").alias("shared")).where("shared >= m").select(*names))
 
 
 def keep_one_per_group(docs: DataFrame, percent: int = 75, k: int = WORDS) -> DataFrame:
