@@ -167,7 +167,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, percent: int, k: int = WORDS)
 
 
 def _shared_postings(rows: DataFrame, percent: int) -> DataFrame:
-    """(token, a, b, n, pos, l, c): prefix rows that another class can meet, with the shingle's centre, its first row.
+    """(token, a, b, n, pos, l, c): prefix rows that another class can meet, with the shingle's centre, one of its rows.
 
     Rows come in order, so one look ahead tells whether a shingle has another class; sizes are in order as well, so a row
     without a neighbour of a fitting size has no partner, nor have two rows alone whose pair cannot make a link.
@@ -202,9 +202,13 @@ def _shared_postings(rows: DataFrame, percent: int) -> DataFrame:
         first[1:] = token[1:] != token[:-1]
         starts = np.flatnonzero(first)
         which = np.cumsum(first) - 1
-        c = [x[starts].copy() for x in (own["a"], own["b"], n, pos)]
+        # the class with the fewest rarer shingles has most in common with the others; ties by hash
+        rarer = (pos << 32) | (own["a"].view(np.uint64) >> np.uint64(32)).astype(np.int64)
+        least = np.flatnonzero(rarer == np.minimum.reduceat(rarer, starts)[which])
+        least = least[np.unique(which[least], return_index=True)[1]]
+        c = [x[least] for x in (own["a"], own["b"], n, pos, rarer)]
         open_run = carried and centre is not None
-        if open_run:  # the first run began in an earlier batch
+        if open_run and centre[4] < c[4][0]:  # the first run began in an earlier batch
             for x, value in zip(c, centre):
                 x[0] = value
         ends = np.append(starts[1:], len(token))
@@ -225,7 +229,7 @@ def _shared_postings(rows: DataFrame, percent: int) -> DataFrame:
             keep[0] |= open_run  # its neighbours were seen in an earlier batch
         keep[settled_rows:] = False
         at = np.flatnonzero(keep)
-        cols = [token[at], own["a"][at], own["b"][at], own["n"][at], pos[at].astype(np.int32), own["l"][at], *(x[which[at]] for x in c)]
+        cols = [token[at], own["a"][at], own["b"][at], own["n"][at], pos[at].astype(np.int32), own["l"][at], *(x[which[at]] for x in c[:4])]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         done = pa.record_batch([pa.array(x).cast(kind) for x, kind in zip(cols, kinds)], out)
         return done, {f: v[-1:] for f, v in own.items()}, [x[-1] for x in c]
@@ -297,8 +301,8 @@ def _grouped(docs: DataFrame, percent: int, k: int) -> DataFrame:
 
     n, cn = F.col("n"), F.col("cn")
     star = (
-        postings.where("a <> c.a or b <> c.b").select("a", "b", "n", "pos", F.col("c.a").alias("ca"), F.col("c.b").alias("cb"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cpos"))
-        .where(_sizes_fit(n, cn, percent) & _reach(F.least(n - F.col("pos"), cn - F.col("cpos")), n, cn, percent))
+        postings.where("a <> c.a or b <> c.b").select("a", "b", "n", F.col("c.a").alias("ca"), F.col("c.b").alias("cb"), F.col("c.n").alias("cn"))
+        .where(_sizes_fit(n, cn, percent))
         .select("a", "b", "n", "ca", "cb", "cn").distinct()
     )
     star = settled(star)
