@@ -38,6 +38,7 @@ HOT = 4096  # a shingle estimated to stand in more prefixes is salted
 MAX_MATCH = 8
 VERIFY_WEIGHT = 2.0  # cost of verifying a candidate, against one posting read
 FILTER_BITS = 23
+ROWS = 32
 _SEED_A, _SEED_B = np.uint64(0x51ED270B9F1F2A31), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -120,11 +121,12 @@ def prefixes(docs: DataFrame, counts: np.ndarray, percent: int, k: int = WORDS)
     """(token, a, b, n, l, place): the prefix shingles of every class, those of one shingle in one partition in order.
 
     ``place`` is the position from 0, or -1 - position for shingles estimated to be hot: these are dealt out over several
-    partitions. Until they get there, a class's shingles for a partition travel in one row.
+    partitions. Until they get there, a class's shingles travel in about ``ROWS`` rows.
     """
     bits = int(counts.size).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    groups = parts * -(-ROWS // parts)
     names = ["part", "a", "b", "n", "l", "tokens", "places"]
 
     def emit(batches):
@@ -149,7 +151,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, percent: int, k: int = WORDS)
             place = np.arange(len(order), dtype=np.int32)
             place = np.where(split > 1, -1 - place, place)
             salt = np.uint64(a & ((1 << 64) - 1)) % split
-            part = (mix(own[order] ^ mix(salt)) % np.uint64(parts)).astype(np.int32)
+            part = (mix(own[order] ^ mix(salt)) % np.uint64(groups)).astype(np.int32)
             sort = np.argsort(part, kind="stable")
             different, begin = np.unique(part[sort], return_index=True)
             size = len(different)
@@ -162,7 +164,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, percent: int, k: int = WORDS)
             yield batch()
 
     packed = docs.select("text").mapInArrow(emit, "part int, a long, b int, n int, l int, tokens array<long>, places array<int>")
-    dealt = packed.repartitionById(parts, "part").select("a", "b", "n", "l", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
+    dealt = packed.repartitionById(parts, F.col("part") % parts).select("a", "b", "n", "l", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
     return dealt.select(F.col("t.tokens").alias("token"), "a", "b", "n", "l", F.col("t.places").alias("place")).sortWithinPartitions("token", "n", "a", "b")
 
 
