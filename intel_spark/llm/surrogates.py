@@ -35,7 +35,7 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra"
 OTHER = ("Dr", "Prof", "Professor", "Mx")
 TITLES = "|".join(sorted(MALE + FEMALE + OTHER, key=len, reverse=True))
 
-# fixed values: name syllables by script, gendered endings
+# fixed values: name syllables of two letters by script, gendered endings
 SYLLABLES = {
     "latin": ("ba be bi bo da de di do fa fe fi ga ge gi jo ka ke ki la le li lo ma me mi mo na ne ni no ra re ri ro sa se si ta te ti to va ve vi wa we za ze".split(), "n", "a"),
     "cyrillic": ("ба бе би бо ва ве ви го да де ди до жа за зе ка ки ко ла ле ли ло ма ме ми мо на не ни но па пе по ра ре ри ро са се си та те ти то".split(), "н", "а"),
@@ -113,40 +113,27 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
-def _card(value: Column, stream: Column) -> Column:
-    """The issuer's digit stays; the check digit is right if it was."""
-    draft = F.concat(F.substring(value, 1, 1), _same_format(F.substring(value, F.lit(2), F.length(value) - 2), stream))
+def _check_digit(value: Column, draft: Column, stream: Column) -> Column:
+    """The last digit of a card: right if the value's was."""
     digits = F.regexp_replace(value, "[^0-9]", "")
-    check = F.pmod(10 - _luhn_sum(F.concat(F.regexp_replace(draft, "[^0-9]", ""), F.lit("0"))) % 10, F.lit(10)).cast("string")
-    free = _shifted(F.right(value, F.lit(1)), _byte(stream, F.lit(31)))
-    return F.concat(draft, F.when(_luhn_sum(digits) % 10 == 0, check).otherwise(free))
+    check = F.pmod(10 - _luhn_sum(F.concat(F.regexp_replace(draft, "[^0-9]", ""), F.lit("0"))) % 10, F.lit(10))
+    return F.when(_luhn_sum(digits) % 10 == 0, check).otherwise(_byte(stream, F.lit(31)) % 10).cast("string")
 
 
 def _ip(value: Column, stream: Column) -> Column:
     part = F.split(value, r"\.")
     first, second = part[0].cast("int"), part[1].cast("int")
     byte = lambda i: _byte(stream, F.lit(i))
-    public = F.element_at(F.array(*[F.lit(n) for n in range(11, 100)]), byte(0) % 89 + 1)
-    a = F.when(first.isin(0, 10, 127, 172, 192, 169) | (first >= 224), first).otherwise(public)
+    a = F.when(first.isin(0, 10, 127, 172, 192, 169) | (first >= 224), first).otherwise(11 + byte(0) % 89)
     b = F.when((first == 172) & second.between(16, 31), 16 + byte(1) % 16).when(((first == 192) & (second == 168)) | ((first == 169) & (second == 254)), second).otherwise(byte(1))
     return F.concat_ws(".", a, b, byte(2), byte(3))
 
 
-def _phone(value: Column, stream: Column) -> Column:
-    code = F.regexp_extract(value, r"^(\+[0-9]{1,3}(?=[ .(-])|\+1|\+[0-9]{2}|)", 1)
-    return F.concat(code, _same_format(F.substring(value, F.length(code) + 1, F.length(value)), stream))
-
-def _email(value: Column, stream: Column, key: str) -> Column:
-    domain = F.substring_index(value, "@", -1)
-    last = F.substring_index(domain, ".", -1)
-    head = F.substring(domain, F.lit(1), F.length(domain) - F.length(last) - 1)
-    return F.concat(_same_format(F.substring_index(value, "@", 1), stream), F.lit("@"), _same_format(head, _stream(key, F.lit("domain"), F.lower(domain))), F.lit("."), last)
-
-
-def _secret(value: Column, stream: Column) -> Column:
-    head = r"^(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*[\"']?"
-    own = F.regexp_replace(value, head, "")
-    return F.concat(F.regexp_extract(value, head, 0), F.when(own.rlike("^[0-9a-f]{1,64}$"), F.substring(stream, F.lit(1), F.length(own))).otherwise(_same_format(own, stream)))
+#: What stays in front of a value: a secret's name, a phone's country code, a card's and a key's first characters.
+HEAD = {
+    "secret": r"^(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*[\"']?", "phone": r"^(?:\+[0-9]{1,3}(?=[ .(-])|\+1|\+[0-9]{2}|)",
+    "card": "^.", "access_key": "^.{4}",
+}
 
 
 def _script(value: Column) -> Column:
@@ -155,35 +142,45 @@ def _script(value: Column) -> Column:
 
 def _built_name(value: Column, stream: Column, kind: Column) -> Column:
     """A pronounceable word of the value's script: given names end by gender, surnames freely but for a feminine form."""
-    def of(script: str) -> Column:
-        syllables, male, female = SYLLABLES[script]
-        pool = F.array(*[F.lit(s) for s in syllables])
-        pick = [F.element_at(pool, _byte(stream, F.lit(i)) % len(syllables) + 1) for i in range(4)]
-        long = F.when(_byte(stream, F.lit(5)) % 2 == 0, pick[3]).otherwise(F.lit(""))
-        stem = F.concat(pick[0], pick[1], long)
-        surname = F.concat(stem, pick[2])
-        if script == "cyrillic":
-            surname = F.when(value.rlike("(ова|ева|ина|ая)$"), F.concat(stem, F.lit("ова"))).when(value.rlike("(ов|ев|ин|ий)$"), F.concat(stem, F.lit("ов"))).otherwise(surname)
-        return F.when(kind == "given_m", F.concat(stem, F.lit(male))).when(kind == "given_f", F.concat(stem, F.lit(female))).when(kind == "given", F.concat(stem, F.lit("i" if script == "latin" else male))).otherwise(surname)
-
-    script = _script(value)
-    word = F.initcap(F.when(script == "cyrillic", of("cyrillic")).when(script == "greek", of("greek")).otherwise(of("latin")))
-    return F.when((F.upper(value) == value) & (F.length(value) > 1), F.upper(word)).otherwise(word)
+    def of(script: Column) -> Column:
+        by_script = lambda f: F.when(script == "cyrillic", f("cyrillic")).when(script == "greek", f("greek")).otherwise(f("latin"))
+        pool, count = by_script(lambda s: F.lit("".join(SYLLABLES[s][0]))), by_script(lambda s: F.lit(len(SYLLABLES[s][0])))
+        picked = F.transform(F.sequence(F.lit(0), F.lit(2) + _byte(stream, F.lit(5)) % 2), lambda i: F.substring(pool, (_byte(stream, i) % count) * 2 + 1, F.lit(2)))
+        ending = (
+            F.when(kind == "given_m", by_script(lambda s: F.lit(SYLLABLES[s][1]))).when(kind == "given_f", by_script(lambda s: F.lit(SYLLABLES[s][2]))).when(kind == "given", by_script(lambda s: F.lit("i" if s == "latin" else SYLLABLES[s][1])))
+            .when((script == "cyrillic") & value.rlike("(ова|ева|ина|ая)$"), F.lit("ова")).when((script == "cyrillic") & value.rlike("(ов|ев|ин|ий)$"), F.lit("ов")).otherwise(F.lit(""))
+        )
+        word = F.initcap(F.concat(F.array_join(picked, ""), ending))
+        return F.when((F.upper(value) == value) & (F.length(value) > 1), F.upper(word)).otherwise(word)
+
+    return let(_script(value), of)
 
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The replacement of a unit."""
     folded = kind.isin("email", "given", "given_m", "given_f", "surname")
-    stream = _stream(key, kind, F.when(folded, F.lower(value)).otherwise(value), attempt.cast("string"))
+    seed = _stream(key, kind, F.when(folded, F.lower(value)).otherwise(value), attempt.cast("string"))
+    at_domain = F.substring_index(value, "@", -1)
+    domain_seed = F.when(kind == "email", _stream(key, F.lit("domain"), F.lower(at_domain)))
 
-    def of(s: Column) -> Column:
+    def of(c: Column) -> Column:
+        stream, head = c["seed"], c["head"]
+        last = F.when(kind == "email", F.concat(F.lit("."), F.substring_index(value, ".", -1))).otherwise(F.lit(""))
+        # the middle of a value, in parts that have a stream each: an e-mail's name and its domain
+        middle = F.substring(value, F.length(head) + 1, F.length(value) - F.length(head) - F.length(last) - F.when(kind == "card", 1).otherwise(0))
+        parts = F.when(kind == "email", F.array(F.substring_index(value, "@", 1), F.substring(at_domain, F.lit(1), F.length(at_domain) - F.length(last)))).otherwise(F.array(middle))
+        hexed = (kind == "secret") & middle.rlike("^[0-9a-f]{1,64}$")
+        drawn = F.array_join(F.transform(parts, lambda part, i: F.when(hexed, F.substring(stream, F.lit(1), F.length(part))).otherwise(_same_format(part, F.when(i == 0, stream).otherwise(c["domain"])))), "@")
+        draft = F.concat(head, drawn, last)
         return (
-            F.when(kind == "email", _email(value, s, key)).when(kind == "access_key", F.concat(F.substring(value, 1, 4), _same_format(F.substring(value, F.lit(5), F.length(value)), s))).when(kind == "card", _card(value, s)).when(kind == "ip", _ip(value, s))
-            .when(kind == "phone", _phone(value, s)).when(kind == "secret", _secret(value, s)).when(kind.isin("given", "given_m", "given_f", "surname"), _built_name(value, s, kind))
-            .otherwise(_same_format(value, s))
+            F.when(kind == "ip", _ip(value, stream)).when(kind.isin("given", "given_m", "given_f", "surname"), _built_name(value, stream, kind))
+            .otherwise(F.when(kind == "card", let(draft, lambda d: F.concat(d, _check_digit(value, d, stream)))).otherwise(draft))
         )
 
-    return let(stream, of)
+    head = F.lit("")
+    for name, pattern in HEAD.items():
+        head = F.when(kind == name, F.regexp_extract(value, pattern, 0)).otherwise(head)
+    return let(F.struct(seed.alias("seed"), domain_seed.alias("domain"), head.alias("head")), of)
 
 
 def entities(text: Column) -> Column:
