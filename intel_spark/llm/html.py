@@ -35,6 +35,11 @@ VOID = frozenset("hr br img input meta link col wbr area base embed source track
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}}
 SCOPES = frozenset("ul ol dl table select body div article section main aside nav header footer form blockquote".split())
 
+# fixed values: names that page parts commonly carry
+OTHER_NAMES = "nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget ad ads advert advertisement adslot banner promo promoted sponsored sponsor cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations more trending popular tags tagcloud pagination pager comment comments replies reply respond disqus discussion footer foot header masthead topbar bottom copyright legal disclaimer toolbar search skip hidden print meta byline author tracking outbrain taboola teaser feedback".split()
+CONTENT_NAMES = "content article post entry story main body text page container wrapper primary single prose markdown copy richtext maintext section inner wrap layout site app root column col row".split()
+OTHER_WORDS, CONTENT_WORDS = frozenset(OTHER_NAMES), frozenset(CONTENT_NAMES)
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|\Z)", re.I)
 WORDS = re.compile(r"[a-z]+")
@@ -163,7 +168,8 @@ def node_features(tag: str, names: str, chars: int, links: int, symbol: bool) ->
     size = 0 if chars == 0 else 1 if chars < 25 else 2 if chars < 100 else 3 if chars < 400 else 4
     share = links / chars if chars else 0.0
     dense = 0 if share == 0 else 1 if share < 0.35 else 2 if share < 0.75 else 3
-    named = tuple(f"n:{w}" for w in names.split()) if names else ()
+    words = names.split()
+    named = tuple(f"n:{w}" for w in words) + (("k:other",) if OTHER_WORDS.intersection(words) else ()) + (("k:content",) if CONTENT_WORDS.intersection(words) else ())
     return ("bias", f"t:{tag}", f"s:{size}", f"l:{dense}", *(("c:copyright",) if symbol else ()), *named)
 
 
@@ -270,11 +276,6 @@ class Model:
 
 # --- labelled pages: 1 marks content, 0 other parts of a page
 
-# fixed values: names that page parts commonly carry
-OTHER_NAMES = "nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget ad ads advert advertisement adslot banner promo promoted sponsored sponsor cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations more trending popular tags tagcloud pagination pager comments comment replies reply respond disqus discussion footer foot header masthead topbar bottom copyright legal disclaimer toolbar search skip hidden print meta byline author tracking outbrain taboola teaser feedback".split()
-CONTENT_NAMES = "content article post entry story main body text page container wrapper primary single prose markdown copy richtext maintext section inner wrap layout site app root column col row".split()
-
-
 def labelled_pages(count: int = 420, seed: int = 20_250_101) -> list[tuple[str, list[int]]]:
     """(html, labels of its block elements in order, the body first) of pages drawn from layout rules."""
     draw = random.Random(seed)
