@@ -15,14 +15,15 @@ RATIO = "(1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})))"
 TOKEN_SQL = "list_filter(string_split({x}, ' '), lambda w: length(w) >= 3 AND NOT list_contains(['THE', 'OF', 'AND', 'CO', 'LTD', 'LLC', 'INC', 'SA', 'AO', 'OOO', 'COMPANY', 'LIMITED', 'SHIPPING', 'MV', 'MT'], w))"
 
 
-def fuzzy(names: str, alias: str, minimum: float, types: str = "") -> str:
-    """SQL for the five closest listings per distinct probe name; ``names`` yields column ``probe``."""
+def fuzzy(names: str, alias: str, minimum: float, types: str = "", top: int | None = None) -> str:
+    """SQL for the closest listings per distinct probe name, the ``top`` ones or all; ``names`` yields column ``probe``."""
+    best = f" QUALIFY row_number() OVER (PARTITION BY probe ORDER BY ratio DESC, listing_id) <= {top}" if top else ""
     return f"""{alias}_d AS (SELECT DISTINCT probe FROM ({names}) WHERE length(probe) >= 4),
     {alias}_n AS (SELECT DISTINCT listed_name FROM ln {types}),
     {alias}_p AS (SELECT probe, listed_name, {RATIO.format(a="probe", b="listed_name")} AS ratio FROM {alias}_d, {alias}_n WHERE abs(length(probe) - length(listed_name)) <= greatest(4, floor(length(probe) / 3)) AND {RATIO.format(a="probe", b="listed_name")} >= {minimum} - 1e-12
       AND list_has_any({TOKEN_SQL.format(x="probe")}, {TOKEN_SQL.format(x="listed_name")})),
     {alias}_l AS (SELECT probe, listing_id, max(ratio) AS ratio FROM {alias}_p JOIN ln USING (listed_name) {types} GROUP BY 1, 2 HAVING max(ratio) < 1),
-    {alias} AS (SELECT * FROM {alias}_l QUALIFY row_number() OVER (PARTITION BY probe ORDER BY ratio DESC, listing_id) <= 5)"""
+    {alias} AS (SELECT * FROM {alias}_l{best})"""
 
 
 @query("j01_match_identifiers", inputs="fleet listings", oracle="""
@@ -38,7 +39,7 @@ def _(fleet, listings):
 
 
 @query("j03_match_fuzzy", inputs="fleet listings", oracle=f"""
-    WITH {LISTED}, {fuzzy("SELECT " + normal("name") + " AS probe FROM {fleet}", "fz", 0.88, "WHERE entity_type = 'vessel'")} SELECT v.id AS name_id, listing_id, {r4('ratio')} FROM {{fleet}} v JOIN fz ON fz.probe = {normal('v.name')}""")
+    WITH {LISTED}, {fuzzy("SELECT " + normal("name") + " AS probe FROM {fleet}", "fz", 0.88, "WHERE entity_type = 'vessel'", 5)} SELECT v.id AS name_id, listing_id, {r4('ratio')} FROM {{fleet}} v JOIN fz ON fz.probe = {normal('v.name')}""")
 def _(fleet, listings):
     names = fleet.select(F.col("id").alias("name_id"), "name")
     return n.match_fuzzy(names, listings, ["vessel"]).select("name_id", "listing_id", "ratio")

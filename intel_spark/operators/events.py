@@ -91,7 +91,7 @@ def draft_articles(articles: DataFrame, names: dict[str, str], state_media: list
     notes = impact_notes(F.col("event_type"), F.col("sectors"), F.col("countries"))
     words = F.slice(F.regexp_extract_all(title, F.lit("([A-Za-z][A-Za-z-]{3,})")), 1, 12)
     return drafted.select(
-        "event_type", F.substring(title, 1, 300).alias("title"), "ts", "source", F.substring("url", 1, 120).alias("source_id"), "url", severity_from_text(title, base).alias("severity"), F.lit(base_confidence).alias("confidence"),
+        "event_type", title.alias("title"), "ts", "source", F.col("url").alias("source_id"), "url", severity_from_text(title, base).alias("severity"), F.lit(base_confidence).alias("confidence"),
         F.try_element_at("countries", F.lit(1)).alias("country"), F.try_element_at("countries", F.lit(2)).alias("country_secondary"), "sectors", "countries",
         F.concat(words, F.when(F.col("state_media"), F.array(F.lit("state_media"))).otherwise(F.array().cast("array<string>"))).alias("keywords"), F.lit(None).cast("int").alias("mentions"), notes["market"].alias("market_impact"), notes["supply"].alias("supply_chain_impact"),
     )

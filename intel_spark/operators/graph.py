@@ -84,10 +84,11 @@ def cospend_clusters(inputs: DataFrame, seeds: DataFrame | None = None) -> DataF
     return out
 
 
-def ownership_chains(companies: DataFrame, edges: DataFrame, max_depth: int = 10, secrecy: list[str] | None = None) -> DataFrame:
+def ownership_chains(companies: DataFrame, edges: DataFrame, max_depth: int = 1000, secrecy: list[str] | None = None) -> DataFrame:
     """Path from each company up its direct parents, with length and flags.
 
-    ``edges`` are (child, parent, kind); a path stops at a company without a parent, at a repeat, or at ``max_depth``.
+    ``edges`` are (child, parent, kind); a path stops at a company without a parent or at a repeat, and one
+    that is still open after ``max_depth`` steps raises an error.
     """
     from intel_spark.operators.corporate import SECRECY_JURISDICTIONS
 
@@ -111,7 +112,7 @@ def ownership_chains(companies: DataFrame, edges: DataFrame, max_depth: int = 10
         if open_paths.isEmpty():
             break
     else:
-        done.append(open_paths.select("company", "path", "listed"))
+        raise RuntimeError("an ownership path is longer than max_depth")
     walked = reduce(DataFrame.unionByName, done)
     secret = F.exists("path", lambda hop: hop["country"].isin(hidden))
     return walked.select("company", F.col("path").alias("chain_path"), F.size("path").alias("chain_length"), F.element_at("path", -1)["name"].alias("top_name"), F.col("listed").alias("involves_sanctioned"), secret.alias("secrecy"))

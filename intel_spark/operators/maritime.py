@@ -372,6 +372,8 @@ def spoofing_clusters(anomalies: DataFrame, land: DataFrame | None, zones: DataF
             break
         taken_all = members if taken_all is None else taken_all.unionByName(members)
         left = marked.where(F.col("crow").isNull()).drop("crow", "ccol")
+    else:
+        raise RuntimeError("clusters are left; raise max_rounds")
     if taken_all is None:
         taken_all = facts.withColumn("crow", F.col("row")).withColumn("ccol", F.col("col")).limit(0)
     found = taken_all.groupBy("crow", "ccol").agg(

@@ -91,8 +91,8 @@ def match_exact(names: DataFrame, listings: DataFrame, entity_types: list[str] |
     return probe.join(listed, "listed_name").select("name_id", "name", "listing_id", "entity_type").distinct()
 
 
-def match_fuzzy(names: DataFrame, listings: DataFrame, entity_types: list[str] | None = None, min_ratio: float = 0.88, top: int = 5, mode: str = "levenshtein") -> DataFrame:
-    """Names close to, but not equal to, a listed name that shares a significant word; best ``top`` per name."""
+def match_fuzzy(names: DataFrame, listings: DataFrame, entity_types: list[str] | None = None, min_ratio: float = 0.88, top: int | None = 5, mode: str = "levenshtein") -> DataFrame:
+    """Names close to, but not equal to, a listed name that shares a significant word; best ``top`` per name, all for None."""
     listed = listing_names(listings)
     if entity_types:
         listed = listed.where(F.col("entity_type").isin(entity_types))
@@ -105,14 +105,15 @@ def match_fuzzy(names: DataFrame, listings: DataFrame, entity_types: list[str] |
     )
     per_listing = close.join(listed, close.b == listed.listed_name).groupBy("a", "listing_id", "entity_type").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") < 1)
     # the best listings depend on the name alone, so copies of a name are ranked once
-    ranked = per_listing.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.col("ratio").desc(), "listing_id"))).where(F.col("rank") <= top)
+    ranked = per_listing.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.col("ratio").desc(), "listing_id")))
+    ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
     return probe.join(ranked, probe.probe == ranked.a).select("name_id", "name", "listing_id", "entity_type", "ratio", "rank")
 
 
 def screen_names(names: DataFrame, listings: DataFrame, min_ratio: float = 0.88, entity_types: list[str] | None = None, mode: str = "levenshtein") -> DataFrame:
     """Exact hits at 0.9 and fuzzy hits at 0.6 + 0.3 x similarity; exact wins per (name, listing)."""
     exact = match_exact(names, listings, entity_types).select("name_id", "name", "listing_id", F.lit("name_exact").alias("match_type"), F.lit(0.9).alias("confidence"), F.lit(1.0).alias("similarity"))
-    fuzzy = match_fuzzy(names, listings, entity_types, min_ratio, mode=mode).select(
+    fuzzy = match_fuzzy(names, listings, entity_types, min_ratio, top=None, mode=mode).select(
         "name_id", "name", "listing_id", F.lit("name_fuzzy").alias("match_type"), F.round(0.6 + 0.3 * F.col("ratio"), 2).alias("confidence"), F.round("ratio", 3).alias("similarity")
     )
     fuzzy = fuzzy.join(exact.select("name_id", "listing_id"), ["name_id", "listing_id"], "left_anti")
@@ -140,7 +141,7 @@ def screen_vessels(vessels: DataFrame, listings: DataFrame, fuzzy_min: float = 0
     def hits(col: str, types: list[str], minimum: float) -> DataFrame:
         names = distinct_names(col)
         exact = match_exact(names, listings, types).select("name", "listing_id", F.lit(1.0).alias("similarity"))
-        fuzzy = match_fuzzy(names, listings, types, minimum, mode=mode).select("name", "listing_id", F.col("ratio").alias("similarity"))
+        fuzzy = match_fuzzy(names, listings, types, minimum, top=None, mode=mode).select("name", "listing_id", F.col("ratio").alias("similarity"))
         return exact.unionByName(fuzzy)
 
     named = hits("name", ["vessel"], fuzzy_min).join(hulls, F.col("name") == F.col("v_name")).join(facts, "listing_id")

@@ -119,8 +119,12 @@ def seed_companies(listings: DataFrame, vessels: DataFrame, known: DataFrame) ->
 
 
 def insert_if_absent(new: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Incoming rows whose natural key is not stored yet, one per key."""
-    return new.dropDuplicates(list(keys)).join(old.select(*keys), list(keys), "left_anti")
+    """Incoming rows whose natural key is not stored yet, the least row of each key."""
+    rest = [c for c in new.columns if c not in keys]
+    fresh = new.join(old.select(*keys), list(keys), "left_anti")
+    if not rest:
+        return fresh.distinct()
+    return fresh.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in new.columns])
 
 
 def upsert(new: DataFrame, old: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

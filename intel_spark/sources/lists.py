@@ -99,7 +99,7 @@ def load_listing_un(records: DataFrame, kind: str, countries: Column) -> DataFra
         F.lit("UN").alias("authority"), F.coalesce(F.nullif(F.trim("DATAID"), F.lit("")), F.trim("REFERENCE_NUMBER")).alias("source_id"), "name", normalize_name(F.col("name")).alias("name_normalized"), F.lit("person" if person else "company").alias("entity_type"),
         F.when(committee.isNotNull(), F.array(committee)).otherwise(empty).alias("programs"), F.coalesce(F.filter(F.transform(f"{kind}_ALIAS", lambda a: F.trim(a["ALIAS_NAME"])), lambda a: a != ""), empty).alias("aliases"),
         F.try_element_at(F.array_compact(F.transform(places, lambda p: _iso(p, countries))), F.lit(1)).alias("country"), F.try_to_date(F.substring("LISTED_ON", 1, 10)).alias("designation_date"), (F.lit(None).cast("string") if person else extract_imo(comments)).alias("imo"),
-        F.substring(F.concat(F.coalesce(F.trim("REFERENCE_NUMBER"), F.lit("")), F.lit(": "), comments), 1, 1000).alias("remarks"),
+        F.concat(F.coalesce(F.trim("REFERENCE_NUMBER"), F.lit("")), F.lit(": "), comments).alias("remarks"),
     )
 
 

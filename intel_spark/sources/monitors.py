@@ -39,11 +39,11 @@ def load_breaches(ransom: DataFrame, catalogue: DataFrame) -> DataFrame:
     name, when = F.trim(F.coalesce("victim", "post_title", F.lit(""))), F.coalesce(_text("discovered"), _text("attackdate"))
     group = F.coalesce(_text("group_name"), _text("group"))
     posts = a.select(
-        F.lit("ransomware_live").alias("source"), F.substring(F.concat_ws(":", F.coalesce(group, F.lit("?")), name, F.coalesce(F.substring(when, 1, 10), F.lit(""))), 1, 200).alias("source_id"), F.substring(name, 1, 300).alias("victim"), F.coalesce(_text("domain"), _text("website")).alias("domain"),
+        F.lit("ransomware_live").alias("source"), F.concat_ws(":", F.coalesce(group, F.lit("?")), name, F.coalesce(F.substring(when, 1, 10), F.lit(""))).alias("source_id"), name.alias("victim"), F.coalesce(_text("domain"), _text("website")).alias("domain"),
         F.nullif(F.substring(F.upper(F.trim("country")), 1, 3), F.lit("")).alias("country"), _text("activity").alias("sector"), group.alias("actor"), any_date(F.coalesce(when, "published")).alias("date"),
     ).where(F.col("victim") != "")
     b = parsed(catalogue, CATALOGUE_JSON).withColumn("key", F.coalesce(_text("Name"), _text("Title"))).where(F.col("key").isNotNull())
-    rows = b.select(F.lit("hibp").alias("source"), F.substring("key", 1, 200).alias("source_id"), F.substring(F.coalesce("Title", "key"), 1, 300).alias("victim"), _text("Domain").alias("domain"), any_date(F.col("BreachDate")).alias("date"), F.col("PwnCount").alias("records"), F.col("DataClasses").alias("data_classes"))
+    rows = b.select(F.lit("hibp").alias("source"), F.col("key").alias("source_id"), F.coalesce("Title", "key").alias("victim"), _text("Domain").alias("domain"), any_date(F.col("BreachDate")).alias("date"), F.col("PwnCount").alias("records"), F.col("DataClasses").alias("data_classes"))
     return posts.unionByName(rows, allowMissingColumns=True)
 
 
@@ -60,7 +60,7 @@ def load_penalties(pages: DataFrame) -> DataFrame:
     cell = lambda i: F.col("cells")[i]
     link = F.regexp_extract("row", 'href="([^"]+)"', 1)
     return rows.select(
-        F.lit("ofac_enforcement").alias("source"), F.concat_ws(":", cell(0), F.substring(cell(1), 1, 80)).alias("source_id"), F.concat(F.lit("OFAC enforcement: "), cell(1), F.lit(" ("), cell(0), F.lit(")")).alias("title"), F.nullif(link, F.lit("")).alias("url"), any_date(cell(0)).alias("ts"), F.lit("enforcement").alias("event_type"),
+        F.lit("ofac_enforcement").alias("source"), F.concat_ws(":", cell(0), cell(1)).alias("source_id"), F.concat(F.lit("OFAC enforcement: "), cell(1), F.lit(" ("), cell(0), F.lit(")")).alias("title"), F.nullif(link, F.lit("")).alias("url"), any_date(cell(0)).alias("ts"), F.lit("enforcement").alias("event_type"),
         F.nullif(F.regexp_replace(cell(3), r"[^\d.]", ""), F.lit("")).try_cast("double").alias("penalty_usd"), F.array(cell(1)).alias("parties"),
     )
 
@@ -68,8 +68,8 @@ def load_penalties(pages: DataFrame) -> DataFrame:
 def load_dockets(messages: DataFrame) -> DataFrame:
     d = parsed(messages, DOCKET_JSON).withColumn("key", F.coalesce("docket_id", "cluster_id")).where(F.col("key").isNotNull())
     return d.select(
-        F.lit("courtlistener").alias("source"), F.col("key").alias("source_id"), F.substring(F.coalesce(_text("caseName"), "caseNameFull", F.lit("")), 1, 500).alias("title"), F.coalesce("docket_absolute_url", "absolute_url").alias("url"), any_date(F.col("dateFiled")).alias("ts"), F.lit("docket").alias("event_type"),
-        F.lit(None).cast("double").alias("penalty_usd"), F.slice(F.coalesce("party", F.array().cast("array<string>")), 1, 40).alias("parties"),
+        F.lit("courtlistener").alias("source"), F.col("key").alias("source_id"), F.coalesce(_text("caseName"), "caseNameFull", F.lit("")).alias("title"), F.coalesce("docket_absolute_url", "absolute_url").alias("url"), any_date(F.col("dateFiled")).alias("ts"), F.lit("docket").alias("event_type"),
+        F.lit(None).cast("double").alias("penalty_usd"), F.coalesce("party", F.array().cast("array<string>")).alias("parties"),
     )
 
 
@@ -77,7 +77,7 @@ def load_prosecutions(feed: DataFrame, keywords: list[str] | None = None) -> Dat
     text = F.lower(F.concat_ws(" ", "title", "summary"))
     kept = feed.where(contains_any(text, keywords or PROSECUTION_WORDS))
     kind = F.when(contains_any(text, INDICTMENT_WORDS), "indictment").when(contains_any(text, SETTLEMENT_WORDS), "settlement").otherwise("press_release")
-    return kept.select(F.lit("doj").alias("source"), F.substring(F.coalesce(_text("guid"), "link"), 1, 200).alias("source_id"), F.substring("title", 1, 500).alias("title"), F.col("link").alias("url"), F.col("published").alias("ts"), kind.alias("event_type"), F.lit(None).cast("double").alias("penalty_usd"), F.array().cast("array<string>").alias("parties"))
+    return kept.select(F.lit("doj").alias("source"), F.coalesce(_text("guid"), "link").alias("source_id"), "title", F.col("link").alias("url"), F.col("published").alias("ts"), kind.alias("event_type"), F.lit(None).cast("double").alias("penalty_usd"), F.array().cast("array<string>").alias("parties"))
 
 
 def load_legal(dockets: DataFrame, pages: DataFrame, feed: DataFrame, keywords: list[str] | None = None) -> DataFrame:
@@ -111,7 +111,7 @@ def load_detention_table(pages: DataFrame, countries: Column) -> DataFrame:
     return rows.select(
         F.lit("tokyo_mou").alias("source"), F.concat_ws(":", cell(1), cell(11)).alias("source_id"), F.lit("detention").alias("event_type"), cell(1).alias("imo"), cell(2).alias("ship_name"), _iso(cell(3), countries).alias("flag"), _text(cell(6)).alias("ship_type"), _text(F.substring_index(place, ",", 1)).alias("port"), country.alias("port_country"),
         any_date(cell(11)).alias("event_date"), any_date(cell(12)).alias("release_date"), _text(cell(9)).alias("company"), _text(cell(7)).alias("class_society"), F.nullif(F.regexp_replace(cell(5), r"[^\d.]", ""), F.lit("")).try_cast("double").alias("gross_tonnage"), F.substring(cell(4), 1, 4).try_cast("int").alias("year_built"),
-        F.slice(F.filter(faults, lambda d: d != ""), 1, 40).alias("deficiencies"),
+        F.filter(faults, lambda d: d != "").alias("deficiencies"),
     )
 
 
@@ -152,7 +152,7 @@ def load_domain_footprint(rdap: DataFrame, certificates: DataFrame, ips: DataFra
     counts = certificates.groupBy("domain").agg(F.count("*").alias("certificate_count"))
     name = F.regexp_replace(F.lower(F.trim("n")), r"^[*.]+", "")
     names = certificates.select("domain", F.explode(F.split("name_value", "\n")).alias("n")).select("domain", name.alias("n")).where(F.endswith("n", F.col("domain"))).distinct()
-    listed = names.groupBy("domain").agg(F.slice(F.array_sort(F.collect_list("n")), 1, 200).alias("certificate_names"))
+    listed = names.groupBy("domain").agg(F.array_sort(F.collect_list("n")).alias("certificate_names"))
     host = ips.groupBy("domain").agg(F.min(F.struct("asn", "asn_org", F.upper("country").alias("hosting_country"))).alias("h"))
     return rdap.join(counts, "domain", "left").join(listed, "domain", "left").join(host, "domain", "left").select(
         *rdap.columns, F.coalesce("certificate_count", F.lit(0)).alias("certificate_count"), F.coalesce("certificate_names", F.array().cast("array<string>")).alias("certificate_names"), "h.asn", "h.asn_org", "h.hosting_country")

@@ -53,8 +53,8 @@ def feed_time(text: Column) -> Column:
 
 def load_feed(items: DataFrame, source: str) -> DataFrame:
     """Feed entries (title, link, date, summary, guid as text) cleaned; untitled ones dropped."""
-    out = items.select(strip_tags(F.col("title")).alias("title"), F.trim(F.coalesce("link", F.lit(""))).alias("link"), feed_time(F.col("date")).alias("published"), F.substring(strip_tags(F.col("summary")), 1, 1000).alias("summary"), F.lit(source).alias("source"), "guid")
-    return out.withColumn("guid", F.substring(F.coalesce(F.nullif("guid", F.lit("")), "link"), 1, 200)).where(F.col("title") != "")
+    out = items.select(strip_tags(F.col("title")).alias("title"), F.trim(F.coalesce("link", F.lit(""))).alias("link"), feed_time(F.col("date")).alias("published"), strip_tags(F.col("summary")).alias("summary"), F.lit(source).alias("source"), "guid")
+    return out.withColumn("guid", F.coalesce(F.nullif("guid", F.lit("")), "link")).where(F.col("title") != "")
 
 
 def read_feed(spark: SparkSession, path: str, source: str, atom: bool = False) -> DataFrame:
@@ -79,4 +79,4 @@ def load_action_page(pages: DataFrame, base_url: str = "https://ofac.treasury.go
     """Dated links of an action list."""
     links = html_links(pages, r'href="(/recent-actions/\d{8})"[^>]*>(.*?)</a>').where(F.col("label") != "")
     day = F.substring_index("href", "/", -1)
-    return links.select(F.col("label").alias("title"), F.concat(F.lit(base_url), "href").alias("link"), F.try_to_timestamp(day, F.lit("yyyyMMdd")).alias("published"), F.col("label").alias("summary"), F.lit("ofac_recent_actions").alias("source"), F.concat(F.lit("ofac:"), day, F.lit(":"), F.substring("label", 1, 80)).alias("guid"))
+    return links.select(F.col("label").alias("title"), F.concat(F.lit(base_url), "href").alias("link"), F.try_to_timestamp(day, F.lit("yyyyMMdd")).alias("published"), F.col("label").alias("summary"), F.lit("ofac_recent_actions").alias("source"), F.concat(F.lit("ofac:"), day, F.lit(":"), "label").alias("guid"))
