@@ -41,8 +41,9 @@ THETA = 1.0
 SHIFT = 10.0
 UNIT = 64
 LONGEST = 16
-BLOCK = 800_000  # code points taken together
-CACHED = 300_000  # words whose lattices a task keeps
+BLOCK = 250_000  # code points taken together
+CACHED = 1_500_000  # edges of the lattices that a task keeps from one block to the next
+CHUNK = 1 << 15  # code points of new words worked on at once
 NEAR = 48
 MARK = 0x2581
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -137,7 +138,7 @@ class Grown:
     def add(self, values: np.ndarray) -> None:
         need = self.size + len(values)
         if need > len(self.room):
-            room = np.zeros(max(need, 2 * len(self.room)), self.room.dtype)
+            room = np.zeros(max(need, len(self.room) * 3 // 2), self.room.dtype)
             room[: self.size] = self.room[: self.size]
             self.room = room
         self.room[self.size : need] = values
@@ -170,7 +171,7 @@ class Lattices:
 
     def words(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Word numbers of different words given as slices of ``points``; unknown ones are added."""
-        if len(self.known) + len(keys) > CACHED and self.known:
+        if self._share.size > CACHED:
             self.clear()
         numbers = np.array([self.known.get(k, -1) for k in keys.tolist()], np.int64)
         new = np.flatnonzero(numbers < 0)
@@ -178,8 +179,9 @@ class Lattices:
             new = new[np.argsort(ends[new] - starts[new], kind="stable")]  # short words together
             numbers[new] = self._first.size + np.arange(len(new))
             self.known.update(zip(keys[new].tolist(), numbers[new].tolist()))
-            for lo in range(0, len(new), 4096):
-                self._add(points, starts[new[lo : lo + 4096]], ends[new[lo : lo + 4096]])
+            chunk = np.cumsum(ends[new] - starts[new]) // CHUNK
+            for own in np.split(new, np.flatnonzero(np.diff(chunk)) + 1):
+                self._add(points, starts[own], ends[own])
             self._views()
         return numbers
 
