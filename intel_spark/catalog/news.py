@@ -204,7 +204,7 @@ def keyed(signals):
 
 
 KEYS = """sg AS (SELECT *, concat(type, ':', CAST(id AS STRING)) AS ref FROM {signals}), ky AS (SELECT ref, domain, ts, 'entity' AS kind, k_entity AS val FROM sg UNION ALL SELECT ref, domain, ts, 'country', k_country FROM sg UNION ALL SELECT ref, domain, ts, 'sector', k_sector FROM sg),
-    sm AS (SELECT kind, val FROM ky GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND CASE kind WHEN 'country' THEN 40 WHEN 'sector' THEN 25 ELSE 400 END), hl AS (SELECT ky.* FROM ky JOIN sm USING (kind, val)),
+    vg AS (SELECT kind, val FROM ky WHERE kind <> 'entity' AND val IS NOT NULL GROUP BY 1, 2 HAVING count(*) > CASE kind WHEN 'country' THEN 40 ELSE 25 END), hl AS (SELECT ky.* FROM ky LEFT JOIN vg USING (kind, val) WHERE vg.kind IS NULL AND ky.val IS NOT NULL),
     cp AS (SELECT DISTINCT a.ref AS ar, b.ref AS br FROM hl a JOIN hl b ON a.kind = b.kind AND a.val = b.val AND a.ref < b.ref AND a.domain <> b.domain AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 864000000000),
     ps AS (SELECT ar, br, a.domain AS ad, b.domain AS bd, a.ts AS ats, b.ts AS bts, a.k_entity = b.k_entity AS se, a.k_country = b.k_country AS sc, a.k_sector = b.k_sector AS ss, a.k_entity AS ke, abs(epoch_us(a.ts) - epoch_us(b.ts)) / 3.6e9 AS h FROM cp JOIN sg a ON a.ref = ar JOIN sg b ON b.ref = br),
     sr AS (SELECT *, least(1.0e0, CASE WHEN se THEN 0.8e0 ELSE 0 END + CASE WHEN sc THEN 0.35e0 * 0.8e0 ELSE 0 END + CASE WHEN ss THEN 0.25e0 * 0.8e0 ELSE 0 END) AS raw, CASE WHEN se THEN 240 ELSE 60 END AS win FROM ps), pz AS (SELECT *, round(raw * (1 - 0.5e0 * (h / win)), 3) AS score FROM sr WHERE h <= win), pp AS (SELECT * FROM pz WHERE score >= 0.3)"""

@@ -13,12 +13,12 @@ from intel_spark.functions.vessel import lookup
 from intel_spark.operators.graph import connected_components
 from intel_spark.operators.sanctions import insert_if_absent
 from intel_spark.operators.timeline import top_per_key
+from intel_spark.session import checkpoint_ready
 
-# What a shared key of each kind says, which kinds identify one thing, and group limits.
+# What a shared key of each kind says, which kinds identify one thing, and how common a vague key may be.
 KEY_WEIGHTS = {"vessel": 0.9, "entity": 0.8, "wallet": 0.8, "company": 0.75, "aircraft": 0.9, "domain": 0.8, "facility": 0.6, "country": 0.35, "asset": 0.35, "sector": 0.25, "theme": 0.3}
 STRONG_KINDS = ["vessel", "entity", "wallet", "company", "facility", "aircraft", "domain"]
 WEAK_GROUP_LIMIT = {"country": 40, "asset": 60, "sector": 25, "theme": 25}
-GROUP_LIMIT = 400
 DOMAINS = {
     "market_alert": "market", "coordination_event": "market", "liquidation_cascade": "market", "sanctions_breach": "maritime", "evasion_event": "maritime", "transshipment": "maritime", "port_call": "maritime",
     "sanctions_update": "sanctions", "geopolitical_event": "geopolitical", "blockchain_tx": "blockchain", "corporate_exposure": "corporate", "dark_oil": "energy", "oil_shipment": "energy", "aircraft_sighting": "aviation",
@@ -49,7 +49,7 @@ def signal(df: DataFrame, kind: str, id_col: str, ts: str, severity: Column, key
     """One detector's rows as signals."""
     return df.select(
         F.lit(kind).alias("type"), F.col(id_col).cast("long").alias("id"), F.concat(F.lit(kind + ":"), F.col(id_col).cast("string")).alias("ref"), F.lit(DOMAINS.get(kind, kind)).alias("domain"), F.col(ts).alias("ts"), severity.alias("severity"),
-        F.array_distinct(keys).alias("keys"), F.substring(summary, 1, 300).alias("summary"),
+        F.array_distinct(keys).alias("keys"), summary.alias("summary"),
     )
 
 
@@ -138,14 +138,14 @@ def collect_signals(tables: dict[str, DataFrame], since: datetime) -> DataFrame:
         parts.append(signal(t, "aircraft_sighting", "id", "ts", F.when(F.col("is_sanctioned"), "high").otherwise("medium"), keys, F.concat_ws(" ", "registration", F.lit("airborne as"), "callsign")))
     if (t := recent("breach_posts", "ts")) is not None:
         t = t.where(F.col("score") >= 0.6)
-        keys = keys_of(("company", F.col("victim")), ("entity", F.col("victim")), ("domain", F.col("domain")), ("country", F.col("country")), ("sector", F.substring(F.lower("sector"), 1, 30)), ("sector", F.lit("cyber")))
+        keys = keys_of(("company", F.col("victim")), ("entity", F.col("victim")), ("domain", F.col("domain")), ("country", F.col("country")), ("sector", F.lower("sector")), ("sector", F.lit("cyber")))
         parts.append(signal(t, "breach", "post_id", "ts", F.col("severity"), keys, F.concat_ws(" - ", "victim", "relevance")))
     if (t := recent("narratives", "last_seen")) is not None:
         topics = F.array_intersect("keywords", F.array(*[F.lit(k) for k in ("oil", "gas", "tanker", "sanctions", "pipeline", "port")]))
         keys = F.concat(keys_of(("theme", F.lit("narrative"))), many_keys("country", F.col("countries")), many_keys("sector", topics))
         parts.append(signal(t.where(F.col("score") >= 0.5), "narrative", "story", "last_seen", F.col("severity"), keys, F.concat(F.lit("State-media narrative: "), "topic")))
     if (t := recent("legal", "ts")) is not None:
-        keys = F.concat(keys_of(("entity", F.col("matched_entity")), ("theme", F.when(F.col("source").isin("ofac_enforcement", "courtlistener"), "sanctions").otherwise("legal"))), many_keys("entity", F.slice("parties", 1, 10)))
+        keys = F.concat(keys_of(("entity", F.col("matched_entity")), ("theme", F.when(F.col("source").isin("ofac_enforcement", "courtlistener"), "sanctions").otherwise("legal"))), many_keys("entity", F.col("parties")))
         parts.append(signal(t, "legal_event", "id", "ts", F.when(F.col("matched_entity").isNotNull() | (F.coalesce("penalty_usd", F.lit(0.0)) >= 1_000_000), "high").otherwise("medium"), keys, F.col("title")))
     if (t := recent("psc", "event_date")) is not None:
         t = t.where(F.col("relevance_score") >= 0.45).join(flags, "vessel_id", "left")
@@ -161,18 +161,24 @@ def collect_signals(tables: dict[str, DataFrame], since: datetime) -> DataFrame:
     return out
 
 
-def key_pairs(signals: DataFrame, window_hours: float = 48.0) -> DataFrame:
-    """Pairs of signals of different domains that share a key held by few signals.
+def key_pairs(signals: DataFrame, window_hours: float = 48.0, weak_limits: dict[str, int] | None = WEAK_GROUP_LIMIT) -> DataFrame:
+    """Pairs of signals of different domains that share a key and lie within the window of each other.
 
-    Keys held by more than the limits are no leads, by definition; dropping them first also bounds every join group.
+    Keys are cut into slots as wide as the window and a signal meets its own slot and the next one only, so a key's
+    join groups are bounded by what happens in two windows, however many signals hold the key. Keys that identify one
+    thing always count; a vague key (country, sector) held by more signals than ``weak_limits`` says is no lead by
+    itself, but still adds to the score of pairs found otherwise. None lifts these limits, at the price of nearly all pairs.
     """
-    keys = signals.select("ref", "domain", "ts", F.explode("keys").alias("k")).select("ref", "domain", "ts", "k.kind", "k.value")
-    limit = F.coalesce(F.try_element_at(lookup(WEAK_GROUP_LIMIT), F.col("kind")), F.lit(GROUP_LIMIT))
-    small = keys.groupBy("kind", "value").agg(F.count("*").alias("n")).where(F.col("n").between(2, limit)).select("kind", "value")
-    held = keys.join(small, ["kind", "value"])
-    a, b = held.withColumnsRenamed({"ref": "a_ref", "domain": "a_domain", "ts": "a_ts"}), held.withColumnsRenamed({"ref": "b_ref", "domain": "b_domain", "ts": "b_ts"})
-    near = F.abs(F.unix_micros("a_ts") - F.unix_micros("b_ts")) <= int(window_hours * 3_600_000_000)
-    return a.join(b, ["kind", "value"]).where((F.col("a_ref") < F.col("b_ref")) & (F.col("a_domain") != F.col("b_domain")) & near).select("a_ref", "b_ref").distinct()
+    width = int(window_hours * 3_600_000_000)
+    held = signals.select("ref", "domain", F.unix_micros("ts").alias("us"), F.explode("keys").alias("k")).select("ref", "domain", "us", "k.kind", "k.value", F.floor(F.col("us") / width).alias("slot"))
+    if weak_limits:
+        vague = held.where(F.col("kind").isin(list(weak_limits))).groupBy("kind", "value").agg(F.count("*").alias("n"))
+        held = held.join(vague.where(F.col("n") > F.try_element_at(lookup(weak_limits), F.col("kind"))), ["kind", "value"], "left_anti")
+    early = held.select(F.col("ref").alias("e_ref"), F.col("domain").alias("e_domain"), F.col("us").alias("e_us"), F.col("slot").alias("e_slot"), "kind", "value", F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"))
+    met = early.join(held, ["kind", "value", "slot"]).where((F.col("e_domain") != F.col("domain")) & (F.abs(F.col("e_us") - F.col("us")) <= width))
+    # two signals of one slot meet twice, those of neighbouring slots once
+    once = (F.col("e_ref") != F.col("ref")) & ((F.col("e_slot") < F.col("slot")) | (F.col("e_ref") < F.col("ref")))
+    return met.where(once).select(F.least("e_ref", "ref").alias("a_ref"), F.greatest("e_ref", "ref").alias("b_ref")).distinct()
 
 
 def score_pairs(signals: DataFrame, window_hours: float = 48.0, min_score: float = 0.45, weak_window_hours: float = 6.0) -> DataFrame:
@@ -185,7 +191,7 @@ def score_pairs(signals: DataFrame, window_hours: float = 48.0, min_score: float
         n = F.size(of_kind(kind))
         share = F.lit(weight) if kind in STRONG_KINDS else weight * F.least(F.lit(1.0), 0.6 + 0.2 * n)
         raw = raw + F.when(n > 0, share).otherwise(0.0)
-        shared.append(F.slice(F.array_sort(F.transform(of_kind(kind), lambda k: F.concat_ws(":", k["kind"], k["value"]))), 1, 5))
+        shared.append(F.array_sort(F.transform(of_kind(kind), lambda k: F.concat_ws(":", k["kind"], k["value"]))))
     both = both.withColumn("shared", F.concat(*shared)).withColumn("raw", F.least(F.lit(1.0), raw)).withColumn("strong", F.exists("common", lambda k: k["kind"].isin(STRONG_KINDS)))
     window = F.when(F.col("strong"), F.lit(float(window_hours))).otherwise(F.lit(float(min(window_hours, weak_window_hours))))
     factor = half_decay(F.col("a_ts"), F.col("b_ts"), window)
@@ -198,19 +204,21 @@ def score_pairs(signals: DataFrame, window_hours: float = 48.0, min_score: float
     )
 
 
-def composite_alerts(pairs: DataFrame, signals: DataFrame, min_domains: int = 3, max_signals: int = 25, existing: DataFrame | None = None) -> DataFrame:
+def composite_alerts(pairs: DataFrame, signals: DataFrame, min_domains: int = 3, max_signals: int = 25, max_keys: int = 8, existing: DataFrame | None = None) -> DataFrame:
     """Strong pairs connected into clusters over at least ``min_domains`` domains, with anchor, severity and text.
 
-    Everything about a cluster is an aggregate or a bounded top list, so a cluster of any size stays spread out.
+    Counts, scores and dates are over all members and pairs; an alert lists its ``max_signals`` worst signals and its
+    ``max_keys`` commonest keys, so a cluster of any size stays spread out. The pairs are worked out once.
     """
-    strong = pairs.where("strong")
+    checkpoint_ready(pairs.sparkSession)
+    strong = pairs.where("strong").select("a_ref", "b_ref", "score", "shared").checkpoint()
     parts = connected_components(strong.select(F.col("a_ref").alias("src"), F.col("b_ref").alias("dst"))).withColumnRenamed("component", "cluster")
     members = parts.join(signals.select(F.col("ref").alias("node"), "type", "id", "domain", "ts", "severity", "summary"), "node")
     facts = members.groupBy("cluster").agg(F.array_sort(F.collect_set("domain")).alias("domains"), F.min("ts").alias("window_start"), F.max("ts").alias("window_end"), F.count("*").alias("members"), F.max(severity_rank(F.col("severity"))).alias("rank")).where(F.size("domains") >= min_domains)
     linked = strong.join(parts.withColumnRenamed("node", "a_ref"), "a_ref")
     scores = linked.groupBy("cluster").agg(F.avg("score").alias("mean_score"), F.count("*").alias("pairs"))
     counted = linked.select("cluster", F.explode("shared").alias("key")).groupBy("cluster", "key").agg(F.count("*").alias("n")).withColumn("vague", F.col("key").rlike("^(sector|theme):"))
-    ranked = top_per_key(counted, ["cluster"], [F.col("vague"), F.col("n").desc(), F.col("key")], 8, "k")
+    ranked = top_per_key(counted, ["cluster"], [F.col("vague"), F.col("n").desc(), F.col("key")], max_keys, "k")
     # strong pairs always share a specific key, so the first one is never a vague one
     keys = ranked.groupBy("cluster").agg(F.min_by("key", "k").alias("anchor"), F.transform(F.array_sort(F.collect_list(F.struct("k", "key", "vague"))), lambda x: F.when(~x["vague"], x["key"])).alias("shared"))
     best = top_per_key(members.withColumn("_s", severity_rank(F.col("severity"))), ["cluster"], [F.col("_s").desc(), F.col("ts"), F.col("node")], max_signals, "k")
@@ -222,13 +230,13 @@ def composite_alerts(pairs: DataFrame, signals: DataFrame, min_domains: int = 3,
     kind, value = F.substring_index("anchor", ":", 1), F.expr("substring(anchor, instr(anchor, ':') + 1)")
     clause = F.transform("domains", lambda d: _domain_clause(d))
     lead = F.concat(
-        F.lit("Multi-domain pattern around "), kind, F.lit(" "), value, F.format_string(": %d signals across %d domains between ", F.size("signals"), n), F.date_format("window_start", "dd MMM HH:mm"), F.lit(" and "), F.date_format("window_end", "dd MMM HH:mm"), F.lit(" UTC.")
+        F.format_string("%d related reports from %d fields share ", F.col("members"), n), kind, F.lit(" "), value, F.lit(" (first "), F.date_format("window_start", "yyyy-MM-dd HH:mm"), F.lit(", last "), F.date_format("window_end", "yyyy-MM-dd HH:mm"), F.lit(" UTC).")
     )
     alerts = out.select(
         fingerprint(F.concat("anchor", F.lit("|"), F.date_format("window_start", "yyyy-MM-dd"))).alias("fingerprint"), "anchor", "domains", F.array_compact("shared").alias("shared_keys"), "window_start", "window_end", "members", "pairs",
         F.round(F.least(F.lit(1.0), F.col("mean_score") * (1 + 0.1 * (n - 3))), 3).alias("confidence"), rank_severity(rank).alias("severity"), "signals",
-        F.substring(F.concat(F.coalesce(F.try_element_at(lookup(KIND_LABELS), kind), kind), F.lit(" "), value, F.lit(": "), F.array_join("domains", " + ")), 1, 300).alias("title"),
-        F.substring(F.concat(lead, F.lit(" "), F.array_join(F.array_compact(clause), " | ")), 1, 4000).alias("narrative"),
+        F.concat(F.coalesce(F.try_element_at(lookup(KIND_LABELS), kind), kind), F.lit(" "), value, F.lit(": "), F.array_join("domains", " + ")).alias("title"),
+        F.concat(lead, F.lit(" "), F.array_join(F.array_compact(clause), " | ")).alias("narrative"),
     )
     return alerts if existing is None else insert_if_absent(alerts, existing, ["fingerprint"])
 
