@@ -86,8 +86,14 @@ def build_shipments(calls: DataFrame, vessels: DataFrame, facilities: DataFrame,
 
 
 def events_within(left: DataFrame, events: DataFrame, by: str, start: str, end: Column) -> DataFrame:
-    """Events of the same hull inside each left row's interval."""
-    return left.withColumn("_end", end).join(events, by).where((F.col("ts") >= F.col(start)) & (F.col("ts") <= F.col("_end"))).drop("_end")
+    """Events of the same hull inside each left row's interval.
+
+    The interval's days are part of the join key, so a hull's events only meet the intervals that touch their day; an
+    event has one day and an interval each day once, so no pair repeats.
+    """
+    spread = left.withColumn("_end", end).where(F.col("_end") >= F.col(start)).withColumn("_day", F.explode(F.sequence(F.to_date(start), F.to_date("_end"))))
+    dated = events.withColumn("_day", F.to_date("ts"))
+    return spread.join(dated, [by, "_day"]).where((F.col("ts") >= F.col(start)) & (F.col("ts") <= F.col("_end"))).drop("_end", "_day")
 
 
 def score_pattern(pattern: Column, vessel_flagged: Column, vessel_risk: Column, extra: Column) -> Column:

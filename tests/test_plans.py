@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from intel_spark.catalog.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["g01_resample", "w01_price_anomalies", "w05_g05_cascades", "w08_ais_gaps", "j03_match_fuzzy", "j08_proximity_pairs", "j10_areas_containing", "j17_key_pairs", "x10_assess_transfers", "x01_vessel_risk", "j12_asof_backward", "j23_mentions", "q12_search_listings"]
@@ -31,8 +32,14 @@ def test_old_days_are_dropped_before_the_baseline_window(spark):
 
 def test_every_query_is_registered_once_with_columns(spark):
     queries, oracles = entry.queries(), entry.oracle_sql()
-    assert len(queries) >= 250 and set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == {"f36_sequence_ratio", "x03_spoofing_clusters"}
+    assert set(oracles) <= set(queries) and set(QUERIES) <= set(queries)
+    assert len(QUERIES) >= 250 and set(QUERIES) - set(ORACLES) == {"f36_sequence_ratio", "x03_spoofing_clusters"}
+
+
+def test_events_meet_intervals_by_day(spark):
+    plan = entry.queries()["j15_events_within"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "_day" in join
 
 
 def test_flagship(spark):
