@@ -44,10 +44,10 @@ def vessel_events(history: DataFrame, zones: DataFrame, gap_hours: float = 6.0)
     fixes = with_prev(history)
     gaps = grade_gaps(fixes, zones, gap_hours).withColumn("detail", F.col("gap_hours").cast("string"))
     jumps = grade_positions(fixes).withColumn("detail", F.array_join("reasons", ","))
-    recent = F.transform("names", name_token)
-    renamed = fixes.where(F.col("name").isNotNull() & (F.size("names") > 0) & ~F.array_contains(recent, name_token(F.col("name"))))
-    renames = renamed.select("mmsi", "ts", F.lit("name_change").alias("event_type"), F.lit("medium").alias("severity"), F.lit(0.5).alias("confidence"), F.element_at("names", -1).alias("detail"))
-    flags = fixes.where((F.col("flag") != "XX") & (F.col("prev.flag") != "XX") & (F.col("prev.flag") != F.col("flag"))).select("mmsi", "ts", F.lit("flag_change").alias("event_type"), F.lit("high").alias("severity"), F.lit(0.6).alias("confidence"), F.col("prev.flag").alias("detail"))
+    replaced = F.element_at("names", -1)
+    renamed = fixes.where(F.col("name").isNotNull() & (F.size("names") > 0) & ~F.array_contains("tokens", name_token(F.col("name"))) & ~F.startswith(replaced, F.lit("MMSI ")))
+    renames = renamed.select("mmsi", "ts", F.lit("name_change").alias("event_type"), F.lit("medium").alias("severity"), F.lit(0.5).alias("confidence"), replaced.alias("detail"))
+    flags = fixes.where((F.col("flag") != "XX") & (F.col("prev.flag") != F.col("flag"))).select("mmsi", "ts", F.lit("flag_change").alias("event_type"), F.lit("high").alias("severity"), F.lit(0.6).alias("confidence"), F.col("prev.flag").alias("detail"))
     silent = history.where("kind = 'silent'").select("mmsi", "ts", F.lit("silent").alias("event_type"), F.lit("medium").alias("severity"), F.lit(0.4).alias("confidence"), F.col("name").alias("detail"))
     out = gaps.select(EVENT_COLUMNS)
     for part in (jumps, renames, flags, silent):

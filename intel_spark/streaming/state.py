@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from intel_spark.functions.text import name_token
+
 PREVIOUS = T.StructType([
     T.StructField("ts", T.TimestampType()), T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType()), T.StructField("speed", T.DoubleType()), T.StructField("name", T.StringType()), T.StructField("flag", T.StringType()),
 ])
 FIX_COLUMNS = ["ts", "lat", "lon", "speed", "name", "flag", "ship_type"]
-NAMES_KEPT = 4
+NAMES_KEPT = 4  # the current name and the three before it
+UNKNOWN_FLAG = "XX"
 
 
 def _micros(ts) -> int:
@@ -22,14 +25,15 @@ def _micros(ts) -> int:
 
 
 def vessel_history(positions: DataFrame, silence_hours: float, watermark: str = "30 minutes") -> DataFrame:
-    """T01 + T02: each fix with the fix before it (prev_* columns) and the vessel's recent names; a report not newer than the
-    last one is dropped. A vessel silent past the threshold in event time gives one row of kind "silent".
+    """T01 + T02: each fix with the fix before it (prev_* columns) and the vessel's recent names with their
+    tokens; a report not newer than the last one is dropped. The kept flag is the last known one, and spellings of one
+    name take one place among the recent names. A vessel silent past the threshold in event time gives one row of kind "silent".
 
     The state per vessel is one fix and a few names; detectors run on the output as ordinary expressions.
     """
     out = T.StructType([T.StructField("mmsi", T.StringType()), T.StructField("kind", T.StringType())] + [T.StructField(c, T.TimestampType() if c == "ts" else T.DoubleType() if c in ("lat", "lon", "speed") else T.StringType()) for c in FIX_COLUMNS]
-                       + [T.StructField(f"prev_{f.name}", f.dataType) for f in PREVIOUS.fields] + [T.StructField("names", T.ArrayType(T.StringType()))])
-    state = T.StructType([*[T.StructField(f.name, T.LongType() if f.name == "ts" else f.dataType) for f in PREVIOUS.fields], T.StructField("names", T.ArrayType(T.StringType()))])
+                       + [T.StructField(f"prev_{f.name}", f.dataType) for f in PREVIOUS.fields] + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("names", "tokens")])
+    state = T.StructType([*[T.StructField(f.name, T.LongType() if f.name == "ts" else f.dataType) for f in PREVIOUS.fields], *[T.StructField(n, T.ArrayType(T.StringType())) for n in ("names", "tokens")]])
     span_ms = int(silence_hours * 3_600_000)
     columns = [f.name for f in out.fields]
 
@@ -38,7 +42,7 @@ def vessel_history(positions: DataFrame, silence_hours: float, watermark: str =
         if held.hasTimedOut:
             row = {c: last[c] for c in ("lat", "lon", "speed", "name", "flag")}
             # the vessel stays known, so its next report is still compared with this one
-            yield pd.DataFrame([{**{c: None for c in columns}, **row, "mmsi": key[0], "kind": "silent", "ts": pd.Timestamp(last["ts"], unit="us"), "names": last["names"]}], columns=columns)
+            yield pd.DataFrame([{**{c: None for c in columns}, **row, "mmsi": key[0], "kind": "silent", "ts": pd.Timestamp(last["ts"], unit="us"), "names": last["names"], "tokens": last["tokens"]}], columns=columns)
             held.update(tuple(last[n] for n in state.fieldNames()))
             return
         rows = []
@@ -47,26 +51,28 @@ def vessel_history(positions: DataFrame, silence_hours: float, watermark: str =
             at = _micros(fix["ts"])
             if last is not None and at <= last["ts"]:
                 continue
-            names = list(last["names"]) if last else []
+            names, tokens = (list(last["names"]), list(last["tokens"])) if last else ([], [])
             before = {f"prev_{n}": (None if last is None else pd.Timestamp(last["ts"], unit="us") if n == "ts" else last[n]) for n in PREVIOUS.fieldNames()}
-            rows.append({"mmsi": key[0], "kind": "fix", **{c: fix[c] for c in FIX_COLUMNS}, **before, "names": names})
-            if fix["name"] and (not names or names[-1] != fix["name"]):
-                names = [*names, fix["name"]][-NAMES_KEPT:]
-            last = {**{n: fix[n] if n not in ("name", "flag") else (fix[n] or (last or {}).get(n)) for n in PREVIOUS.fieldNames() if n != "ts"}, "ts": at, "names": names}
+            rows.append({"mmsi": key[0], "kind": "fix", **{c: fix[c] for c in FIX_COLUMNS}, **before, "names": names, "tokens": tokens})
+            if fix["token"] is not None:
+                earlier = -1 if tokens and tokens[-1] == fix["token"] else len(tokens)  # the newest spelling stays
+                names, tokens = [*names[:earlier], fix["name"]][-NAMES_KEPT:], [*tokens[:earlier], fix["token"]][-NAMES_KEPT:]
+            held_on = {"name": fix["name"] or (last or {}).get("name"), "flag": (last or {}).get("flag") if fix["flag"] in (None, UNKNOWN_FLAG) else fix["flag"]}
+            last = {**{n: fix[n] for n in PREVIOUS.fieldNames() if n in ("lat", "lon", "speed")}, **held_on, "ts": at, "names": names, "tokens": tokens}
         if last is not None:
             held.update(tuple(last[n] for n in state.fieldNames()))
             held.setTimeoutTimestamp(max(last["ts"] // 1000 + span_ms, held.getCurrentWatermarkMs() + 1))
         if rows:
             yield pd.DataFrame(rows, columns=columns)
 
-    slim = positions.withWatermark("ts", watermark).select("mmsi", *FIX_COLUMNS)
+    slim = positions.withWatermark("ts", watermark).select("mmsi", *FIX_COLUMNS, name_token(F.col("name")).alias("token"))
     return slim.groupBy("mmsi").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def with_prev(history: DataFrame) -> DataFrame:
     """The stream's fixes in the shape the batch detectors read: ``prev`` as a struct, null on a vessel's first fix."""
     prev = F.struct(*[F.col(f"prev_{n}").alias(n) for n in PREVIOUS.fieldNames()])
-    return history.where("kind = 'fix'").select("mmsi", *FIX_COLUMNS, F.when(F.col("prev_ts").isNotNull(), prev).alias("prev"), "names")
+    return history.where("kind = 'fix'").select("mmsi", *FIX_COLUMNS, F.when(F.col("prev_ts").isNotNull(), prev).alias("prev"), "names", "tokens")
 
 
 def kept_sightings(sightings: DataFrame, min_gap_s: int = 120, watermark: str = "10 minutes") -> DataFrame:

@@ -29,6 +29,19 @@ def test_vessel_events_equal_batch(spark, tmp_path):
     assert got.get(("silent", "medium"), 0) > 0
 
 
+def test_identity_events_equal_batch(spark, tmp_path):
+    flags = ["PA", "XX", "IR", None, "XX", "IR", "GA"]
+    names = ["MMSI 1", "STAR NO. 2", "STAR NO2", "ALPHA", "BRAVO", "DELTA", "STAR NO 2"]
+    rows = [fix("001", hours(-40 + i), lat=10.0, lon=10.0, speed=0.0, name=names[i], flag=flags[i]) for i in range(7)]
+    positions = fixes(spark, rows).select("mmsi", "ts", "lat", "lon", "speed", "name", "flag", "ship_type")
+    zones = spark.createDataFrame([("Z", "war_zone", "", False, box(9.0, 9.0, 11.0, 10.05))], ZONE)
+    jobs.start_vessel_events(as_stream(spark, positions, str(tmp_path / "in")), str(tmp_path / "cp"), str(tmp_path / "out"), zones, 6.0, "1 hour", available_now=True).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).where(F.col("event_type").isin("name_change", "flag_change"))
+    want = maritime.identity_changes(positions).collect()
+    assert ("flag_change", "PA") in {(r.event_type, r.old_value) for r in want}
+    assert sorted((r.event_type, r.ts, r.detail) for r in got.collect()) == sorted((r.event_type, r.ts, r.old_value) for r in want)
+
+
 def test_cascades_survive_batch_borders(spark, tmp_path):
     rows = [("BTC", "x", "sell", 100.0 - i, 400_000.0, minutes(i)) for i in range(9)] + [("BTC", "x", "buy", 50.0, 1.0, minutes(600)), ("BTC", "x", "buy", 50.0, 1.0, minutes(900))]
     orders = spark.createDataFrame(rows, "asset string, exchange string, side string, price double, usd double, ts timestamp")
