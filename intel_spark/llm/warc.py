@@ -1,12 +1,13 @@
 """WARC archives: written as Spark text files, read back by boundary-chain verification.
 
-Archives are read in blocks. A task takes every stretch of bytes that looks like a record header (the magic, a
-Content-Length, a record id) as a candidate and emits its offset with that of its successor. Payloads may hold such stretches
+Archives are read in blocks, cut where a line begins with the magic: that separator never overlaps itself, so the cuts are
+the same wherever a block begins, whatever line ends a payload holds. A task takes every stretch of bytes that looks like a
+record header (the magic, a Content-Length, a record id) as a candidate and emits its offset with that of its successor. Payloads may hold such stretches
 too, so a candidate counts only if the chain of successors from the file's start reaches it: each task follows the
 chains within its block to the offset where they leave it, pointer jumping over the blocks' entries and exits finds the
 entries that are reached from the start, and a walk within each block keeps the records on the chain. Payloads that end
 in their block are hashed there; those that run over its end are collected in a second pass over the files, for at most
-``SLICE`` records at a time.
+``SLICE`` records at a time. A file whose chain does not end at its last byte raises an error.
 
 Of pages with equal payloads of ``SHARED`` bytes or more, the one with the least id is written as response, the others
 as revisit without payload. Rows of that same id are all responses. A null payload is empty, a null id is written as
@@ -29,6 +30,8 @@ from intel_spark.llm.blocks import block_rows, placed_blocks, runs
 SHARED = 100
 SLICE = 100_000
 END = "\r\n\r\n"
+MAGIC = b"WARC/1."
+CUT = b"\n" + MAGIC
 DATE = "2026-01-01T00:00:00Z"
 HEADER = re.compile(rb"WARC/1\.[01]\r\n((?:[!-9;-~]+:[^\r\n]*\r\n)*[!-9;-~]+:[^\r\n]*)\Z")
 FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)")
@@ -78,54 +81,57 @@ SCAN = "file string, block long, at long, next long, leaves long, body long, siz
 
 
 def _scan(batches):
-    """Candidates of every block: places relative to its first byte; ``at`` is null in the block's own row (``next``: its length)."""
-    def closed(file, block, found, length, open_):
+    """Candidates of every block: places relative to its first byte; ``at`` is null in the block's own row (``next``: its length, ``size``: the file's)."""
+    def closed(file, block, found, total, length, open_):
         for record in open_:  # payloads that run over the block's end
             record["digest"] = None
         leaves: dict[int, int] = {}
         for record in reversed(found):
             leaves[record["at"]] = record["leaves"] = leaves.get(record["next"], record["next"])
-        rows = [{"file": file, "block": block, "at": None, "next": length}, *found]
+        rows = [{"file": file, "block": block, "at": None, "next": length, "size": total}, *found]
         names = [f.split()[0] for f in SCAN.split(", ")]
         kinds = [pa.string(), *[pa.int64()] * 6, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
         return pa.record_batch([pa.array([r.get(n) for r in rows], kind) for n, kind in zip(names, kinds)], names)
 
     state = None
-    for file, block, values, begins, _ in runs(batches):
+    for file, block, values, begins, total in runs(batches):
         if begins:
             if state:
                 yield closed(*state)
             found, open_, length = [], [], 0
-            state = [file, block, found, 0, open_]
-        for value in values:
-            value = value.as_py() or b""
-            end = length + len(value) + len(END)
+            state = [file, block, found, total, 0, open_]
+        for i, value in enumerate(values):
+            # every value but a file's first follows a cut, whose magic belongs to its header
+            missing = b"" if begins and i == 0 and block == 0 else MAGIC
+            data = (value.as_py() or b"") + CUT
+            view = memoryview(data)
             still = []
             for record in open_:  # this stretch belongs to their payloads
-                take = min(record["left"], len(value) + len(END))
-                record["hash"].update((value + END.encode())[:take])
+                take = min(record["left"], len(data))
+                record["hash"].update(view[:take])
                 record["left"] -= take
                 if record["left"]:
                     still.append(record)
                 else:
                     record["digest"] = record["hash"].hexdigest()
             open_ = still
-            fields = parse_header(value)
+            head = data.find(END.encode())
+            fields = parse_header(missing + data[:head]) if head >= 0 else None
             if fields:
-                size = int(fields["content-length"])
+                size, begin = int(fields["content-length"]), head + len(END)
                 digest = fields.get("warc-payload-digest", b"")
                 record = {
-                    "file": file, "block": block, "at": length, "body": end, "size": size, "next": end + size + len(END), "left": size, "hash": hashlib.sha256(),
-                    "type": fields.get("warc-type", b"").decode("ascii", "replace"), "page_id": page_of(fields["warc-record-id"]), "refers_to": page_of(fields.get("warc-refers-to")),
+                    "file": file, "block": block, "at": length - len(missing), "body": length + begin, "size": size, "next": length + begin + size + len(END), "hash": hashlib.sha256(view[begin : begin + size]),
+                    "left": max(size - (len(data) - begin), 0), "type": fields.get("warc-type", b"").decode("ascii", "replace"), "page_id": page_of(fields["warc-record-id"]), "refers_to": page_of(fields.get("warc-refers-to")),
                     "declared": digest.removeprefix(b"sha256:").decode("ascii", "replace"),
                 }
                 found.append(record)
-                if size:
+                if record["left"]:
                     open_.append(record)
                 else:
                     record["digest"] = record["hash"].hexdigest()
-            length = end
-            state[3], state[4] = length, open_
+            length += len(data)
+            state[4], state[5] = length, open_
     if state:
         yield closed(*state)
 
@@ -164,7 +170,7 @@ RECORD = "file string, block long, offset long, body long, size long, digest str
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """(file, block, offset, body, size, digest, type, page_id, refers_to, declared) of the records on the chains."""
-    scanned = settled(block_rows(spark, folder, END).mapInArrow(_scan, SCAN))
+    scanned = settled(block_rows(spark, folder, CUT.decode()).mapInArrow(_scan, SCAN))
     blocks = settled(placed_blocks(scanned.where("at is null").select("file", "block", F.col("next").alias("length"))))
     candidates = scanned.where("at is not null").join(blocks.select("file", "block", "start"), ["file", "block"])
     shifted = {c: (F.col("start") + F.col(d)) for c, d in (("offset", "at"), ("after", "next"), ("exit", "leaves"), ("payload", "body"))}
@@ -177,6 +183,11 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     text = RECORD.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string")
     records = chained.groupBy("file", "block").applyInPandas(_on_chain, text).withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
     records = settled(records)
+    ends = records.groupBy("file").agg((F.max(F.col("body") + F.col("size")) + len(END)).alias("end"))
+    files = scanned.where("at is null").groupBy("file").agg(F.max("size").alias("bytes"))
+    broken = files.join(ends, "file", "left").where(~F.col("bytes").eqNullSafe(F.col("end"))).first()
+    if broken:
+        raise ValueError(f"the records of {broken['file']} end at {broken['end']}, the file at {broken['bytes']}")
     over = records.where("digest is null")
     hashed = [_collected(spark, folder, blocks, over, lo) for lo in range(0, over.count(), SLICE)]
     if not hashed:
@@ -206,7 +217,7 @@ def _collected(spark: SparkSession, folder: str, blocks: DataFrame, over: DataFr
                 continue
             out = []
             for value in values:
-                data = (value.as_py() or b"") + END.encode()
+                data = (value.as_py() or b"") + CUT
                 for _, offset, body, size in parts:
                     a, b = max(body, at), min(body + size, at + len(data))
                     if a < b:
@@ -219,7 +230,7 @@ def _collected(spark: SparkSession, folder: str, blocks: DataFrame, over: DataFr
         own = hashlib.sha256(b"".join(frame.sort_values("at")["data"]))
         return pd.DataFrame({"file": [frame["file"].iloc[0]], "offset": [frame["offset"].iloc[0]], "late": [own.hexdigest()]})
 
-    found = block_rows(spark, folder, END).mapInArrow(pieces, "file string, offset long, at long, data binary")
+    found = block_rows(spark, folder, CUT.decode()).mapInArrow(pieces, "file string, offset long, at long, data binary")
     return settled(found.groupBy("file", "offset").applyInPandas(digest, "file string, offset long, late string"))
 
 

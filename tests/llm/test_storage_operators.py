@@ -96,6 +96,34 @@ def test_archives_round_trip(spark, block):
     assert got == want
 
 
+@pytest.mark.parametrize("block", ["128m", "701", "97"])
+def test_payloads_may_end_in_line_ends(spark, block):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    fake = "WARC/1.0\r\nWARC-Record-ID: <urn:page:9>\r\nContent-Length: 3\r\n"
+    ends = ["\r\n" * n for n in range(6)] + ["\n", "\r", "\r\n\r", "\n\r\n", "\r\nWARC/1.", "\r\n\r\nWARC/1.0", "\r\n" + fake, "\r\n\r\n" + fake + "\r\nabc"]
+    rows = [(i, "http://x/WARC/1.0/spec", lead + "é" * (i % 5) + end) for i, (lead, end) in enumerate((a, b) for a in ("", "<html></html>", fake + "\r\n", "\r\n") for b in ends)]
+    folder = fresh_path(spark, "warc")
+    W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in W.resolved_records(W.read_archives(spark, folder)).collect() if r["record_type"] == "response"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    first = {}
+    for page, _, payload in rows:
+        data = payload.encode()
+        first.setdefault(data if len(data) >= W.SHARED else page, (page, (len(data), hashlib.sha256(data).hexdigest())))
+    assert got == dict(first.values())
+
+
+def test_archive_that_breaks_off_raises(spark):
+    folder = fresh_path(spark, "warc")
+    header = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 5"
+    spark.createDataFrame([(f"{header}\r\n\r\nhello\r\n\r\n{header}\r\n\r\nhel",)], "value string").write.text(folder)
+    with pytest.raises(ValueError, match="end at"):
+        W.read_archives(spark, folder)
+
+
 def test_payload_that_is_a_header_is_no_record():
     assert W.parse_header(b"WARC/1.0\r\nWARC-Record-ID: <a>\r\nContent-Length: 3") is not None
     for value in (b"WARC/1.0", b"WARC/1.0\r\nContent-Length: x\r\nWARC-Record-ID: <a>", b"xWARC/1.0\r\nWARC-Record-ID: <a>\r\nContent-Length: 3", b"WARC/1.0\r\nContent-Length: 3"):
