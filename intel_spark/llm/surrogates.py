@@ -54,7 +54,7 @@ INITIALS = "".join(sorted({t[0] for t in MALE + FEMALE + OTHER}))
 NAME = r"(?=[" + INITIALS + r"])(?<![\p{L}])(?:" + TITLES + r")\.? (?:\p{Lu}[\p{L}'’-]+)(?: \p{Lu}[\p{L}'’-]+){0,2}"
 PATTERN = "|".join((EMAIL, SECRET, ACCESS, IBAN, IP, CARD, SSN, PHONE, NAME))
 #: Every entity holds one of these; texts without them are not searched further.
-GATE = r"[@=:]|[0-9](?:[0-9]{2}|\.[0-9])|[" + INITIALS + r"][\p{L}-]{1,10}+\.?+ \p{Lu}"
+GATE = r"[@=:]|[0-9](?:[0-9]{2}|\.[0-9])|\+[0-9]|[A-Z]{2}[0-9]{2}|A[KS]IA|[" + INITIALS + r"][\p{L}-]{1,10}+\.?+ \p{Lu}"
 
 
 def kind_of(value: Column) -> Column:
