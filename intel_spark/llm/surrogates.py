@@ -5,7 +5,8 @@ social security numbers, access keys, assigned secrets and titled person names.
 key, the entity's kind and its value, so every mention of a value is replaced alike, in every document, without a join:
 
 * digits become digits and letters become letters of the same case and script (Latin, Greek, Cyrillic, Hebrew, Arabic,
-  Devanagari, kana, Han, Hangul), marks stay: the format is kept;
+  Devanagari, kana, Han, Hangul; Latin ones for other scripts), marks stay: the format is kept. A secret of marks alone
+  becomes a token; a mask (one mark repeated) is no secret;
 * a card number that passes the Luhn check gets one that passes it; an IPv4 address stays valid, and private if it was;
   phone numbers keep their country code; an e-mail's domain depends on the domain alone and keeps its last label;
 * person names are made of syllables of their script with an ending of the gender that the title gives; a surname depends
@@ -15,8 +16,11 @@ Collision checks keep distinct values distinct: replacements of all values of th
 with the original values, and losers (all but the least value) move on to the next attempt until none is left. The
 values with an attempt above 0 reach their texts by a join that Spark broadcasts only if it knows them to be small.
 
-Null texts stay null, empty texts empty; repeated rows are replaced alike; other columns are not touched. A value that finds
-no free replacement in ``ATTEMPTS`` tries raises an error.
+Values without a free replacement after ``ATTEMPTS`` tries give way in format: an address with a fixed first byte (private,
+local, multicast) gets, with all others of that byte, its place in a keyed permutation of them, which may be another's
+original but is never its own nor shared; any other value gets a longer replacement, a public address tries on.
+
+Null texts stay null, empty texts empty; repeated rows are replaced alike; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -43,7 +47,7 @@ SYLLABLES = {
 }
 
 EMAIL = r"(?<![\p{L}\p{N}._%+'-])[\p{L}\p{N}][\p{L}\p{N}._%+'-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
-SECRET = r"(?=[pPsStTaA])(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*[\"']?[^\s\"'<>,;]{6,}"
+SECRET = r"(?=[pPsStTaA])(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*[\"']?(?!(?<mark>[^\p{L}\p{N}\s])\k<mark>*+(?:[\s\"'<>,;]|$))[^\s\"'<>,;]{6,}"
 ACCESS = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 CARD = r"(?<![\p{N}.-])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{15,16}|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{5})(?![\p{N}])"
@@ -85,6 +89,9 @@ def _char(code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
 
 
+#: First bytes that an address keeps, besides 224 and above.
+FIXED_BYTES = (0, 10, 127, 172, 192, 169)
+
 #: Runs of letters that stand for each other, first and last code point.
 LETTERS = [(0x61, 0x7A), (0x41, 0x5A), (0xE0, 0xF6), (0xC0, 0xD6), (0x3B1, 0x3C9), (0x391, 0x3A1), (0x430, 0x44F), (0x410, 0x42F), (0x5D0, 0x5EA), (0x627, 0x63A), (0x905, 0x939), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
 
@@ -97,7 +104,7 @@ def _shifted(letter: Column, by: Column) -> Column:
         for lo, hi in LETTERS:
             size = hi - lo + 1
             out = out.when((code >= lo) & (code <= hi), _char(lo + F.pmod(code - lo + 1 + c["by"] % (size - 1), F.lit(size))))
-        return out.otherwise(letter)
+        return out.when((code >= 128) & letter.rlike(r"[\p{L}\p{M}\p{N}]"), _char(97 + c["by"] % 26)).otherwise(letter)
 
     return let(F.struct(F.ascii(letter).alias("code"), by.alias("by")), of)
 
@@ -120,11 +127,40 @@ def _check_digit(value: Column, draft: Column, stream: Column) -> Column:
     return F.when(_luhn_sum(digits) % 10 == 0, check).otherwise(_byte(stream, F.lit(31)) % 10).cast("string")
 
 
+def _last_bytes(third: Column, fourth: Column, key: str, tweak: Column) -> Column:
+    """Another pair of bytes: the next but ``tweak``'s step in a keyed order of all pairs, so that no two pairs get the same."""
+    swap = lambda s, i: F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(_byte(_stream(key, F.lit("bytes"), tweak, i.cast("string"), s["r"].cast("string")), F.lit(0))).alias("r"))
+    back = lambda s, i: F.struct(s["r"].bitwiseXOR(_byte(_stream(key, F.lit("bytes"), tweak, i.cast("string"), s["l"].cast("string")), F.lit(0))).alias("l"), s["l"].alias("r"))
+    rounds = [F.lit(i) for i in range(6)]
+    placed = F.aggregate(F.array(*rounds), F.struct(third.alias("l"), fourth.alias("r")), swap)
+    step = 1 + _byte(_stream(key, F.lit("step"), tweak), F.lit(0))
+    moved = let(placed, lambda s: let(F.pmod(s["l"] * 256 + s["r"] + step, F.lit(65536)), lambda n: F.struct(F.floor(n / 256).cast("int").alias("l"), (n % 256).cast("int").alias("r"))))
+    return let(F.aggregate(F.array(*rounds[::-1]), moved, back), lambda s: F.concat_ws(".", s["l"], s["r"]))
+
+
+def _permuted_ip(value: Column, key: str) -> Column:
+    """An address of the same first byte and range from a keyed permutation of these addresses; none stays as it is."""
+    part = F.split(value, r"\.")
+
+    def of(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        turn = lambda i, n: F.pmod(i + _byte(_stream(key, F.lit("second"), a.cast("string")), F.lit(0)), F.lit(n)).cast("int")
+        # the values of a range go round among themselves, so do those outside of it
+        without = lambda gap, width: let(turn(F.when(b < gap, b).otherwise(b - width), 256 - width), lambda i: F.when(i < gap, i).otherwise(i + width))
+        second = (
+            F.when((a == 172) & b.between(16, 31), 16 + turn(b - 16, 16)).when(a == 172, without(16, 16)).when((a == 192) & (b != 168), without(168, 1)).when((a == 169) & (b != 254), without(254, 1))
+            .when(a.isin(192, 169), b).otherwise(turn(b, 256))
+        )
+        return F.concat_ws(".", a, second, _last_bytes(p["c"], p["d"], key, F.concat_ws(".", a, b)))
+
+    return let(F.struct(*[part[i].cast("int").alias(n) for i, n in enumerate("abcd")]), of)
+
+
 def _ip(value: Column, stream: Column) -> Column:
     part = F.split(value, r"\.")
     first, second = part[0].cast("int"), part[1].cast("int")
     byte = lambda i: _byte(stream, F.lit(i))
-    a = F.when(first.isin(0, 10, 127, 172, 192, 169) | (first >= 224), first).otherwise(11 + byte(0) % 89)
+    a = F.when(first.isin(*FIXED_BYTES) | (first >= 224), first).otherwise(11 + byte(0) % 89)
     b = F.when((first == 172) & second.between(16, 31), 16 + byte(1) % 16).when(((first == 192) & (second == 168)) | ((first == 169) & (second == 254)), second).otherwise(byte(1))
     return F.concat_ws(".", a, b, byte(2), byte(3))
 
@@ -140,12 +176,12 @@ def _script(value: Column) -> Column:
     return F.when(value.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(value.rlike(r"\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
 
 
-def _built_name(value: Column, stream: Column, kind: Column) -> Column:
+def _built_name(value: Column, stream: Column, kind: Column, longer: Column) -> Column:
     """A pronounceable word of the value's script: given names end by gender, surnames freely but for a feminine form."""
     def of(script: Column) -> Column:
         by_script = lambda f: F.when(script == "cyrillic", f("cyrillic")).when(script == "greek", f("greek")).otherwise(f("latin"))
         pool, count = by_script(lambda s: F.lit("".join(SYLLABLES[s][0]))), by_script(lambda s: F.lit(len(SYLLABLES[s][0])))
-        picked = F.transform(F.sequence(F.lit(0), F.lit(2) + _byte(stream, F.lit(5)) % 2), lambda i: F.substring(pool, (_byte(stream, i) % count) * 2 + 1, F.lit(2)))
+        picked = F.transform(F.sequence(F.lit(0), F.lit(2) + _byte(stream, F.lit(5)) % 2 + longer), lambda i: F.substring(pool, (_byte(stream, i) % count) * 2 + 1, F.lit(2)))
         ending = (
             F.when(kind == "given_m", by_script(lambda s: F.lit(SYLLABLES[s][1]))).when(kind == "given_f", by_script(lambda s: F.lit(SYLLABLES[s][2]))).when(kind == "given", by_script(lambda s: F.lit("i" if s == "latin" else SYLLABLES[s][1])))
             .when((script == "cyrillic") & value.rlike("(ова|ева|ина|ая)$"), F.lit("ова")).when((script == "cyrillic") & value.rlike("(ов|ев|ин|ий)$"), F.lit("ов")).otherwise(F.lit(""))
@@ -157,7 +193,8 @@ def _built_name(value: Column, stream: Column, kind: Column) -> Column:
 
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The replacement of a unit."""
+    """The replacement of a unit; ``attempt`` -1 asks for an address's place in the keyed permutation."""
+    longer = F.greatest(attempt - (ATTEMPTS - 1), F.lit(0)) * 4
     folded = kind.isin("email", "given", "given_m", "given_f", "surname")
     seed = _stream(key, kind, F.when(folded, F.lower(value)).otherwise(value), attempt.cast("string"))
     at_domain = F.substring_index(value, "@", -1)
@@ -169,11 +206,13 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         # the middle of a value, in parts that have a stream each: an e-mail's name and its domain
         middle = F.substring(value, F.length(head) + 1, F.length(value) - F.length(head) - F.length(last) - F.when(kind == "card", 1).otherwise(0))
         parts = F.when(kind == "email", F.array(F.substring_index(value, "@", 1), F.substring(at_domain, F.lit(1), F.length(at_domain) - F.length(last)))).otherwise(F.array(middle))
-        hexed = (kind == "secret") & middle.rlike("^[0-9a-f]{1,64}$")
-        drawn = F.array_join(F.transform(parts, lambda part, i: F.when(hexed, F.substring(stream, F.lit(1), F.length(part))).otherwise(_same_format(part, F.when(i == 0, stream).otherwise(c["domain"])))), "@")
+        hexed = (kind == "secret") & (middle.rlike("^[0-9a-f]{1,64}$") | ~middle.rlike(r"[\p{L}\p{M}\p{N}]"))
+        token = lambda part: F.substring(F.repeat(stream, F.ceil(F.length(part) / 64).cast("int")), F.lit(1), F.length(part))
+        more = F.when(longer > 0, F.substring(F.translate(F.reverse(stream), "abcdef", "012345"), F.lit(1), longer)).otherwise(F.lit(""))
+        drawn = F.array_join(F.transform(parts, lambda part, i: F.concat(F.when(hexed, token(part)).otherwise(_same_format(part, F.when(i == 0, stream).otherwise(c["domain"]))), F.when(i == 0, more).otherwise(F.lit("")))), "@")
         draft = F.concat(head, drawn, last)
         return (
-            F.when(kind == "ip", _ip(value, stream)).when(kind.isin("given", "given_m", "given_f", "surname"), _built_name(value, stream, kind))
+            F.when((kind == "ip") & (attempt < 0), _permuted_ip(value, key)).when(kind == "ip", _ip(value, stream)).when(kind.isin("given", "given_m", "given_f", "surname"), _built_name(value, stream, kind, longer))
             .otherwise(F.when(kind == "card", let(draft, lambda d: F.concat(d, _check_digit(value, d, stream)))).otherwise(draft))
         )
 
@@ -209,7 +248,8 @@ def units(mentions: Column) -> Column:
 def resolved(found: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, value, attempt, surrogate) of the different units (kind, value), no two surrogates of a kind alike.
 
-    Settled units are kept apart; each round tries the next replacement for the others only.
+    Settled units are kept apart; each round tries the next replacement for the others only. From round ``ATTEMPTS`` on,
+    replacements grow with the round, so that a free one is found whatever the values.
     """
     def tried(df: DataFrame) -> DataFrame:
         return df.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
@@ -219,7 +259,8 @@ def resolved(found: DataFrame, key: str = KEY) -> DataFrame:
     open_units = known.groupBy("kind", "same").agg(F.min("value").alias("value")).withColumn("attempt", F.lit(0))
     taken = known.select("kind", F.col("same").alias("surrogate_same")).distinct()
     done = None
-    for _ in range(ATTEMPTS):
+    tries = 0
+    while True:
         trial = tried(open_units).withColumn("surrogate_same", F.lower("surrogate"))
         if done is not None:
             used = done.select("kind", F.lower("surrogate").alias("surrogate_same")).union(taken)
@@ -233,8 +274,15 @@ def resolved(found: DataFrame, key: str = KEY) -> DataFrame:
         open_units = judged.where("not ok").select("kind", "same", "value", (F.col("attempt") + 1).alias("attempt"))
         if open_units.isEmpty():
             break
-    else:
-        raise RuntimeError("some values found no free surrogate; raise ATTEMPTS")
+        tries += 1
+        if tries == ATTEMPTS:
+            # a byte's addresses are permuted together: a place may be what another of them had drawn
+            byte = F.coalesce(F.when(F.col("kind") == "ip", F.substring_index("same", ".", 1).try_cast("int")), F.lit(-1))
+            full = [r["byte"] for r in open_units.select(byte.alias("byte")).where(F.col("byte").isin(*FIXED_BYTES) | (F.col("byte") >= 224)).distinct().collect()]  # at most 38
+            placed = settled(tried(done.drop("surrogate").unionByName(open_units).where(byte.isin(full)).withColumn("attempt", F.lit(-1))))
+            done, open_units = settled(done.where(~byte.isin(full)).unionByName(placed)), settled(open_units.where(~byte.isin(full)))
+            if open_units.isEmpty():
+                break
     spelled = known.select("kind", "same", "value").join(done.select("kind", "same", "attempt"), ["kind", "same"]).select("kind", "value", "attempt")
     return tried(spelled)
 
@@ -244,7 +292,7 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     from_text = F.col("text")
     found = docs.where(from_text.rlike(GATE)).select(F.explode(F.flatten(units(entities(from_text)))).alias("u")).select("u.*").where("kind <> 'title'").distinct()
     every = resolved(found, key)
-    moved = stored(every.where("attempt > 0").select("kind", "value", "attempt"), "surrogate-attempts")
+    moved = stored(every.where("attempt <> 0").select("kind", "value", "attempt"), "surrogate-attempts")
     columns = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     keyed = docs.withColumn("__mentions", entities(from_text))
     if moved.isEmpty():

@@ -262,6 +262,30 @@ def test_surrogates_stay_distinct_where_they_collide(spark):
     assert len(set(texts)) == len(names)
 
 
+def test_values_without_a_free_surrogate_are_replaced(spark, monkeypatch):
+    monkeypatch.setattr(U, "ATTEMPTS", 2)
+    masks = ["password: ********", "token = ------", 'pwd="......"']
+    odd = ["password: !@#$%^&*", "token=สวัสดีครับ", "สมชาย@ไทย.com", "secret: ****7***"]
+    full = [f"{c}@b.co" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"{d}@b.co" for d in range(10)] + [f"pwd=*****{d}" for d in range(10)]
+    texts = masks + odd + full
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["__entities"], r["text"]) for r in U.with_surrogates(docs).collect()}
+    for i, old in enumerate(texts):
+        assert got[i] == (0, old) if i < len(masks) else got[i][0] == 1 and got[i][1] != old
+    assert len({text for _, text in got.values()}) == len(texts)
+    assert not set("สวัดีครบมชยไท") & set("".join(text for _, text in got.values()))
+
+
+def test_full_address_ranges_are_permuted(spark, monkeypatch):
+    monkeypatch.setattr(U, "ATTEMPTS", 1)
+    found = spark.range(1 << 16).select(F.lit("ip").alias("kind"), F.concat_ws(".", F.lit("192.168"), F.floor(F.col("id") / 256), F.col("id") % 256).alias("value"))
+    found = found.union(spark.createDataFrame([("ip", v) for v in ("192.1.2.3", "10.0.0.7", "8.8.8.8", "172.16.0.1")], "kind string, value string"))
+    got = {r["value"]: r["surrogate"] for r in U.resolved(found).collect()}
+    assert len(got) == len(set(got.values())) == (1 << 16) + 4 and all(a != b for a, b in got.items())
+    assert all(b.startswith("192.168.") == a.startswith("192.168.") and all(0 <= int(x) <= 255 for x in b.split(".")) for a, b in got.items())
+    assert got["10.0.0.7"].startswith("10.") and not got["192.1.2.3"].startswith("192.168.")
+
+
 @pytest.fixture(scope="module")
 def sampler():
     return P.Sampler(P.model_path(), 2, 1.0)
