@@ -10,7 +10,8 @@ key, the entity's kind and its value, so every mention of a value is replaced al
 * a card number that passes the Luhn check gets one that passes it; an IPv4 address stays valid, and private if it was;
   phone numbers keep their country code; an e-mail's domain depends on the domain alone and keeps its last label;
 * person names are made of syllables of their script with an ending of the gender that the title gives; a surname depends
-  on the surname alone, so "Mr. John Smith" and "Mr. Smith" share it.
+  on the surname alone, so "Mr. John Smith" and "Mr. Smith" share it. Further mentions of these words in the same text, with
+  a capital first letter, get the same replacements without a title; names that no title introduces in a text stay.
 
 Collision checks keep distinct values distinct: replacements of all values of the corpus are compared with one another and
 with the original values, and losers (all but the least value) move on to the next attempt until none is left. The
@@ -53,9 +54,10 @@ IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 CARD = r"(?<![\p{N}.-])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{15,16}|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{5})(?![\p{N}])"
 SSN = r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])"
 IP = r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{N}]|\.[0-9])"
-PHONE = r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|(?<![\p{N}-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4})(?![\p{N}])"
+PHONE = r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\+(?=(?:[ .()-]{0,2}[0-9]){8})[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{1,4}){1,7}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|(?<![\p{N}-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4})(?![\p{N}])"
 INITIALS = "".join(sorted({t[0] for t in MALE + FEMALE + OTHER}))
-NAME = r"(?=[" + INITIALS + r"])(?<![\p{L}])(?:" + TITLES + r")\.? (?:\p{Lu}[\p{L}'’-]+)(?: \p{Lu}[\p{L}'’-]+){0,2}"
+WORD = r"\p{Lu}(?:[\p{L}-]|['’](?!s(?!\p{L})))+"  # an 's stays outside
+NAME = r"(?=[" + INITIALS + r"])(?<![\p{L}])(?:" + TITLES + r")\.? " + WORD + "(?: " + WORD + "){0,2}"
 PATTERN = "|".join((EMAIL, SECRET, ACCESS, IBAN, IP, CARD, SSN, PHONE, NAME))
 #: Every entity holds one of these; texts without them are not searched further.
 GATE = r"[@=:]|[0-9](?:[0-9]{2}|\.[0-9])|\+[0-9]|[A-Z]{2}[0-9]{2}|A[KS]IA|[" + INITIALS + r"][\p{L}-]{1,10}+\.?+ \p{Lu}"
@@ -303,12 +305,25 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
         keyed = keyed.withColumn("__text_key", F.md5("text")).join(stored(hit, "surrogate-texts"), "__text_key", "left").drop("__text_key")
     parts = F.split(from_text, PATTERN, -1)
     swapped = F.transform(units(F.col("__mentions")), lambda us: F.array_join(F.transform(us, lambda u: _unit_text(u, F.col("__attempts"), key)), " "))
-    rebuilt = F.concat(F.array_join(F.zip_with(F.slice(parts, 1, F.size("__mentions")), swapped, lambda a, b: F.concat(a, b)), ""), F.element_at(parts, -1))
+    titled = F.filter(F.flatten(units(F.col("__mentions"))), lambda u: u["kind"].isin("given", "given_m", "given_f", "surname"))
+    named = F.transform(F.sort_array(F.array_distinct(titled), asc=False), lambda u: F.struct(F.lower(u["value"]).alias("word"), _unit_text(u, F.col("__attempts"), key).alias("text")))
+    keyed = keyed.withColumns({"__swapped": swapped, "__names": named})
+    further = lambda part: F.when(F.size("__names") > 0, _further(part, F.col("__names"))).otherwise(part)
+    rebuilt = F.array_join(F.zip_with(parts, F.concat("__swapped", F.array(F.lit(""))), lambda a, b: F.concat(further(a), b)), "")
     text = F.when(F.size("__mentions") > 0, rebuilt).otherwise(from_text)
     out = keyed.withColumn("__entities", F.size("__mentions")).withColumn("text", text)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__entities")
 
 
+def _further(part: Column, names: Column) -> Column:
+    """``part`` with the words of ``names`` (word, text) replaced, spelled as they stand or all in capitals."""
+    spelled = F.concat_ws("|", F.sort_array(F.transform(names, lambda n: n["word"]), asc=False))  # of two that begin alike, the longer first
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?-i:(?=\p{Lu}))(?:"), spelled, F.lit(r")(?!\p{L})"))
+    put = lambda word: let(F.element_at(F.filter(names, lambda n: n["word"] == F.lower(word)), 1)["text"], lambda t: F.when(F.upper(word) == word, F.upper(t)).when(F.upper(t) == t, F.initcap(t)).otherwise(t))
+    rest, words = F.split(part, pattern, -1), F.transform(F.regexp_extract_all(part, pattern, F.lit(0)), put)
+    return F.concat(F.array_join(F.zip_with(F.slice(rest, 1, F.size(words)), words, lambda a, b: F.concat(a, b)), ""), F.element_at(rest, -1))
+
+
 def _unit_text(u: Column, attempts: Column, key: str) -> Column:
     attempt = F.coalesce(F.element_at(attempts, F.concat_ws("\u001f", u["kind"], u["value"])), F.lit(0))
     return F.when(u["kind"] == "title", u["value"]).otherwise(surrogate(u["kind"], u["value"], attempt, key))

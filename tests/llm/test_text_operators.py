@@ -262,6 +262,24 @@ def test_surrogates_stay_distinct_where_they_collide(spark):
     assert len(set(texts)) == len(names)
 
 
+def test_further_mentions_and_short_groups_are_replaced(spark):
+    texts = [
+        "Anna Petrova came. Dr. Anna Petrova spoke. Petrova's car, PETROVA! Petrovan petrova (Anna) and Ms. Petrova’s friend",
+        "Mr. Jean-Luc O'Neil saw O'Neil, Jean-Luc and Jean", "Petrova alone", "г-н Иван Петров: Иван и Петров, ПЕТРОВ", "call +33 6 12 34 56 78 or +46 8 123 456 78, +1 2 3 4 is a sum",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in U.with_surrogates(docs).collect()}
+    a = re.fullmatch(r"(\w+) (\w+) came\. Dr\. (\w+) (\w+) spoke\. (\w+)'s car, (\w+)! Petrovan petrova \((\w+)\) and Ms\. (\w+)’s friend", got[0])
+    assert a and a[1] == a[3] == a[7] != "Anna" and a[2] == a[4] == a[5] == a[8] != "Petrova" and a[6] == a[2].upper()
+    b = re.fullmatch(r"Mr\. (\w+) (\w+) saw (\w+), (\w+) and Jean", got[1])
+    assert b and b[1] == b[4] and b[2] == b[3]
+    assert got[2] == texts[2]
+    c = re.fullmatch(r"г-н (\w+) (\w+): (\w+) и (\w+), (\w+)", got[3])
+    assert c and c[1] == c[3] != "Иван" and c[2] == c[4] != "Петров" and c[5] == c[2].upper()
+    d = re.fullmatch(r"call (\+33 \d \d\d \d\d \d\d \d\d) or (\+46 \d \d{3} \d{3} \d\d), \+1 2 3 4 is a sum", got[4])
+    assert d and d[1] != "+33 6 12 34 56 78" and d[2] != "+46 8 123 456 78"
+
+
 def test_values_without_a_free_surrogate_are_replaced(spark, monkeypatch):
     monkeypatch.setattr(U, "ATTEMPTS", 2)
     masks = ["password: ********", "token = ------", 'pwd="......"']
