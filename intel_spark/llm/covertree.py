@@ -115,7 +115,7 @@ def node_pairs(queries: Node, data: Node) -> list[tuple[int, int, float, float,
             continue
         dot, q, x = float(a.centre @ b.centre), float(np.linalg.norm(a.centre)), float(np.linalg.norm(b.centre))
         limit = reach(dot, q, x, a.radius, b.radius)
-        if limit * (1 + 1e-9) + 1e-6 < a.bound:
+        if limit + abs(limit) * 1e-9 + 1e-6 < a.bound:
             continue
         if a.leaf >= 0 and b.leaf >= 0:
             out.append((a.leaf, b.leaf, dot, q, x))
@@ -261,7 +261,7 @@ def exact_top_k(embeddings: DataFrame, is_query: Column, k: int = K) -> DataFram
 
     limit = reach(F.col("dot"), F.col("q"), F.col("x"), F.col("q_radius"), F.col("radius"))
     met = asked.select("q_leaf", "q_block", "q_radius").join(worst, ["q_leaf", "q_block"]).join(pairs, "q_leaf").join(data.select("leaf", "block", "radius"), "leaf")
-    met = met.where(limit * (1 + 1e-9) + 1e-6 >= F.col("worst")).select("q_leaf", "q_block", "leaf", "block")
+    met = met.where(limit + F.abs(limit) * 1e-9 + 1e-6 >= F.col("worst")).select("q_leaf", "q_block", "leaf", "block")
     # queries travel to the blocks of data, which are not copied before they are scored
     wide = met.join(asked.select("q_leaf", "q_block", "q_ids", "q_data"), ["q_leaf", "q_block"]).join(data.select("leaf", "block", "ids", "data"), ["leaf", "block"])
     best = _rank(near.union(_scored(wide, dims, k)), k)

@@ -203,6 +203,19 @@ def test_node_pairs_prune_and_lose_nothing():
             assert (at[i], at[j]) in pairs
 
 
+def test_attained_negative_bounds_are_not_pruned():
+    # copies at two places: every score across is the bound itself, and negative
+    points = np.repeat(np.array([[3000.0, 1.0], [-3000.0, 1.0]]), 20, axis=0)
+    root, leaves = C.build_tree(points, 20)
+    at = C.descend(root, points)
+    assert len(set(at)) == 2
+    C.set_radii(root, {int(n): 0.0 for n in set(at)})
+    own, other = int(at[0]), int(at[-1])
+    score = float(points[0] @ points[-1])
+    C.set_bounds(root, {own: score, other: score})
+    assert {(own, other), (other, own)} <= {(a, b) for a, b, *_ in C.node_pairs(root, root)}
+
+
 def brute_marginals(parents, unary, edge):
     n = len(parents)
     total = np.zeros((n, 2))
