@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from intel_spark.llm import centroids, covertree, decontaminate, html, jaccard, pieces, sharding, surrogates, tokencounts, toxicity, warc  # noqa: F401  (they register their queries)
+from intel_spark.llm import centroids, contexttree, covertree, decontaminate, html, jaccard, pieces, prefixtrie, sharding, surrogates, tokencounts, toxicity, warc  # noqa: F401  (they register their queries)
 from intel_spark.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
