@@ -5,9 +5,10 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from intel_spark.catalog.helpers import AS_OF, AS_OF_ORDERS, AS_OF_ORDERS_SQL, AS_OF_SQL
-from intel_spark.catalog.news import KEYS, keyed
+from intel_spark.catalog.news import CLUSTERS, KEYS, RULES, TIED, keyed
 from intel_spark.catalog.registry import query, r4, ts
 from intel_spark.operators import fusion, graph
+from intel_spark.operators.links import signal_links
 from intel_spark.plans import briefs as b
 from intel_spark.plans import listings as q
 
@@ -256,9 +257,16 @@ def _(psc):
     return q.psc_by_imo(psc, "9000042").select("id")
 
 
-@query("q26_list_correlations", inputs="signals", oracle=f"WITH {KEYS} SELECT ar AS a_ref, br AS b_ref FROM pp ORDER BY score DESC, ar, br LIMIT 100")
+@query("q26_list_correlations", inputs="signals", oracle=f"WITH {KEYS}, {TIED} SELECT ar AS a_ref, br AS b_ref FROM rp ORDER BY score DESC, ar, br LIMIT 100")
 def _(signals):
-    return q.list_correlations(fusion.score_pairs(keyed(signals), 240, 0.3, 60), None, 0.3).select("a_ref", "b_ref")
+    return q.list_correlations(fusion.representative_pairs(keyed(signals), RULES), None, 0.3).select("a_ref", "b_ref")
+
+
+@query("q26_list_composite_alerts", inputs="signals", oracle=f"""
+    WITH RECURSIVE {KEYS}, {CLUSTERS} SELECT anchor, confidence FROM (SELECT concat('entity:', ke) AS anchor, rk, {r4('round(least(1.0, mean * (1 + 0.1 * (nd - 3))), 3)', 'confidence')}, CASE WHEN nd >= 4 AND rk < 3 THEN rk + 1 ELSE rk END AS r,
+      substr(sha1(concat('entity:', ke, '|', strftime(ws, '%Y-%m-%d'))), 1, 40) AS fingerprint, domains FROM fa JOIN ms USING (cluster)) WHERE r = 3 AND contains(domains, 'market') AND confidence >= 0.5 ORDER BY r DESC, confidence DESC, fingerprint LIMIT 50""")
+def _(signals):
+    return q.list_composites(fusion.composite_alerts(keyed(signals), RULES), "critical", "market", 0.5).select("anchor", "confidence")
 
 
 @query("q26_list_composites", inputs="signals", oracle="SELECT id, severity FROM {signals} WHERE severity = 'critical' AND domain = 'legal' ORDER BY id % 100 DESC, substr(sha1(CAST(id AS STRING)), 1, 40) LIMIT 50")
@@ -355,11 +363,11 @@ def _(listings, updates):
 
 
 @query("g20_cross_domain_brief", inputs="signals", oracle=f"""
-    WITH {KEYS}, r AS (SELECT * FROM {{signals}} WHERE ts {BETWEEN}) SELECT 'summary' AS section, 'signals' AS metric, CAST(count(*) AS DOUBLE) AS value FROM r UNION ALL SELECT 'signals', concat('domain:', domain), count(*) FROM r GROUP BY 2 UNION ALL SELECT 'signals', concat('severity:', severity), count(*) FROM r GROUP BY 2
-    UNION ALL SELECT 'summary', 'correlations', count(*) FROM pp UNION ALL SELECT 'correlations', concat('type:', ad, '_', bd), count(*) FROM pp GROUP BY 2 UNION ALL SELECT 'summary', 'composite_alerts', 0""")
+    WITH RECURSIVE {KEYS}, {CLUSTERS}, r AS (SELECT * FROM {{signals}} WHERE ts {BETWEEN}), al AS (SELECT ['low', 'medium', 'high', 'critical'][CASE WHEN nd >= 4 AND rk < 3 THEN rk + 2 ELSE rk + 1 END] AS severity FROM fa) SELECT 'summary' AS section, 'signals' AS metric, CAST(count(*) AS DOUBLE) AS value FROM r UNION ALL SELECT 'signals', concat('domain:', domain), count(*) FROM r GROUP BY 2 UNION ALL SELECT 'signals', concat('severity:', severity), count(*) FROM r GROUP BY 2
+    UNION ALL SELECT 'summary', 'correlations', count(*) FROM pp UNION ALL SELECT 'correlations', concat('type:', least(ad, bd), '_', greatest(ad, bd)), count(*) FROM pp GROUP BY 2 UNION ALL SELECT 'summary', 'composite_alerts', count(*) FROM al UNION ALL SELECT 'composite_alerts', concat('severity:', severity), count(*) FROM al GROUP BY 2""")
 def _(signals):
     s = keyed(signals)
-    return b.cross_domain_brief(s, fusion.score_pairs(s, 240, 0.3, 60), s.where("false"), START, END)
+    return b.cross_domain_brief(s, signal_links(s, RULES, apart=True), fusion.composite_alerts(s, RULES), START, END)
 
 
 @query("g20_daily_digest", inputs="vessels breaches evasion sts port_calls list_updates", oracle="""

@@ -10,6 +10,7 @@ from intel_spark.operators import events as v
 from intel_spark.operators import fusion as f
 from intel_spark.operators import monitors as m
 from intel_spark.operators import names as n
+from intel_spark.operators.links import key_links, signal_links
 
 WATCHED = ", ".join(f"'{c}'" for c in v.WATCHLIST)
 SLUG = "CASE CAST(id AS BIGINT) % 8 WHEN 0 THEN 'Tanker seized near hormuz by iranian forces' WHEN 1 THEN 'Missile strike hits oil refinery pipeline' WHEN 2 THEN 'Celebrity couple fights over custody' WHEN 3 THEN 'New sanctions hit russian shipping fleet' WHEN 4 THEN 'Port of odesa closed after attack' WHEN 6 THEN 'Parliament election protest in france' END"
@@ -204,33 +205,63 @@ def keyed(signals):
 
 
 KEYS = """sg AS (SELECT *, concat(type, ':', CAST(id AS STRING)) AS ref FROM {signals}), ky AS (SELECT ref, domain, ts, 'entity' AS kind, k_entity AS val FROM sg UNION ALL SELECT ref, domain, ts, 'country', k_country FROM sg UNION ALL SELECT ref, domain, ts, 'sector', k_sector FROM sg),
-    vg AS (SELECT kind, val FROM ky WHERE kind <> 'entity' AND val IS NOT NULL GROUP BY 1, 2 HAVING count(*) > CASE kind WHEN 'country' THEN 40 ELSE 25 END), hl AS (SELECT ky.* FROM ky LEFT JOIN vg USING (kind, val) WHERE vg.kind IS NULL AND ky.val IS NOT NULL),
-    cp AS (SELECT DISTINCT a.ref AS ar, b.ref AS br FROM hl a JOIN hl b ON a.kind = b.kind AND a.val = b.val AND a.ref < b.ref AND a.domain <> b.domain AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 864000000000),
-    ps AS (SELECT ar, br, a.domain AS ad, b.domain AS bd, a.ts AS ats, b.ts AS bts, a.k_entity = b.k_entity AS se, a.k_country = b.k_country AS sc, a.k_sector = b.k_sector AS ss, a.k_entity AS ke, abs(epoch_us(a.ts) - epoch_us(b.ts)) / 3.6e9 AS h FROM cp JOIN sg a ON a.ref = ar JOIN sg b ON b.ref = br),
-    sr AS (SELECT *, least(1.0e0, CASE WHEN se THEN 0.8e0 ELSE 0 END + CASE WHEN sc THEN 0.35e0 * 0.8e0 ELSE 0 END + CASE WHEN ss THEN 0.25e0 * 0.8e0 ELSE 0 END) AS raw, CASE WHEN se THEN 240 ELSE 60 END AS win FROM ps), pz AS (SELECT *, round(raw * (1 - 0.5e0 * (h / win)), 3) AS score FROM sr WHERE h <= win), pp AS (SELECT * FROM pz WHERE score >= 0.3)"""
+    cp AS (SELECT a.ref AS ar, b.ref AS br, a.domain AS ad, b.domain AS bd, a.ts AS ats, b.ts AS bts, a.k_entity = b.k_entity AS se, a.k_country = b.k_country AS sc, a.k_sector = b.k_sector AS ss, a.k_entity AS ke, a.k_country AS kc, abs(epoch_us(a.ts) - epoch_us(b.ts)) / 3.6e9 AS h
+      FROM sg a JOIN sg b ON a.k_entity = b.k_entity AND a.ref < b.ref AND a.domain <> b.domain UNION ALL
+      SELECT a.ref, b.ref, a.domain, b.domain, a.ts, b.ts, false, true, a.k_sector = b.k_sector, a.k_entity, a.k_country, abs(epoch_us(a.ts) - epoch_us(b.ts)) / 3.6e9 FROM sg a JOIN sg b ON a.k_country = b.k_country AND a.k_entity <> b.k_entity AND a.ref < b.ref AND a.domain <> b.domain),
+    sr AS (SELECT *, least(1.0e0, CASE WHEN se THEN 0.8e0 ELSE 0 END + CASE WHEN sc THEN 0.35e0 * 0.8e0 ELSE 0 END + CASE WHEN ss THEN 0.25e0 * 0.8e0 ELSE 0 END) AS raw, CASE WHEN se THEN 240 ELSE 60 END AS win FROM cp), pz AS (SELECT *, raw * (1 - 0.5e0 * (h / win)) AS exact FROM sr WHERE h <= win), pp AS (SELECT *, round(exact, 3) AS score FROM pz WHERE round(exact, 3) >= 0.3)"""
+RULES = f.Rules(240, 0.3, 60)
 
 
-@query("j17_key_pairs", inputs="signals", oracle=f"WITH {KEYS} SELECT ar AS a_ref, br AS b_ref FROM cp")
+@query("j17_key_pairs", inputs="signals", oracle="""
+    WITH sg AS (SELECT *, concat(type, ':', CAST(id AS STRING)) AS ref FROM {signals}), ky AS (SELECT ref, domain, ts, 'entity' AS kind, k_entity AS value FROM sg UNION ALL SELECT ref, domain, ts, 'country', k_country FROM sg UNION ALL SELECT ref, domain, ts, 'sector', k_sector FROM sg),
+    m AS (SELECT a.kind, a.value, a.ref, count(*) AS n, min({'t': b.ts, 'r': b.ref}) FILTER (b.ts > a.ts OR (b.ts = a.ts AND b.ref > a.ref)) AS nx FROM ky a JOIN ky b ON a.kind = b.kind AND a.value = b.value AND a.domain <> b.domain AND b.ts BETWEEN a.ts - INTERVAL 240 HOUR AND a.ts + INTERVAL 240 HOUR GROUP BY 1, 2, 3)
+    SELECT ky.kind, ky.value, ky.ref, coalesce(n, 0) AS partners, nx.r AS next_ref FROM ky LEFT JOIN m USING (kind, value, ref)""")
 def _(signals):
-    return f.key_pairs(keyed(signals), 240)
+    return key_links(keyed(signals), 240).select("kind", "value", "ref", "partners", "next_ref")
 
 
-@query("x21_score_pairs", inputs="signals", oracle=f"WITH {KEYS} SELECT ar AS a_ref, br AS b_ref, {r4('score')}, se AS strong, CASE WHEN se THEN 'entity' WHEN sc THEN 'geographic' ELSE 'topical' END AS link_type FROM pp")
+@query("x21_score_pairs", inputs="signals", oracle=f"""
+    WITH {KEYS}, e AS (SELECT ar AS ref, bd AS other, se, exact FROM pp UNION ALL SELECT br, ad, se, exact FROM pp) SELECT ref, count(*) AS links, count(*) FILTER (se) AS strong_links, {r4('round(coalesce(sum(exact) FILTER (se), 0), 4)', 'strong_score')} FROM e GROUP BY 1""")
 def _(signals):
-    return f.score_pairs(keyed(signals), 240, 0.3, 60).select("a_ref", "b_ref", "score", "strong", "link_type")
+    return signal_links(keyed(signals), RULES).select("ref", "links", "strong_links", F.round("strong_score", 4).alias("strong_score"))
+
+
+@query("x21_links_by_domain", inputs="signals", oracle=f"""
+    WITH {KEYS} SELECT ref, other, count(*) AS links FROM (SELECT ar AS ref, bd AS other FROM pp UNION ALL SELECT br, ad FROM pp) GROUP BY 1, 2""")
+def _(signals):
+    return signal_links(keyed(signals), RULES, apart=True).select("ref", "other", "links")
+
+
+# the key sets whose ties join everything: the entity alone, and country with sector
+TIED = """gs AS (SELECT ref, domain, ts, concat('e', k_entity) AS g, 240 AS lim FROM sg UNION ALL SELECT ref, domain, ts, concat('c', k_country, '|', k_sector), 45 FROM sg),
+    td AS (SELECT a.ref, a.lim, a.ts, unnest([max({'t': b.ts, 'r': b.ref}) FILTER (b.ts < a.ts OR (b.ts = a.ts AND b.ref < a.ref)), min({'t': b.ts, 'r': b.ref}) FILTER (b.ts > a.ts OR (b.ts = a.ts AND b.ref > a.ref))]) AS o FROM gs a JOIN gs b ON a.g = b.g AND a.domain <> b.domain GROUP BY a.ref, a.g, a.lim, a.ts),
+    rp AS (SELECT pp.* FROM pp JOIN (SELECT DISTINCT least(ref, o.r) AS ar, greatest(ref, o.r) AS br FROM td WHERE o IS NOT NULL AND abs(epoch_us(ts) - epoch_us(o.t)) <= lim * 3600000000) USING (ar, br))"""
+
+
+@query("x21_representative_pairs", inputs="signals", oracle=f"WITH {KEYS}, {TIED} SELECT ar AS a_ref, br AS b_ref, {r4('score')}, se AS strong, CASE WHEN se THEN 'entity' WHEN sc THEN 'geographic' ELSE 'topical' END AS link_type FROM rp")
+def _(signals):
+    return f.representative_pairs(keyed(signals), RULES).select("a_ref", "b_ref", "score", "strong", "link_type")
 
 
 CLUSTERS = """st AS (SELECT * FROM pp WHERE se), un AS (SELECT ar AS a, br AS b FROM st UNION SELECT br, ar FROM st), rr AS (SELECT a AS node, a AS root FROM un UNION SELECT un.b, rr.root FROM rr JOIN un ON un.a = rr.node), cl AS (SELECT node, min(root) AS cluster FROM rr GROUP BY 1),
     me AS (SELECT cluster, sg.*, CASE severity WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 3 END AS rk FROM cl JOIN sg ON sg.ref = node), fa AS (SELECT cluster, count(DISTINCT domain) AS nd, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains, min(ts) AS ws, max(ts) AS we, count(*) AS members, max(rk) AS rk FROM me GROUP BY 1 HAVING count(DISTINCT domain) >= 3),
-    ms AS (SELECT cluster, avg(score) AS mean, count(*) AS pairs, mode(ke) AS ke FROM st JOIN cl ON node = ar GROUP BY 1)"""
+    ms AS (SELECT cluster, avg(exact) AS mean, count(*) AS pairs, mode(ke) AS ke FROM st JOIN cl ON node = ar GROUP BY 1),
+    sk AS (SELECT cluster, string_agg(concat(kind, ':', val), ',' ORDER BY n DESC, concat(kind, ':', val)) AS shared_keys FROM (SELECT cluster, kind, val, count(*) AS n, row_number() OVER (PARTITION BY cluster ORDER BY kind = 'sector', count(*) DESC, concat(kind, ':', val)) AS k FROM
+      (SELECT cluster, 'entity' AS kind, ke AS val FROM st JOIN cl ON node = ar UNION ALL SELECT cluster, 'country', kc FROM st JOIN cl ON node = ar WHERE sc UNION ALL SELECT cluster, 'sector', sg.k_sector FROM st JOIN cl ON node = ar JOIN sg ON sg.ref = ar WHERE ss) GROUP BY 1, 2, 3) WHERE k <= 8 AND kind <> 'sector' GROUP BY 1)"""
 
 
 @query("x22_composite_alerts", inputs="signals", oracle=f"""
     WITH RECURSIVE {KEYS}, {CLUSTERS} SELECT concat('entity:', ke) AS anchor, domains, {ts('ws', 'window_start')}, {ts('we', 'window_end')}, members, pairs, {r4('round(least(1.0, mean * (1 + 0.1 * (nd - 3))), 3)', 'confidence')}, ['low', 'medium', 'high', 'critical'][CASE WHEN nd >= 4 AND rk < 3 THEN rk + 2 ELSE rk + 1 END] AS severity,
-    substr(sha1(concat('entity:', ke, '|', strftime(ws, '%Y-%m-%d'))), 1, 40) AS fingerprint FROM fa JOIN ms USING (cluster)""")
+    substr(sha1(concat('entity:', ke, '|', strftime(ws, '%Y-%m-%d'))), 1, 40) AS fingerprint, shared_keys FROM fa JOIN ms USING (cluster) JOIN sk USING (cluster)""")
 def _(signals):
-    s = keyed(signals)
-    return f.composite_alerts(f.score_pairs(s, 240, 0.3, 60), s).select("anchor", "domains", "window_start", "window_end", "members", "pairs", "confidence", "severity", "fingerprint")
+    return f.composite_alerts(keyed(signals), RULES).select("anchor", "domains", "window_start", "window_end", "members", "pairs", "confidence", "severity", "fingerprint", "shared_keys")
+
+
+@query("x22_alert_signals", inputs="signals", oracle=f"""
+    WITH RECURSIVE {KEYS}, {CLUSTERS}, ls AS (SELECT cluster, type, id, severity, domain, row_number() OVER (PARTITION BY cluster ORDER BY rk DESC, ts, ref) AS k FROM me) SELECT concat('entity:', ke) AS anchor, type, id, severity, domain FROM ls JOIN fa USING (cluster) JOIN ms USING (cluster) WHERE k <= 25""")
+def _(signals):
+    found = f.composite_alerts(keyed(signals), RULES).select("anchor", F.explode("signals").alias("s"))
+    return found.select("anchor", "s.type", "s.id", "s.severity", "s.domain")
 
 
 @query("g18_fusion_timeline", inputs="signals", oracle=f"""
@@ -244,7 +275,7 @@ def _(signals):
     ORDER BY CASE severity WHEN 'high' THEN 1 ELSE 0 END, coalesce(k, 0) DESC, ts DESC, sg.ref LIMIT 200""")
 def _(signals):
     s = keyed(signals)
-    return f.fusion_queue(s, f.score_pairs(s, 240, 0.3, 60), "high").select("ref", "severity", "correlations")
+    return f.fusion_queue(s, signal_links(s, RULES), "high").select("ref", "severity", "correlations")
 
 
 @query("x20_collect_signals", inputs="vessels breaches evasion sts port_calls list_updates geo_events", oracle="""

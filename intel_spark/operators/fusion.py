@@ -4,21 +4,19 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from intel_spark.functions.scoring import half_decay, rank_severity, severity_rank
+from intel_spark.functions.scoring import rank_severity, severity_rank
 from intel_spark.functions.text import fingerprint
 from intel_spark.functions.vessel import lookup
 from intel_spark.operators.graph import connected_components
+from intel_spark.operators.links import Rules, scored, strong_links, tied
 from intel_spark.operators.sanctions import insert_if_absent
 from intel_spark.operators.timeline import top_per_key
 from intel_spark.session import checkpoint_ready
 
-# What a shared key of each kind says, which kinds identify one thing, and how common a vague key may be.
-KEY_WEIGHTS = {"vessel": 0.9, "entity": 0.8, "wallet": 0.8, "company": 0.75, "aircraft": 0.9, "domain": 0.8, "facility": 0.6, "country": 0.35, "asset": 0.35, "sector": 0.25, "theme": 0.3}
-STRONG_KINDS = ["vessel", "entity", "wallet", "company", "facility", "aircraft", "domain"]
-WEAK_GROUP_LIMIT = {"country": 40, "asset": 60, "sector": 25, "theme": 25}
+# Which domain a kind of signal belongs to, and how keys are spoken of.
 DOMAINS = {
     "market_alert": "market", "coordination_event": "market", "liquidation_cascade": "market", "sanctions_breach": "maritime", "evasion_event": "maritime", "transshipment": "maritime", "port_call": "maritime",
     "sanctions_update": "sanctions", "geopolitical_event": "geopolitical", "blockchain_tx": "blockchain", "corporate_exposure": "corporate", "dark_oil": "energy", "oil_shipment": "energy", "aircraft_sighting": "aviation",
@@ -161,70 +159,41 @@ def collect_signals(tables: dict[str, DataFrame], since: datetime) -> DataFrame:
     return out
 
 
-def key_pairs(signals: DataFrame, window_hours: float = 48.0, weak_limits: dict[str, int] | None = WEAK_GROUP_LIMIT) -> DataFrame:
-    """Pairs of signals of different domains that share a key and lie within the window of each other.
+def representative_pairs(signals: DataFrame, rules: Rules = Rules(), strong: bool = False) -> DataFrame:
+    """For every signal that has a passing link, the nearest passing ones in time per key set, with score and type.
 
-    Keys are cut into slots as wide as the window and a signal meets its own slot and the next one only, so a key's
-    join groups are bounded by what happens in two windows, however many signals hold the key. Keys that identify one
-    thing always count; a vague key (country, sector) held by more signals than ``weak_limits`` says is no lead by
-    itself, but still adds to the score of pairs found otherwise. None lifts these limits, at the price of nearly all pairs.
+    The number of pairs grows with the signals, not with the square of a key's holders; ``signal_links`` counts all links.
     """
-    width = int(window_hours * 3_600_000_000)
-    held = signals.select("ref", "domain", F.unix_micros("ts").alias("us"), F.explode("keys").alias("k")).select("ref", "domain", "us", "k.kind", "k.value", F.floor(F.col("us") / width).alias("slot"))
-    if weak_limits:
-        vague = held.where(F.col("kind").isin(list(weak_limits))).groupBy("kind", "value").agg(F.count("*").alias("n"))
-        held = held.join(vague.where(F.col("n") > F.try_element_at(lookup(weak_limits), F.col("kind"))), ["kind", "value"], "left_anti")
-    early = held.select(F.col("ref").alias("e_ref"), F.col("domain").alias("e_domain"), F.col("us").alias("e_us"), F.col("slot").alias("e_slot"), "kind", "value", F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    met = early.join(held, ["kind", "value", "slot"]).where((F.col("e_domain") != F.col("domain")) & (F.abs(F.col("e_us") - F.col("us")) <= width))
-    # two signals of one slot meet twice, those of neighbouring slots once
-    once = (F.col("e_ref") != F.col("ref")) & ((F.col("e_slot") < F.col("slot")) | (F.col("e_ref") < F.col("ref")))
-    return met.where(once).select(F.least("e_ref", "ref").alias("a_ref"), F.greatest("e_ref", "ref").alias("b_ref")).distinct()
-
-
-def score_pairs(signals: DataFrame, window_hours: float = 48.0, min_score: float = 0.45, weak_window_hours: float = 6.0) -> DataFrame:
-    """Score of each candidate pair over all the keys the two share."""
-    side = lambda p: signals.select(*[F.col(c).alias(f"{p}_{c}") for c in ("ref", "type", "id", "domain", "ts", "severity", "keys", "summary")])
-    both = key_pairs(signals, window_hours).join(side("a"), "a_ref").join(side("b"), "b_ref").withColumn("common", F.array_intersect("a_keys", "b_keys"))
-    of_kind = lambda kind: F.filter("common", lambda k: k["kind"] == kind)
-    raw, shared = F.lit(0.0), []
-    for kind, weight in KEY_WEIGHTS.items():
-        n = F.size(of_kind(kind))
-        share = F.lit(weight) if kind in STRONG_KINDS else weight * F.least(F.lit(1.0), 0.6 + 0.2 * n)
-        raw = raw + F.when(n > 0, share).otherwise(0.0)
-        shared.append(F.array_sort(F.transform(of_kind(kind), lambda k: F.concat_ws(":", k["kind"], k["value"]))))
-    both = both.withColumn("shared", F.concat(*shared)).withColumn("raw", F.least(F.lit(1.0), raw)).withColumn("strong", F.exists("common", lambda k: k["kind"].isin(STRONG_KINDS)))
-    window = F.when(F.col("strong"), F.lit(float(window_hours))).otherwise(F.lit(float(min(window_hours, weak_window_hours))))
-    factor = half_decay(F.col("a_ts"), F.col("b_ts"), window)
-    scored = both.withColumn("score", F.round(F.col("raw") * factor, 3)).where((F.col("score") >= min_score) & (factor > 0))
+    found = scored(tied(signals, rules, strong), signals, rules)
     strongest = F.substring_index(F.col("shared")[0], ":", 1)
-    minutes = F.floor(F.abs(F.unix_micros("b_ts") - F.unix_micros("a_ts")) / 6e7)
-    return scored.select(
-        "a_ref", "a_type", "a_id", "a_domain", "a_ts", "a_severity", "a_summary", "b_ref", "b_type", "b_id", "b_domain", "b_ts", "b_severity", "b_summary", "score", "shared", "strong", minutes.alias("delta_min"),
+    return found.select(
+        "a_ref", "a_type", "a_id", "a_domain", "a_ts", "a_severity", "a_summary", "b_ref", "b_type", "b_id", "b_domain", "b_ts", "b_severity", "b_summary", "score", "shared", "strong", "delta_min",
         F.coalesce(F.try_element_at(lookup(LINK_TYPES), strongest), F.lit("temporal")).alias("link_type"), F.concat_ws("_", "a_domain", "b_domain").alias("correlation_type"),
     )
 
 
-def composite_alerts(pairs: DataFrame, signals: DataFrame, min_domains: int = 3, max_signals: int = 25, max_keys: int = 8, existing: DataFrame | None = None) -> DataFrame:
-    """Strong pairs connected into clusters over at least ``min_domains`` domains, with anchor, severity and text.
+def composite_alerts(signals: DataFrame, rules: Rules = Rules(), min_domains: int = 3, max_signals: int = 25, max_keys: int = 8, existing: DataFrame | None = None) -> DataFrame:
+    """Signals joined by strong links into clusters over at least ``min_domains`` domains, with anchor, severity and text.
 
-    Counts, scores and dates are over all members and pairs; an alert lists its ``max_signals`` worst signals and its
-    ``max_keys`` commonest keys, so a cluster of any size stays spread out. The pairs are worked out once.
+    Counts, scores and dates are over all members and all strong links, which are counted and not listed; an alert lists
+    its ``max_signals`` worst signals and its ``max_keys`` commonest keys, so a cluster of any size stays spread out.
     """
-    checkpoint_ready(pairs.sparkSession)
-    strong = pairs.where("strong").select("a_ref", "b_ref", "score", "shared").checkpoint()
-    parts = connected_components(strong.select(F.col("a_ref").alias("src"), F.col("b_ref").alias("dst"))).withColumnRenamed("component", "cluster")
+    checkpoint_ready(signals.sparkSession)
+    edges = tied(signals, rules, strong=True).checkpoint()
+    parts = connected_components(edges.select(F.col("a_ref").alias("src"), F.col("b_ref").alias("dst"))).withColumnRenamed("component", "cluster")
     members = parts.join(signals.select(F.col("ref").alias("node"), "type", "id", "domain", "ts", "severity", "summary"), "node")
     facts = members.groupBy("cluster").agg(F.array_sort(F.collect_set("domain")).alias("domains"), F.min("ts").alias("window_start"), F.max("ts").alias("window_end"), F.count("*").alias("members"), F.max(severity_rank(F.col("severity"))).alias("rank")).where(F.size("domains") >= min_domains)
-    linked = strong.join(parts.withColumnRenamed("node", "a_ref"), "a_ref")
-    scores = linked.groupBy("cluster").agg(F.avg("score").alias("mean_score"), F.count("*").alias("pairs"))
-    counted = linked.select("cluster", F.explode("shared").alias("key")).groupBy("cluster", "key").agg(F.count("*").alias("n")).withColumn("vague", F.col("key").rlike("^(sector|theme):"))
-    ranked = top_per_key(counted, ["cluster"], [F.col("vague"), F.col("n").desc(), F.col("key")], max_keys, "k")
-    # strong pairs always share a specific key, so the first one is never a vague one
+    cluster_of = parts.withColumnRenamed("node", "ref")
+    links, key_counts = strong_links(signals, rules)
+    counted = links.join(cluster_of, "ref").groupBy("cluster").agg((F.sum("strong_links") / 2).cast("long").alias("pairs"), (F.sum("strong_score") / F.sum("strong_links")).alias("mean_score"))
+    held = key_counts.join(cluster_of, "ref").groupBy("cluster", "key").agg(F.sum("n").alias("n")).withColumn("vague", F.col("key").rlike("^(sector|theme):"))
+    ranked = top_per_key(held, ["cluster"], [F.col("vague"), F.col("n").desc(), F.col("key")], max_keys, "k")
+    # strong links always share a specific key, so the first one is never a vague one
     keys = ranked.groupBy("cluster").agg(F.min_by("key", "k").alias("anchor"), F.transform(F.array_sort(F.collect_list(F.struct("k", "key", "vague"))), lambda x: F.when(~x["vague"], x["key"])).alias("shared"))
     best = top_per_key(members.withColumn("_s", severity_rank(F.col("severity"))), ["cluster"], [F.col("_s").desc(), F.col("ts"), F.col("node")], max_signals, "k")
     entry = F.struct("k", "type", "id", "summary", "ts", "severity", "domain")
     listed = best.groupBy("cluster").agg(F.array_sort(F.collect_list(entry)).alias("signals"))
-    out = facts.join(scores, "cluster").join(keys, "cluster").join(listed, "cluster")
+    out = facts.join(counted, "cluster").join(keys, "cluster").join(listed, "cluster")
     n = F.size("domains")
     rank = F.when((n >= 4) & (F.col("rank") < 3), F.col("rank") + 1).otherwise(F.col("rank"))
     kind, value = F.substring_index("anchor", ":", 1), F.expr("substring(anchor, instr(anchor, ':') + 1)")
@@ -254,13 +223,12 @@ def fusion_timeline(signals: DataFrame, as_of: datetime, hours: int = 48, bucket
     return recent.groupBy(slot.alias("time")).pivot("domain", sorted(set(DOMAINS.values()))).count().fillna(0)
 
 
-def fusion_queue(signals: DataFrame, pairs: DataFrame, min_severity: str = "low", domains: list[str] | None = None, limit: int | None = 200) -> DataFrame:
-    """Signals with their number of correlations, worst, most linked and newest first."""
-    links = pairs.select(F.explode(F.array("a_ref", "b_ref")).alias("ref")).groupBy("ref").agg(F.count("*").alias("correlations"))
+def fusion_queue(signals: DataFrame, links: DataFrame, min_severity: str = "low", domains: list[str] | None = None, limit: int | None = 200) -> DataFrame:
+    """Signals with their number of correlations, worst, most linked and newest first; ``links`` is (ref, links)."""
     kept = signals.where(severity_rank(F.col("severity")) >= severity_rank(F.lit(min_severity)))
     if domains:
         kept = kept.where(F.col("domain").isin(domains))
-    out = kept.join(links, "ref", "left").withColumn("correlations", F.coalesce("correlations", F.lit(0))).orderBy(severity_rank(F.col("severity")).desc(), F.col("correlations").desc(), F.col("ts").desc(), "ref")
+    out = kept.join(links.select("ref", F.col("links").alias("correlations")), "ref", "left").withColumn("correlations", F.coalesce("correlations", F.lit(0))).orderBy(severity_rank(F.col("severity")).desc(), F.col("correlations").desc(), F.col("ts").desc(), "ref")
     return out if limit is None else out.limit(limit)
 
 

@@ -11,6 +11,7 @@ from intel_spark.functions.vessel import types_conflict
 
 # Flags under comprehensive programmes, and match labels.
 COMPREHENSIVE_PROGRAMS = {"IR": "IRAN", "KP": "DPRK", "SY": "SYRIA", "CU": "CUBA"}
+PARTY_MIN = 0.9  # similarity of owners and operators
 MATCH_LABELS = {"imo": "IMO", "mmsi": "MMSI", "name_exact": "name", "name_fuzzy": "name (fuzzy)", "owner": "owner", "operator": "operator", "beneficial_owner": "beneficial owner"}
 
 
@@ -20,55 +21,94 @@ def listing_names(listings: DataFrame) -> DataFrame:
     return listings.select(F.col("id").alias("listing_id"), "entity_type", F.explode(names).alias("listed_name")).where(F.col("listed_name") != "")
 
 
-def _with_grams(names: DataFrame, col: str, width: int) -> DataFrame:
-    """Distinct character grams; a name shorter than one gram is its own."""
-    grams = F.array_distinct(F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{width}}}))"), 1))
-    return names.withColumn("_grams", F.when(F.length(col) >= width, grams).otherwise(F.array(col)))
+HOT_SEGMENT = 2_000  # names that hold one segment and are met by one task
 
 
-def similar_names(left: DataFrame, right: DataFrame, left_col: str, right_col: str, min_ratio: float, mode: str = "levenshtein") -> DataFrame:
+def _segments(name: Column, edits: Column) -> Column:
+    """A name cut evenly into one part more than the edits it may take: array of struct(length, part, text)."""
+    size, parts = F.length(name), edits + 1
+    base = F.floor(size / parts).cast("int")
+    plain = parts - size % parts  # parts of the base length; the others are one longer
+
+    def part(j: Column) -> Column:
+        start = j * base + F.greatest(F.lit(0), j - plain)
+        return F.struct(size.alias("size"), j.alias("part"), F.substring(name, start + 1, base + F.when(j >= plain, 1).otherwise(0)).alias("segment"))
+
+    return F.transform(F.sequence(F.lit(0), edits), part)
+
+
+def _probes(name: Column, edits, longest: Column, least: int) -> Column:
+    """Every piece of a name that can equal a part of a partner at least ``least`` characters longer: struct(size, part, segment).
+
+    A partner of ``size`` characters has ``edits(size)`` + 1 parts. The edits before the part that is met shift it by at
+    most as many places, those behind it likewise from the other end, so few places are tried.
+    """
+    own = F.length(name)
+    none = F.array().cast("array<struct<size:int,part:int,segment:string>>")
+
+    def of_size(size: Column) -> Column:
+        k = edits(size)
+        parts = k + 1
+        base = F.floor(size / parts).cast("int")
+        plain = parts - size % parts
+
+        def of_part(j: Column) -> Column:
+            start, width = j * base + F.greatest(F.lit(0), j - plain), base + F.when(j >= plain, 1).otherwise(0)
+            low = F.greatest(F.lit(0), start - j, start + own - size - (k - j))
+            high = F.least(own - width, start + j, start + own - size + (k - j))
+            cut = F.transform(F.sequence(low, high), lambda p: F.struct(size.alias("size"), j.alias("part"), F.substring(name, p + 1, width).alias("segment")))
+            return F.when(low <= high, cut).otherwise(none)
+
+        return F.when(size - own <= k, F.flatten(F.transform(F.sequence(F.lit(0), k), of_part))).otherwise(none)
+
+    sizes = F.when(own + least <= longest, F.sequence(own + least, longest)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(sizes, of_size)))
+
+
+def _meet(index: DataFrame, probes: DataFrame, keys: list[str]) -> DataFrame:
+    """Equi-join on ``keys`` in which a key of many index rows is dealt out over several tasks."""
+    hot = index.groupBy(*keys).agg(F.ceil(F.count("*") / HOT_SEGMENT).cast("int").alias("_splits")).where("_splits > 1")
+    spread = index.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64("_long"), F.coalesce("_splits", F.lit(1)))).drop("_splits")
+    asked = probes.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_splits", F.lit(1)).cast("long") - 1))).drop("_splits")
+    return spread.join(asked, [*keys, "_salt"])
+
+
+def similar_names(left: DataFrame, right: DataFrame, left_col: str, right_col: str, min_ratio: float, mode: str = "levenshtein", by: str | None = None) -> DataFrame:
     """Every pair of distinct names whose similarity reaches ``min_ratio``, as (left name, right name, ratio). Exact.
 
-    Two names within k edits share all but a few of their character grams, so they must meet in the rarest grams of
-    each (prefix filtering). Joining only on those keeps common words such as company suffixes out of the join keys:
-    a gram is used only when the name has nothing rarer, no partner is dropped and no candidate list is capped.
+    The longer name of a pair is cut evenly into one part more than the edits it may take. That many edits leave one part
+    whole, and it stands in the shorter name at nearly the same place, so the two meet in an equi-join on (length, part,
+    text). Parts are six to eight characters for usual names, no frequencies are counted beforehand, no partner is dropped
+    and no candidate list is capped. With ``by``, only names of equal value of that column meet, and it is returned too.
     """
-    if not 0.86 <= min_ratio <= 1:
-        raise ValueError("min_ratio must lie between 0.86 and 1: below it the gram filter could miss pairs")
-    width = 2 if mode == "sequence" else 3
+    if not 0.6 <= min_ratio <= 1:
+        raise ValueError("min_ratio must lie between 0.6 and 1: below it names have more edits than parts")
     spread = 1 - min_ratio
-
-    def edits(length: Column) -> Column:
-        # longest partner within reach is length / min_ratio; block matching also counts an unmatched character per side
-        return F.floor(length * (2 * spread / min_ratio if mode == "sequence" else spread / min_ratio) + 1e-9).cast("int")
-
-    ln = left.select(F.col(left_col).alias("_name")).where(F.col("_name") != "").distinct()
-    rn = right.select(F.col(right_col).alias("_name")).where(F.col("_name") != "").distinct()
-    grams_l, grams_r = _with_grams(ln, "_name", width), _with_grams(rn, "_name", width)
-    # The gram vocabulary is bounded by the alphabet, not by the data; Spark still measures it before broadcasting.
-    frequency = grams_r.select(F.explode("_grams").alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_df"))
-
-    def prefix(side: DataFrame) -> DataFrame:
-        exploded = side.select("_name", F.explode("_grams").alias("_gram")).join(frequency, "_gram", "left")
-        by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_gram").alias("gram"))))
-        ordered = exploded.groupBy("_name").agg(by_rarity.alias("_sorted"))
-        kept = ordered.select("_name", F.slice(F.col("_sorted.gram"), F.lit(1), edits(F.length("_name")) * width + 1).alias("_prefix"))
-        return kept.select("_name", "_prefix", F.explode("_prefix").alias("_gram"))
-
-    pl = prefix(grams_l).withColumnsRenamed({"_name": "a", "_prefix": "_pa"})
-    pr = prefix(grams_r).withColumnsRenamed({"_name": "b", "_prefix": "_pb"})
+    # block matching counts an unmatched character on each side
+    edits = lambda size: F.floor(size * (2 * spread if mode == "sequence" else spread) + 1e-9).cast("int")
+    reach = 1 / min_ratio if mode != "sequence" else (1 + spread) / (1 - spread)
+    longest = lambda name: F.floor(F.length(name) * reach + 1e-9).cast("int")
+    tag = F.col(by) if by else F.lit(0)
+    ln = left.select(tag.alias("_by"), F.col(left_col).alias("_name")).where(F.col("_name") != "").distinct()
+    rn = right.select(tag.alias("_by"), F.col(right_col).alias("_name")).where(F.col("_name") != "").distinct()
+    keys = ["_by", "size", "part", "segment"]
+
+    def met(index: DataFrame, asking: DataFrame, least: int) -> DataFrame:
+        name = F.col("_name")
+        cut = index.select("_by", name.alias("_long"), F.explode(_segments(name, edits(F.length(name)))).alias("s")).select("_by", "_long", "s.*")
+        asked = asking.select("_by", name.alias("_short"), F.explode(_probes(name, edits, longest(name), least)).alias("s")).select("_by", "_short", "s.*")
+        return _meet(cut, asked, keys)
+
+    # the longer name is on the right, then on the left
+    found = met(rn, ln, 0).select("_by", F.col("_short").alias("a"), F.col("_long").alias("b")).unionByName(met(ln, rn, 1).select("_by", F.col("_long").alias("a"), F.col("_short").alias("b")))
     la, lb = F.length("a"), F.length("b")
-    limit = F.floor(F.greatest(la, lb) * spread + 1e-9) if mode != "sequence" else F.floor((la + lb) * spread + 1e-9)
-    met = pl.join(pr, "_gram").withColumn("_limit", limit.cast("int")).where(F.abs(la - lb) <= F.col("_limit"))
-    # a pair that meets in several grams is kept at the rarest of them, so no shuffle is needed to drop repeats
-    first_meeting = F.element_at(F.array_intersect("_pa", "_pb"), 1) == F.col("_gram")
+    out = ["a", "b", "ratio", *([F.col("_by").alias(by)] if by else [])]
     if mode == "sequence":
-        pairs = met.where(first_meeting).select("a", "b")
-        return pairs.withColumn("ratio", name_ratio(F.col("a"), F.col("b"), mode)).where(F.col("ratio") >= min_ratio - 1e-12)
-    # the bounded distance gives up early and costs less than the repeat test, so it goes first
-    near = met.withColumn("_distance", F.expr("levenshtein(a, b, _limit)")).where("_distance >= 0").where(first_meeting)
-    pairs = near.select("a", "b", (1 - F.col("_distance") / F.greatest(la, lb)).alias("ratio"))
-    return pairs.where(F.col("ratio") >= min_ratio - 1e-12)
+        return found.distinct().withColumn("ratio", name_ratio(F.col("a"), F.col("b"), mode)).where(F.col("ratio") >= min_ratio - 1e-12).select(*out)
+    # the bounded distance gives up early, so pairs that meet in several parts are thinned out after it
+    limit = F.floor(F.greatest(la, lb) * spread + 1e-9).cast("int")
+    near = found.withColumn("_limit", limit).withColumn("_distance", F.expr("levenshtein(a, b, _limit)")).where("_distance >= 0")
+    return near.select("_by", "a", "b", (1 - F.col("_distance") / F.greatest(la, lb)).alias("ratio")).where(F.col("ratio") >= min_ratio - 1e-12).distinct().select(*out)
 
 
 def match_identifiers(vessels: DataFrame, listings: DataFrame) -> DataFrame:
@@ -91,19 +131,26 @@ def match_exact(names: DataFrame, listings: DataFrame, entity_types: list[str] |
     return probe.join(listed, "listed_name").select("name_id", "name", "listing_id", "entity_type").distinct()
 
 
+def _close_listings(probe: DataFrame, listed: DataFrame, min_ratio: float, mode: str, by: str | None = None) -> DataFrame:
+    """(probe name, listing_id, entity_type, ratio) of listings close to a probe (``probe``) that share a significant word."""
+    close = similar_names(probe, listed, "probe", "listed_name", min_ratio, mode, by)
+    # word overlap and the length rule are tested on name pairs, before listings and name ids multiply them
+    close = close.where(
+        F.arrays_overlap(listing_tokens(F.col("a")), listing_tokens(F.col("b")))
+        & (F.abs(F.length("a") - F.length("b")) <= F.greatest(F.lit(4), F.floor(F.length("a") / 3)))
+    )
+    group = [by] if by else []
+    named = listed.withColumnRenamed("listed_name", "b")
+    return close.join(named, ["b", *group]).groupBy(*group, "a", "listing_id", "entity_type").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") < 1)
+
+
 def match_fuzzy(names: DataFrame, listings: DataFrame, entity_types: list[str] | None = None, min_ratio: float = 0.88, top: int | None = 5, mode: str = "levenshtein") -> DataFrame:
     """Names close to, but not equal to, a listed name that shares a significant word; best ``top`` per name, all for None."""
     listed = listing_names(listings)
     if entity_types:
         listed = listed.where(F.col("entity_type").isin(entity_types))
     probe = names.select("name_id", "name", normalize_name(F.col("name")).alias("probe")).where(F.length("probe") >= 4)
-    close = similar_names(probe, listed, "probe", "listed_name", min_ratio, mode)
-    # word overlap and the length rule are tested on name pairs, before listings and name ids multiply them
-    close = close.where(
-        F.arrays_overlap(listing_tokens(F.col("a")), listing_tokens(F.col("b")))
-        & (F.abs(F.length("a") - F.length("b")) <= F.greatest(F.lit(4), F.floor(F.length("a") / 3)))
-    )
-    per_listing = close.join(listed, close.b == listed.listed_name).groupBy("a", "listing_id", "entity_type").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") < 1)
+    per_listing = _close_listings(probe, listed, min_ratio, mode)
     # the best listings depend on the name alone, so copies of a name are ranked once
     ranked = per_listing.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.col("ratio").desc(), "listing_id")))
     ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
@@ -134,17 +181,22 @@ def screen_vessels(vessels: DataFrame, listings: DataFrame, fuzzy_min: float = 0
     )
     direct = match_identifiers(vessels, listings).select("vessel_id", "listing_id", "match_type", "matched_value", "confidence", F.lit(None).cast("double").alias("similarity"), "breach_type")
 
-    # Screening reads distinct values, so a name or owner shared by many hulls is matched once.
-    def distinct_names(col: str) -> DataFrame:
-        return vessels.where(F.col(col) != "").select(F.col(col).alias("name_id"), F.col(col).alias("name")).distinct()
-
-    def hits(col: str, types: list[str], minimum: float) -> DataFrame:
-        names = distinct_names(col)
-        exact = match_exact(names, listings, types).select("name", "listing_id", F.lit(1.0).alias("similarity"))
-        fuzzy = match_fuzzy(names, listings, types, minimum, top=None, mode=mode).select("name", "listing_id", F.col("ratio").alias("similarity"))
-        return exact.unionByName(fuzzy)
-
-    named = hits("name", ["vessel"], fuzzy_min).join(hulls, F.col("name") == F.col("v_name")).join(facts, "listing_id")
+    # Screening reads distinct values, so a name or owner shared by many hulls is matched once, and all name columns of a
+    # vessel meet the listings in one pass: hull names the vessels on the lists, owners and operators the parties.
+    if not 0 < fuzzy_min <= 1:
+        raise ValueError("fuzzy_min must lie between 0 and 1")
+    columns = F.array(*[F.struct(F.lit(g).alias("kin"), F.col(c).alias("name")) for c, g in (("name", "vessel"), ("owner", "party"), ("operator", "party"), ("beneficial_owner", "party"))])
+    distinct = vessels.select(F.explode(columns).alias("n")).select("n.*").where(F.col("name") != "").distinct()
+    kin = F.when(F.col("entity_type") == "vessel", "vessel").when(F.col("entity_type").isin("company", "person"), "party")
+    listed_names = listing_names(listings).withColumn("kin", kin).where(F.col("kin").isNotNull())
+    probe = distinct.withColumn("probe", normalize_name(F.col("name")))
+    same = probe.where(F.col("probe") != "").join(listed_names.withColumnRenamed("listed_name", "probe"), ["kin", "probe"]).select("kin", "name", "listing_id").distinct().withColumn("similarity", F.lit(1.0))
+    floor = F.when(F.col("kin") == "vessel", F.lit(fuzzy_min)).otherwise(F.lit(PARTY_MIN))
+    close = _close_listings(probe.where(F.length("probe") >= 4), listed_names, min(fuzzy_min, PARTY_MIN), mode, "kin").where(F.col("ratio") >= floor - 1e-12)
+    fuzzy = probe.join(close.withColumnRenamed("a", "probe"), ["kin", "probe"]).select("kin", "name", "listing_id", F.col("ratio").alias("similarity"))
+    found = same.unionByName(fuzzy)
+
+    named = found.where("kin = 'vessel'").drop("kin").join(hulls, F.col("name") == F.col("v_name")).join(facts, "listing_id")
     exact = F.col("similarity") == 1
     base = (
         F.when(F.col("vessel_flag") == F.col("v_flag"), F.when(exact, 0.9).otherwise(0.7))
@@ -163,7 +215,7 @@ def screen_vessels(vessels: DataFrame, listings: DataFrame, fuzzy_min: float = 0
     )
 
     def by_party(col: str, kind: str, start: float) -> DataFrame:
-        party = hits(col, ["company", "person"], 0.9).join(
+        party = found.where("kin = 'party'").drop("kin").join(
             vessels.select(F.col("id").alias("vessel_id"), F.col("flag").alias("v_flag"), F.col(col).alias("name")), "name"
         ).join(facts, "listing_id")
         bonus = F.when(F.col("l_country") == F.col("v_flag"), 0.05).otherwise(0.0)

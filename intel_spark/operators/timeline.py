@@ -92,15 +92,21 @@ def next_known(df: DataFrame, keys: Sequence[str], order: str, values: dict[str,
     return joined.select(*kept, BUCKET, *[F.coalesce(f"_l_{n}", f"_b_{n}").alias(n) for n in values])
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, tie: Sequence[str] = (), seconds: int = DAY) -> DataFrame:
-    """Add the key's running total of ``value`` up to and including this row."""
-    rows = with_bucket(df, order, seconds).withColumn("_value", value)
+def running_sums(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], tie: Sequence[str] = (), seconds: int = DAY) -> DataFrame:
+    """Add, per name, the key's running total of its expression up to and including this row."""
+    rows = with_bucket(df, order, seconds).select("*", *[e.alias(f"_v_{n}") for n, e in values.items()])
     local = Window.partitionBy(*keys, BUCKET).orderBy(*_order(order, tie)).rowsBetween(Window.unboundedPreceding, 0)
-    totals = rows.groupBy(*keys, BUCKET).agg(F.sum("_value").alias("_total"))
+    totals = rows.groupBy(*keys, BUCKET).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
     before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, BUCKET, F.sum("_total").over(before).alias("_offset"))
-    joined = _carry(rows.withColumn("_local", F.sum("_value").over(local)), totals, keys)
-    return joined.withColumn(name, F.coalesce("_offset", F.lit(0)) + F.col("_local")).drop("_value", "_local", "_offset")
+    totals = totals.select(*keys, BUCKET, *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in values])
+    joined = _carry(rows.select("*", *[F.sum(f"_v_{n}").over(local).alias(f"_l_{n}") for n in values]), totals, keys)
+    extra = [f"_{x}_{n}" for n in values for x in "vlo"]
+    return joined.withColumns({n: F.coalesce(f"_o_{n}", F.lit(0)) + F.col(f"_l_{n}") for n in values}).drop(*extra)
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, tie: Sequence[str] = (), seconds: int = DAY) -> DataFrame:
+    """Add the key's running total of ``value`` up to and including this row."""
+    return running_sums(df, keys, order, {name: value}, tie, seconds)
 
 
 def running_max(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, tie: Sequence[str] = (), seconds: int = DAY) -> DataFrame:

@@ -67,9 +67,14 @@ def sanctions_brief(listings: DataFrame, updates: DataFrame, start: datetime, en
     return _union([_count(recent, "summary", "updates"), _by(active, "listings", "active", "authority"), _by(active.where("entity_type = 'vessel'"), "listings", "vessels", "authority"), _by(recent, "updates", "change", "authority", "update_type")])
 
 
-def cross_domain_brief(signals: DataFrame, pairs: DataFrame, alerts: DataFrame, start: datetime, end: datetime) -> DataFrame:
+def cross_domain_brief(signals: DataFrame, links: DataFrame, alerts: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """``links`` counts passing links per signal and other domain; a link is named after its two domains in order."""
     recent = signals.where(_within("ts", start, end))
-    return _union([_count(recent, "summary", "signals"), _by(recent, "signals", "domain", "domain"), _by(recent, "signals", "severity", "severity"), _count(pairs, "summary", "correlations"), _by(pairs, "correlations", "type", "correlation_type"), _count(alerts, "summary", "composite_alerts"), _by(alerts, "composite_alerts", "severity", "severity")])
+    # a link has two ends; the end of the lesser domain stands for it
+    once = links.where("domain < other").withColumn("kind", F.concat_ws("_", "domain", "other"))
+    total = once.agg(F.coalesce(F.sum("links"), F.lit(0)).cast("double").alias("value")).select(F.lit("summary").alias("section"), F.lit("correlations").alias("metric"), "value")
+    kinds = once.groupBy("kind").agg(F.sum("links").cast("double").alias("value")).select(F.lit("correlations").alias("section"), F.concat(F.lit("type:"), "kind").alias("metric"), "value")
+    return _union([_count(recent, "summary", "signals"), _by(recent, "signals", "domain", "domain"), _by(recent, "signals", "severity", "severity"), total, kinds, _count(alerts, "summary", "composite_alerts"), _by(alerts, "composite_alerts", "severity", "severity")])
 
 
 def daily_digest(tables: dict[str, DataFrame], as_of: datetime) -> DataFrame:

@@ -186,7 +186,7 @@ def start_fusion(signals: DataFrame, checkpoint: str, store: str, path: str, hor
         everything = spark.read.parquet(store).drop("batch")
         newest = batch.agg(F.max("ts").alias("newest"))
         horizon = everything.join(newest, F.col("ts") >= F.col("newest") - F.expr(f"INTERVAL {int(horizon_hours * 60)} MINUTES")).drop("newest").dropDuplicates(["ref"])
-        alerts = fusion.composite_alerts(fusion.score_pairs(horizon, horizon_hours, min_score), horizon, min_domains)
+        alerts = fusion.composite_alerts(horizon, fusion.Rules(horizon_hours, min_score), min_domains)
         sanctions.insert_if_absent(alerts, stored(spark, path, alerts), ["fingerprint"]).write.mode("append").parquet(path)
 
     return _each(signals, checkpoint, handle, available_now)

@@ -119,11 +119,11 @@ def signals_frame(spark, extra=False):
 
 def test_fusion_cluster_batch_and_stream(spark, tmp_path):
     signals = signals_frame(spark)
-    alerts = fusion.composite_alerts(fusion.score_pairs(signals), signals).collect()
+    alerts = fusion.composite_alerts(signals).collect()
     assert len(alerts) == 1 and alerts[0].severity == "critical" and len(alerts[0].domains) == 4 and "MARITIME" in alerts[0].narrative
-    assert fusion.composite_alerts(fusion.score_pairs(signals), signals, min_domains=5).count() == 0
-    stored = fusion.composite_alerts(fusion.score_pairs(signals), signals)
-    assert fusion.composite_alerts(fusion.score_pairs(signals), signals, existing=stored).count() == 0
+    assert fusion.composite_alerts(signals, min_domains=5).count() == 0
+    stored = fusion.composite_alerts(signals)
+    assert fusion.composite_alerts(signals, existing=stored).count() == 0
     jobs.start_fusion(as_stream(spark, signals, str(tmp_path / "in"), parts=1), str(tmp_path / "cp"), str(tmp_path / "store"), str(tmp_path / "out"), available_now=True).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
