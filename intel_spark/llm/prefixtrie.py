@@ -34,6 +34,7 @@ from intel_spark.llm.base import query, settled, table
 FAMILY, HEADS = 5, 9
 TURN = 16  # bytes of a turn
 SHARD = 1 << 20  # turns of a shard
+RANGE = 12  # bits of the ids that are joined before they are hashed
 BITS = 64  # parentheses of a block of minima
 NOTHING = hashlib.sha256(b"").hexdigest()
 
@@ -76,17 +77,20 @@ def different(conversations: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array([least]), pa.array([count]), pa.array([digest.hexdigest()])], ["conv_id", "n", "ends"])
 
         for batch in batches:
-            for key, conv in zip(batch.column("key").to_pylist(), batch.column("conv_id").to_pylist()):
+            for key, ids, size, first in zip(*(batch.column(c).to_pylist() for c in ("key", "ids", "size", "first"))):
                 if key != last:
                     if count:
                         yield row()
-                    last, count, least, digest = key, 0, conv, hashlib.sha256()
-                digest.update((f",{conv}" if count else str(conv)).encode())
-                count += 1
+                    last, count, least, digest = key, 0, first, hashlib.sha256()
+                digest.update((f",{ids}" if count else ids).encode())
+                count += size
         if count:
             yield row()
 
-    ends = keyed.select(mark, "conv_id").repartition("key").sortWithinPartitions("key", "conv_id").mapInArrow(run, "conv_id long, n long, ends string")
+    # ids are joined in ranges of 2 ** RANGE first, so that the stream of a large group is short
+    ranges = keyed.select(mark, "conv_id").groupBy("key", F.shiftright("conv_id", RANGE).alias("range")).agg(F.sort_array(F.collect_list("conv_id")).alias("ids"))
+    joined = ranges.select("key", "range", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), F.size("ids").alias("size"), F.col("ids")[0].alias("first"))
+    ends = joined.repartition("key").sortWithinPartitions("key", "range").mapInArrow(run, "conv_id long, n long, ends string")
     return keyed.join(ends, "conv_id")
 
 
