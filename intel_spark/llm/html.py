@@ -30,20 +30,31 @@ from intel_spark.llm.base import query, table
 
 # fixed values: element names of the HTML standard
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
-SILENT = frozenset("script style template noscript svg math canvas object iframe video audio title head noframes xmp".split())
+SILENT = frozenset("script style template noscript svg canvas object iframe video audio title head noframes xmp".split())
 VOID = frozenset("hr br img input meta link col wbr area base embed source track param".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}}
 SCOPES = frozenset("ul ol dl table select body div article section main aside nav header footer form blockquote".split())
 
-# fixed values: names that page parts commonly carry
-OTHER_NAMES = "nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget ad ads advert advertisement adslot banner promo promoted sponsored sponsor cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations more trending popular tags tagcloud pagination pager comment comments replies reply respond disqus discussion footer foot header masthead topbar bottom copyright legal disclaimer toolbar search skip hidden print meta byline author tracking outbrain taboola teaser feedback".split()
+# fixed values: names that page parts commonly carry; the weak ones stand on main text as often as beside it
+OTHER_NAMES = "nav navbar navigation menu breadcrumb breadcrumbs sidebar ad ads advert advertisement adslot banner promo promoted sponsored sponsor cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social recommended recommendations trending tagcloud pagination pager comment comments replies disqus masthead topbar copyright disclaimer toolbar skip hidden tracking outbrain taboola teaser widget footer".split()
+WEAK_NAMES = "related more header print meta byline author notice alert search popular tags legal side bottom foot reply respond discussion feedback top info note summary".split()
 CONTENT_NAMES = "content article post entry story main body text page container wrapper primary single prose markdown copy richtext maintext section inner wrap layout site app root column col row".split()
-OTHER_WORDS, CONTENT_WORDS = frozenset(OTHER_NAMES), frozenset(CONTENT_NAMES)
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|\Z)", re.I)
+OTHER_WORDS, WEAK_WORDS, CONTENT_WORDS = frozenset(OTHER_NAMES), frozenset(WEAK_NAMES), frozenset(CONTENT_NAMES)
+
+#: elements that hold blocks: a stretch of text between their blocks is a node of its own
+CONTAINERS = frozenset("body div section article main aside nav header footer form center".split())
+RUN = "#text"
+
+# an attribute as the HTML standard reads it: quotes may stand in names, a quoted value ends with its quote. A quote that ends
+# right after an equals sign, and beyond a ">", opens the next attribute's value: its own value was never closed.
+VALUE = r"(?:\"(?:[^\">]*+\"|[^\"]*+(?<!=)\")|'(?:[^'>]*+'|[^']*+(?<!=)')|[^\s\"'>][^\s>]*+)"
+PART = rf"(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+{VALUE})?+|=)"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)({PART}*+)>", re.S)
+ATTRIBUTE = re.compile(rf"(=?[^\s/>=]++)(?:\s*+=\s*+({VALUE}))?+", re.S)
 WORDS = re.compile(r"[a-z]+")
 CUT = re.compile(r"<[a-zA-Z/!?][^>]*\Z", re.S)
+ROOT = 50.0  # the body holds the main text
+NAMING = frozenset(("class", "id", "role", "itemprop"))
 
 
 class Page:
@@ -56,17 +67,39 @@ class Page:
         self.chars, self.links = [0], [0]
         self.texts: list[tuple[int, str]] = []  # (node, text run)
 
+    def add(self, tag: str, names: str, parent: int) -> int:
+        self.tags.append(tag)
+        self.names.append(names)
+        self.parents.append(parent)
+        self.chars.append(0)
+        self.links.append(0)
+        return len(self.tags) - 1
+
 
 @lru_cache(maxsize=50_000)
 def _names(attributes: str) -> str:
-    """Words of class, id and role, and a mark for hidden elements."""
-    out = set()
+    """What class, id and role say of an element, as features, and a mark for hidden elements.
+
+    A name with a word of another page part speaks for that; a weak word counts only in a name of weak words.
+    """
+    out, seen = set(), set()
     for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id", "role", "itemprop"):
-            out.update(WORDS.findall(value))
+        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if key in seen:
+            continue
+        seen.add(key)
+        if key in NAMING:
+            for name in value.split():
+                words = set(WORDS.findall(name))
+                if words & OTHER_WORDS:
+                    out.add("k:other")
+                    out.update(f"n:{w}" for w in words & OTHER_WORDS)
+                elif words and words <= WEAK_WORDS:
+                    out.add("k:weak")
+                elif words & CONTENT_WORDS:
+                    out.add("k:content")
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            out.add("hidden")
+            out.update(("k:other", "n:hidden"))
     return " ".join(sorted(out))
 
 
@@ -83,6 +116,8 @@ def parse(source: str | None) -> Page:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
                 node = stack[-1]
+                if page.tags[node] in CONTAINERS:
+                    node = page.add(RUN, "", node)
                 page.texts.append((node, text))
                 page.chars[node] += len(text)
                 page.links[node] += min(link_chars, len(text))
@@ -153,13 +188,9 @@ def parse(source: str | None) -> Page:
                     break
         if tag in VOID:
             continue
-        page.tags.append(tag)
-        page.names.append(_names(m[3]))
-        page.parents.append(stack[-1])
-        page.chars.append(0)
-        page.links.append(0)
+        node = page.add(tag, _names(m[3]), stack[-1])
         if not m[3].endswith("/"):
-            stack.append(len(page.tags) - 1)
+            stack.append(node)
     flush()
     return page
 
@@ -168,9 +199,7 @@ def node_features(tag: str, names: str, chars: int, links: int, symbol: bool) ->
     size = 0 if chars == 0 else 1 if chars < 25 else 2 if chars < 100 else 3 if chars < 400 else 4
     share = links / chars if chars else 0.0
     dense = 0 if share == 0 else 1 if share < 0.35 else 2 if share < 0.75 else 3
-    words = names.split()
-    named = tuple(f"n:{w}" for w in words) + (("k:other",) if OTHER_WORDS.intersection(words) else ()) + (("k:content",) if CONTENT_WORDS.intersection(words) else ())
-    return ("bias", f"t:{tag}", f"s:{size}", f"l:{dense}", *(("c:copyright",) if symbol else ()), *named)
+    return ("bias", f"t:{tag}", f"s:{size}", f"l:{dense}", f"tl:{tag}:{dense}", *(("c:copyright",) if symbol else ()), *names.split())
 
 
 def edge_features(parent: str, child: str) -> tuple[str, ...]:
@@ -270,6 +299,7 @@ class Model:
                 edge.append(own)
         unary = np.zeros((len(score), 2))
         unary[:, 1] = score
+        unary[forest.parents < 0, 1] += ROOT
         content, _, _ = marginals(forest, unary, np.array(edge))
         return [content[a:b] for a, b in zip(forest.first[:-1], forest.first[1:])]
 
@@ -293,35 +323,46 @@ def labelled_pages(count: int = 420, seed: int = 20_250_101) -> list[tuple[str,
     def name(pool: list[str]) -> list[str]:
         return [draw.choice(pool)] if draw.random() < 0.9 else [draw.choice(pool), draw.choice(pool)]
 
+    def own_names(share: float) -> list[str] | None:
+        """Names as they stand on main text: of its own kind, or weak ones."""
+        if draw.random() >= share:
+            return None
+        return name(CONTENT_NAMES) if draw.random() < 0.6 else name(WEAK_NAMES)
+
     def paragraph(depth: int = 0) -> tuple:
         kind = draw.random()
-        if kind < 0.62:
+        if kind < 0.60:
             lo, hi = draw.choice([(1, 2), (3, 9), (10, 40), (40, 120)])
             text = words(lo, hi)
             if draw.random() < 0.25:
                 text = f"<b>{text}</b>"
             if draw.random() < 0.25:
                 text += " " + link() + " " + words(1, 8)
-            return tag("p", 1, [text])
-        if kind < 0.72:
-            return tag(draw.choice(["h1", "h2", "h3", "h4"]), 1, [words(1, 9)])
-        if kind < 0.80:
-            return tag(draw.choice(["ul", "ol"]), 1, [tag("li", 1, [words(1, 20)]) for _ in range(draw.randint(1, 4))])
-        if kind < 0.85:
+            return tag("p", 1, [text], own_names(0.15))
+        if kind < 0.70:
+            return tag(draw.choice(["h1", "h2", "h3", "h4"]), 1, [words(1, 9)], own_names(0.15))
+        if kind < 0.78:
+            return tag(draw.choice(["ul", "ol"]), 1, [tag("li", 1, [words(1, 20) if draw.random() < 0.9 else link() + " " + words(2, 9)]) for _ in range(draw.randint(1, 4))], own_names(0.1))
+        if kind < 0.82:
             return tag("blockquote", 1, [tag("p", 1, [words(4, 40)])] if draw.random() < 0.6 else [words(4, 40)])
-        if kind < 0.88:
+        if kind < 0.85:
             return tag("pre", 1, [words(3, 20)])
-        if kind < 0.91:
+        if kind < 0.88:
             return tag("figure", 1, ["<img src=x>", tag("figcaption", 1, [words(2, 9)])])
-        if kind < 0.94:
-            return tag("table", 1, [tag("tbody", 1, [tag("tr", 1, [tag("td", 1, [words(1, 4)]) for _ in range(2)]) for _ in range(2)])])
+        if kind < 0.91:
+            return tag("table", 1, [tag("tbody", 1, [tag("tr", 1, [tag("td", 1, [words(1, 4)]) for _ in range(2)]) for _ in range(2)])], own_names(0.2))
+        if kind < 0.93:
+            return tag("dl", 1, [tag("dt", 1, [words(1, 3)]), tag("dd", 1, [words(2, 30)])])
         if kind < 0.97 and depth < 2:
-            return tag(draw.choice(["section", "div"]), 1, [paragraph(depth + 1) for _ in range(draw.randint(1, 4))], name(CONTENT_NAMES) if draw.random() < 0.4 else None)
-        return tag("div", 1, [words(5, 60)], name(CONTENT_NAMES) if draw.random() < 0.3 else None)
+            inside = [paragraph(depth + 1) for _ in range(draw.randint(1, 4))]
+            if draw.random() < 0.3:
+                inside.insert(draw.randint(0, len(inside)), words(4, 60))
+            return tag(draw.choice(["section", "div"]), 1, inside, own_names(0.5))
+        return tag("div", 1, [words(5, 60)], own_names(0.4))
 
     def other(depth: int = 0) -> tuple:
         kind = draw.random()
-        names = name(OTHER_NAMES)
+        names = name(OTHER_NAMES) if draw.random() < 0.85 else name(WEAK_NAMES)
         if kind < 0.15:
             items = [tag("li", 0, [link()]) for _ in range(draw.randint(2, 7))]
             return tag("nav", 0, [tag("ul", 0, items)] if draw.random() < 0.7 else [link() for _ in range(3)], names if draw.random() < 0.4 else None)
@@ -340,32 +381,59 @@ def labelled_pages(count: int = 420, seed: int = 20_250_101) -> list[tuple[str,
         inner = [words(2, 40)] if draw.random() < 0.5 else [tag("p", 0, [words(3, 60)])] * draw.randint(1, 2) + ([tag("ul", 0, [tag("li", 0, [link()])] * 3)] if draw.random() < 0.3 else [])
         return tag(draw.choice(["div", "div", "section", "ul", "p"]) if len(inner) == 1 and isinstance(inner[0], str) else draw.choice(["div", "section"]), 0, inner, names)
 
+    def links() -> tuple:
+        """A run of links between blocks, as menus without an element of their own are."""
+        return tag(RUN, 0, [" ".join(link() for _ in range(draw.randint(1, 6)))])
+
     def page() -> tuple:
-        blocks = [paragraph() for _ in range(draw.randint(2, 9))]
+        layout = draw.random()
+        if layout < 0.04:  # a text without elements
+            return tag("body", 1, [words(1, 200)])
+        blocks = [paragraph() for _ in range(draw.randint(1, 9))]
         if draw.random() < 0.7:
             blocks.insert(0, tag("h1", 1, [words(1, 9)]))
         for _ in range(draw.choice([0, 0, 0, 1, 2])):
             blocks.insert(draw.randint(1, len(blocks)), other())
+        for _ in range(draw.choice([0, 0, 0, 1, 2])):
+            blocks.insert(draw.randint(0, len(blocks)), words(3, 80))
+        if layout < 0.12:  # cells as columns
+            menu = tag("td", 0, [link(), "<br>", link(), "<br>", link()] if draw.random() < 0.6 else [tag("ul", 0, [tag("li", 0, [link()]) for _ in range(3)])])
+            bar = tag("tr", 0, [tag("td", 0, [" ".join(link() for _ in range(4))])])
+            cells = [menu, tag("td", 1, blocks)] if draw.random() < 0.7 else [tag("td", 1, blocks), menu]
+            return tag("body", 1, [tag("table", 1, [tag("tbody", 1, [*([bar] if draw.random() < 0.5 else []), tag("tr", 1, cells)])])])
         kind = draw.random()
         if kind < 0.45:
-            main = [tag("article", 1, blocks, name(CONTENT_NAMES) if draw.random() < 0.3 else None)]
+            main = [tag("article", 1, blocks, own_names(0.3))]
         elif kind < 0.65:
             main = [tag("main", 1, blocks if draw.random() < 0.5 else [tag("article", 1, blocks)])]
-        elif kind < 0.9:
+        elif kind < 0.87:
             main = [tag(draw.choice(["div", "section"]), 1, blocks, name(CONTENT_NAMES))]
         else:
             main = blocks
-        if draw.random() < 0.35 and kind < 0.9:
+        if draw.random() < 0.35 and kind < 0.87:
             main = [tag("div", 1, [*[other() for _ in range(draw.randint(0, 1))], *main, *[other() for _ in range(draw.randint(0, 2))]], name(CONTENT_NAMES) if draw.random() < 0.8 else None)]
+        if draw.random() < 0.15:
+            main.insert(0, links())
         return tag("body", 1, [*[other() for _ in range(draw.randint(0, 3))], *main, *[other() for _ in range(draw.randint(0, 3))]])
 
     def written(node, labels: list[int]) -> str:
-        if isinstance(node, str):
-            return node
         own, label, names, inner = node
+        if own == RUN:
+            labels.append(label)
+            return inner[0]
         labels.append(label)
         attribute = "" if not names else f' {draw.choice(["class", "class", "id"])}="{"-".join(names) if draw.random() < 0.3 else " ".join(names)}"'
-        return f"<{own}{attribute}>" + "".join(written(x, labels) for x in inner) + f"</{own}>"
+        text, run = [], False
+        for x in inner:
+            if isinstance(x, str):
+                if own in CONTAINERS and not run:
+                    labels.append(label)
+                text.append(x)
+                run = True
+            else:
+                text.append(written(x, labels))
+                run = x[0] == RUN
+        return f"<{own}{attribute}>" + " ".join(text) + f"</{own}>"
 
     out = []
     for _ in range(count):
@@ -404,6 +472,7 @@ def fit(pages: list[tuple[str, list[int]]], rounds: int = 260, ridge: float = 0.
     for step in range(1, rounds + 1):
         unary = np.zeros((at, 2))
         unary[:, 1] = np.bincount(rows, w[cols], at)
+        unary[forest.parents < 0, 1] += ROOT
         edge = np.zeros((at, 2, 2))
         np.add.at(edge, edge_rows, v[edge_cols])
         content, pair, _ = marginals(forest, unary, edge)

@@ -255,6 +255,42 @@ def test_main_text_of_pages(spark):
     assert H.extract_pages(frame).count() == len(rows) and H.extract_pages(frame.limit(0)).count() == 0
 
 
+# pages written by hand, with layouts and names that the training pages do not have, and their main text
+BY_HAND = [
+    ("<p don't>Hello there everyone</p><p>Second one here</p>", "Hello there everyone\nSecond one here"),
+    ('<article><p class="a"b">First text of it</p><p>Next</p></article>', "First text of it\nNext"),
+    ('<article><p class="open>Text of the first paragraph.</p><p class="x">Second paragraph.</p></article>', "Text of the first paragraph.\nSecond paragraph."),
+    ("<article><p class='open>Text of the first paragraph.</p><p>Second paragraph.</p></article>", "Text of the first paragraph.\nSecond paragraph."),
+    ('<div class="main"><p title="a > b" =odd id=>Shown text</p></div>', "Shown text"),
+    ('<article><h1>T</h1><div class="related-work"><p>Earlier studies have shown that this works.</p></div><p class="more">There is more to say on this subject.</p><h2 class="header">Results</h2><p class="byline">By A. Writer</p><p class="print">All of it holds.</p></article>', "T\nEarlier studies have shown that this works.\nThere is more to say on this subject.\nResults\nBy A. Writer\nAll of it holds."),
+    ("Just a few words without any tags at all, which a page may hold, say in a text file that was served as a page.", "Just a few words without any tags at all, which a page may hold, say in a text file that was served as a page."),
+    ("short text", "short text"),
+    ("<body>Some words directly below the body element, then <b>bold ones</b> and an end.</body>", "Some words directly below the body element, then bold ones and an end."),
+    ('<table><tr><td><a href="/">Home</a><br><a href="/b">About</a></td><td><p>The main column holds the text of the page, which is of some length.</p><p>And more of it follows here.</p></td></tr></table>', "The main column holds the text of the page, which is of some length.\nAnd more of it follows here."),
+    ("<main><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p></main>", "Let x=2 hold."),
+    ('<div id="wrapper"><div id="header"><a href="/">Site</a></div><div id="content"><h2>News of the day</h2><p>It rained a lot in the north of the country.</p><div class="sidebar"><h3>Popular</h3><ul><li><a href="/1">One</a></li><li><a href="/2">Two</a></li></ul></div><p>The south stayed dry.</p></div><div id="footer">All rights reserved</div></div>', "News of the day\nIt rained a lot in the north of the country.\nThe south stayed dry."),
+    ('<div class="cookie-notice">We use cookies to make it better. <a href="/c">More</a></div><article><h1>A day out</h1><p>We went to the sea.</p><ul><li>sand</li><li>water</li></ul></article><section id="comments"><h3>2 comments</h3><div class="comment"><p>Lovely piece, thanks for writing it down.</p></div></section>', "A day out\nWe went to the sea.\nsand\nwater"),
+    ('<form action="/s"><label>Search</label><input name=q><button>Go</button></form><main><p>One result only, in one sentence.</p></main>', "One result only, in one sentence."),
+    ('<article><p>Text.</p><div class="ad">Buy now!</div><p>More text.</p><aside><p>Read also this</p></aside></article>', "Text.\nMore text."),
+]
+
+
+@pytest.mark.parametrize(("source", "text"), BY_HAND)
+def test_pages_written_by_hand(source, text):
+    assert H.extract(H.trained(), [source]) == [text]
+
+
+def test_no_page_of_text_comes_out_empty():
+    rng = np.random.default_rng(3)
+    names = ["related-work", "more", "header", "print", "byline", "meta", "notice", "top"]
+    for n in (1, 5, 40, 200):
+        text = " ".join(["word"] * n)
+        for source in (text, f"<p>{text}</p>", f"<div>{text}</div>", f"<body>{text}<br>{text}", f"<article>{text}</article>"):
+            assert H.extract(H.trained(), [source])[0]
+        body = "".join(f'<{t} class="{rng.choice(names)}">{text}</{t}>' for t in rng.choice(["p", "h2", "div", "section"], 8))
+        assert H.extract(H.trained(), [f"<article>{body}</article>"])[0].count(text) == 8
+
+
 def test_held_out_pages():
     model, right, total = H.trained(), 0, 0
     for source, labels in H.labelled_pages(80, seed=99):
