@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from intel_spark.catalog.helpers import AS_OF, AS_OF_ORDERS, AS_OF_ORDERS_SQL, AS_OF_SQL
 from intel_spark.catalog.news import CLUSTERS, KEYS, RULES, TIED, keyed
 from intel_spark.catalog.registry import query, r4, ts
+from intel_spark.catalog.sanctions import OWNED
 from intel_spark.operators import fusion, graph
 from intel_spark.operators.links import signal_links
 from intel_spark.plans import briefs as b
@@ -167,9 +168,7 @@ def _(companies):
     return q.list_companies(companies, "unit", "PA", False, has_lei=True, sort="created", limit=10)[0].select("id")
 
 
-@query("q20_list_chains", inputs="companies ownership", oracle="""
-    WITH RECURSIVE up AS (SELECT child, min(parent) AS parent FROM {ownership} WHERE kind = 'direct' GROUP BY 1), w AS (SELECT id AS company, id AS at, 1 AS n, listed FROM {companies} UNION ALL SELECT w.company, c.id, n + 1, w.listed OR c.listed FROM w JOIN up ON up.child = w.at JOIN {companies} c ON c.id = up.parent),
-    z AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY company ORDER BY n DESC) = 1) SELECT company, n AS chain_length FROM z WHERE listed ORDER BY n DESC, company LIMIT 20""")
+@query("q20_list_chains", inputs="companies ownership", oracle=f"WITH RECURSIVE {OWNED} SELECT company, len(seen) AS chain_length FROM pt JOIN ab USING (company) WHERE ab.listed ORDER BY chain_length DESC, company LIMIT 20")
 def _(companies, ownership):
     return q.list_chains(graph.ownership_chains(companies, ownership), True, limit=20).select("company", "chain_length")
 

@@ -84,9 +84,16 @@ PAIRS = f"""sl AS (SELECT *, CAST(floor(lat / 0.02) AS BIGINT) AS rw, CAST(floor
       AND NOT EXISTS (SELECT 1 FROM {{ports}} q WHERE {hav('a.lat', 'a.lon', 'q.lat', 'q.lon')} <= 3000))"""
 
 
-@query("j08_proximity_pairs", inputs="vessels ports", oracle=f"WITH {PAIRS} SELECT a_id, b_id, {r4('distance_m')}, neighbours FROM pr")
-def _(vessels, ports):
-    return g.proximity_pairs(vessels, ports, None, 900.0).select("a_id", "b_id", "distance_m", "neighbours")
+# pairs whose midpoint, on the raster, is not inland
+AFLOAT = f"""vx AS (SELECT cx + dx * k AS x, cy + dy * k AS y FROM (SELECT cx, cy, unnest([r, hole]) AS k FROM {{land}}), (VALUES (1, 0), (0, 1), (-1, 0), (0, -1)) d(dx, dy) WHERE k > 0),
+    dry AS (SELECT DISTINCT la, lo FROM (SELECT round(lat, 2) AS la, round(lon, 2) AS lo FROM pr) JOIN {{land}} l ON abs(lo - cx) + abs(la - cy) < r AND NOT (hole > 0 AND abs(lo - cx) + abs(la - cy) < hole)),
+    cd AS (SELECT la, lo, min({hav('la', 'lo', 'y', 'x')}) / 1000 AS km FROM dry JOIN vx ON abs(floor(la) - floor(y)) <= 1 AND abs(floor(lo) - floor(x)) <= 1 GROUP BY 1, 2),
+    wet AS (SELECT pr.* FROM pr LEFT JOIN (SELECT dry.la, dry.lo FROM dry LEFT JOIN cd USING (la, lo) WHERE km IS NULL OR km > 3) i ON i.la = round(pr.lat, 2) AND i.lo = round(pr.lon, 2) WHERE i.la IS NULL)"""
+
+
+@query("j08_proximity_pairs", inputs="vessels ports land", oracle=f"WITH {PAIRS}, {AFLOAT} SELECT a_id, b_id, {r4('distance_m')}, neighbours FROM wet")
+def _(vessels, ports, land):
+    return g.proximity_pairs(vessels, ports, land_rings(land), 900.0).select("a_id", "b_id", "distance_m", "neighbours")
 
 
 HIGH = "z.kind IN ('sanctions_zone', 'war_zone')"
@@ -249,17 +256,30 @@ def _(positions):
     return v.enrich_static(positions)
 
 
-@query("x02_assess_sts", inputs="vessels ports zones", oracle=f"""
-    WITH {PAIRS}, d AS (SELECT *, 30 + (a_id * 7 + b_id) % 500 AS dur FROM pr), z AS (SELECT d.*, (SELECT count(*) FROM {{zones}} z WHERE {in_diamond('d.lat', 'd.lon', 'z')}) AS nz, (SELECT count(*) FROM {{zones}} z WHERE z.kind = 'sts_hub' AND {in_diamond('d.lat', 'd.lon', 'z')}) AS nh FROM d)
+@query("x02_assess_sts", inputs="vessels ports zones land", oracle=f"""
+    WITH {PAIRS}, {AFLOAT}, d AS (SELECT *, 30 + (a_id * 7 + b_id) % 500 AS dur FROM wet), z AS (SELECT d.*, (SELECT count(*) FROM {{zones}} z WHERE {in_diamond('d.lat', 'd.lon', 'z')}) AS nz, (SELECT count(*) FROM {{zones}} z WHERE z.kind = 'sts_hub' AND {in_diamond('d.lat', 'd.lon', 'z')}) AS nh FROM d)
     SELECT a_id, b_id, {r4("round(least(0.97, CASE WHEN ta AND tb THEN 0.4 ELSE 0.3 END + least(0.25, dur / 480.0 * 0.25) + CASE WHEN ka OR kb THEN 0.15 ELSE 0 END - CASE WHEN neighbours >= 8 THEN 0.1 ELSE 0 END + CASE WHEN nh > 0 THEN 0.2 WHEN nz > 0 THEN 0.1 ELSE 0 END + CASE WHEN " + risky_sql('a.') + " OR " + risky_sql('b.') + " THEN 0.1 ELSE 0 END), 2)", "confidence")}
     FROM z JOIN {{vessels}} a ON a.id = a_id JOIN {{vessels}} b ON b.id = b_id""")
-def _(vessels, ports, zones):
-    pairs = g.proximity_pairs(vessels, ports, None, 900.0)
+def _(vessels, ports, zones, land):
+    pairs = g.proximity_pairs(vessels, ports, land_rings(land), 900.0)
     minutes = pairs.select("a_id", "b_id", (30 + (F.col("a_id") * 7 + F.col("b_id")) % 500).cast("int").alias("duration_min"), F.lit(AS_OF).alias("started_at"))
     return v.assess_sts(pairs, minutes, vessels, rings(zones)).select("a_id", "b_id", "confidence")
 
 
-@query("x03_spoofing_clusters", inputs="anomalies land zones")
+# blocks are taken one after the other, the one with most hulls first, then the lowest cell
+TAKEN = """f AS MATERIALIZED (SELECT CAST(floor(lat / 0.5) AS BIGINT) AS row, CAST(floor(lon / 0.5) AS BIGINT) AS col, vessel_id, count(*) AS n, sum(lat) AS slat, sum(lon) AS slon, min(ts) AS t0, max(ts) AS t1 FROM {anomalies} GROUP BY 1, 2, 3),
+    s AS (SELECT 0 AS i, CAST([] AS STRUCT(r BIGINT, c BIGINT)[]) AS taken UNION ALL
+      SELECT i + 1, list_append(taken, {'r': -b.r, 'c': -b.c}) FROM (SELECT i, taken, (SELECT max({'h': hulls, 'r': -row, 'c': -col}) FROM (SELECT o.row, o.col, count(DISTINCT l.vessel_id) AS hulls FROM (SELECT DISTINCT row, col FROM f) o JOIN f l ON abs(o.row - l.row) <= 1 AND abs(o.col - l.col) <= 1
+        WHERE len(list_filter(s.taken, lambda t: abs(t.r - o.row) <= 1 AND abs(t.c - o.col) <= 1)) = 0 AND len(list_filter(s.taken, lambda t: abs(t.r - l.row) <= 1 AND abs(t.c - l.col) <= 1)) = 0 GROUP BY 1, 2) WHERE hulls >= 4) AS b FROM s) WHERE b IS NOT NULL),
+    k AS (SELECT unnest(taken) AS t, generate_subscripts(taken, 1) AS i FROM (SELECT taken FROM s ORDER BY i DESC LIMIT 1)),
+    m AS (SELECT f.*, min(k.i) AS i FROM f JOIN k ON abs(k.t.r - f.row) <= 1 AND abs(k.t.c - f.col) <= 1 GROUP BY ALL),
+    pr AS (SELECT i, count(DISTINCT vessel_id) AS vessels, sum(n) AS reports, round(sum(slat) / sum(n), 4) AS lat, round(sum(slon) / sum(n), 4) AS lon, min(t0) AS t0, max(t1) AS t1 FROM m GROUP BY 1)"""
+
+
+@query("x03_spoofing_clusters", inputs="anomalies land zones", oracle=f"""
+    WITH RECURSIVE {TAKEN}, {AFLOAT.replace("km > 3", "km > 5")}, w AS (SELECT pr.*, NOT EXISTS (SELECT 1 FROM wet WHERE wet.i = pr.i) AS inland FROM pr)
+    SELECT vessels, reports, {r4('lat')}, {r4('lon')}, {ts('t0', 'first_seen')}, {ts('t1', 'last_seen')}, inland, CASE WHEN vessels >= 10 OR (inland AND vessels >= 5) THEN 'critical' WHEN vessels >= 5 OR inland THEN 'high' ELSE 'medium' END AS severity,
+    {r4("round(least(0.95e0, 0.5e0 + 0.05e0 * vessels + CASE WHEN inland THEN 0.15e0 ELSE 0 END), 2)", "confidence")} FROM w""")
 def _(anomalies, land, zones):
     return v.spoofing_clusters(anomalies, land_rings(land), rings(zones), min_vessels=4, degrees=0.5).drop("zones")
 

@@ -10,6 +10,7 @@ from intel_spark.operators import events as v
 from intel_spark.operators import fusion as f
 from intel_spark.operators import monitors as m
 from intel_spark.operators import names as n
+from intel_spark.operators import search
 from intel_spark.operators.links import key_links, signal_links
 
 WATCHED = ", ".join(f"'{c}'" for c in v.WATCHLIST)
@@ -296,7 +297,7 @@ def _(vessels, breaches, evasion, sts, calls, updates, events):
 def _(items, evasion, texts):
     records = evasion.select(F.lit("vessel").alias("kind"), F.col("mmsi").alias("key"), F.lit("evasion_event").alias("record_type"), F.col("id").alias("record_id"), "ts", "severity")
     bodies = texts.select(F.lit("document").alias("record_type"), F.col("doc_id").alias("record_id"), F.lit(AS_OF).alias("ts"), F.lit("medium").alias("severity"), "text", F.array(F.lit("keyword"), F.lit("company"), F.lit("domain")).alias("kinds"))
-    seen = f.substring_join(texts.where("doc_id % 10 = 3").select(F.col("doc_id").alias("text_id"), "text"), items.where("kind = 'keyword'").select(F.col("id").alias("needle_id"), F.col("key").alias("needle")))
+    seen = search.substring_join(texts.where("doc_id % 10 = 3").select(F.col("doc_id").alias("text_id"), "text"), items.where("kind = 'keyword'").select(F.col("id").alias("needle_id"), F.col("key").alias("needle")))
     stored = seen.select(F.col("needle_id").alias("item_id"), F.lit("document").alias("record_type"), F.col("text_id").alias("record_id"))
     return f.watch_hits(items, records, bodies, stored, AS_OF).select("item_id", "record_type", "record_id")
 

@@ -204,22 +204,33 @@ def _(companies):
     return c.corporate_summary(c.assess_shell(companies, AS_OF))
 
 
-@query("n03_ownership_chains", inputs="companies ownership", oracle="""
-    WITH RECURSIVE up AS (SELECT child, min(parent) AS parent FROM {ownership} WHERE kind = 'direct' GROUP BY 1), w AS (SELECT id AS company, id AS at, [id] AS seen, listed, country IN ('PA', 'VG', 'CY') AS secret FROM {companies}
-      UNION ALL SELECT w.company, c.id, list_append(seen, c.id), w.listed OR c.listed, w.secret OR c.country IN ('PA', 'VG', 'CY') FROM w JOIN up ON up.child = w.at JOIN {companies} c ON c.id = up.parent WHERE NOT list_contains(seen, c.id))
-    SELECT company, len(seen) AS chain_length, listed AS involves_sanctioned, secret AS secrecy FROM w QUALIFY row_number() OVER (PARTITION BY company ORDER BY len(seen) DESC) = 1""")
+# a company's first parent, the path along it, and all owners over either kind of edge
+OWNED = """eg AS (SELECT DISTINCT child, parent, kind FROM {ownership} JOIN {companies} c ON c.id = parent WHERE child <> parent), up AS (SELECT child, min_by(parent, (kind <> 'direct', parent)) AS parent, min_by(kind, (kind <> 'direct', parent)) AS kind FROM eg GROUP BY 1),
+    w AS (SELECT id AS company, id AS at, [id] AS seen, ['subject'] AS kinds FROM {companies} UNION ALL SELECT w.company, up.parent, list_append(seen, up.parent), list_append(kinds, concat(up.kind, '_parent')) FROM w JOIN up ON up.child = w.at WHERE NOT list_contains(seen, up.parent)),
+    pt AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY company ORDER BY len(seen) DESC) = 1),
+    ow AS (SELECT child AS company, parent AS owner FROM eg UNION SELECT ow.company, eg.parent FROM ow JOIN eg ON eg.child = ow.owner),
+    ab AS (SELECT c.id AS company, count(o.id) AS owners, c.listed OR coalesce(bool_or(o.listed), false) AS listed, c.country IN ('PA', 'VG', 'CY') OR coalesce(bool_or(o.country IN ('PA', 'VG', 'CY')), false) AS secret, c.country = 'RU' OR coalesce(bool_or(o.country = 'RU'), false) AS ru
+      FROM {companies} c LEFT JOIN ow ON ow.company = c.id AND ow.owner <> c.id LEFT JOIN {companies} o ON o.id = ow.owner GROUP BY c.id, c.listed, c.country)"""
+
+
+@query("n03_ownership_chains", inputs="companies ownership", oracle=f"""
+    WITH RECURSIVE {OWNED} SELECT pt.company, array_to_string(kinds, ',') AS relationships, len(seen) AS chain_length, t.name AS top_name, owners, ab.listed AS involves_sanctioned, secret AS secrecy FROM pt JOIN ab USING (company) JOIN {{companies}} t ON t.id = seen[-1]""")
+def _(companies, ownership):
+    return graph.ownership_chains(companies, ownership).select("company", F.col("chain_path.relationship").alias("relationships"), "chain_length", "top_name", "owners", "involves_sanctioned", "secrecy")
+
+
+@query("n03_owners", inputs="companies ownership", oracle="""
+    WITH RECURSIVE eg AS (SELECT DISTINCT child, parent FROM {ownership} WHERE child <> parent), ow AS (SELECT child AS company, parent AS owner, 1 AS steps FROM eg UNION SELECT ow.company, eg.parent, steps + 1 FROM ow JOIN eg ON eg.child = ow.owner WHERE steps < 20)
+    SELECT company, owner, min(steps) AS steps FROM ow WHERE company <> owner GROUP BY 1, 2""")
 def _(companies, ownership):
-    return graph.ownership_chains(companies, ownership).select("company", "chain_length", "involves_sanctioned", "secrecy")
+    return graph.owners(ownership)
 
 
 @query("x06_ownership_risk", inputs="companies ownership", oracle=f"""
-    WITH RECURSIVE up AS (SELECT child, min(parent) AS parent FROM {{ownership}} WHERE kind = 'direct' GROUP BY 1), w AS (SELECT id AS company, id AS at, 1 AS n, listed, country IN ('PA', 'VG', 'CY') AS secret, country = 'RU' AS ru FROM {{companies}}
-      UNION ALL SELECT w.company, c.id, n + 1, w.listed OR c.listed, w.secret OR c.country IN ('PA', 'VG', 'CY'), w.ru OR c.country = 'RU' FROM w JOIN up ON up.child = w.at JOIN {{companies}} c ON c.id = up.parent),
-    z AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY company ORDER BY n DESC) = 1)
-    SELECT company, {r4("round(least(1.0, 0.2 + 0.05 * (n - 1) + CASE WHEN listed THEN 0.5 ELSE 0 END + CASE WHEN secret THEN 0.1 ELSE 0 END + CASE WHEN ru THEN 0.1 ELSE 0 END), 2)", "risk")} FROM z""")
+    WITH RECURSIVE {OWNED} SELECT company, {r4("round(least(1.0, 0.2 + 0.05 * (len(seen) - 1) + CASE WHEN ab.listed THEN 0.5 ELSE 0 END + CASE WHEN secret THEN 0.1 ELSE 0 END + CASE WHEN ru THEN 0.1 ELSE 0 END), 2)", "risk")} FROM pt JOIN ab USING (company)""")
 def _(companies, ownership):
     chains = graph.ownership_chains(companies, ownership)
-    return chains.select("company", c.ownership_risk(F.col("chain_path"), F.col("involves_sanctioned"), F.lit(False)).alias("risk"))
+    return chains.select("company", c.ownership_risk(F.col("chain_path"), F.col("places"), F.col("involves_sanctioned"), F.lit(False)).alias("risk"))
 
 
 @query("n04_propagate_exposure", inputs="companies ownership", oracle=f"""

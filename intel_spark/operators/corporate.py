@@ -52,9 +52,9 @@ def company_risk(linked: Column, match_type: Column, shell_confidence: Column, c
     return F.round(F.least(F.lit(1.0), 0.1 + base + 0.3 * F.coalesce(shell_confidence.cast("double"), F.lit(0.0)) + place), 2)
 
 
-def ownership_risk(chain: Column, involves_sanctioned: Column, involves_shell: Column) -> Column:
-    """Chain length, listed or shell links, and the jurisdictions it passes."""
-    through = lambda places: F.when(F.exists(chain, lambda hop: _either(hop["country"].isin(places))), 0.1).otherwise(0.0)
+def ownership_risk(chain: Column, places: Column, involves_sanctioned: Column, involves_shell: Column) -> Column:
+    """Chain length, listed or shell links, and the jurisdictions of the company and all its owners."""
+    through = lambda risky: F.when(F.exists(places, lambda c: _either(c.isin(risky))), 0.1).otherwise(0.0)
     score = 0.2 + 0.05 * F.greatest(F.lit(0), F.size(chain) - 1) + F.when(involves_sanctioned, 0.5).otherwise(0.0) + F.when(involves_shell, 0.15).otherwise(0.0)
     return F.round(F.least(F.lit(1.0), score + through(SECRECY_JURISDICTIONS) + through(SANCTIONS_JURISDICTIONS)), 2)
 

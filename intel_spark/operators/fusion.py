@@ -13,6 +13,7 @@ from intel_spark.functions.vessel import lookup
 from intel_spark.operators.graph import connected_components
 from intel_spark.operators.links import Rules, scored, strong_links, tied
 from intel_spark.operators.sanctions import insert_if_absent
+from intel_spark.operators.search import substring_join
 from intel_spark.operators.timeline import top_per_key
 from intel_spark.session import checkpoint_ready
 
@@ -232,26 +233,6 @@ def fusion_queue(signals: DataFrame, links: DataFrame, min_severity: str = "low"
     return out if limit is None else out.limit(limit)
 
 
-def substring_join(texts: DataFrame, needles: DataFrame, width: int = 3) -> DataFrame:
-    """(text_id, needle_id) where the text holds the needle anywhere, ignoring case; exact.
-
-    Each needle is looked up by its rarest character gram and then tested, so texts never meet needles they cannot hold.
-    Needles shorter than the gram join on themselves as grams of their own length.
-    """
-    lowered = needles.select("needle_id", F.lower("needle").alias("needle")).where(F.col("needle") != "")
-    size = F.least(F.length("needle"), F.lit(width))
-    grams = lowered.select("needle_id", "needle", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("needle") - size + 1), lambda i: F.col("needle").substr(i, size)))).alias("gram"))
-    t = texts.select("text_id", F.lower("text").alias("text"))
-    # a lookahead walks the text once, whatever its length
-    cuts = [F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{w}}}))"), 1) for w in range(1, width + 1)]
-    wanted = grams.select("gram").distinct()
-    held = t.select("text_id", F.explode(F.array_distinct(F.concat(*cuts))).alias("gram")).join(wanted, "gram")
-    df = held.groupBy("gram").agg(F.count("*").alias("df"))
-    anchors = grams.join(df, "gram", "left").groupBy("needle_id", "needle").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), F.col("gram"))).alias("gram"))
-    found = held.join(anchors, "gram").join(t, "text_id")
-    return found.where(F.contains("text", F.col("needle"))).select("text_id", "needle_id").distinct()
-
-
 def watch_hits(items: DataFrame, records: DataFrame, texts: DataFrame, stored: DataFrame, as_of: datetime, first_days: int = 7) -> DataFrame:
     """New records touching watched things since the last check (a week back on the first one).
 

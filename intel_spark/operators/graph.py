@@ -84,38 +84,71 @@ def cospend_clusters(inputs: DataFrame, seeds: DataFrame | None = None) -> DataF
     return out
 
 
-def ownership_chains(companies: DataFrame, edges: DataFrame, max_depth: int = 1000, secrecy: list[str] | None = None) -> DataFrame:
-    """Path from each company up its direct parents, with length and flags.
+def owners(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(company, owner, steps): everyone who owns a company over any number of direct or ultimate edges.
 
-    ``edges`` are (child, parent, kind); a path stops at a company without a parent or at a repeat, and one
-    that is still open after ``max_depth`` steps raises an error.
+    ``edges`` are (child, parent, kind); a company may have several parents, ``steps`` is the fewest edges up to the owner.
+    Pairs within k steps and pairs joined by a walk of exactly k steps give those of 2k, so depth d takes about log2(d)
+    rounds. In a ring of owners the walks never end, but no new pair is found; a company does not own itself.
+    """
+    checkpoint_ready(edges.sparkSession)
+    exact = edges.where("child <> parent").select(F.col("child").alias("company"), F.col("parent").alias("owner")).distinct().checkpoint()
+    within = exact.withColumn("steps", F.lit(1).cast("long"))
+    size, k = exact.count(), 1
+    for _ in range(max_rounds):
+        beyond = exact.withColumnRenamed("owner", "mid").join(within.withColumnRenamed("company", "mid"), "mid").select("company", "owner", (F.col("steps") + k).alias("steps"))
+        within = within.unionByName(beyond).where("company <> owner").groupBy("company", "owner").agg(F.min("steps").alias("steps")).checkpoint()
+        exact = exact.withColumnRenamed("owner", "mid").join(exact.withColumnRenamed("company", "mid"), "mid").select("company", "owner").distinct().checkpoint()
+        grown, k = within.count(), 2 * k
+        if grown == size:
+            return within
+        size = grown
+    raise RuntimeError("ownership did not settle; raise max_rounds")
+
+
+def primary_paths(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(company, path): the ids above a company along its first parent, direct before ultimate and then the least, as
+    array of struct(id, kind); a path ends at a company without a parent or before one it has passed.
+
+    A path of k ids continues with that of its last one, so a chain of n takes about log2(n) rounds.
+    """
+    checkpoint_ready(edges.sparkSession)
+    first = edges.where("child <> parent").groupBy("child").agg(F.min(F.struct((F.col("kind") != "direct").alias("late"), "parent", "kind")).alias("p"))
+    paths = first.select(F.col("child").alias("company"), F.array(F.struct(F.col("p.parent").alias("id"), F.col("p.kind").alias("kind"))).alias("path"), F.col("p.parent").alias("at")).checkpoint()
+    for _ in range(max_rounds):
+        on = paths.select(F.col("company").alias("at"), F.col("path").alias("further"), F.col("at").alias("then"))
+        joined = paths.join(on, "at", "left").select("company", F.concat("path", F.coalesce("further", F.expr("slice(path, 1, 0)"))).alias("path"), F.col("then").alias("at"))
+        ids = F.concat(F.array("company"), F.col("path.id"))
+        ring = F.size(F.array_distinct(ids)) < F.size(ids)
+        once = F.filter("path", lambda p, i: F.array_position(ids, p["id"]) == i + 2)
+        paths = joined.select("company", F.when(ring, once).otherwise(F.col("path")).alias("path"), F.when(~ring, F.col("at")).alias("at")).checkpoint()
+        if paths.where("at is not null").isEmpty():
+            return paths.select("company", "path")
+    raise RuntimeError("an ownership path did not end; raise max_rounds")
+
+
+def ownership_chains(companies: DataFrame, edges: DataFrame, secrecy: list[str] | None = None) -> DataFrame:
+    """Each company's path up its first parents, and what is known of all its owners over either kind of edge.
+
+    The path names the company, then owner after owner with the kind of the edge; ``owners`` counts all of them,
+    ``involves_sanctioned`` and ``secrecy`` look at the company and all of them, and ``places`` are their countries.
     """
     from intel_spark.operators.corporate import SECRECY_JURISDICTIONS
 
-    checkpoint_ready(companies.sparkSession)
     hidden = secrecy or SECRECY_JURISDICTIONS
-    facts = companies.select("id", F.struct("name", "lei", "country").alias("hop"), F.coalesce("listed", F.lit(False)).alias("is_listed"))
-    up = edges.where(F.col("kind") == "direct").groupBy("child").agg(F.min("parent").alias("parent"))
-    step = facts.select(F.col("id").alias("at"), F.col("hop").alias("next_hop"), F.col("is_listed").alias("next_listed"))
-    open_paths = facts.select(F.col("id").alias("company"), F.col("id").alias("at"), F.array("id").alias("seen"), F.array(F.struct("hop.name", "hop.lei", "hop.country", F.lit("subject").alias("relationship"))).alias("path"), F.col("is_listed").alias("listed"))
-    done = []
-    for depth in range(max_depth):
-        moved = open_paths.join(up, open_paths.at == up.child, "left").drop("child")
-        stops = F.col("parent").isNull() | F.array_contains("seen", F.col("parent"))
-        done.append(moved.where(stops).select("company", "path", "listed"))
-        moving = moved.where(~stops).drop("at").withColumnRenamed("parent", "at").join(step, "at")
-        open_paths = moving.select(
-            "company", "at", F.concat("seen", F.array("at")).alias("seen"),
-            F.concat("path", F.array(F.struct("next_hop.name", "next_hop.lei", "next_hop.country", F.lit("direct_parent").alias("relationship")))).alias("path"),
-            (F.col("listed") | F.col("next_listed")).alias("listed"),
-        ).checkpoint()
-        if open_paths.isEmpty():
-            break
-    else:
-        raise RuntimeError("an ownership path is longer than max_depth")
-    walked = reduce(DataFrame.unionByName, done)
-    secret = F.exists("path", lambda hop: hop["country"].isin(hidden))
-    return walked.select("company", F.col("path").alias("chain_path"), F.size("path").alias("chain_length"), F.element_at("path", -1)["name"].alias("top_name"), F.col("listed").alias("involves_sanctioned"), secret.alias("secrecy"))
+    facts = companies.select("id", "name", "lei", "country", F.coalesce("listed", F.lit(False)).alias("listed"))
+    up = edges.join(companies.select(F.col("id").alias("parent")), "parent", "left_semi")
+    above = owners(up).join(facts.select(F.col("id").alias("owner"), "country", "listed"), "owner")
+    about = above.groupBy("company").agg(F.count("*").alias("owners"), F.max("listed").alias("o_listed"), F.collect_set("country").alias("o_places"))  # as many as there are countries
+    hops = primary_paths(up).select("company", F.posexplode("path").alias("at", "hop")).select("company", "at", "hop.id", F.concat("hop.kind", F.lit("_parent")).alias("relationship"))
+    named = hops.join(facts.select("id", "name", "lei", "country"), "id").groupBy("company").agg(F.array_sort(F.collect_list(F.struct("at", "name", "lei", "country", "relationship"))).alias("hops"))
+    rows = facts.withColumnRenamed("id", "company").join(named, "company", "left").join(about, "company", "left")
+    subject = F.array(F.struct("name", "lei", "country", F.lit("subject").alias("relationship")))
+    path = F.concat(subject, F.coalesce(F.transform("hops", lambda h: F.struct(h["name"].alias("name"), h["lei"].alias("lei"), h["country"].alias("country"), h["relationship"].alias("relationship"))), F.slice(subject, 1, 0)))
+    places = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array("country"), F.coalesce("o_places", F.array().cast("array<string>"))))))
+    out = rows.select("company", path.alias("chain_path"), F.coalesce("owners", F.lit(0)).alias("owners"), (F.col("listed") | F.coalesce("o_listed", F.lit(False))).alias("involves_sanctioned"), places.alias("places"))
+    secret = F.exists("places", lambda c: c.isin(hidden))
+    return out.select("company", "chain_path", F.size("chain_path").alias("chain_length"), F.element_at("chain_path", -1)["name"].alias("top_name"), "owners", "involves_sanctioned", secret.alias("secrecy"), "places")
 
 
 def propagate_exposure(companies: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:

@@ -21,6 +21,7 @@ from intel_spark.operators.timeline import (
 # Zone kinds that raise severity, flags, weights.
 HIGH_RISK_KINDS = ["sanctions_zone", "war_zone"]
 CONVENIENCE_FLAGS = ["GA", "CM", "SL", "KM", "PW", "CK", "LR", "MH", "PA"]
+UNKNOWN_FLAG = "XX"
 SHADOW_FLEET_FLAGS = ["GA", "CM", "SL", "KM", "PW", "CK", "SM", "GM", "TZ", "MN", "XX"]
 SEVERITY_WEIGHT = {"low": 0.05, "medium": 0.12, "high": 0.25, "critical": 0.4}
 LINK_WEIGHTS = {"shared_owner": 0.6, "shared_beneficial_owner": 0.7, "shared_operator": 0.5, "shared_sanctions_entity": 0.8, "transshipment_partner": 0.7, "shared_high_risk_port": 0.3}
@@ -93,7 +94,7 @@ def identity_changes(positions: DataFrame) -> DataFrame:
     renames = history.where(F.col("last").isNotNull() & ~F.array_contains(recent, F.col("token")) & ~F.startswith(F.col("last.name"), F.lit("MMSI "))).select(
         "mmsi", "ts", F.lit("name_change").alias("event_type"), F.lit("medium").alias("severity"), F.lit(0.5).alias("confidence"), F.col("last.name").alias("old_value"), F.col("name").alias("new_value")
     )
-    flags = positions.where(F.col("flag").isNotNull() & (F.col("flag") != "XX")).select("mmsi", "ts", "flag")
+    flags = positions.where(F.col("flag").isNotNull() & (F.col("flag") != UNKNOWN_FLAG)).select("mmsi", "ts", "flag")
     moves = drop_bucket(previous_row(flags, ["mmsi"], "ts", ["flag"])).where(F.col("prev.flag") != F.col("flag")).select(
         "mmsi", "ts", F.lit("flag_change").alias("event_type"), F.lit("high").alias("severity"), F.lit(0.6).alias("confidence"), F.col("prev.flag").alias("old_value"), F.col("flag").alias("new_value")
     )

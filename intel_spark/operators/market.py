@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intel_spark.functions.scoring import clamp, severity_for, severity_rank
-from intel_spark.operators.timeline import latest_per_key, newest_rows, top_per_key
+from intel_spark.operators.timeline import drop_bucket, latest_per_key, newest_rows, running_sums, top_per_key
 
 # Severity ladders.
 PRICE_SIGMA = (3.0, 4.0, 5.0, 7.0)
@@ -154,6 +154,44 @@ def aligned_returns(candles: DataFrame, last: int | None = None, min_candles: in
     return long.select("asset", "exchange", "ts", "pos", "close", ((F.col("close") - base) / base * 100).alias("ret"))
 
 
+def _rolling_correlation(rets: DataFrame, movers: DataFrame, lookback: int) -> DataFrame:
+    """(asset, centre, a, b, c): correlation of two movers' returns over the ``lookback`` + 1 returns up to a centre.
+
+    Sums of both returns, their squares and their product run along the positions of each pair of venues, so a window's
+    correlation is the difference of two rows. Windows in which a venue hardly moves have none and count as 0.
+    """
+    met = movers.select("asset", "centre", F.col("exchange").alias("a")).join(movers.select("asset", "centre", F.col("exchange").alias("b")), ["asset", "centre"]).where("a < b")
+    of = lambda x: rets.select("asset", F.col("exchange").alias(x), "pos", F.col("ret").alias(f"r{x}"))
+    both = met.select("asset", "a", "b").distinct().join(of("a"), ["asset", "a"]).join(of("b"), ["asset", "b", "pos"])
+    terms = {"n": F.lit(1.0), "x": F.col("ra"), "y": F.col("rb"), "xx": F.col("ra") * F.col("ra"), "yy": F.col("rb") * F.col("rb"), "xy": F.col("ra") * F.col("rb")}
+    upto = Window.partitionBy("asset", "a", "b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    sums = both.select("asset", "a", "b", "pos", F.struct(*[F.sum(e).over(upto).alias(k) for k, e in terms.items()]).alias("s"))
+    pair = ["asset", "a", "b"]
+    last = sums.groupBy(*pair).agg(F.max("pos").alias("deepest"))
+    windows = met.join(last, pair).select(*pair, "centre", F.least(F.col("centre") + lookback, F.col("deepest")).alias("far"), (F.col("centre") - 1).alias("near"))
+    spans = windows.join(sums.select(*pair, F.col("pos").alias("far"), F.col("s").alias("f")), [*pair, "far"]).join(sums.select(*pair, F.col("pos").alias("near"), F.col("s").alias("e")), [*pair, "near"], "left")
+    d = {k: F.col(f"f.{k}") - F.coalesce(F.col(f"e.{k}"), F.lit(0.0)) for k in terms}
+    vx, vy = d["n"] * d["xx"] - d["x"] * d["x"], d["n"] * d["yy"] - d["y"] * d["y"]
+    # a difference of large sums is no variance below their rounding
+    moved = (vx > 1e-9 * F.col("f.n") * F.col("f.xx")) & (vy > 1e-9 * F.col("f.n") * F.col("f.yy"))
+    return spans.select("asset", "centre", "a", "b", F.when(moved, (d["n"] * d["xy"] - d["x"] * d["y"]) / F.sqrt(vx * vy)).otherwise(0.0).alias("c"))
+
+
+def _volume_multiple(candles: DataFrame, probes: DataFrame, lookback: int) -> DataFrame:
+    """(asset, exchange, ts, multiple): a candle's volume over the mean of the ``lookback`` candles before it.
+
+    Candles are numbered and their volumes summed along each series of the probes; the mean is the difference of two
+    numbered rows, so an event meets three candles of its series and not all of them.
+    """
+    series = candles.join(probes.select("asset", "exchange").distinct(), ["asset", "exchange"], "left_semi").select("asset", "exchange", "ts", "volume")
+    numbered = drop_bucket(running_sums(series, ["asset", "exchange"], "ts", {"k": F.lit(1).cast("long"), "total": F.col("volume")}))
+    at = probes.join(numbered.select("asset", "exchange", "ts", "k", "volume"), ["asset", "exchange", "ts"]).withColumns({"before": F.col("k") - 1, "begin": F.greatest(F.col("k") - 1 - lookback, F.lit(0).cast("long"))})
+    sums = lambda n: numbered.select("asset", "exchange", F.col("k").alias(n), F.col("total").alias(f"{n}_total"))
+    found = at.join(sums("before"), ["asset", "exchange", "before"]).join(sums("begin"), ["asset", "exchange", "begin"], "left")
+    mean = (F.col("before_total") - F.coalesce("begin_total", F.lit(0.0))) / (F.col("before") - F.col("begin"))
+    return found.where(mean > 0).select("asset", "exchange", "ts", (F.col("volume") / mean).alias("multiple"))
+
+
 def coordination(candles: DataFrame, min_correlation: float = 0.85, min_move: float = 2.0, lookback: int = 60, last: int = 10, candle_seconds: int = 60, neighbour: int = 1) -> DataFrame:
     """Two or more exchanges moving together within one candle, with correlated recent returns."""
     rets = aligned_returns(candles, last + lookback + neighbour)
@@ -167,21 +205,13 @@ def coordination(candles: DataFrame, min_correlation: float = 0.85, min_move: fl
         F.count("*").alias("venues"), F.sort_array(F.collect_list("exchange")).alias("exchanges"), F.min("m.ts").alias("ts"), F.max("m.ts").alias("last_ts"), F.avg(F.abs("m.ret")).alias("move"),
         F.min(F.signum("m.ret")).alias("lo"), F.max(F.signum("m.ret")).alias("hi"), F.min("exchange").alias("lead"),
     ).where((F.col("venues") >= 2) & (F.col("lo") == F.col("hi")))
-    a, b = movers.select("asset", "centre", F.col("exchange").alias("a")), movers.select("asset", "centre", F.col("exchange").alias("b"))
-    ra, rb = rets.select("asset", F.col("exchange").alias("a"), "pos", F.col("ret").alias("ra")), rets.select("asset", F.col("exchange").alias("b"), "pos", F.col("ret").alias("rb"))
-    history = a.join(b, ["asset", "centre"]).where("a < b").join(ra, ["asset", "a"]).where(F.col("pos").between(F.col("centre"), F.col("centre") + lookback)).join(rb, ["asset", "b", "pos"])
-    corr = F.corr("ra", "rb")
-    pairs = history.groupBy("asset", "centre", "a", "b").agg(F.when(corr.isNull() | F.isnan(corr), 0.0).otherwise(corr).alias("c")).groupBy("asset", "centre").agg(F.min("c").alias("correlation"))
+    pairs = _rolling_correlation(rets, movers, lookback).groupBy("asset", "centre").agg(F.min("c").alias("correlation"))
     found = groups.join(pairs, ["asset", "centre"]).withColumn("delta_s", ((micros("last_ts") - micros("ts")) / 1e6).cast("int"))
     found = found.where((F.col("correlation") >= min_correlation) & (F.col("delta_s") <= candle_seconds * neighbour))
     # the oldest centre that reports a moment wins, as when rows are read in time order
     found = found.withColumn("_r", F.row_number().over(Window.partitionBy("asset", "ts").orderBy(F.col("centre").desc()))).where("_r = 1").drop("_r")
-    # volume against the sixty candles before the event, looked up only for event moments
     probes = found.select("asset", "ts", F.explode("exchanges").alias("exchange"))
-    earlier = probes.join(candles.select("asset", "exchange", F.col("ts").alias("cts"), "volume"), SERIES)
-    trailing = top_per_key(earlier.where("cts < ts"), ["asset", "exchange", "ts"], [F.col("cts").desc()], lookback).groupBy("asset", "exchange", "ts").agg(F.avg("volume").alias("mean_volume")).where("mean_volume > 0")
-    at = earlier.where("cts = ts").select("asset", "exchange", "ts", "volume")
-    multiples = at.join(trailing, ["asset", "exchange", "ts"]).groupBy("asset", "ts").agg(F.round(F.avg(F.col("volume") / F.col("mean_volume")), 2).alias("volume_coordination"))
+    multiples = probes.join(_volume_multiple(candles, probes, lookback), ["asset", "exchange", "ts"]).groupBy("asset", "ts").agg(F.round(F.avg("multiple"), 2).alias("volume_coordination"))
     price = candles.select("asset", F.col("exchange").alias("lead"), "ts", F.col("close").alias("price"))
     confidence = clamp(0.4 + 0.3 * (F.col("correlation") - min_correlation) / max(1e-9, 1 - min_correlation) + 0.3 * F.least(F.lit(1.0), (F.col("move") - min_move) / max(min_move, 1e-9)))
     out = found.join(multiples, ["asset", "ts"], "left").join(price, ["asset", "lead", "ts"], "left")

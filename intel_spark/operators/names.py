@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from intel_spark.functions.scoring import severity_for_confidence
 from intel_spark.functions.text import core_name, listing_tokens, name_ratio, normalize_name
 from intel_spark.functions.vessel import types_conflict
+from intel_spark.operators.search import word_join, words_of
 
 # Flags under comprehensive programmes, and match labels.
 COMPREHENSIVE_PROGRAMS = {"IR": "IRAN", "KP": "DPRK", "SY": "SYRIA", "CU": "CUBA"}
@@ -280,22 +281,13 @@ def listing_peers(listings: DataFrame) -> DataFrame:
 def mentions(texts: DataFrame, names: DataFrame, min_length: int = 8) -> DataFrame:
     """Texts (text_id, text) that contain a name (name_id, name) as whole words.
 
-    Names under ``min_length`` characters count only when they have two words. Single words and neighbouring pairs of each
-    text meet the first word or two of the names in an equi-join; the few longer names found that way are then compared
-    word for word, so texts are never paired with every name and never copied per word.
+    Names under ``min_length`` characters count only when they have two words. One automaton over the names walks along
+    each text once.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    wanted = names.select("name_id", "name", words(F.col("name")).alias("_parts")).where((F.length("name") >= min_length) | (F.size("_parts") >= 2)).where(F.size("_parts") > 0)
-    wanted = wanted.withColumn("run", F.array_join(F.slice("_parts", 1, 2), " "))
-    cut = texts.select("text_id", words(F.col("text")).alias("_words"))
-    n = F.size("_words")
-    singles = cut.select("text_id", F.posexplode("_words").alias("at", "run"))
-    pairs = cut.where(n >= 2).select("text_id", F.posexplode(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice("_words", i, 2), " "))).alias("at", "run"))
-    found = singles.unionByName(pairs).join(wanted, "run")
-    short = found.where(F.size("_parts") <= 2).select("text_id", "name_id", "name")
-    long = found.where(F.size("_parts") > 2).select("text_id", "at", "name_id", "name", "_parts").join(cut, "text_id")
-    whole = long.where(F.slice("_words", F.col("at") + 1, F.size("_parts")) == F.col("_parts")).select("text_id", "name_id", "name")
-    return short.unionByName(whole).distinct()
+    several = F.contains(F.trim(words_of(F.col("name"))), F.lit(" "))
+    wanted = names.where((F.length("name") >= min_length) | several)
+    found = word_join(texts, wanted.select(F.struct("name_id", "name").alias("needle_id"), F.col("name").alias("needle")))
+    return found.select("text_id", "needle_id.name_id", "needle_id.name")
 
 
 def party_filter(dockets: DataFrame, listings: DataFrame) -> DataFrame:

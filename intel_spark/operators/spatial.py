@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intel_spark.functions.geo import cell, haversine_m, inside_ring, neighbour_offsets, wrapped_column
+from intel_spark.session import checkpoint_ready
 
 KM_PER_DEGREE = 111.0
 POLAR_LATITUDE = 89.5
@@ -105,25 +106,81 @@ def describe_location(points: DataFrame, ports: DataFrame, zones: DataFrame, lan
     return found.select(*points.columns, place.alias("place"))
 
 
-def land_edges(land: DataFrame) -> DataFrame:
-    """Ring edges of land polygons (polygon_id, ring_no, ring), one row per edge and whole-degree latitude band."""
-    n = F.size("ring")
-    edge = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.col("ring")[i].alias("a"), F.col("ring")[(i + 1) % n].alias("b")))
-    edges = land.select("polygon_id", "ring_no", F.explode(edge).alias("e")).select(
-        "polygon_id", "ring_no", F.col("e.a.lon").alias("x1"), F.col("e.a.lat").alias("y1"), F.col("e.b.lon").alias("x2"), F.col("e.b.lat").alias("y2")
-    ).where("y1 <> y2")
-    bands = F.sequence(F.floor(F.least("y1", "y2")), F.floor(F.greatest("y1", "y2")))
-    return edges.withColumn("band", F.explode(bands))
+DENSE = 64  # edges of a ring in one cell beyond which the cell is cut in four
+FINEST = 8  # times a cell is cut
+
+
+def _crossings(edges: Column, x0: Column, y0: Column, x: Column, y: Column) -> Column:
+    """How many edges of a cell the way from its corner crosses: first north or south along x0, then east or west along y.
+
+    An edge counts where its ends lie on different sides, ends on the line counting as west or south of it.
+    """
+    def crossed(e):
+        up = e["y1"] + (e["y2"] - e["y1"]) * (x0 - e["x1"]) / (e["x2"] - e["x1"])
+        along = e["x1"] + (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"])
+        first = ((e["x1"] > x0) != (e["x2"] > x0)) & ((up > y0) != (up > y))
+        then = ((e["y1"] > y) != (e["y2"] > y)) & ((along > x0) != (along > x))
+        return F.when(first, 1).otherwise(0) + F.when(then, 1).otherwise(0)
 
+    return F.aggregate(edges, F.lit(0), lambda n, e: n + crossed(e))
 
-def is_land(spots: DataFrame, land: DataFrame) -> DataFrame:
+
+def land_index(land: DataFrame, dense: int = DENSE) -> tuple[DataFrame, int]:
+    """Cells (level, row, col) that a ring of land (polygon_id, ring_no, ring) passes through or covers, one row a ring.
+
+    A row holds the parity of the cell's south-west corner, whether it lies inside the ring, and the ring's edges in the cell.
+    A point's own parity follows from the few edges between the corner and the point. Cells are whole degrees; where a ring
+    has many edges its cell is cut in four, and again, so that a point meets about ``dense`` edges of a ring at most. The finest
+    level is returned with the cells.
+    """
+    n = F.size("ring")
+    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.col("ring")[i]["lon"].alias("x1"), F.col("ring")[i]["lat"].alias("y1"), F.col("ring")[(i + 1) % n]["lon"].alias("x2"), F.col("ring")[(i + 1) % n]["lat"].alias("y2")))
+    edges = land.where(n > 0).select("polygon_id", "ring_no", F.explode(pieces).alias("e")).where((F.col("e.x1") != F.col("e.x2")) | (F.col("e.y1") != F.col("e.y2")))
+    key = ["polygon_id", "ring_no"]
+    x1, y1, x2, y2 = (F.col(f"e.{c}") for c in ("x1", "y1", "x2", "y2"))
+    # where a ring crosses the southern border of a row of cells: corners between two crossings lie inside
+    at = x1 + (x2 - x1) * (F.col("row") - y1) / (y2 - y1)
+    low, high = F.least(y1, y2), F.greatest(y1, y2)
+    rows = F.when(F.ceil(low) <= F.floor(high), F.sequence(F.ceil(low), F.floor(high))).otherwise(F.array().cast("array<bigint>"))
+    meets = edges.withColumn("row", F.explode(rows)).where((y1 > F.col("row")) != (y2 > F.col("row"))).groupBy(*key, "row").agg(F.array_sort(F.collect_list(at)).alias("xs"))
+    spans = F.transform(F.sequence(F.lit(0), (F.size("xs") / 2).cast("int") - 1), lambda i: F.when(F.ceil(F.col("xs")[2 * i]) < F.ceil(F.col("xs")[2 * i + 1]), F.sequence(F.ceil(F.col("xs")[2 * i]), F.ceil(F.col("xs")[2 * i + 1]) - 1)).otherwise(F.array().cast("array<bigint>")))
+    inside = meets.select(*key, "row", F.explode(F.array_distinct(F.flatten(spans))).alias("col")).withColumn("parity", F.lit(1))
+    # the cells an edge passes through, row by row
+    x_at = lambda y: F.when(y1 == y2, x1).otherwise(x1 + (x2 - x1) * (y - y1) / (y2 - y1))
+    strip = edges.withColumn("row", F.explode(F.sequence(F.floor(low), F.floor(high))))
+    south, north = x_at(F.greatest(low, F.col("row").cast("double"))), x_at(F.least(high, F.col("row") + 1.0))
+    west, east = F.when(y1 == y2, F.least(x1, x2)).otherwise(F.least(south, north)), F.when(y1 == y2, F.greatest(x1, x2)).otherwise(F.greatest(south, north))
+    # rounding may put a border crossing beside its cell: the neighbours within a millionth of a degree hold the edge too
+    touched = strip.withColumn("col", F.explode(F.sequence(F.floor(west - 1e-6), F.floor(east + 1e-6)))).groupBy(*key, "row", "col").agg(F.collect_list("e").alias("edges"))
+    cells = touched.join(inside, [*key, "row", "col"], "full").select(*key, F.lit(0).alias("level"), "row", "col", F.coalesce("parity", F.lit(0)).alias("parity"), F.coalesce("edges", F.array().cast(touched.schema["edges"].dataType)).alias("edges"))
+    checkpoint_ready(land.sparkSession)
+    cells = cells.checkpoint()
+    done, finest = cells.where(F.size("edges") <= dense), 0
+    for level in range(1, FINEST + 1):
+        cells = cells.where(F.size("edges") > dense)
+        if cells.isEmpty():
+            break
+        finest = level
+        quarters = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (0, 1) for c in (0, 1)])
+        size, outer = 2.0**-level, 2.0 ** (1 - level)
+        cut = cells.withColumn("q", F.explode(quarters)).withColumns({"x0": F.col("col") * outer, "y0": F.col("row") * outer}).withColumns({"x": F.col("x0") + F.col("q.c") * size, "y": F.col("y0") + F.col("q.r") * size})
+        parity = (F.col("parity") + _crossings(F.col("edges"), F.col("x0"), F.col("y0"), F.col("x"), F.col("y"))) % 2
+        kept = F.filter("edges", lambda e: (F.greatest(e["x1"], e["x2"]) >= F.col("x") - 1e-6) & (F.least(e["x1"], e["x2"]) <= F.col("x") + size + 1e-6) & (F.greatest(e["y1"], e["y2"]) >= F.col("y") - 1e-6) & (F.least(e["y1"], e["y2"]) <= F.col("y") + size + 1e-6))
+        cells = cut.select(*key, F.lit(level).alias("level"), (F.col("row") * 2 + F.col("q.r")).alias("row"), (F.col("col") * 2 + F.col("q.c")).alias("col"), parity.cast("int").alias("parity"), kept.alias("edges")).checkpoint()
+        done = done.unionByName(cells if level == FINEST else cells.where(F.size("edges") <= dense))
+    return done, finest
+
+
+def is_land(spots: DataFrame, land: DataFrame, dense: int = DENSE) -> DataFrame:
     """Distinct spots (lat, lon) that lie inside a land polygon and outside its holes."""
-    crossing = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
-    right_of = F.when(crossing, F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    hits = spots.select("lat", "lon").distinct().withColumn("band", F.floor("lat")).join(land_edges(land), "band").where(crossing & right_of)
-    # parity per ring is a partial count: only rings actually crossed reach the shuffle
-    rings = hits.groupBy("lat", "lon", "polygon_id", "ring_no").agg((F.count("*") % 2).alias("odd"))
-    polygons = rings.groupBy("lat", "lon", "polygon_id").agg(
+    index, finest = land_index(land, dense)
+    levels = F.array(*[F.struct(F.lit(v).alias("level"), F.floor(F.col("lat") * 2.0**v).alias("row"), F.floor(F.col("lon") * 2.0**v).alias("col")) for v in range(finest + 1)])
+    asked = spots.select("lat", "lon").where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).distinct().select("lat", "lon", F.explode(levels).alias("c")).select("lat", "lon", "c.*")
+    # a ring's cells do not overlap, so a spot meets each ring once
+    met = asked.join(index, ["level", "row", "col"])
+    size = F.pow(F.lit(2.0), -F.col("level"))
+    odd = (F.col("parity") + _crossings(F.col("edges"), F.col("col") * size, F.col("row") * size, F.col("lon"), F.col("lat"))) % 2
+    polygons = met.select("lat", "lon", "polygon_id", "ring_no", odd.alias("odd")).groupBy("lat", "lon", "polygon_id").agg(
         F.max(F.when(F.col("ring_no") == 0, F.col("odd"))).alias("outer"), F.max(F.when(F.col("ring_no") > 0, F.col("odd"))).alias("hole")
     )
     return polygons.where((F.col("outer") == 1) & (F.coalesce("hole", F.lit(0)) == 0)).select("lat", "lon").distinct()

@@ -1,22 +1,21 @@
-"""Structured Streaming jobs T01-T12. Each takes a stream and a checkpoint folder and returns the running query; the
+"""Structured Streaming jobs T03-T11; those on ships and aircraft are in ``vessels``. Each takes a stream and a checkpoint folder and returns the running query; the
 detectors are the batch functions."""
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
-from intel_spark.functions.text import name_token
 from intel_spark.operators import fusion, market, sanctions
 from intel_spark.operators.chain import assess_transfers
-from intel_spark.operators.maritime import grade_gaps, grade_positions
-from intel_spark.streaming.state import kept_sightings, vessel_history, with_prev
+from intel_spark.operators.timeline import newest_rows
+from intel_spark.session import checkpoint_ready
 
-EVENT_COLUMNS = ["mmsi", "ts", "event_type", "severity", "confidence", "detail"]
+BASELINE_BARS = 10_080  # candles a price baseline may look back over
 
 
 def _start(df: DataFrame, checkpoint: str, path: str, available_now: bool, interval: str = "30 seconds") -> StreamingQuery:
@@ -39,31 +38,19 @@ def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
         return like.limit(0)
 
 
-def vessel_events(history: DataFrame, zones: DataFrame, gap_hours: float = 6.0) -> DataFrame:
-    """Gap, anomaly, rename, re-flagging and silence events of a vessel history."""
-    fixes = with_prev(history)
-    gaps = grade_gaps(fixes, zones, gap_hours).withColumn("detail", F.col("gap_hours").cast("string"))
-    jumps = grade_positions(fixes).withColumn("detail", F.array_join("reasons", ","))
-    replaced = F.element_at("names", -1)
-    renamed = fixes.where(F.col("name").isNotNull() & (F.size("names") > 0) & ~F.array_contains("tokens", name_token(F.col("name"))) & ~F.startswith(replaced, F.lit("MMSI ")))
-    renames = renamed.select("mmsi", "ts", F.lit("name_change").alias("event_type"), F.lit("medium").alias("severity"), F.lit(0.5).alias("confidence"), replaced.alias("detail"))
-    flags = fixes.where((F.col("flag") != "XX") & (F.col("prev.flag") != F.col("flag"))).select("mmsi", "ts", F.lit("flag_change").alias("event_type"), F.lit("high").alias("severity"), F.lit(0.6).alias("confidence"), F.col("prev.flag").alias("detail"))
-    silent = history.where("kind = 'silent'").select("mmsi", "ts", F.lit("silent").alias("event_type"), F.lit("medium").alias("severity"), F.lit(0.4).alias("confidence"), F.col("name").alias("detail"))
-    out = gaps.select(EVENT_COLUMNS)
-    for part in (jumps, renames, flags, silent):
-        out = out.unionByName(part.select(EVENT_COLUMNS))
-    return out
-
-
-def start_vessel_events(positions: DataFrame, checkpoint: str, path: str, zones: DataFrame, gap_hours: float = 6.0, watermark: str = "30 minutes", available_now: bool = False) -> StreamingQuery:
-    """T01, T02. One pass over the state per micro-batch: the history is written out and the detectors read that batch."""
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        # a replayed batch replaces its own folder
-        vessel_events(batch, zones, gap_hours).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        batch.unpersist()
+def span(batch: DataFrame, col: str = "ts"):
+    """The first and last moment of a batch: one row that becomes literals, so that stores are read by the days they name."""
+    return batch.agg(F.min(col), F.max(col)).first()
 
-    return _each(vessel_history(positions, gap_hours, watermark), checkpoint, handle, available_now)
+
+def stored_days(spark: SparkSession, path: str, like: DataFrame, first: datetime, last: datetime) -> DataFrame:
+    """Stored rows, without ``day``, of the days between two moments; other days' folders are not read."""
+    have = stored(spark, path, like.withColumn("day", F.lit(None).cast("date")))
+    return have.where(F.col("day").between(F.lit(first.date()), F.lit(last.date()))).drop("day")
+
+
+def append_days(rows: DataFrame, path: str, ts: str = "ts") -> None:
+    rows.withColumn("day", F.to_date(ts)).write.mode("append").partitionBy("day").parquet(path)
 
 
 def start_cascades(orders: DataFrame, checkpoint: str, path: str, gap_minutes: float = 2.0, min_events: int = 5, min_usd: float = 1_000_000, watermark: str = "5 minutes", available_now: bool = False) -> StreamingQuery:
@@ -95,19 +82,33 @@ def start_resample(candles: DataFrame, checkpoint: str, path: str, minutes: int
     return _start(bars.select("asset", "exchange", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume"), checkpoint, path, available_now)
 
 
-def start_market_alerts(candles: DataFrame, checkpoint: str, history: str, path: str, days: int = 8, last: int = 10, sigma: float = 3.0, available_now: bool = False) -> StreamingQuery:
-    """Detectors over the bounded history kept by T04, on the series a batch touches; known alerts are not repeated."""
+def start_market_alerts(candles: DataFrame, checkpoint: str, history: str, path: str, baseline: int = BASELINE_BARS, last: int = 10, sigma: float = 3.0, available_now: bool = False) -> StreamingQuery:
+    """Detectors over the newest ``baseline + last`` candles of each series that a batch touches, from the store kept by
+    T04; known alerts are not repeated.
+
+    Days are counted per series first, and only those that hold one of the newest candles are read.
+    """
     spark = candles.sparkSession
+    series, bars = ["asset", "exchange", "timeframe"], baseline + last
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        touched = batch.select("asset", "exchange").distinct().persist()
+        first, newest = span(batch)
+        if newest is None:
             return
-        newest = batch.agg(F.max("ts").alias("newest"))
-        known = stored(spark, history, batch)
-        recent = known.join(batch.select("asset", "exchange").distinct(), ["asset", "exchange"], "left_semi").join(newest, F.col("ts") >= F.col("newest") - F.expr(f"INTERVAL {days} DAYS")).drop("newest")
-        alerts = market.market_alerts(prices=market.price_anomalies(recent, sigma, last=last), volumes=market.volume_spikes(recent))
-        fresh = sanctions.insert_if_absent(alerts, stored(spark, path, alerts), ["asset", "alert_type", "exchanges", "ts"])
-        fresh.write.mode("append").parquet(path)
+        known = stored(spark, history, batch.withColumn("day", F.to_date("ts"))).join(touched, ["asset", "exchange"], "left_semi")
+        newer = Window.partitionBy(*series).orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        days = known.groupBy(*series, "day").agg(F.count("*").alias("n")).withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0)))
+        oldest = days.where(F.col("newer") < bars).agg(F.min("day")).first()[0]
+        if oldest is None:
+            return
+        recent = newest_rows(known.where(F.col("day") >= F.lit(oldest)).drop("day"), series, "ts", bars).drop("age").persist()
+        alerts = market.market_alerts(prices=market.price_anomalies(recent, sigma, baseline=baseline, last=last), volumes=market.volume_spikes(recent))
+        start, end = span(recent)
+        fresh = sanctions.insert_if_absent(alerts, stored_days(spark, path, alerts, start, end), ["asset", "alert_type", "exchanges", "ts"])
+        append_days(fresh, path)
+        recent.unpersist()
+        touched.unpersist()
 
     return _each(candles, checkpoint, handle, available_now)
 
@@ -126,13 +127,16 @@ def start_mempool_screen(transactions: DataFrame, checkpoint: str, path: str, la
 
 
 def start_token_flows(transfers: DataFrame, checkpoint: str, path: str, labels: DataFrame, whale_usd: float = 5_000_000, available_now: bool = False) -> StreamingQuery:
-    """Flagged or large token transfers, stored once."""
+    """Flagged or large token transfers, stored once; a transfer's day says where an earlier copy of it lies."""
     spark = transfers.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        first, last = span(batch)
+        if first is None:
+            return
         scored = assess_transfers(batch, labels, whale_usd)
         keep = scored.where(F.col("involves_sanctioned") | F.col("involves_mixer") | (F.col("pattern") == "whale_transfer"))
-        sanctions.insert_if_absent(keep, stored(spark, path, keep), ["chain", "tx_hash"]).write.mode("append").parquet(path)
+        append_days(sanctions.insert_if_absent(keep, stored_days(spark, path, keep, first, last), ["chain", "tx_hash"]), path)
 
     return _each(transfers, checkpoint, handle, available_now)
 
@@ -145,9 +149,8 @@ def start_listing_feed(deliveries: DataFrame, checkpoint: str, table: str, log:
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         empty = batch.withColumn("id", F.lit(None).cast("long")).withColumn("is_active", F.lit(True)).withColumn("delisting_date", F.lit(None).cast("timestamp"))
-        snapshots = stored(spark, table, empty.withColumn("snapshot", F.lit(-1).cast("long"))).where(F.col("snapshot") < batch_id)
-        newest = snapshots.agg(F.max("snapshot").alias("n"))
-        old = snapshots.join(newest, F.col("snapshot") == F.col("n")).drop("n", "snapshot").select(*empty.columns)
+        # batches are numbered without a gap, so the newest snapshot is named and no other is read
+        old = empty.limit(0) if batch_id == 0 else spark.read.schema(empty.schema).parquet(f"{table}/snapshot={batch_id - 1}").select(*empty.columns)
         diff = sanctions.diff_listings(old, batch).persist()
         sanctions.change_log(diff, as_of).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
         sanctions.apply_diff(old, batch, diff, as_of).write.mode("overwrite").parquet(f"{table}/snapshot={batch_id}")
@@ -163,35 +166,47 @@ def start_event_ingest(drafts: DataFrame, checkpoint: str, path: str, days: int
 
 
 def start_watch_hits(records: DataFrame, checkpoint: str, path: str, items: DataFrame, available_now: bool = False) -> StreamingQuery:
-    """New records (kind, key, record_type, record_id, ts, severity) joined to watched items, each hit stored once."""
+    """New records that touch watched items (id, kind, key, created_at, last_checked_at), each hit stored once.
+
+    Records are (kind, key, record_type, record_id, ts, severity) by exact key; those with a ``text`` and the ``kinds`` of items
+    that look into it are searched for companies, domains and keywords too. An item sees what is not older than its last
+    check, or than a week before it was created, as in the batch job.
+    """
     spark = records.sparkSession
-    watched = items.select(F.col("id").alias("item_id"), "kind", "key").distinct()
+    watched = items if "last_checked_at" in items.columns else items.withColumns({"created_at": F.lit(None).cast("timestamp"), "last_checked_at": F.timestamp_seconds(F.lit(0))})
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        hits = batch.join(watched, ["kind", "key"]).select("item_id", "kind", "key", "record_type", "record_id", "ts", "severity")
-        sanctions.insert_if_absent(hits, stored(spark, path, hits), ["item_id", "record_type", "record_id"]).write.mode("append").parquet(path)
+        first, last = span(batch)
+        if first is None:
+            return
+        batch = batch.withColumn("record_id", F.col("record_id").cast("string"))
+        texts = batch.where(F.col("text").isNotNull()).select("record_type", "record_id", "ts", "severity", "text", "kinds") if "text" in batch.columns else None
+        none = batch.limit(0).select(F.lit(0).cast("long").alias("item_id"), "record_type", "record_id")
+        empty = batch.limit(0).select("record_type", "record_id", "ts", "severity", F.lit("").alias("text"), F.array(F.lit("")).alias("kinds"))
+        exact = batch.where(F.col("key").isNotNull()).select("kind", "key", "record_type", "record_id", "ts", "severity")
+        hits = fusion.watch_hits(watched, exact, empty if texts is None else texts, none, last)
+        append_days(sanctions.insert_if_absent(hits, stored_days(spark, path, hits, first, last), ["item_id", "record_type", "record_id"]), path)
 
     return _each(records, checkpoint, handle, available_now)
 
 
 def start_fusion(signals: DataFrame, checkpoint: str, store: str, path: str, horizon_hours: float = 48.0, min_score: float = 0.45, min_domains: int = 3, available_now: bool = False) -> StreamingQuery:
-    """Each batch joins the stored signals; pairs and clusters are rebuilt over the horizon before the newest signal and
-    new composite alerts appended."""
+    """Each batch joins the stored signals; links and clusters are counted anew over the horizon before the newest signal
+    and new composite alerts appended. Signals and alerts are stored by day, and only the horizon's days are read."""
     spark = signals.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        _, newest = span(batch)
+        if newest is None:
             return
-        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        everything = spark.read.parquet(store).drop("batch")
-        newest = batch.agg(F.max("ts").alias("newest"))
-        horizon = everything.join(newest, F.col("ts") >= F.col("newest") - F.expr(f"INTERVAL {int(horizon_hours * 60)} MINUTES")).drop("newest").dropDuplicates(["ref"])
-        alerts = fusion.composite_alerts(horizon, fusion.Rules(horizon_hours, min_score), min_domains)
-        sanctions.insert_if_absent(alerts, stored(spark, path, alerts), ["fingerprint"]).write.mode("append").parquet(path)
+        # a replayed batch replaces its own folder
+        batch.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{store}/batch={batch_id}")
+        start = newest - timedelta(hours=horizon_hours)
+        recent = spark.read.parquet(store).where((F.col("day") >= F.lit(start.date())) & (F.col("ts") >= F.lit(start))).drop("batch", "day").dropDuplicates(["ref"])
+        checkpoint_ready(spark)
+        recent = recent.checkpoint()
+        alerts = fusion.composite_alerts(recent, fusion.Rules(horizon_hours, min_score), min_domains)
+        # an alert is named after its anchor and first day, which lies inside the horizon
+        append_days(sanctions.insert_if_absent(alerts, stored_days(spark, path, alerts, start, newest), ["fingerprint"]), path, "window_start")
 
     return _each(signals, checkpoint, handle, available_now)
-
-
-def start_sightings(sightings: DataFrame, checkpoint: str, path: str, min_gap_s: int = 120, watermark: str = "10 minutes", available_now: bool = False) -> StreamingQuery:
-    """Aircraft sightings without repeats, with flight keys."""
-    return _start(kept_sightings(sightings, min_gap_s, watermark), checkpoint, path, available_now)

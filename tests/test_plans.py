@@ -33,7 +33,7 @@ def test_old_days_are_dropped_before_the_baseline_window(spark):
 def test_every_query_is_registered_once_with_columns(spark):
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and set(QUERIES) <= set(queries)
-    assert len(QUERIES) >= 250 and set(QUERIES) - set(ORACLES) == {"f36_sequence_ratio", "x03_spoofing_clusters"}
+    assert len(QUERIES) >= 250 and set(QUERIES) - set(ORACLES) == {"f36_sequence_ratio"}
 
 
 def test_events_meet_intervals_by_day(spark):

@@ -1,5 +1,7 @@
 import random
+import re
 
+import pytest
 from conftest import NOW
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from intel_spark.functions import chain as c
 from intel_spark.functions import news as nw
 from intel_spark.functions import text as t
 from intel_spark.functions.vessel import lookup
-from intel_spark.operators import corporate, graph
+from intel_spark.operators import corporate, graph, search
 from intel_spark.operators import maritime as m
 from intel_spark.operators import names as n
 from intel_spark.operators import sanctions as s
@@ -206,3 +208,75 @@ def test_mentions_of_long_names(spark):
     texts = spark.createDataFrame([(1, "The tanker Ever Given Star, adrift"), (2, "ever given moon"), (3, "EVER GIVEN")], "text_id long, text string")
     known = spark.createDataFrame([("a", "EVER GIVEN STAR"), ("b", "Ever Given"), ("c", "Star")], "name_id string, name string")
     assert {(r.text_id, r.name_id) for r in n.mentions(texts, known).collect()} == {(1, "a"), (1, "b"), (2, "b"), (3, "b")}
+
+
+OWN = "child long, parent long, kind string"
+
+
+def company_rows(spark, ids, listed=(), places=None):
+    return spark.createDataFrame([(i, f"C{i}", f"L{i}", (places or {}).get(i, "DE"), i in listed) for i in ids], "id long, name string, lei string, country string, listed boolean")
+
+
+def test_owners_over_both_kinds_and_rings(spark):
+    rng = random.Random(4)
+    edges = {(rng.randrange(60), rng.randrange(60), rng.choice(["direct", "ultimate"])) for _ in range(70)} | {(100, 101, "direct"), (101, 102, "ultimate"), (102, 100, "direct"), (103, 100, "ultimate")}
+    above = {}
+    for child, parent, _ in edges:
+        above.setdefault(child, set()).add(parent)
+    want = {}
+    for start in above:
+        seen, ring, steps = {start: 0}, [start], 0
+        while ring:
+            steps += 1
+            ring = [p for x in ring for p in above.get(x, ()) if p not in seen and not seen.update({p: steps})]
+        want.update({(start, x): n for x, n in seen.items() if x != start})
+    frame = spark.createDataFrame(list(edges), OWN)
+    assert {(r.company, r.owner): r.steps for r in graph.owners(frame).collect()} == want
+    companies = company_rows(spark, [*range(60), 100, 101, 102, 103, 104], listed={102}, places={101: "VG"})
+    chains = {r.company: r for r in graph.ownership_chains(companies, frame).collect()}
+    assert len(chains) == 65 and [h.name for h in chains[103].chain_path] == ["C103", "C100", "C101", "C102"]
+    assert [h.relationship for h in chains[103].chain_path] == ["subject", "ultimate_parent", "direct_parent", "ultimate_parent"]
+    assert chains[103].involves_sanctioned and chains[103].secrecy and chains[104].chain_length == 1 and chains[104].owners == 0
+    assert all(r.owners == sum(c == i for c, _ in want) for i, r in chains.items())
+
+
+def test_a_thousand_owners_take_few_rounds(spark):
+    chain = spark.range(1000).select(F.col("id").alias("child"), (F.col("id") + 1).alias("parent"), F.lit("direct").alias("kind"))
+    top = graph.primary_paths(chain, max_rounds=12).where("company = 0").select(F.size("path").alias("n"), F.element_at("path", -1)["id"].alias("top")).first()
+    assert (top.n, top.top) == (1000, 1000)
+    found = graph.owners(chain, max_rounds=12)
+    assert found.count() == 1000 * 1001 // 2 and found.where("steps <> owner - company").count() == 0
+
+
+def test_needles_in_texts(spark):
+    rng = random.Random(5)
+    texts = [(i, "".join(rng.choice("abAB é.") for _ in range(rng.randrange(60)))) for i in range(80)] + [(100, None), (101, ""), (102, "x" * 300_000 + "needle")]
+    needles = [(i, "".join(rng.choice("abé ") for _ in range(rng.randrange(5)))) for i in range(60)] + [(90, None), (91, "needle"), (92, "ab")]
+    t, k = spark.createDataFrame(texts, "text_id long, text string"), spark.createDataFrame(needles, "needle_id long, needle string")
+    want = {(i, j) for i, x in texts for j, y in needles if x and y and y.lower() in x.lower()}
+    for budget in (10, 1_000_000):
+        assert {(r.text_id, r.needle_id) for r in search.substring_join(t, k, budget).collect()} == want
+    assert search.substring_join(t, k.limit(0)).count() == 0 and search.word_join(t.limit(0), k).count() == 0
+    plan = search.substring_join(t, k)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    words = lambda x: re.sub(r"[^a-z0-9é]+", " ", (x or "").lower()).strip()
+    want = {(i, j) for i, x in texts for j, y in needles if x and words(y) and f" {words(y)} " in f" {words(x)} "}
+    assert {(r.text_id, r.needle_id) for r in search.word_join(t, k).collect()} == want
+
+
+@pytest.mark.parametrize(("ratio", "mode"), [(0.88, "levenshtein"), (0.7, "levenshtein"), (0.9, "sequence")])
+def test_similar_names_match_all_pairs(spark, monkeypatch, ratio, mode):
+    monkeypatch.setattr(n, "HOT_SEGMENT", 3)
+    rng = random.Random(6)
+    base = ["".join(rng.choice("ABC D") for _ in range(rng.randrange(1, 30))).strip() for _ in range(40)]
+    def edited(x):
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(x) + 1)
+            x = x[:at] + rng.choice(["", "Z", "A"]) + x[at + rng.randrange(2):]
+        return x
+    left, right = base + [edited(x) for x in base] + [""], [edited(x) for x in base for _ in range(3)] + ["SAME"] * 3
+    a, b = spark.createDataFrame([(x,) for x in left], "l string"), spark.createDataFrame([(x,) for x in right], "r string")
+    pairs = a.distinct().crossJoin(b.distinct()).where("l <> '' and r <> ''").withColumn("ratio", t.name_ratio(F.col("l"), F.col("r"), mode)).where(F.col("ratio") >= ratio - 1e-12)
+    want = {(x.l, x.r): round(x.ratio, 9) for x in pairs.collect()}
+    got = {(x.a, x.b): round(x.ratio, 9) for x in n.similar_names(a, b, "l", "r", ratio, mode).collect()}
+    assert got == want and len(want) > 40

@@ -223,3 +223,34 @@ def test_cargo(spark):
     assert cargo(275.0, None, 16.0).size_class == "suezmax" and cargo(275.0, None, 16.0).laden
     gas = cargo(290.0, 9.0, 12.0, "lng")
     assert gas.laden is None and gas.barrels is None
+
+
+def test_land_parity_matches_ray_casting(spark):
+    rng = random.Random(12)
+
+    def ring(cx, cy, n, r):
+        out = []
+        for k in range(n):
+            at, far = 2 * math.pi * k / n, r * rng.uniform(0.4, 1.0)
+            out.append((cx + far * math.cos(at), cy + far * math.sin(at)))
+        return out
+
+    # a jagged coast with holes and a lake on cell corners, a long thin strip, a coast so fine that cells are cut several times
+    rings = [(1, 0, ring(0.3, 0.7, 60, 4.0)), (1, 1, ring(0.0, 0.0, 9, 1.2)), (1, 2, [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0)]), (2, 0, [(-9.0, 3.0), (9.0, 3.2), (9.0, 3.25), (-9.0, 3.1)]), (3, 0, ring(7.4, -2.6, 1500, 0.8)), (4, 0, [(-3.0, -5.0), (-1.0, -5.0), (-1.0, -4.0), (-3.0, -4.0)]), (5, 0, [])]
+    land_ = spark.createDataFrame(rings, "polygon_id long, ring_no int, ring array<struct<lon:double,lat:double>>")
+    points = [(rng.uniform(-6, 6), rng.uniform(-6, 10)) for _ in range(1500)] + [(rng.uniform(-3.5, -1.7), rng.uniform(6.6, 8.2)) for _ in range(1500)] + [(float(a) + 0.5 * b, float(c) + 0.25) for a in range(-5, 5) for b in (0, 1) for c in range(-5, 9)]
+
+    def odd(poly, lat, lon):
+        hit = False
+        for (ax, ay), (bx, by) in zip(poly, poly[1:] + poly[:1]):
+            if (ay > lat) != (by > lat) and lon < (bx - ax) * (lat - ay) / (by - ay) + ax:
+                hit = not hit
+        return hit
+
+    want = {(lat, lon) for lat, lon in points if any(odd(r, lat, lon) and not any(odd(h, lat, lon) for q, no, h in rings if q == p and no) for p, no, r in rings if no == 0 and r)}
+    spots = spark.createDataFrame(points, "lat double, lon double")
+    for dense in (8, 64):
+        assert {(r.lat, r.lon) for r in g.is_land(spots, land_, dense).collect()} == want
+    assert len(want) > 400
+    index = g.land_index(land_, 64)[0].groupBy("level").agg(F.max(F.size("edges")).alias("n")).collect()
+    assert len(index) > 2 and max(r.n for r in index) <= 64
