@@ -83,6 +83,31 @@ def _(positions):
     return ais.load_ais(positions.select(value.alias("value"))).select("mmsi", "ts", "lat", "call_sign", "destination")
 
 
+@query("l07_load_station_feed", inputs="positions", oracle=f"SELECT mmsi, {ts("date_trunc('second', ts)", 'ts')}, {r4('lat')}, {r4('speed')}, name, imo FROM {{positions}}")
+def _(positions):
+    row = F.struct(F.col("mmsi").alias("MMSI"), F.col("lat").alias("LATITUDE"), F.col("lon").alias("LONGITUDE"), F.unix_seconds("ts").alias("TIME"), F.col("speed").alias("SOG"), F.col("course").alias("COG"), F.col("heading").alias("HEADING"), F.lit(0).alias("NAVSTAT"), F.concat("name", F.lit("  ")).alias("NAME"), F.coalesce("imo", F.lit("0")).alias("IMO"), F.col("call_sign").alias("CALLSIGN"), F.lit(80).alias("TYPE"))
+    payload = F.concat(F.lit('[{"ERROR":false,"RECORDS":'), F.size("rows").cast("string"), F.lit("},"), F.to_json("rows"), F.lit("]"))
+    payloads = positions.groupBy("vessel_id", F.to_date("ts").alias("day")).agg(F.collect_list(row).alias("rows")).select(payload.alias("value"))
+    return ais.load_station_feed(payloads).select("mmsi", "ts", "lat", "speed", "name", "imo")
+
+
+@query("l07_load_area_feed", inputs="positions", oracle=f"SELECT mmsi, {ts("date_trunc('second', ts)", 'ts')}, {r4('CASE WHEN floor(speed) <> 0 THEN floor(speed) / 10 END', 'speed')}, {r4('CASE WHEN course <> 0 THEN course END', 'course')}, flag FROM {{positions}} WHERE id % 10 <> 3")
+def _(positions):
+    at = F.when(F.col("id") % 10 == 3, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    row = F.struct(F.col("mmsi").alias("MMSI"), F.col("lat").alias("LAT"), F.col("lon").alias("LON"), at.alias("TIMESTAMP"), F.floor("speed").cast("string").alias("SPEED"), F.col("course").alias("COURSE"), F.col("flag").alias("FLAG"))
+    payloads = positions.groupBy("vessel_id", F.to_date("ts").alias("day")).agg(F.collect_list(row).alias("rows")).select(F.to_json("rows").alias("value"))
+    return ais.load_area_feed(payloads).select("mmsi", "ts", "speed", "course", "flag")
+
+
+@query("l07_load_locations", inputs="positions vessels", oracle=f"""
+    SELECT p.mmsi, {ts("date_trunc('second', p.ts)", 'ts')}, {r4('CASE WHEN p.course <> 360 THEN p.course END', 'course')}, v.name, {r4('v.length_m', 'length_m')} FROM {{positions}} p LEFT JOIN {{vessels}} v ON v.mmsi = p.mmsi WHERE p.ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 14400 MINUTE""")
+def _(positions, vessels):
+    features = positions.select("mmsi", "lat", "lon", F.unix_millis("ts").alias("ts_ms"), F.col("speed").alias("sog"), F.col("course").alias("cog"), "heading", F.lit(0).alias("nav_stat"))
+    none = F.lit(None).cast("string")
+    metadata = vessels.select("mmsi", "name", F.coalesce("imo", F.lit("0")).alias("imo"), none.alias("callSign"), F.lit(80).alias("shipType"), none.alias("destination"), F.lit(75).alias("draught"), (F.col("length_m") - 10).alias("referencePointA"), F.lit(10.0).alias("referencePointB"))
+    return ais.load_locations(features, metadata, AS_OF, 14_400).select("mmsi", "ts", "course", "name", "length_m")
+
+
 @query("l08_normalise_ais", inputs="positions", oracle=f"SELECT id, {r4('CASE WHEN heading * 2 < 511 THEN heading * 2 END', 'heading')}, {r4('CASE WHEN speed * 3 < 102.3 THEN speed * 3 END', 'speed')}, CASE WHEN flag = 'XX' THEN 'CY' ELSE flag END AS flag, name FROM {{positions}}")
 def _(positions):
     raw = positions.withColumn("heading", F.col("heading") * 2).withColumn("speed", F.col("speed") * 3).withColumn("flag", F.when(F.col("flag") != "XX", F.col("flag"))).withColumn("name", F.concat("name", F.lit("@@ -")))

@@ -291,6 +291,30 @@ def _(vessels, breaches, evasion, sts, calls, updates, events):
     return found.groupBy("type").agg(F.count("*").alias("signals"), F.sum(F.size("keys")).alias("keys"))
 
 
+@query("x20_facility_keys", inputs="vessels port_calls facilities", oracle="""
+    WITH f AS (SELECT port_name, max(name) AS name FROM {facilities} WHERE port_name IS NOT NULL GROUP BY 1), c AS (SELECT c.id, coalesce(f.name, c.port) AS facility, c.country, v.mmsi, v.flag FROM {port_calls} c JOIN {vessels} v ON v.id = c.vessel_id LEFT JOIN f ON f.port_name = c.port WHERE is_sanctioned),
+    s AS (SELECT c.id, coalesce(f.name, c.port) AS l, v.mmsi FROM {port_calls} c JOIN {vessels} v ON v.id = c.vessel_id LEFT JOIN f ON f.port_name = c.port WHERE c.id % 4 = 1)
+    SELECT 'port_call' AS type, id, unnest([concat('vessel:', mmsi), concat('facility:', facility), concat('country:', country), concat('country:', flag), 'sector:shipping', 'sector:energy']) AS key FROM c UNION ALL SELECT 'oil_shipment', id, unnest([concat('vessel:', mmsi), concat('facility:', l), 'country:RU', 'sector:energy', 'sector:shipping']) FROM s""")
+def _(vessels, calls, facilities):
+    from datetime import datetime, timezone
+    none = F.lit(None).cast("string")
+    ships = calls.where("id % 4 = 1").join(vessels.select(F.col("id").alias("vessel_id"), "mmsi"), "vessel_id").select(F.col("id").alias("shipment_id"), "mmsi", F.lit("RU").alias("origin"), none.alias("destination"), F.col("port").alias("loading_location"), none.alias("discharge_location"), F.col("arrival").alias("loading_date"), F.lit(True).alias("sanctioned_route"), F.lit(False).alias("dark_oil_suspect"), F.lit("crude").alias("cargo_type"))
+    found = f.collect_signals({"vessels": vessels, "port_calls": calls, "shipments": ships, "facilities": facilities}, datetime(1990, 1, 1, tzinfo=timezone.utc))
+    return found.select("type", "id", F.explode("keys").alias("k")).select("type", "id", F.concat_ws(":", "k.kind", "k.value").alias("key"))
+
+
+@query("f32_facilities_in_texts", inputs="texts facility_words", oracle="""
+    WITH w AS (SELECT doc_id, concat(' ', trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')), ' ') AS x FROM {texts}) SELECT DISTINCT doc_id AS text_id, concat(name, ' terminal (', name_id, ')') AS facility FROM w JOIN {facility_words} p ON contains(x, concat(' ', p.name, ' '))""")
+def _(texts, words):
+    facilities = words.select(F.concat("name", F.lit(" terminal ("), "name_id", F.lit(")")).alias("name"))
+    return f.facility_mentions(texts.select(F.col("doc_id").alias("text_id"), "text"), facilities)
+
+
+@query("f35_alert_titles", inputs="signals", oracle=f"WITH RECURSIVE {KEYS}, {CLUSTERS} SELECT concat('Listed party ', ke, ': ', replace(domains, ',', ' + ')) AS title, members FROM fa JOIN ms USING (cluster)")
+def _(signals):
+    return f.composite_alerts(keyed(signals), RULES).select("title", "members")
+
+
 @query("x23_watch_hits", inputs="watch_items evasion texts", oracle=f"""
     WITH d AS (SELECT *, coalesce(last_checked_at, greatest(created_at - INTERVAL 7 DAY, {AS_OF_SQL} - INTERVAL 30 DAY)) AS since FROM {{watch_items}}), x AS (SELECT d.id AS item_id, 'evasion_event' AS record_type, e.id AS record_id FROM d JOIN {{evasion}} e ON d.kind = 'vessel' AND e.mmsi = d.key AND e.ts >= since
       UNION ALL SELECT d.id, 'document', t.doc_id FROM d JOIN {{texts}} t ON d.kind = 'keyword' AND contains(lower(t.text), lower(d.key))) SELECT DISTINCT item_id, record_type, record_id FROM x WHERE NOT (record_type = 'document' AND record_id % 10 = 3)""")

@@ -102,7 +102,7 @@ def latin_enough(name: Column, minimum: float = 0.6) -> Column:
 
 
 def clean_company_name(name: Column) -> Column:
-    return F.substring(F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " ")), 1, 300)
+    return F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " "))
 
 
 def listing_tokens(normalized: Column) -> Column:

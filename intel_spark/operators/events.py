@@ -71,7 +71,7 @@ def draft_events(coded: DataFrame, names: dict[str, str], watch: list[str] | Non
     plain_title = F.concat(F.coalesce(actor("actor1"), F.lit("Unknown Actor")), F.lit(" - "), "label", F.coalesce(F.concat(F.lit(" - "), actor("actor2")), F.lit("")), F.coalesce(F.concat(F.lit(" ("), place, F.lit(")")), F.lit("")))
     second = F.coalesce(F.when(F.col("actor1_country") != F.col("country"), F.col("actor1_country")), F.when(F.col("actor2_country") != F.col("country"), F.col("actor2_country")))
     out = staged.select(
-        "event_type", F.substring(F.when(F.col("slug").isNotNull(), F.concat("slug", F.lit(" ["), "label", F.lit("]"))).otherwise(plain_title), 1, 300).alias("title"), F.coalesce("added", "date").alias("ts"), F.lit("coded_events").alias("source"), F.col("id").alias("source_id"), "url",
+        "event_type", F.when(F.col("slug").isNotNull(), F.concat("slug", F.lit(" ["), "label", F.lit("]"))).otherwise(plain_title).alias("title"), F.coalesce("added", "date").alias("ts"), F.lit("coded_events").alias("source"), F.col("id").alias("source_id"), "url",
         severity.alias("severity"), confidence.alias("confidence"), "country", second.alias("country_secondary"), place.alias("region"), "lat", "lon", detect_sectors(F.concat_ws(" ", F.coalesce("slug", F.lit("")), "url", "label")).alias("sectors"),
         F.array_sort(F.array_union(coded_countries, in_title)).alias("countries"), "goldstein", "mentions",
     )
@@ -89,7 +89,7 @@ def draft_articles(articles: DataFrame, names: dict[str, str], state_media: list
     drafted = drafted.where(~F.col("state_media") | F.col("_type").isNotNull() | (F.size("sectors") > 0))
     base = F.when(F.col("event_type").isin("sanctions", "maritime_incident", "port_closure", "infrastructure"), "medium").otherwise("low")
     notes = impact_notes(F.col("event_type"), F.col("sectors"), F.col("countries"))
-    words = F.slice(F.regexp_extract_all(title, F.lit("([A-Za-z][A-Za-z-]{3,})")), 1, 12)
+    words = F.regexp_extract_all(title, F.lit("([A-Za-z][A-Za-z-]{3,})"))
     return drafted.select(
         "event_type", title.alias("title"), "ts", "source", F.col("url").alias("source_id"), "url", severity_from_text(title, base).alias("severity"), F.lit(base_confidence).alias("confidence"),
         F.try_element_at("countries", F.lit(1)).alias("country"), F.try_element_at("countries", F.lit(2)).alias("country_secondary"), "sectors", "countries",
@@ -112,7 +112,8 @@ def correlate_events(events: DataFrame, signals: DataFrame, window_hours: float
     every signal near them.
 
     A signal's score depends on its signature (kind, sector, countries) and its distance in time. So per event and
-    signature only the ``top`` nearest signals on each side can matter; they are fetched by their running number.
+    signature only the ``top`` nearest signals on each side can matter, and of them those near enough to pass at all; the
+    running numbers of signals say which these are, and no others are fetched.
     ``events`` are (id, ts, event_type, sectors, countries), ``signals`` are (kind, id, ts, sector, countries).
     """
     sig = signals.withColumn("countries", F.array_sort(F.array_distinct(F.coalesce("countries", F.array().cast("array<string>")))))
@@ -129,9 +130,17 @@ def correlate_events(events: DataFrame, signals: DataFrame, window_hours: float
     met = ek.join(sk, "key").select("event_id", "signature").distinct()
     met = met.join(signatures, "signature").join(events.select(F.col("id").alias("event_id"), "ts", "event_type", "sectors", "countries"), "event_id")
     met = met.withColumn("r", relevance(F.col("sectors"), F.col("countries"), F.col("event_type"), F.col("kind"), F.col("sector"), F.col("s_countries"))).where(0.7 * F.col("r") + 0.3 >= min_score)
-    probes = met.select("event_id", "signature", "ts", "r", "countries", "s_countries", "sectors", "sector")
-    at = asof(probes, numbered.select("signature", "ts", "n"), ["signature"], "ts", ["n"], tie="n").withColumn("n0", F.coalesce("match.n", F.lit(0).cast("long")))
-    wanted = at.select("event_id", "signature", "r", "countries", "s_countries", "sectors", "sector", F.col("ts").alias("event_ts"), F.explode(F.sequence(F.col("n0") - top + 1, F.col("n0") + top)).alias("n"))
+    # how far from the event a signal of this signature can lie and still score enough (thousandths are rounded)
+    reach = F.floor((1 - F.greatest(F.lit(0.0), (min_score - 0.0006 - 0.7 * F.col("r")) / 0.3)) * window_hours * 3_600_000_000)
+    marks = F.array(F.struct(F.lit("first").alias("mark"), (-reach - 1).alias("shift")), F.struct(F.lit("at").alias("mark"), F.lit(0).cast("long").alias("shift")), F.struct(F.lit("last").alias("mark"), reach.alias("shift")))
+    probes = met.select("event_id", "signature", F.col("ts").alias("event_ts"), "r", "countries", "s_countries", "sectors", "sector", F.explode(marks).alias("m"))
+    probes = probes.withColumn("ts", F.timestamp_micros(F.unix_micros("event_ts") + F.col("m.shift")))
+    found = asof(probes, numbered.select("signature", "ts", "n"), ["signature"], "ts", ["n"], tie="n").withColumn("n0", F.coalesce("match.n", F.lit(0).cast("long")))
+    number = lambda mark: F.max(F.when(F.col("m.mark") == mark, F.col("n0"))).alias(mark)
+    kept = ["r", "countries", "s_countries", "sectors", "sector", "event_ts"]
+    at = found.groupBy("event_id", "signature").agg(*[F.first(c).alias(c) for c in kept], number("first"), number("at"), number("last")).where(F.col("last") > F.col("first"))
+    numbers = F.sequence(F.greatest(F.col("first") + 1, F.col("at") - top + 1), F.least(F.col("last"), F.col("at") + top))
+    wanted = at.select("event_id", "signature", *kept, F.explode(numbers).alias("n"))
     near = wanted.join(numbered.select("signature", "n", "ts", F.col("kind").alias("alert_type"), F.col("id").alias("alert_id")), ["signature", "n"])
     t = linear_decay(F.col("event_ts"), F.col("ts"), window_hours)
     scored = near.withColumn("t", t).where("t > 0").withColumn("score", F.round(0.7 * F.col("r") + 0.3 * F.col("t"), 3)).where(F.col("score") >= min_score)

@@ -13,7 +13,7 @@ from intel_spark.functions.vessel import lookup
 from intel_spark.operators.graph import connected_components
 from intel_spark.operators.links import Rules, scored, strong_links, tied
 from intel_spark.operators.sanctions import insert_if_absent
-from intel_spark.operators.search import substring_join
+from intel_spark.operators.search import substring_join, word_join
 from intel_spark.operators.timeline import top_per_key
 from intel_spark.session import checkpoint_ready
 
@@ -52,6 +52,24 @@ def signal(df: DataFrame, kind: str, id_col: str, ts: str, severity: Column, key
     )
 
 
+def canonical_facility(df: DataFrame, facilities: DataFrame | None, *cols: str) -> DataFrame:
+    """F32: names in ``cols`` replaced by the name of the facility (name, port_name) whose port they are, so that a call at a
+    port and a shipment from its terminal carry the same key; other names stay."""
+    if facilities is None:
+        return df
+    ports = facilities.where(F.col("port_name").isNotNull()).groupBy("port_name").agg(F.max("name").alias("_key"))
+    for c in cols:
+        df = df.join(ports.withColumnRenamed("port_name", c), c, "left").withColumn(c, F.coalesce("_key", F.col(c))).drop("_key")
+    return df
+
+
+def facility_mentions(texts: DataFrame, facilities: DataFrame, min_length: int = 5) -> DataFrame:
+    """F32: (text_id, facility) where a text holds the distinctive first word of a facility's name as a whole word."""
+    first = F.split(F.trim(F.split("name", r"\(")[0]), r"\s+")[0]
+    needles = facilities.select(F.col("name").alias("needle_id"), F.lower(first).alias("needle")).where(F.length("needle") >= min_length)
+    return word_join(texts, needles).select("text_id", F.col("needle_id").alias("facility"))
+
+
 def _by_confidence(confidence: Column) -> Column:
     return F.when(confidence >= 0.8, "high").when(confidence >= 0.5, "medium").otherwise("low")
 
@@ -97,7 +115,7 @@ def collect_signals(tables: dict[str, DataFrame], since: datetime) -> DataFrame:
         keys = keys_of(("vessel", F.col("am")), ("vessel", F.col("bm")), ("country", F.col("af")), ("country", F.col("bf")), ("sector", F.lit("shipping")), ("theme", F.lit("maritime")))
         parts.append(signal(t, "transshipment", "id", "ts", _by_confidence(F.col("confidence")), keys, F.concat_ws(" ", F.lit("STS candidate"), "am", F.lit("/"), "bm")))
     if (t := recent("port_calls", "arrival")) is not None:
-        t = t.where("is_sanctioned").join(flags, "vessel_id")
+        t = canonical_facility(t.where("is_sanctioned").join(flags, "vessel_id"), tables.get("facilities"), "port")
         keys = keys_of(("vessel", F.col("v_mmsi")), ("country", F.col("country")), ("country", F.col("v_flag")), ("facility", F.col("port")), ("sector", F.lit("shipping")), ("sector", F.lit("energy")))
         parts.append(signal(t, "port_call", "id", "arrival", F.when(F.coalesce("v_status", F.lit("clear")) != "clear", "high").otherwise("medium"), keys, F.concat_ws(" ", "v_name", F.lit("called at sanctioned facility"), "port")))
     if (t := recent("list_updates", "ts")) is not None:
@@ -123,11 +141,11 @@ def collect_signals(tables: dict[str, DataFrame], since: datetime) -> DataFrame:
         keys = keys_of(("company", F.col("name")), ("entity", F.col("e_name")), ("entity", F.col("name")), ("country", F.col("country")), ("country", F.col("e_country")), ("theme", F.lit("sanctions")))
         parts.append(signal(t, "corporate_exposure", "id", "updated_at", F.when(F.col("risk_score") >= 0.8, "high").otherwise("medium"), keys, F.concat_ws(" ", "name", F.lit("is"), "match_type", F.lit("of a listed party"))))
     if (t := recent("dark_oil", "ts")) is not None:
-        t = t.join(flags, "vessel_id", "left")
+        t = canonical_facility(t.join(flags, "vessel_id", "left"), tables.get("facilities"), "facility")
         keys = keys_of(("vessel", F.col("v_mmsi")), ("country", F.col("origin")), ("country", F.col("destination")), ("facility", F.col("facility")), ("sector", F.lit("energy")), ("sector", F.lit("shipping")), ("theme", F.lit("maritime")))
         parts.append(signal(t, "dark_oil", "id", "ts", F.coalesce("severity", F.lit("medium")), keys, F.concat_ws(" ", "v_name", "pattern")))
     if (t := recent("shipments", "loading_date")) is not None:
-        t = t.where("sanctioned_route")
+        t = canonical_facility(t.where("sanctioned_route"), tables.get("facilities"), "loading_location", "discharge_location")
         keys = keys_of(("vessel", F.col("mmsi")), ("country", F.col("origin")), ("country", F.col("destination")), ("facility", F.col("loading_location")), ("facility", F.col("discharge_location")), ("sector", F.lit("energy")), ("sector", F.lit("shipping")))
         parts.append(signal(t, "oil_shipment", "shipment_id", "loading_date", F.when(F.col("dark_oil_suspect"), "high").otherwise("medium"), keys, F.concat_ws(" ", "mmsi", F.lit("loaded"), "cargo_type", F.lit("at"), "loading_location")))
     if (t := recent("sightings", "ts")) is not None:

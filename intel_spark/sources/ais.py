@@ -64,6 +64,52 @@ def load_locations(features: DataFrame, metadata: DataFrame, as_of: datetime, ma
     return fresh.select("mmsi", "ts", "lat", "lon", F.col("sog").alias("speed"), F.when(F.col("cog") != 360, F.col("cog")).alias("course"), "heading", nav_status_name(F.col("nav_stat")).alias("nav_status")).join(meta, "mmsi", "left")
 
 
+# feeds give numbers as such or as text
+STATION_ROW = "array<struct<MMSI:string,LATITUDE:string,LONGITUDE:string,TIME:string,SOG:string,COG:string,HEADING:string,NAVSTAT:string,NAME:string,IMO:string,CALLSIGN:string,TYPE:string,DEST:string>>"
+AREA_ROW = "array<struct<MMSI:string,LAT:string,LON:string,TIMESTAMP:string,SPEED:string,COURSE:string,HEADING:string,STATUS:string,SHIPNAME:string,IMO:string,CALLSIGN:string,SHIPTYPE:string,FLAG:string,DESTINATION:string>>"
+
+
+def _known(number: Column) -> Column:
+    """Identifiers that are given as 0 are not known."""
+    return F.when((number != "0") & (number != ""), number)
+
+
+def _number(c: str, kind: str = "double") -> Column:
+    return F.col(c).try_cast(kind)
+
+
+def _refused(payloads: DataFrame, refusal: Column) -> DataFrame:
+    """A payload that says it failed stops the load with what it says."""
+    return payloads.where(F.when(refusal.isNotNull(), F.raise_error(F.concat(F.lit("the feed refused: "), refusal)).cast("boolean")).otherwise(F.lit(True)))
+
+
+def load_station_feed(payloads: DataFrame) -> DataFrame:
+    """The shape of station networks (value: a JSON array of a header and an array of positions, times in epoch seconds)."""
+    value = F.col("value").cast("string")
+    failed = F.lower(F.get_json_object(value, "$[0].ERROR")).isin("true", "1")
+    good = _refused(payloads, F.when(failed, F.coalesce(F.get_json_object(value, "$[0].ERROR_MESSAGE"), F.lit("no reason given"))))
+    r = good.select(F.explode(F.from_json(F.get_json_object(value, "$[1]"), STATION_ROW)).alias("r")).where(F.col("r.MMSI").isNotNull())
+    out = r.select(
+        F.col("r.MMSI").alias("mmsi"), F.timestamp_seconds(_number("r.TIME", "bigint")).alias("ts"), _number("r.LATITUDE").alias("lat"), _number("r.LONGITUDE").alias("lon"), _number("r.SOG").alias("speed"), _number("r.COG").alias("course"), _number("r.HEADING").alias("heading"), nav_status_name(_number("r.NAVSTAT", "int")).alias("nav_status"),
+        _text("r.NAME").alias("name"), _known(F.col("r.IMO")).alias("imo"), _text("r.CALLSIGN").alias("call_sign"), F.when(_number("r.TYPE", "int") != 0, ship_type_name(_number("r.TYPE", "int"))).alias("ship_type"), _text("r.DEST").alias("destination"),
+    )
+    return out.where(F.col("ts").isNotNull())
+
+
+def load_area_feed(payloads: DataFrame) -> DataFrame:
+    """The shape of area exports (value: a JSON array of positions with times as text and speeds in tenths of a knot, or an
+    object with errors). Rows without a readable time are left out; 0 stands for a value that is not known."""
+    value = F.col("value").cast("string")
+    good = _refused(payloads, F.get_json_object(value, "$.errors"))
+    r = good.select(F.explode(F.from_json(value, AREA_ROW)).alias("r"))
+    given = lambda c: F.when(_number(c) != 0, _number(c))
+    out = r.select(
+        F.col("r.MMSI").alias("mmsi"), F.try_to_timestamp("r.TIMESTAMP", F.lit("yyyy-MM-dd'T'HH:mm:ss")).alias("ts"), _number("r.LAT").alias("lat"), _number("r.LON").alias("lon"), (given("r.SPEED") / 10).alias("speed"), given("r.COURSE").alias("course"), given("r.HEADING").alias("heading"),
+        nav_status_name(_number("r.STATUS", "int")).alias("nav_status"), F.col("r.SHIPNAME").alias("name"), _known(F.col("r.IMO")).alias("imo"), F.col("r.CALLSIGN").alias("call_sign"), F.when(_number("r.SHIPTYPE", "int") != 0, ship_type_name(_number("r.SHIPTYPE", "int"))).alias("ship_type"), F.col("r.FLAG").alias("flag"), F.col("r.DESTINATION").alias("destination"),
+    )
+    return out.where(F.col("ts").isNotNull())
+
+
 def normalise_ais(positions: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Unavailable heading and speed become null, the flag comes from the MMSI prefix (prefix, iso), the IMO is
     validated and names are cleaned."""

@@ -132,3 +132,16 @@ def test_window_edges(spark):
 def test_hot_keys_are_cut_into_days(spark):
     plan = links.key_links(busy(spark, 30, 60)[0])._jdf.queryExecution().optimizedPlan().toString()
     assert "_bucket" in plan and all("_bucket" in line for line in plan.splitlines() if "Window [" in line and "lead" in line)
+
+
+def test_a_call_and_a_shipment_of_one_terminal_link(spark):
+    facilities = spark.createDataFrame([("KOZMINO (crude terminal)", "NAKHODKA"), ("SITE (x)", None)], "name string, port_name string")
+    vessels = spark.createDataFrame([(1, "210000001", "PA", "A", "clear"), (2, "210000002", "LR", "B", "clear")], "id long, mmsi string, flag string, name string, sanctioned_status string")
+    calls = spark.createDataFrame([(7, 1, NOW, True, "NAKHODKA", "RU")], "id long, vessel_id long, arrival timestamp, is_sanctioned boolean, port string, country string")
+    loads = spark.createDataFrame([(9, "210000002", None, None, "KOZMINO (crude terminal)", "NAKHODKA", NOW + timedelta(hours=3), True, True, "crude")], "shipment_id long, mmsi string, origin string, destination string, loading_location string, discharge_location string, loading_date timestamp, sanctioned_route boolean, dark_oil_suspect boolean, cargo_type string")
+    found = fusion.collect_signals({"vessels": vessels, "port_calls": calls, "shipments": loads, "facilities": facilities}, NOW - timedelta(days=1))
+    held = {(r.type, r.id): {k.value for k in r.keys if k.kind == "facility"} for r in found.collect()}
+    assert held == {("port_call", 7): {"KOZMINO (crude terminal)"}, ("oil_shipment", 9): {"KOZMINO (crude terminal)"}}
+    assert [(r.a_ref, r.b_ref, r.link_type) for r in fusion.representative_pairs(found).collect()] == [("oil_shipment:9", "port_call:7", "geographic")]
+    texts = spark.createDataFrame([(1, "A tanker left Kozmino."), (2, "kozminox"), (3, "Site visit")], "text_id long, text string")
+    assert [(r.text_id, r.facility) for r in fusion.facility_mentions(texts, facilities).collect()] == [(1, "KOZMINO (crude terminal)")]

@@ -3,6 +3,7 @@ import math
 import random
 from collections import defaultdict
 
+import pytest
 from conftest import NOW, hours, minutes
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from intel_spark.functions import text as t
 from intel_spark.functions import vessel as v
 from intel_spark.operators import maritime as m
 from intel_spark.operators import spatial as g
+from intel_spark.sources import ais
 
 POSITION = "id long, mmsi string, vessel_id long, ts timestamp, lat double, lon double, speed double, heading double, name string, imo string, flag string, ship_type string, draught double"
 ZONE = "name string, kind string, context string, choke_point boolean, ring array<struct<lon:double,lat:double>>"
@@ -254,3 +256,19 @@ def test_land_parity_matches_ray_casting(spark):
     assert len(want) > 400
     index = g.land_index(land_, 64)[0].groupBy("level").agg(F.max(F.size("edges")).alias("n")).collect()
     assert len(index) > 2 and max(r.n for r in index) <= 64
+
+
+def test_feed_shapes(spark):
+    def of(*values):
+        return spark.createDataFrame([(v,) for v in values], "value string")
+
+    station = '[{"ERROR":false,"RECORDS":2},[{"MMSI":230982000,"LATITUDE":60.1,"LONGITUDE":24.9,"TIME":"1767960000","SOG":0,"COG":12.5,"HEADING":511,"NAVSTAT":1,"NAME":" NORD ","IMO":9074729,"CALLSIGN":"OJ","TYPE":80,"DEST":""},{"MMSI":1,"LATITUDE":0,"LONGITUDE":0,"TIME":1767960000,"IMO":0}]]'
+    rows = {r.mmsi: r for r in ais.load_station_feed(of(station, '[{"ERROR":false}]', None)).collect()}
+    assert len(rows) == 2 and rows["230982000"].name == "NORD" and rows["230982000"].imo == "9074729" and rows["230982000"].ship_type.startswith("Tanker") and rows["230982000"].destination is None and rows["1"].imo is None
+    with pytest.raises(Exception, match="too many requests"):
+        ais.load_station_feed(of('[{"ERROR":true,"ERROR_MESSAGE":"too many requests"}]')).collect()
+    area = '[{"MMSI":"230982000","LAT":"60.1","LON":24.9,"TIMESTAMP":"2026-01-09T12:00:00","SPEED":"123","COURSE":0,"HEADING":90,"STATUS":0,"SHIPNAME":"NORD","FLAG":"FI"},{"MMSI":"2","TIMESTAMP":"soon"},{"MMSI":"3"}]'
+    found = ais.load_area_feed(of(area, "[]", None)).collect()
+    assert [(r.mmsi, r.speed, r.course, r.heading, r.flag) for r in found] == [("230982000", 12.3, None, 90.0, "FI")]
+    with pytest.raises(Exception, match="no such key"):
+        ais.load_area_feed(of('{"errors":[{"detail":"no such key"}]}')).collect()
