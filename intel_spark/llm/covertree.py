@@ -1,7 +1,8 @@
 """Exact top-k search by integer inner product, by dual-tree cover-tree search.
 
 A cover tree is built over at most ``SAMPLE`` rows: the children of a node are a net of its points, more than 1 / ``BASE``
-of its radius apart and covering it within that distance. Every row, query or candidate, then descends the tree to a
+of its radius apart and covering it within that distance. In many dimensions such a net would be nearly all points, so it
+ends with as many as make leaves of the wanted size, and outliers join a neighbour. Every row, query or candidate, then descends the tree to a
 leaf, and the covering radii are worked out over all rows, so the sample decides how well the search prunes and not
 what it finds. The rows of a leaf are packed into blocks of about ``BLOCK`` rows; queries into query groups, the same way.
 
@@ -56,11 +57,22 @@ def build_tree(points: np.ndarray, leaf_points: int) -> tuple[Node, list[Node]]:
             leaves.append(out)
             return out
         centres, nearest, owner = [centre], distance, np.zeros(len(members), np.int64)
-        while nearest.max() > radius / BASE:  # the farthest point joins the net until it covers the node
+        most = max(2, len(members) // leaf_points)  # no more children than make leaves of the wanted size
+        while nearest.max() > radius / BASE and len(centres) < most:  # the farthest point joins the net until it covers the node
             centres.append(int(members[np.argmax(nearest)]))
             to_new = np.linalg.norm(points[members] - points[centres[-1]], axis=1)
             owner = np.where(to_new < nearest, len(centres) - 1, owner)
             nearest = np.minimum(nearest, to_new)
+        # outliers make no leaves of their own: they go to the nearest child that has company
+        large = np.flatnonzero(np.bincount(owner, minlength=len(centres)) >= max(1, leaf_points // 4))
+        if len(large) >= 2:
+            centres = [centres[i] for i in large]
+            owner = np.argmin([np.linalg.norm(points[members] - points[c], axis=1) for c in centres], axis=0)
+        else:  # no child but one has: halves along the way from the centre to the farthest point
+            centres = centres[:2]
+            lean = distance - np.linalg.norm(points[members] - points[centres[1]], axis=1)
+            owner = np.zeros(len(members), np.int64)
+            owner[np.argsort(lean, kind="stable")[len(members) // 2 :]] = 1
         parts = [members[owner == i] for i in range(len(centres))]
         return Node(points[centre], [node(part, c) for part, c in zip(parts, centres) if len(part)])
 

@@ -203,6 +203,24 @@ def test_node_pairs_prune_and_lose_nothing():
             assert (at[i], at[j]) in pairs
 
 
+@pytest.mark.parametrize("wanted", [24, 128])
+def test_trees_keep_their_size_and_prune_clusters(wanted):
+    rng = np.random.default_rng(4)
+    spread = rng.normal(size=(C.SAMPLE, 64)) * 20
+    clustered = (rng.normal(size=(40, 64)) * 60)[rng.integers(0, 40, C.SAMPLE)] + rng.normal(size=(C.SAMPLE, 64)) * 4
+    for points in (spread, clustered):
+        root, leaves = C.build_tree(points, C.SAMPLE // wanted)
+        assert wanted / 2 <= len(leaves) <= 2.5 * wanted
+    at = C.descend(root, points)
+    C.set_radii(root, {n: float(np.linalg.norm(points[at == n] - leaf.centre, axis=1).max()) for n, leaf in enumerate(leaves) if (at == n).any()})
+    queries = np.arange(0, C.SAMPLE, 50)
+    kth = np.sort(points[queries] @ points.T, axis=1)[:, -6]
+    C.set_bounds(root, {n: float(kth[at[queries] == n].min()) for n in range(len(leaves)) if (at[queries] == n).any()})
+    rows, asked = np.bincount(at, minlength=len(leaves)), np.bincount(at[queries], minlength=len(leaves))
+    scored = sum(int(asked[a] * rows[b]) for a, b, *_ in C.node_pairs(root, root))
+    assert scored < 0.5 * len(queries) * C.SAMPLE
+
+
 def test_attained_negative_bounds_are_not_pruned():
     # copies at two places: every score across is the bound itself, and negative
     points = np.repeat(np.array([[3000.0, 1.0], [-3000.0, 1.0]]), 20, axis=0)
