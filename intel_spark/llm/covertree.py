@@ -29,6 +29,7 @@ from intel_spark.llm.base import query, settled, table
 SAMPLE = 8_192  # rows the tree is built over
 LEAF_ROWS = 2_048  # rows of a leaf, about, while there are no more than LEAVES
 LEAVES = 512
+FEWEST = 4  # leaves wanted of small tables
 BASE = 1.5
 BLOCK = 4_096
 K = 5
@@ -233,7 +234,7 @@ def exact_top_k(embeddings: DataFrame, is_query: Column, k: int = K) -> DataFram
     sample = np.zeros((len(picked), dims))
     for i, v in enumerate(picked["vector"]):
         sample[i, : len(v)] = v
-    wanted = max(1, min(LEAVES, shape["n"] // LEAF_ROWS))
+    wanted = min(LEAVES, max(FEWEST, shape["n"] // LEAF_ROWS))
     root, leaves = build_tree(sample, max(1, len(sample) // wanted))
     shared = spark.sparkContext.broadcast(root)
     centres = np.array([leaf.centre for leaf in leaves])
