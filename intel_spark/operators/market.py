@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from intel_spark.functions.scoring import clamp, severity_for, severity_rank
 from intel_spark.operators.timeline import drop_bucket, latest_per_key, newest_rows, running_sums, top_per_key
+from intel_spark.session import checkpoint_ready
 
 # Severity ladders.
 PRICE_SIGMA = (3.0, 4.0, 5.0, 7.0)
@@ -197,7 +198,8 @@ def coordination(candles: DataFrame, min_correlation: float = 0.85, min_move: fl
     rets = aligned_returns(candles, last + lookback + neighbour)
     # Only the newest returns take part from here on: their number per asset is fixed by the arguments.
     enough = rets.groupBy("asset").agg(F.max("pos").alias("depth")).where(F.col("depth") >= 5)
-    rets = rets.join(enough.select("asset"), "asset", "left_semi")
+    checkpoint_ready(candles.sparkSession)
+    rets = rets.join(enough.select("asset"), "asset", "left_semi").checkpoint()
     centres = rets.select("asset", F.col("pos").alias("centre")).distinct().where(F.col("centre") <= last)
     near = centres.join(rets, "asset").where(F.abs(F.col("pos") - F.col("centre")) <= neighbour)
     movers = near.groupBy("asset", "centre", "exchange").agg(F.max_by(F.struct("ts", "ret", "pos"), F.struct(F.abs("ret"), F.col("pos"))).alias("m")).where(F.abs("m.ret") >= min_move)
@@ -210,6 +212,7 @@ def coordination(candles: DataFrame, min_correlation: float = 0.85, min_move: fl
     found = found.where((F.col("correlation") >= min_correlation) & (F.col("delta_s") <= candle_seconds * neighbour))
     # the oldest centre that reports a moment wins, as when rows are read in time order
     found = found.withColumn("_r", F.row_number().over(Window.partitionBy("asset", "ts").orderBy(F.col("centre").desc()))).where("_r = 1").drop("_r")
+    found = found.checkpoint()  # a few moments per asset
     probes = found.select("asset", "ts", F.explode("exchanges").alias("exchange"))
     multiples = probes.join(_volume_multiple(candles, probes, lookback), ["asset", "exchange", "ts"]).groupBy("asset", "ts").agg(F.round(F.avg("multiple"), 2).alias("volume_coordination"))
     price = candles.select("asset", F.col("exchange").alias("lead"), "ts", F.col("close").alias("price"))
