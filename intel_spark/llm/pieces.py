@@ -13,8 +13,9 @@ the variate of their maximum, which is split up over them only if it can still w
 log-probability of the best segmentation that was not drawn (0 if all were drawn).
 
 All random numbers are hashes of the row key, the draw and the place in the text: the same row gives the same samples
-anywhere. As in the model, a text gets a leading mark and spaces become marks; words are cut before each mark, around
-line breaks, and after ``UNIT`` characters, and pieces do not run over such a cut.
+anywhere. As in the model, a text gets a leading mark and spaces become marks. Words are cut before each run of marks and
+around line breaks, where no piece of the vocabulary runs over (one that does raises an error), so a text's lattice is the
+product of its words' lattices, and equal words share one. A word's lattice goes over its whole length, however long.
 
 A null text gives no segmentation, an empty text one of no pieces; a text with fewer than k segmentations gives all of
 them. Equal keys and texts give equal samples; a null key counts as a key of its own.
@@ -23,6 +24,7 @@ them. Equal keys and texts give equal samples; a null key counts as a key of its
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,16 +41,18 @@ MODEL = "piece_bpe_32k.model"
 K = 2
 THETA = 1.0
 SHIFT = 10.0
-UNIT = 64
-LONGEST = 16
-BLOCK = 250_000  # code points taken together
-CACHED = 1_500_000  # edges of the lattices that a task keeps from one block to the next
+BLOCK = 200_000  # code points taken together
+CACHED = 1_200_000  # edges of the lattices that a task keeps from one block to the next
 CHUNK = 1 << 15  # code points of new words worked on at once
 NEAR = 48
 MARK = 0x2581
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD1342543DE82EF95)
-_POWERS = np.cumprod(np.full(UNIT, _SPREAD))
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.full(n, _SPREAD))
 
 
 def model_path(name: str = MODEL) -> str:
@@ -61,15 +65,20 @@ def model_path(name: str = MODEL) -> str:
 
 
 class Vocabulary:
-    """Pieces of a model as code points, their weights, and what they decode to."""
+    """Pieces of a model as code points, their weights, and what they decode to.
+
+    The table holds every beginning of a piece, so that a search along a text ends where no piece goes on; beginnings that
+    are no piece have weight -inf.
+    """
 
     def __init__(self, path: str, theta: float = THETA):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        keys, ids, weights, decoded = [], [], [], []
+        begins, whole, ids, weights, decoded = array("Q"), array("Q"), array("i"), array("d"), []
         self.byte_ids = np.zeros(256, np.int32)
+        self.longest = 1
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -80,14 +89,19 @@ class Vocabulary:
                 decoded.append(b"")
             else:
                 decoded.append(piece.replace("▁", " ").encode())
-                if len(piece) <= LONGEST and "▁" not in piece[1:]:
-                    keys.append(hash_points(np.array([ord(c) for c in piece], np.uint32)))
-                    ids.append(i)
-                    weights.append(-theta * np.log(max(0.0, -model.get_score(i)) + SHIFT))
-        order = np.argsort(np.array(keys, np.uint64))
-        self.keys = np.array(keys, np.uint64)[order]
-        self.ids = np.array(ids, np.int32)[order]
-        self.weights = np.array(weights)[order]
+                if "▁" in piece.lstrip("▁") or (len(piece) > 1 and "\n" in piece):
+                    raise ValueError(f"the piece {piece!r} runs over the border of a word")
+                self.longest = max(self.longest, len(piece))
+                hashes = prefix_hashes(piece)
+                begins.extend(hashes)
+                whole.append(hashes[-1])
+                ids.append(i)
+                weights.append(-theta * np.log(max(0.0, -model.get_score(i)) + SHIFT))
+        self.keys = np.unique(np.frombuffer(begins, np.uint64))
+        self.ids = np.full(len(self.keys), -1, np.int32)
+        self.weights = np.full(len(self.keys), -np.inf)
+        at = np.searchsorted(self.keys, np.frombuffer(whole, np.uint64))
+        self.ids[at], self.weights[at] = np.frombuffer(ids, np.int32), np.frombuffer(weights, np.float64)
         self.byte_weight = -theta * np.log(n + SHIFT)
         bucket = (self.keys >> np.uint64(44)).astype(np.int64)
         self.slot = np.full(1 << 20, -1, np.int32)  # a bucket's only key, -1 for none, -2 for several
@@ -97,7 +111,7 @@ class Vocabulary:
         self.bounds = np.concatenate([[0], np.cumsum([len(d) for d in decoded])])
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are pieces, and their slots."""
+        """Which keys are in the table, and their slots."""
         slot = self.slot[(keys >> np.uint64(44)).astype(np.int64)]
         hit = np.flatnonzero(slot != -1)
         slot, own = slot[hit], keys[hit]
@@ -117,11 +131,13 @@ class Vocabulary:
         return out[1:] if out[:1] == b" " else out
 
 
-def hash_points(points: np.ndarray) -> int:
-    value = 0
-    for p in points.tolist():
-        value = (value * int(_SPREAD) + p + 1) & ((1 << 64) - 1)
-    return value * int(_HASH) & ((1 << 64) - 1)
+def prefix_hashes(piece: str) -> list[int]:
+    """Hashes of a piece's beginnings, the whole of it last."""
+    value, out, mask = 0, [], (1 << 64) - 1
+    for c in piece:
+        value = (value * int(_SPREAD) + ord(c) + 1) & mask
+        out.append(value * int(_HASH) & mask)
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -133,12 +149,12 @@ class Grown:
     """An array that is appended to."""
 
     def __init__(self, kind):
-        self.room, self.size = np.zeros(1 << 16, kind), 0
+        self.room, self.size = np.empty(1 << 16, kind), 0
 
     def add(self, values: np.ndarray) -> None:
         need = self.size + len(values)
         if need > len(self.room):
-            room = np.zeros(max(need, len(self.room) * 3 // 2), self.room.dtype)
+            room = np.empty(max(need, len(self.room) * 5 // 4), self.room.dtype)
             room[: self.size] = self.room[: self.size]
             self.room = room
         self.room[self.size : need] = values
@@ -153,15 +169,18 @@ class Lattices:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
+        self._first, self._edges_at = Grown(np.int32), Grown(np.int32)  # first node of a word, first edge of a node
+        self._final = Grown(bool)
+        self._share, self._log_p = Grown(np.float64), Grown(np.float64)
+        self._source, self._target, self._piece = Grown(np.int32), Grown(np.int32), Grown(np.int32)  # piece id, or -1 - code point
         self.clear()
 
     def clear(self) -> None:
+        """Forget all words; the arrays' room is used again."""
         self.known: dict[int, int] = {}
-        self._first, self._edges_at = Grown(np.int64), Grown(np.int64)  # first node of a word, first edge of a node
-        self._final = Grown(bool)
-        self._share, self._log_p = Grown(np.float64), Grown(np.float64)
-        self._source, self._target, self._piece = Grown(np.int32), Grown(np.int32), Grown(np.int32)  # piece id, or -1 - code point
-        self._edges_at.add(np.zeros(1, np.int64))
+        for grown in (self._first, self._edges_at, self._final, self._share, self._log_p, self._source, self._target, self._piece):
+            grown.size = 0
+        self._edges_at.add(np.zeros(1, np.int32))
         self._views()
 
     def _views(self) -> None:
@@ -186,45 +205,25 @@ class Lattices:
         return numbers
 
     def _add(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        vocab, length = self.vocab, ends - starts
+        length = ends - starts
         word = np.repeat(np.arange(len(starts)), length)
         begin = np.cumsum(length) - length
         place = np.arange(len(word)) - begin[word]
-        text = points[starts[word] + place].astype(np.uint64)
         left = length[word] - place
         node = np.arange(len(word)) + word  # a word of n characters has n + 1 nodes
-        rows = int(min(LONGEST, length.max()))
-        weight = np.full((len(text), rows), -np.inf)  # by piece length, the longest first
-        slots = np.zeros((len(text), rows), np.int32)
-        at, value = np.arange(len(text)), np.zeros(len(text), np.uint64)
-        for n in range(1, rows + 1):
-            if n > 1:
-                keep = np.flatnonzero(left[at] >= n)
-                at, value = at[keep], value[keep]
-            value = value * _SPREAD + text[at + (n - 1)] + np.uint64(1)
-            key = value * _HASH
-            hit, slot = vocab.find(key)
-            hit = at[hit]
-            weight[hit, rows - n] = vocab.weights[slot]
-            slots[hit, rows - n] = vocab.ids[slot]
-        by_bytes = np.flatnonzero(np.isinf(weight[:, -1]))
-        code = text[by_bytes].astype(np.int64)
-        weight[by_bytes, -1] = vocab.byte_weight * (1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
-        slots[by_bytes, -1] = -1 - code
+        text = points[starts[word] + place].astype(np.uint64) if len(starts) > 1 else points[starts[0] : ends[0]].astype(np.uint64)
         # log-sum of the completions of every node, from the words' ends backwards
         beta = np.zeros(len(text) + len(starts))
-        order = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[order], np.arange(1, int(length.max()) + 2))
-        for d in range(1, len(bounds)):
-            own = order[bounds[d - 1] : bounds[d]]
-            reach = min(rows, d)
-            score = weight[own, rows - reach :] + beta[node[own][:, None] + np.arange(reach, 0, -1)]
-            top = score.max(axis=1)
-            beta[node[own]] = top + np.log(np.exp(score - top[:, None]).sum(axis=1))
-        place, row = np.nonzero(weight > -np.inf)
-        source = node[place]
-        target = source + rows - row
-        log_p = weight[place, row] + beta[target] - beta[source]
+        parts = []
+        for hi in range(len(text), 0, -CHUNK):  # more than one stretch only in a word that is longer than that
+            lo = max(0, hi - CHUNK)
+            weight, slots = self._weights(text[lo : hi + self.vocab.longest], left[lo:hi])
+            self._completions(beta, weight, left[lo:hi], node[lo:hi])
+            at, row = np.nonzero(weight > -np.inf)
+            source = node[lo:hi][at]
+            parts.append((source, source + weight.shape[1] - row, weight[at, row], slots[at, row]))
+        source, target, weight, piece = (np.concatenate(x[::-1]) for x in zip(*parts))
+        log_p = weight + beta[target] - beta[source]
         counts = np.bincount(source, minlength=len(beta))
         ends_at = np.cumsum(counts)
         running = np.cumsum(np.exp(log_p))
@@ -241,31 +240,73 @@ class Lattices:
         self._log_p.add(log_p)
         self._source.add(source + nodes)
         self._target.add(target + nodes)
-        self._piece.add(slots[place, row])
+        self._piece.add(piece)
 
+    def _weights(self, text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and ids of the pieces that begin at the places of ``left``, by piece length, the longest first."""
+        vocab, found, rows = self.vocab, [], 1
+        at, value = np.arange(len(left)), np.zeros(len(left), np.uint64)
+        for n in range(1, int(min(vocab.longest, left.max())) + 1):
+            if n > 1:
+                keep = np.flatnonzero(left[at] >= n)
+                at, value = at[keep], value[keep]
+            value = value * _SPREAD + text[at + (n - 1)] + np.uint64(1)
+            hit, slot = vocab.find(value * _HASH)
+            at, value = at[hit], value[hit]
+            whole = np.flatnonzero(vocab.ids[slot] >= 0)
+            if len(whole):
+                found.append((n, at[whole], slot[whole]))
+                rows = n
+            if not len(at):
+                break
+        weight = np.full((len(left), rows), -np.inf)
+        slots = np.zeros((len(left), rows), np.int32)
+        for n, where, slot in found:
+            weight[where, rows - n] = vocab.weights[slot]
+            slots[where, rows - n] = vocab.ids[slot]
+        by_bytes = np.flatnonzero(np.isinf(weight[:, -1]))
+        code = text[by_bytes].astype(np.int64)
+        weight[by_bytes, -1] = vocab.byte_weight * utf8_size(code)
+        slots[by_bytes, -1] = -1 - code
+        return weight, slots
 
-def uniform(*parts) -> np.ndarray:
-    """Numbers in (0, 1) from integers, the same everywhere."""
-    value = np.zeros(1, np.uint64)
+    @staticmethod
+    def _completions(beta: np.ndarray, weight: np.ndarray, left: np.ndarray, node: np.ndarray) -> None:
+        """Fill ``beta`` at ``node``, nearest to the words' ends first."""
+        rows = weight.shape[1]
+        order = np.argsort(left, kind="stable")
+        bounds = np.flatnonzero(np.diff(left[order], prepend=-1, append=-1))
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            own = order[lo:hi]
+            reach = int(min(rows, left[own[0]]))
+            score = weight[own, rows - reach :] + beta[node[own][:, None] + np.arange(reach, 0, -1)]
+            top = score.max(axis=1)
+            beta[node[own]] = top + np.log(np.exp(score - top[:, None]).sum(axis=1))
+
+
+def utf8_size(code: np.ndarray) -> np.ndarray:
+    return 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+
+
+def uniform(*parts: int) -> float:
+    """A number in (0, 1) from integers, the same everywhere."""
+    value, mask = 0, (1 << 64) - 1
     for part in parts:
-        value = mix((value ^ np.asarray(part, np.uint64)) + _HASH)
-    return ((value >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+        value = ((value ^ part) + int(_HASH)) & mask
+        value = ((value ^ (value >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        value = ((value ^ (value >> 27)) * 0x94D049BB133111EB) & mask
+        value ^= value >> 31
+    return ((value >> 11) + 0.5) * 2.0**-53
 
 
 def cut_words(points: np.ndarray) -> np.ndarray:
     """Starts of the words of a marked text."""
-    breaks = points == 0x0A
-    first = points == MARK
-    first |= breaks
+    marks, breaks = points == MARK, points == 0x0A
+    first = marks | breaks
+    first[1:] &= ~(marks[:-1] & marks[1:])
     first[1:] |= breaks[:-1]
     first[:1] = True
-    starts = np.flatnonzero(first)
-    sizes = np.diff(np.concatenate([starts, [len(points)]]))
-    if len(sizes) and sizes.max() > UNIT:
-        pieces = -(-sizes // UNIT)
-        ends = np.cumsum(pieces)
-        starts = np.repeat(starts - (ends - pieces) * UNIT, pieces) + np.arange(ends[-1]) * UNIT
-    return starts
+    return np.flatnonzero(first)
 
 
 class Sampler:
@@ -280,12 +321,12 @@ class Sampler:
         """One random path through each word's lattice: all edges in text order, and each word's first edge."""
         net = self.lattices
         seed = mix(keys ^ mix(np.full(1, draw + 1, np.uint64) * _HASH)) + places.astype(np.uint64) * _SPREAD
-        node, active = net.first[words], np.arange(len(words))
+        node, active = net.first[words].astype(np.int64), np.arange(len(words))
         steps, counts = [], np.zeros(len(words), np.int64)
         while len(active):
             value = mix(seed + np.full(1, (len(steps) + 1) * int(_HASH) & ((1 << 64) - 1), np.uint64))
             u = ((value >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-            edge = net.edges_at[node]
+            edge = net.edges_at[node].astype(np.int64)
             more = np.flatnonzero(u > net.share[edge])
             while len(more):
                 edge[more] += 1
@@ -333,7 +374,7 @@ class Sampler:
         """The rest of a word's path from a node."""
         net, out = self.lattices, []
         while not net.final[node]:
-            u = float(uniform(np.uint64(key), 0xF1A1 + draw, step + len(out))[0])
+            u = uniform(key, 0xF1A1 + draw, step + len(out))
             edge = int(net.edges_at[node])
             while u > net.share[edge]:
                 edge += 1
@@ -354,7 +395,7 @@ class Sampler:
     def _search(self, d: int, doc_at: np.ndarray, key: int, fresh) -> list[tuple[np.ndarray | None, float, float]]:
         net, out, heap = self.lattices, [], []
         lo, hi = int(doc_at[d]), int(doc_at[d + 1])
-        top = float(-np.log(-np.log(uniform(np.uint64(key), 0x6007)[0])))
+        top = float(-np.log(-np.log(uniform(key, 0x6007))))
         paths = []  # (edges, first edge of each word)
         entry = (top, None, 0, 0)
         for draw in range(self.k):
@@ -379,7 +420,7 @@ class Sampler:
             at += NEAR
             if at < len(own) and total[-1] < total[at]:  # the maximum of all later branches
                 mass = float(total[at] + np.log(-np.expm1(total[-1] - total[at])))
-                noise = -float(np.log(uniform(np.uint64(key), 0x4E57 + draw)[0]))
+                noise = -float(np.log(uniform(key, 0x4E57 + draw)))
                 cap = mass - float(np.log(np.exp(min(mass - top, 700.0)) + noise))
                 if len(heap) < wanted or cap > -heap[-1][0]:
                     heap = self._kept(heap, wanted, draw, self.branches(own[at:], at, total[at:], top, seed, cap))
@@ -398,15 +439,23 @@ class Sampler:
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of a path; spelled characters become byte pieces."""
-        piece = self.lattices.piece[edges]
+        piece = self.lattices.piece[edges].astype(np.int32)
         spelled = np.flatnonzero(piece < 0)
         if not len(spelled):
-            return piece.astype(np.int32)
-        out, at = [], 0
-        for i in spelled.tolist():
-            out += [piece[at:i], self.vocab.byte_ids[np.frombuffer(chr(-1 - int(piece[i])).encode("utf-8", "surrogatepass"), np.uint8)]]
-            at = i + 1
-        return np.concatenate([*out, piece[at:]]).astype(np.int32)
+            return piece
+        code = -1 - piece[spelled].astype(np.int64)
+        bytes_ = utf8_size(code)
+        size = np.ones(len(piece), np.int64)
+        size[spelled] = bytes_
+        at = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.int32)
+        out[at] = piece
+        for n, lead in ((1, 0), (2, 0xC0), (3, 0xE0), (4, 0xF0)):  # the bytes of UTF-8
+            own = np.flatnonzero(bytes_ == n)
+            for j in range(n if len(own) else 0):
+                byte = (code[own] >> (6 * (n - 1 - j))) & 0x3F | 0x80 if j else code[own] >> (6 * (n - 1)) | lead
+                out[at[spelled[own]] + j] = self.vocab.byte_ids[byte]
+        return out
 
     def encode(self, texts: list[str], keys: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, float, float]]:
         """(text number, sample number, ids, log p, inclusion score) of a block of texts."""
@@ -423,8 +472,10 @@ class Sampler:
         points = np.concatenate(points) if points else np.zeros(0, np.uint32)
         starts, ends = np.concatenate(starts).astype(np.int64), np.concatenate(ends).astype(np.int64)
         if len(starts):
-            terms = mix(points.astype(np.uint64) + _HASH) * _POWERS[np.arange(len(points)) - np.repeat(starts, ends - starts)]
-            keys_of = mix(np.add.reduceat(terms, starts) ^ (ends - starts).astype(np.uint64))
+            sizes = ends - starts
+            powers = _powers(1 << int(sizes.max()).bit_length())
+            terms = mix(points.astype(np.uint64) + _HASH) * powers[np.arange(len(points)) - np.repeat(starts, sizes)]
+            keys_of = mix(np.add.reduceat(terms, starts) ^ sizes.astype(np.uint64))
             different, first, which = np.unique(keys_of, return_index=True, return_inverse=True)
             words = self.lattices.words(different, points, starts[first], ends[first])[which]
         else:

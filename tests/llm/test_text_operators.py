@@ -191,6 +191,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.where("doc_id = 903").count() == 2 and kept.where("doc_id = 0").count() == 0
 
 
+def test_hidden_spellings_match():
+    finder = X.Finder(["idiot", "stupid", "scum", "worthless"])
+    found = {text: [(word, term, edits) for word, term, edits, *_ in finder.matches(text)[0]] for text in ("an id1ot, a st*pid one", "you skum!", "w0rthle$s", "id.iot", "plain 3-fold don't 2024", "idiot1 (idiot)", "x" * 200_000 + " 1diot", "")}
+    assert found["an id1ot, a st*pid one"] == [("id1ot", "idiot", 1), ("st*pid", "stupid", 1)]
+    assert found["you skum!"] == [("skum", "scum", 1)] and found["w0rthle$s"] == [("w0rthle$s", "worthless", 2)] and found["id.iot"] == [("id.iot", "idiot", 1)]
+    assert found["plain 3-fold don't 2024"] == found[""] == []
+    assert [w for w, *_ in found["idiot1 (idiot)"]] == ["idiot", "idiot"] and found["x" * 200_000 + " 1diot"] == [("diot", "idiot", 1)]
+    context = finder.matches("she said a big id1ot walked in")[0][0]
+    assert context[3] == ["she", "said", "a", "big"] and context[4] == ["walked", "in"] and context[5]
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = toxic_corpus(spark)
     assert X.score_documents(docs, labels.limit(0)).agg(F.max("score")).first()[0] == 0
@@ -328,6 +339,49 @@ def test_all_segmentations_come_out_once():
     assert all(o[4] == 0.0 for o in out)
 
 
+def plain_lattice(text):
+    """Every edge of a text's lattice as (begin, end, weight), from the model alone."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.model_path())
+    n = model.get_piece_size()
+    known = {model.id_to_piece(i): -math.log(max(0.0, -model.get_score(i)) + P.SHIFT) for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    marked = "▁" + text.replace(" ", "▁")
+    edges = [(i, j, known[marked[i:j]]) for i in range(len(marked)) for j in range(i + 1, len(marked) + 1) if marked[i:j] in known]
+    whole = {i for i, j, _ in edges if j == i + 1}
+    return marked, edges + [(i, i + 1, -math.log(n + P.SHIFT) * len(c.encode())) for i, c in enumerate(marked) if i not in whole]
+
+
+@pytest.mark.parametrize("text", ["representation" * 11, "http://example.org/" + "=" * 40 + "abc" * 30 + "§中", "a    b\n\n  c" + " " * 80 + "d", "é" * 90 + " tail"])
+def test_lattices_hold_every_piece(text, monkeypatch):
+    monkeypatch.setattr(P, "CHUNK", 50)  # words longer than a stretch
+    marked, edges = plain_lattice(text)
+    total = [0.0] + [-math.inf] * len(marked)
+    for end in range(1, len(marked) + 1):
+        total[end] = float(np.logaddexp.reduce([total[i] + w for i, j, w in edges if j == end]))
+    weight = {(i, j): w for i, j, w in edges}
+    sampler, over = P.Sampler(P.model_path(), 2, 1.0), 0
+    character = {b: c for c, b in enumerate(np.cumsum([0, *[len(c.encode()) for c in " " + text]]).tolist())}
+    for _, _, ids, log_p, _ in sampler.encode([text] * 40, P.mix(np.arange(40, dtype=np.uint64))):
+        assert sampler.vocab.decode(ids) == text.encode()
+        places = np.cumsum([0, *(sampler.vocab.bounds[ids + 1] - sampler.vocab.bounds[ids])])
+        ends = [character[p] for p in places.tolist() if p in character]  # bytes of one character are one edge
+        assert log_p == pytest.approx(sum(weight[e] for e in zip(ends[:-1], ends[1:])) - total[-1], abs=1e-6)
+        over += any(i < 64 < j for i, j in zip(ends[:-1], ends[1:]))
+    assert over or "é" in text
+
+
+def test_all_cuts_of_four_spaces_come_out():
+    text = "a    b"
+    marked, edges = plain_lattice(text)
+    ways = [1] + [0] * len(marked)
+    for end in range(1, len(marked) + 1):
+        ways[end] = sum(ways[i] for i, j, _ in edges if j == end)
+    out = list(P.Sampler(P.model_path(), 400, 1.0).encode([text], np.array([4], np.uint64)))
+    assert len({tuple(o[2].tolist()) for o in out}) == len(out) == ways[-1]
+    assert sum(math.exp(o[3]) for o in out) == pytest.approx(1.0)
+
+
 def test_samples_follow_the_distribution():
     n = 8000
     exact = {tuple(o[2].tolist()): math.exp(o[3]) for o in P.Sampler(P.model_path(), 400, 0.3).encode(["the hats"], np.array([4], np.uint64))}
