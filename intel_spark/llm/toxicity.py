@@ -3,7 +3,8 @@
 A lexicon of abusive terms is learned from labelled documents. Every word of a text runs through the intersection of the
 lexicon's trie with the Levenshtein automaton of the term: a state is a set of (trie node, edits so far), made
 deterministic as words reach it, so a word costs one table look-up a letter and ordinary words die after a few letters.
-Terms of up to 4 letters match exactly, up to 7 letters with one edit, longer ones with two.
+Terms of up to 3 letters match exactly, up to 7 letters with one edit, longer ones with two. Spellings with digits or marks
+among their letters, or a digit at an end, run through it as a whole too.
 
 A match counts with the weight learned for its term and distance, and the words around it decide what for: in quotation
 marks, or after a word of speech or mention, it is a quotation and counts little; otherwise, and more so beside a second
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -42,6 +44,8 @@ SECOND = frozenset("you your yours yourself u ur tu toi ton ta tes vous votre vo
 OPENING, CLOSING = "\"“„«‘‹", "\"”“»’›"
 
 WORD = re.compile(r"[^\W\d_]+")
+# letters with digits or marks among them, or a digit at an end, as spellings that hide a word have them
+MIXED = re.compile(r"\d?[^\W\d_]+(?:[\d_*@$!#.'’+-]{1,2}[^\W\d_]+)*\d?")
 
 
 def fold(text: str) -> str:
@@ -49,7 +53,7 @@ def fold(text: str) -> str:
 
 
 def edits_for(term: str) -> int:
-    return 0 if len(term) <= 4 else 1 if len(term) <= 7 else 2
+    return 0 if len(term) <= 3 else 1 if len(term) <= 7 else 2
 
 
 class Automaton:
@@ -137,13 +141,12 @@ class Finder:
 
     def __init__(self, terms):
         self.automaton = Automaton(terms)
+        self.longest = max(map(len, terms), default=0) + 2
         self.near: dict[str, tuple[str, int]] = {}
         self.other: set[str] = set()
 
-    def words(self, text: str) -> tuple[list[str], set[str]]:
-        """All words, and the different ones that match a term."""
-        words = WORD.findall(text)
-        own = set(words)
+    def near_words(self, own: set[str]) -> set[str]:
+        """Those of some different words that match a term."""
         found = own & self.near.keys()
         for word in own - self.other - found:
             hit = self.automaton.match(word)
@@ -153,25 +156,38 @@ class Finder:
             else:
                 self.near[word] = hit
                 found.add(word)
-        return words, found
+        return found
+
+    def words(self, text: str) -> tuple[list[str], set[str], set[str]]:
+        """All words, the different ones that match a term, and the spellings with digits or marks that do."""
+        words = WORD.findall(text)
+        mixed = {w for w in MIXED.findall(text) if not w.isalpha() and len(w) <= self.longest}
+        return words, self.near_words(set(words)), self.near_words(mixed)
 
     def matches(self, text: str | None):
         """(word, term, distance, left words, right words, quoted, addressed) of every match, and the number of words."""
         if not text:
             return [], 0
         text = fold(text)
-        words, found = self.words(text)
-        if not found:
+        words, found, mixed = self.words(text)
+        if not found and not mixed:
             return [], len(words)
         out = []
         spans = [m.span() for m in WORD.finditer(text)]
-        for i, word in enumerate(words):
-            if word not in found:
-                continue
-            left, right = words[max(0, i - WINDOW) : i], words[i + 1 : i + 1 + WINDOW]
+        hits = [(i, i + 1, word) for i, word in enumerate(words) if word in found]
+        if mixed:
+            starts = [a for a, _ in spans]
+            for m in MIXED.finditer(text):
+                if m[0] in mixed:  # its words are parts of it, unless one of them is a match of its own
+                    i, j = bisect_left(starts, m.start()), bisect_left(starts, m.end())
+                    if not found.intersection(words[i:j]):
+                        hits.append((i, j, m[0]))
+            hits.sort()
+        for i, j, word in hits:
+            left, right = words[max(0, i - WINDOW) : i], words[j : j + WINDOW]
             begin = spans[max(0, i - WINDOW)][0]
-            end = spans[min(len(spans) - 1, i + WINDOW)][1]
-            before, after = text[begin : spans[i][0]], text[spans[i][1] : end]
+            end = spans[min(len(spans) - 1, j - 1 + WINDOW)][1]
+            before, after = text[begin : spans[i][0]], text[spans[j - 1][1] : end]
             opened = max((before.rfind(c) for c in OPENING), default=-1)
             inside = opened >= 0 and not any(c in before[opened + 1 :] for c in CLOSING) and any(c in after for c in CLOSING)
             quoted = inside or bool(MENTION.intersection(left))
@@ -185,9 +201,9 @@ class Exact(Finder):
     def __init__(self, terms):
         self.near = {t: (t, 0) for t in terms}
 
-    def words(self, text: str) -> tuple[list[str], set[str]]:
+    def words(self, text: str) -> tuple[list[str], set[str], set[str]]:
         words = WORD.findall(text)
-        return words, set(words) & self.near.keys()
+        return words, set(words) & self.near.keys(), set()
 
 
 FEATURES = 4
