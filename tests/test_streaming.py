@@ -39,7 +39,7 @@ def test_vessel_events_equal_batch(spark, tmp_path):
     # a live rival, then the holder falls silent for more than a day and the rival takes the number over, then the first returns
     rows += [fix("005", hours(h), imo="9074729", flag="PA") for h in (-90, -80, -70)] + [fix("006", hours(h), imo="9074729", flag="PA") for h in (-85, -78, -44, -30, -20)] + [fix("005", hours(h), imo="9074729", flag="PA") for h in (-28, -19)]
     positions = fixes(spark, rows).select(*COLUMNS)
-    got = events_of(spark, tmp_path, positions, war_zone(spark), 3)
+    got = events_of(spark, tmp_path, positions, war_zone(spark), 2)
     gaps, jumps, identity = maritime.ais_gaps(positions, war_zone(spark)), maritime.position_anomalies(positions), maritime.identity_changes(positions)
     claims = maritime.imo_conflicts(positions)
     want = [(r.mmsi, r.ts, r.event_type, r.severity) for part in (gaps, jumps, identity, claims.withColumnRenamed("kind", "event_type")) for r in part.collect()]
@@ -57,7 +57,7 @@ def test_messages_carry_the_last_static_one(spark, tmp_path):
     schema = "mmsi string, ts timestamp, is_static boolean, lat double, lon double, speed double, course double, heading double, nav_status string, name string, static_name string, imo string, call_sign string, ship_type string, destination string, draught double, length_m double, beam_m double"
     tanker = ("OLD NAME", "9074729", "CALL", "Tanker", "ROTTERDAM", 9.0, 200.0, 30.0)
     rows = [message("1", hours(-9)), message("1", hours(-8), tanker), message("1", hours(-7)), message("2", hours(-6.5), ("RIVAL", "9074729", None, "Cargo", None, None, None, None)), message("2", hours(-6)), message("1", hours(-5), ("NEW NAME", *tanker[1:])), message("1", hours(-4)), message("1", hours(-3), name="SENT")]
-    got = events_of(spark, tmp_path, spark.createDataFrame(rows, schema), war_zone(spark), 4).collect()
+    got = events_of(spark, tmp_path, spark.createDataFrame(rows, schema), war_zone(spark), 2).collect()
     assert sorted((r.mmsi, r.event_type, r.detail) for r in got) == [("1", "name_change", "NEW NAME"), ("1", "name_change", "OLD NAME"), ("2", "identity_conflict", "9074729:1")]
     kept = {(r.mmsi, r.name, r.ship_type, r.imo) for r in spark.read.parquet(str(tmp_path / "out_state/fixes/slot=1")).collect()}
     assert kept == {("1", "SENT", "Tanker", "9074729"), ("2", "RIVAL", "Cargo", "9074729")}
@@ -68,7 +68,7 @@ def test_dark_hulls_and_new_ones(spark, tmp_path):
     rows = [fix(m, hours(-20), lat=10.0 if m != "000000002" else 50.0, name=f"SHIP {m[-1]}") for m in ("000000001", "000000002", "000000003", "000000004")]
     rows += [fix("000000009", hours(h), name="OCEAN GRACE", flag="IR", imo="9179414") for h in (-13, -10)] + [fix("000000001", hours(-9), name="SHIP 1")] + [fix("000000009", hours(h), name="OCEAN GRACE", flag="IR", imo="9179414") for h in (-8, -2)]
     positions = fixes(spark, rows).select(*COLUMNS)
-    got = events_of(spark, tmp_path, positions, war_zone(spark), 5, vessels=vessels)
+    got = events_of(spark, tmp_path, positions, war_zone(spark), 3, vessels=vessels)
     dark = sorted((r.mmsi, r.event_type, r.ts) for r in got.where(F.col("event_type").startswith("dark")).collect())
     # the first one is breached and in the zone, speaks again and falls silent again; the second is risky but far from any zone
     assert dark == sorted([("000000001", "dark_in_zone", hours(-20).replace(tzinfo=None)), ("000000001", "dark_in_zone", hours(-9).replace(tzinfo=None)), ("000000004", "dark_in_zone", hours(-20).replace(tzinfo=None))])
