@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from intel_spark.catalog.helpers import AS_OF, AS_OF_ORDERS, AS_OF_ORDERS_SQL, AS_OF_SQL
 from intel_spark.catalog.news import CLUSTERS, KEYS, RULES, TIED, keyed
-from intel_spark.catalog.registry import query, r4, ts
+from intel_spark.catalog.registry import ORACLES, query, r4, ts
 from intel_spark.catalog.sanctions import OWNED
 from intel_spark.operators import fusion, graph
 from intel_spark.operators.links import signal_links
@@ -316,11 +316,11 @@ def _(items):
     return q.is_watched(items, "vessel", "210000007")
 
 
-@query("q31_vessel_screen", inputs="fleet listings", oracle="""
-    WITH m AS (SELECT v.id, 0.95 AS c FROM {fleet} v JOIN {listings} l ON v.imo = l.imo AND l.entity_type = 'vessel' UNION ALL SELECT v.id, 0.95 FROM {fleet} v JOIN {listings} l ON v.mmsi = l.mmsi) SELECT id AS vessel_id, count(*) AS matches, 'Alert' AS recommendation FROM m GROUP BY 1""")
+@query("q31_vessel_screen", inputs="fleet listings", oracle=f"""
+    SELECT vessel_id, {r4('max(confidence)', 'confidence')}, count(*) AS matches, CASE WHEN max(confidence) >= 0.9 THEN 'Alert' WHEN max(confidence) >= 0.6 THEN 'Review' ELSE 'Monitor' END AS recommendation FROM ({ORACLES['j05_screen_vessels']}) GROUP BY vessel_id""")
 def _(fleet, listings):
-    from intel_spark.operators.names import match_identifiers
-    return q.vessel_screen(match_identifiers(fleet, listings)).drop("confidence")
+    from intel_spark.operators.names import screen_vessels
+    return q.vessel_screen(screen_vessels(fleet, listings))
 
 
 @query("q33_registry_search", inputs="companies listings", oracle="""

@@ -164,7 +164,7 @@ def _(transfers):
 def _(transfers, labels):
     pad = lambda c: F.concat(F.lit("0x"), F.lpad(F.lower(c), 64, "0"))
     log = json(transfers, address=F.lit("0xAA"), topics=F.array(F.lit(chain.TRANSFER_TOPIC), pad(F.col("src")), pad(F.col("dst"))), data=F.concat(F.lit("0x"), F.lpad(F.hex(F.floor("usd").cast("long")), 64, "0")), transactionHash=F.col("tx_hash"), logIndex=F.lit("0x3"), blockNumber=F.lit("0x1"))
-    contracts = labels.limit(1).select(F.lit("0xaa").alias("address"), F.lit("USDC").alias("symbol"), F.lit(6).alias("decimals"))
+    contracts = labels.select(F.lit("0xaa").alias("address"), F.lit("USDC").alias("symbol"), F.lit(6).alias("decimals")).distinct()
     watched = labels.where("wallet_type = 'sanctioned' AND address LIKE 'W%'").select(F.concat(F.lit("0x"), F.lpad(F.lower("address"), 40, "0")).alias("address"))
     return chain.load_token_logs(log, contracts, watched).select("tx_hash", "src", F.round(F.col("amount") * 1e6).alias("amount"))
 

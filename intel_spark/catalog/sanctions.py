@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from intel_spark.catalog.helpers import AS_OF, AS_OF_ORDERS, AS_OF_ORDERS_SQL
-from intel_spark.catalog.registry import query, r4, ts
+from intel_spark.catalog.registry import ORACLES, query, r4, ts
 from intel_spark.catalog.scalars import normal
 from intel_spark.operators import corporate as c
 from intel_spark.operators import graph
@@ -54,10 +54,10 @@ def _(fleet, listings):
 
 
 @query("j04_screen_summary", inputs="fleet listings", oracle=f"""
-    WITH {LISTED}, ex AS (SELECT DISTINCT v.id AS name_id, listing_id FROM {{fleet}} v JOIN ln ON ln.listed_name = {normal('v.operator')}) SELECT name_id, {r4('0.9', 'max_confidence')}, count(*) AS matches, true AS is_sanctioned FROM ex GROUP BY name_id""")
+    SELECT name_id, {r4('max(confidence)', 'max_confidence')}, count(*) AS matches, round(max(confidence), 2) >= 0.85 AS is_sanctioned FROM ({ORACLES['j04_screen_names']}) GROUP BY name_id""")
 def _(fleet, listings):
-    exact = n.match_exact(fleet.select(F.col("id").alias("name_id"), F.col("operator").alias("name")), listings).withColumn("confidence", F.lit(0.9))
-    return n.screen_summary(exact)
+    names = fleet.where("owner IS NOT NULL").select(F.col("id").alias("name_id"), F.col("owner").alias("name"))
+    return n.screen_summary(n.screen_names(names, listings))
 
 
 PARTY = """SELECT v.id AS vessel_id, x.listing_id, '{kind}' AS match_type, max(CASE WHEN sim = 1 THEN {start} + CASE WHEN l.country = v.flag THEN 0.05 ELSE 0 END ELSE {start} - 0.1 END) AS confidence FROM {{{{fleet}}}} v
