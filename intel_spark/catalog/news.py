@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from intel_spark.catalog.helpers import AS_OF, AS_OF_ORDERS, AS_OF_ORDERS_SQL, AS_OF_SQL, risky_sql
-from intel_spark.catalog.registry import half_up, query, r4, ts
+from intel_spark.catalog.registry import ORACLES, half_up, query, r4, ts
 from intel_spark.catalog.sanctions import RATIO
 from intel_spark.catalog.scalars import COUNTRY_NAMES, DETECT, HITS, KINDS, SECTORS, TOPICS, normal
 from intel_spark.operators import events as v
@@ -179,12 +179,25 @@ def _(calls):
     return m.due_queue(calls, "departure", 300, [F.col("is_sanctioned").desc()]).select("id")
 
 
-@query("g17_monitor_summaries", inputs="sightings psc domains list_updates", oracle=f"""
-    SELECT 'aviation' AS monitor, 'sightings' AS metric, '' AS key, CAST(count(*) AS DOUBLE) AS value FROM {{sightings}} UNION ALL SELECT * FROM (SELECT 'aviation', 'by_aircraft', registration, count(*) FROM {{sightings}} GROUP BY 3 ORDER BY 4 DESC, 3 LIMIT 8) UNION ALL SELECT 'psc', 'by_type', event_type, count(*) FROM {{psc}} WHERE event_date >= {AS_OF_SQL} - INTERVAL 8800 DAY GROUP BY 3
-    UNION ALL SELECT 'psc', 'by_source', source, count(*) FROM {{psc}} WHERE event_date >= {AS_OF_SQL} - INTERVAL 8800 DAY GROUP BY 3 UNION ALL SELECT 'psc', 'flagged', '', count(*) FROM {{psc}} WHERE event_date >= {AS_OF_SQL} - INTERVAL 8800 DAY AND id % 2 = 0
-    UNION ALL SELECT * FROM (SELECT 'domains', 'by_country', hosting_country, count(*) FROM {{domains}} WHERE hosting_country IS NOT NULL GROUP BY 3 ORDER BY 4 DESC, 3 LIMIT 10) UNION ALL SELECT 'domains', 'live', '', count(*) FROM {{domains}} WHERE is_live""")
-def _(sightings, psc, domains, updates):
-    return m.monitor_summaries({"sightings": sightings, "psc": psc.withColumn("vessel_flagged", F.col("id") % 2 == 0), "domains": domains}, AS_OF, 8800)
+EVERY_DAY = 12_000  # back to before the oldest table
+
+
+@query("g17_monitor_summaries", inputs="sightings psc domains posts headlines texts evasion", oracle=f"""
+    SELECT 'aviation' AS monitor, 'sightings' AS metric, '' AS key, CAST(count(*) AS DOUBLE) AS value FROM {{sightings}} UNION ALL SELECT * FROM (SELECT 'aviation', 'by_aircraft', registration, count(*) FROM {{sightings}} GROUP BY 3 ORDER BY 4 DESC, 3 LIMIT 8) UNION ALL SELECT 'psc', 'by_type', event_type, count(*) FROM {{psc}} GROUP BY 3
+    UNION ALL SELECT 'psc', 'by_source', source, count(*) FROM {{psc}} GROUP BY 3 UNION ALL SELECT 'psc', 'flagged', '', count(*) FROM {{psc}} WHERE id % 2 = 0
+    UNION ALL SELECT * FROM (SELECT 'domains', 'by_country', hosting_country, count(*) FROM {{domains}} WHERE hosting_country IS NOT NULL GROUP BY 3 ORDER BY 4 DESC, 3 LIMIT 10) UNION ALL SELECT 'domains', 'live', '', count(*) FROM {{domains}} WHERE is_live
+    UNION ALL SELECT 'breaches', 'by_relevance', coalesce(sector, 'general'), count(*) FROM {{posts}} GROUP BY 3 UNION ALL SELECT * FROM (SELECT 'breaches', 'by_country', country, count(*) FROM {{posts}} WHERE country IS NOT NULL GROUP BY 3 ORDER BY 4 DESC, 3 LIMIT 8)
+    UNION ALL SELECT 'legal', 'by_source', CASE WHEN post_id % 3 = 0 THEN 'doj' ELSE 'courtlistener' END, count(*) FROM {{posts}} GROUP BY 3 UNION ALL SELECT 'legal', 'penalties_usd', '', round(sum(CAST(records AS DOUBLE))) FROM {{posts}} UNION ALL SELECT 'watchlist', 'by_severity', severity, count(*) FROM {{evasion}} GROUP BY 3
+    UNION ALL SELECT 'narratives', 'by_divergence', divergence, count(*) FROM ({ORACLES['x17_divergence']}) GROUP BY 3
+    UNION ALL SELECT 'narratives', 'outlet_items', outlet, count(*) FROM (WITH RECURSIVE {STORY} SELECT w.outlet FROM pt JOIN w USING (item_id) WHERE story IN (SELECT story FROM pt GROUP BY 1 HAVING count(*) >= 3)) GROUP BY 3""")
+def _(sightings, psc, domains, posts, headlines, texts, evasion):
+    stories = m.divergence(m.narratives(headlines.withColumn("countries", F.array("lang"))), texts.select(F.col("doc_id").alias("item_id"), F.col("text").alias("title")))
+    legal = posts.select("ts", F.when(F.col("post_id") % 3 == 0, "doj").otherwise("courtlistener").alias("source"), F.col("records").cast("double").alias("penalty_usd"))
+    tables = {
+        "sightings": sightings, "psc": psc.withColumn("vessel_flagged", F.col("id") % 2 == 0), "domains": domains, "posts": posts.withColumn("relevance", F.coalesce("sector", F.lit("general"))),
+        "legal": legal, "hits": evasion.select("ts", "severity"), "narratives": stories,
+    }
+    return m.monitor_summaries(tables, AS_OF, EVERY_DAY)
 
 
 @query("j23_mentions", inputs="texts word_pairs", oracle="""
