@@ -35,8 +35,8 @@ SUPPORT = 8  # different contexts of toxic rows that a term needs
 WINDOW = 6  # words on either side of a match
 QUOTED = 0.25  # share of its weight that a match in quotation keeps
 ADDRESSED = 1.5  # factor of a match beside a second person
-STATES = 200_000  # automaton states kept in a task before it starts afresh
-SEEN = 400_000  # words remembered as no match in a task
+STATES = 100_000  # automaton states kept in a task before it starts afresh
+SEEN = 150_000  # words remembered as no match in a task
 
 # fixed values: words of speech and mention, and second persons, in the languages of the corpus
 MENTION = frozenset("said says wrote writes called calling quoted quote word term phrase insult slur dit écrit mot terme insulte sagte schrieb wort begriff beleidigung nannte dijo escribió palabra término insulto".split())
