@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intel_spark.functions.scoring import clamp, severity_for, severity_rank
@@ -41,12 +41,18 @@ def composite(candles: DataFrame) -> DataFrame:
     )
 
 
+def percent_change(value: Column, base: Column) -> Column:
+    """Change in percent as floating point has it: from zero it is infinite, from zero to zero not a number."""
+    moved = value - base
+    return F.when(base != 0, moved / base * 100).when(moved > 0, float("inf")).when(moved < 0, float("-inf")).when(moved.isNotNull(), float("nan"))
+
+
 def returns(candles: DataFrame, span_seconds: int = 86_400) -> DataFrame:
     """Percent change from the series' previous candle; the first candle has none."""
     from intel_spark.operators.timeline import previous_row
 
     seen = previous_row(candles, SERIES, "ts", ["ts", "close"], seconds=span_seconds)
-    return seen.withColumn("ret", (F.col("close") - F.col("prev.close")) / F.col("prev.close") * 100)
+    return seen.withColumn("ret", percent_change(F.col("close"), F.col("prev.close")))
 
 
 def volatility(candles: DataFrame, window_minutes: int = 60, extreme_percent: float = 5.0) -> DataFrame:
@@ -56,7 +62,7 @@ def volatility(candles: DataFrame, window_minutes: int = 60, extreme_percent: fl
     heads = top_per_key(candles.select(*SERIES, "ts"), SERIES, [F.col("ts")], 2).groupBy(*SERIES).agg((F.max(micros("ts")) - F.min(micros("ts"))).alias("step"))
     stats = moves.groupBy(*SERIES).agg(F.count("*").alias("candles"), F.count("ret").alias("n"), F.stddev_samp("ret").alias("std"), F.avg(F.abs("ret")).alias("mean_abs"))
     windows = candles.groupBy(*SERIES, floor_time("ts", window_minutes * 60).alias("w")).agg(F.min_by("close", "ts").alias("a"), F.max_by("close", "ts").alias("b"))
-    move = F.abs((F.col("b") - F.col("a")) / F.col("a") * 100)
+    move = F.abs(percent_change(F.col("b"), F.col("a")))
     extremes = windows.groupBy(*SERIES).agg(F.max(move).alias("max_move"), F.count_if(move >= extreme_percent).alias("extreme_windows"))
     per_day = F.when(F.col("step") <= 60_000_000, 1440).otherwise(288)
     daily = F.col("std") * F.sqrt(per_day)
@@ -152,7 +158,7 @@ def aligned_returns(candles: DataFrame, last: int | None = None, min_candles: in
         paired = drop_bucket(previous_row(full, ["asset"], "ts", ["closes"])).withColumn("before", F.col("prev.closes")).drop("prev").withColumn("pos", F.lit(None).cast("int"))
     long = paired.where(F.col("before").isNotNull()).select("asset", "ts", "pos", "before", F.explode("closes").alias("exchange", "close"))
     base = F.element_at("before", F.col("exchange"))
-    return long.select("asset", "exchange", "ts", "pos", "close", ((F.col("close") - base) / base * 100).alias("ret"))
+    return long.select("asset", "exchange", "ts", "pos", "close", percent_change(F.col("close"), base).alias("ret"))
 
 
 def _rolling_correlation(rets: DataFrame, movers: DataFrame, lookback: int) -> DataFrame:
@@ -164,7 +170,11 @@ def _rolling_correlation(rets: DataFrame, movers: DataFrame, lookback: int) -> D
     met = movers.select("asset", "centre", F.col("exchange").alias("a")).join(movers.select("asset", "centre", F.col("exchange").alias("b")), ["asset", "centre"]).where("a < b")
     of = lambda x: rets.select("asset", F.col("exchange").alias(x), "pos", F.col("ret").alias(f"r{x}"))
     both = met.select("asset", "a", "b").distinct().join(of("a"), ["asset", "a"]).join(of("b"), ["asset", "b", "pos"])
-    terms = {"n": F.lit(1.0), "x": F.col("ra"), "y": F.col("rb"), "xx": F.col("ra") * F.col("ra"), "yy": F.col("rb") * F.col("rb"), "xy": F.col("ra") * F.col("rb")}
+    # returns from a price of zero are not finite: they count in windows that hold them and are kept out of the sums
+    finite = lambda c: F.abs(c) < float("inf")
+    odd = F.when(finite(F.col("ra")) & finite(F.col("rb")), 0.0).otherwise(1.0)
+    both = both.select("asset", "a", "b", "pos", odd.alias("odd"), *[F.when(odd == 0, F.col(c)).otherwise(0.0).alias(c) for c in ("ra", "rb")])
+    terms = {"n": F.lit(1.0), "odd": F.col("odd"), "x": F.col("ra"), "y": F.col("rb"), "xx": F.col("ra") * F.col("ra"), "yy": F.col("rb") * F.col("rb"), "xy": F.col("ra") * F.col("rb")}
     upto = Window.partitionBy("asset", "a", "b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     sums = both.select("asset", "a", "b", "pos", F.struct(*[F.sum(e).over(upto).alias(k) for k, e in terms.items()]).alias("s"))
     pair = ["asset", "a", "b"]
@@ -175,7 +185,7 @@ def _rolling_correlation(rets: DataFrame, movers: DataFrame, lookback: int) -> D
     vx, vy = d["n"] * d["xx"] - d["x"] * d["x"], d["n"] * d["yy"] - d["y"] * d["y"]
     # a difference of large sums is no variance below their rounding
     moved = (vx > 1e-9 * F.col("f.n") * F.col("f.xx")) & (vy > 1e-9 * F.col("f.n") * F.col("f.yy"))
-    return spans.select("asset", "centre", "a", "b", F.when(moved, (d["n"] * d["xy"] - d["x"] * d["y"]) / F.sqrt(vx * vy)).otherwise(0.0).alias("c"))
+    return spans.select("asset", "centre", "a", "b", F.when(d["odd"] > 0, float("nan")).when(moved, (d["n"] * d["xy"] - d["x"] * d["y"]) / F.sqrt(vx * vy)).otherwise(0.0).alias("c"))
 
 
 def _volume_multiple(candles: DataFrame, probes: DataFrame, lookback: int) -> DataFrame:
