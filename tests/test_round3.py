@@ -7,7 +7,7 @@ import pytest
 from conftest import NOW
 from pyspark.sql import functions as F
 
-from intel_spark.operators import market, timeline
+from intel_spark.operators import market, names, timeline
 
 
 def test_a_price_of_zero_gives_infinite_returns(spark):
@@ -26,3 +26,34 @@ def test_next_known_reads_no_frame_to_its_end(spark):
     found = timeline.next_known(rows, ["key"], "ts", {"after": F.col("v")}, ["id"])
     assert {r.id: r.after for r in found.collect()} == {i: next((j for j in range(i, 100) if j % 7 == 3), None) for i in range(100)}
     assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+LISTING = "id long, authority string, name string, name_normalized string, entity_type string, aliases array<string>, programs array<string>, imo string, mmsi string, country string, vessel_flag string, vessel_type string"
+
+
+def copies(spark, n):
+    listings = spark.createDataFrame([(i, "OFAC", "OCEAN STAR HOLDING", "OCEAN STAR HOLDING", "company", ["STAR GROUP"], ["P"], None, None, "PA", None, None) for i in range(n)], LISTING)
+    vessels = spark.createDataFrame([(i, None, None, "SHIP", "PA", "Tanker", "OCEAN STAR HOLDING" if i % 2 else "OCEAN STAR HOLDINGS", None, None) for i in range(n)], "id long, mmsi string, imo string, name string, flag string, ship_type string, owner string, operator string, beneficial_owner string")
+    return vessels, listings
+
+
+
+
+def test_copies_of_names_are_spread_out_behind_the_last_shuffle(spark):
+    vessels, listings = copies(spark, 40)
+    asked = vessels.select(F.col("id").alias("name_id"), F.col("owner").alias("name"))
+    exact, found = names.match_exact(asked, listings), names.screen_names(asked, listings)
+    assert exact.count() == exact.distinct().count() == 20 * 40
+    assert {(r.match_type, r["count"]) for r in found.groupBy("match_type").count().collect()} == {("name_exact", 800), ("name_fuzzy", 800)}
+    screened = names.screen_vessels(vessels, listings)
+    assert {(r.match_type, r.confidence, r["count"]) for r in screened.groupBy("match_type", "confidence").count().collect()} == {("owner", 0.65, 800), ("owner", 0.5, 800)}
+    assert screened.where("authority = 'OFAC' and listed = 'OCEAN STAR HOLDING'").count() == 1600
+    for frame in (exact, found):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" in plan and not any(w in plan.split("Generate")[0] for w in ("Join", "Window", "Aggregate", "RepartitionByExpression"))
+
+
+def test_ids_of_several_rows_match_once(spark):
+    vessels, listings = copies(spark, 2)
+    twice = names.screen_vessels(vessels.union(vessels.withColumn("owner", F.lit("OCEAN STAR HOLDING"))), listings)
+    assert sorted((r.vessel_id, r.listing_id, r.confidence) for r in twice.collect()) == [(v, x, 0.65) for v in range(2) for x in range(2)]
