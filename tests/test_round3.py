@@ -7,7 +7,9 @@ import pytest
 from conftest import NOW
 from pyspark.sql import functions as F
 
-from intel_spark.operators import market, names, timeline
+from test_fusion import brute_pairs, busy
+
+from intel_spark.operators import fusion, links, market, names, timeline
 
 
 def test_a_price_of_zero_gives_infinite_returns(spark):
@@ -57,3 +59,15 @@ def test_ids_of_several_rows_match_once(spark):
     vessels, listings = copies(spark, 2)
     twice = names.screen_vessels(vessels.union(vessels.withColumn("owner", F.lit("OCEAN STAR HOLDING"))), listings)
     assert sorted((r.vessel_id, r.listing_id, r.confidence) for r in twice.collect()) == [(v, x, 0.65) for v in range(2) for x in range(2)]
+
+
+def test_every_pair_is_listed(spark):
+    found, rows = busy(spark, 120, 7)
+    rules = links.Rules(10, 0.3, 3)
+    listed = [(r.a_ref, r.b_ref) for r in fusion.score_pairs(found, rules).collect()]
+    assert len(listed) == len(set(listed)) and set(listed) == {p[:2] for p in brute_pairs(rows, rules)}
+    spans = {}
+    for r in links.key_links(found, 3).collect():
+        spans.setdefault((r.kind, r.value), []).append(r)
+    pairs = {(a.ref, b.ref) for held in spans.values() for a in held for b in held if a.domain != b.domain and a.ref < b.ref and a.first <= b.number <= a.last}
+    assert pairs == {(a[0], b[0]) for a in rows for b in rows if a[3] != b[3] and a[0] < b[0] and abs(a[4] - b[4]) <= timedelta(hours=3)}
