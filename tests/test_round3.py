@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from test_fusion import brute_pairs, busy
 
-from intel_spark.operators import fusion, links, market, names, timeline
+from intel_spark.operators import fusion, links, market, names, search, timeline
 
 
 def test_a_price_of_zero_gives_infinite_returns(spark):
@@ -71,3 +71,12 @@ def test_every_pair_is_listed(spark):
         spans.setdefault((r.kind, r.value), []).append(r)
     pairs = {(a.ref, b.ref) for held in spans.values() for a in held for b in held if a.domain != b.domain and a.ref < b.ref and a.first <= b.number <= a.last}
     assert pairs == {(a[0], b[0]) for a in rows for b in rows if a[3] != b[3] and a[0] < b[0] and abs(a[4] - b[4]) <= timedelta(hours=3)}
+
+
+def test_ids_of_one_needle_multiply_hits_behind_the_last_shuffle(spark):
+    texts = spark.createDataFrame([(i, "a tanker in port" if i % 2 else "a Port") for i in range(20)], "text_id int, text string")
+    needles = spark.createDataFrame([(i, "PORT") for i in range(30)] + [(0, "tanker"), (31, "tanker")], "needle_id int, needle string")
+    found = search.substring_join(texts, needles)
+    assert sorted((r.text_id, r.needle_id) for r in found.collect()) == sorted([(t, n) for t in range(20) for n in range(30)] + [(t, 31) for t in range(1, 20, 2)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]
