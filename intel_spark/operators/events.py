@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intel_spark.functions.news import classify_text, classify_text_or_null, detect_countries, detect_sectors, impact_notes, severity_from_text, title_from_url
 from intel_spark.functions.scoring import linear_decay, rank_severity, severity_rank
 from intel_spark.functions.text import contains_any
 from intel_spark.functions.vessel import lookup
-from intel_spark.operators.timeline import asof, drop_bucket, running_sum, top_per_key
+from intel_spark.operators.timeline import asof, drop_bucket, running_sum
+from intel_spark.session import checkpoint_ready
 
 # Event codes, wire services and watched countries.
 SANCTIONS_CODES = ["163", "172"]
@@ -107,50 +108,111 @@ def relevance(event_sectors: Column, event_countries: Column, event_type: Column
     return F.least(F.lit(1.0), by_sector + by_country + sanctions + maritime)
 
 
-def correlate_events(events: DataFrame, signals: DataFrame, window_hours: float = 24.0, min_score: float = 0.55, top: int = 40) -> DataFrame:
-    """X08 (over J16): the strongest signals around each event, at most ``top``. Exact without pairing events with
-    every signal near them.
+def event_reaches(events: DataFrame, signals: DataFrame, window_hours: float, min_score: float, top: int) -> DataFrame:
+    """(event_id, us, signature, r, shared, reach): the signatures whose signals can be among an event's ``top``, and how far off.
 
-    A signal's score depends on its signature (kind, sector, countries) and its distance in time. So per event and
-    signature only the ``top`` nearest signals on each side can matter, and of them those near enough to pass at all; the
-    running numbers of signals say which these are, and no others are fetched.
-    ``events`` are (id, ts, event_type, sectors, countries), ``signals`` are (kind, id, ts, sector, countries).
+    Relevance depends on what an event is about, not on its time, so it is worked out once per topic and signature. Where
+    ``top`` signals of some relevance or more lie in an event's own slice of time, they score at least as much as that
+    relevance gives across the slice, and what cannot reach that score is left out: nothing that counts is lost.
+    ``events`` are (event_id, us, topic, event_type, sectors, countries), ``signals`` carry signature and us.
     """
-    sig = signals.withColumn("countries", F.array_sort(F.array_distinct(F.coalesce("countries", F.array().cast("array<string>")))))
-    sig = sig.withColumn("signature", F.concat_ws("|", "kind", F.coalesce("sector", F.lit("")), F.array_join("countries", ",")))
-    numbered = drop_bucket(running_sum(sig, ["signature"], "ts", F.lit(1), "n", tie=["id"]))
-    signatures = sig.groupBy("signature").agg(F.first("kind").alias("kind"), F.first("sector").alias("sector"), F.first("countries").alias("s_countries"))
-    # an event and a signature meet through something they share
+    span = int(window_hours * 3_600_000_000)
+    fine, wide = max(1, span // 48), max(1, span // 8)
+    signatures = signals.groupBy("signature").agg(F.first("kind").alias("kind"), F.first("sector").alias("sector"), F.first("countries").alias("s_countries"))
+    topics = events.groupBy("topic").agg(F.first("event_type").alias("event_type"), F.first("sectors").alias("sectors"), F.first("countries").alias("countries"))
+    # a topic and a signature meet through something they share
     key = lambda kind, value: F.concat(F.lit(kind + ":"), value)
     none = F.lit(None).cast("string")
     sig_keys = F.concat(F.array(key("sector", F.col("sector")), F.when(F.col("kind").isin("sanctions_breach", "sanctions_update"), "theme:sanctions").otherwise(none), F.when(F.col("kind").isin("evasion_event", "transshipment", "sanctions_breach"), "theme:maritime").otherwise(none)), F.transform("s_countries", lambda c: key("country", c)))
-    ev_keys = F.concat(F.transform("sectors", lambda s: key("sector", s)), F.transform("countries", lambda c: key("country", c)), F.array(F.when(F.col("event_type") == "sanctions", "theme:sanctions"), F.when(F.col("event_type").isin("maritime_incident", "port_closure"), "theme:maritime")))
+    topic_keys = F.concat(F.transform("sectors", lambda s: key("sector", s)), F.transform("countries", lambda c: key("country", c)), F.array(F.when(F.col("event_type") == "sanctions", "theme:sanctions"), F.when(F.col("event_type").isin("maritime_incident", "port_closure"), "theme:maritime")))
     sk = signatures.select("signature", F.explode(F.array_compact(sig_keys)).alias("key")).distinct()
-    ek = events.select(F.col("id").alias("event_id"), F.explode(F.array_compact(ev_keys)).alias("key")).distinct()
-    met = ek.join(sk, "key").select("event_id", "signature").distinct()
-    met = met.join(signatures, "signature").join(events.select(F.col("id").alias("event_id"), "ts", "event_type", "sectors", "countries"), "event_id")
+    tk = topics.select("topic", F.explode(F.array_compact(topic_keys)).alias("key")).distinct()
+    met = tk.join(sk, "key").select("topic", "signature").distinct().join(signatures, "signature").join(topics, "topic")
     met = met.withColumn("r", relevance(F.col("sectors"), F.col("countries"), F.col("event_type"), F.col("kind"), F.col("sector"), F.col("s_countries"))).where(0.7 * F.col("r") + 0.3 >= min_score)
-    # how far from the event a signal of this signature can lie and still score enough (thousandths are rounded)
-    reach = F.floor((1 - F.greatest(F.lit(0.0), (min_score - 0.0006 - 0.7 * F.col("r")) / 0.3)) * window_hours * 3_600_000_000)
-    marks = F.array(F.struct(F.lit("first").alias("mark"), (-reach - 1).alias("shift")), F.struct(F.lit("at").alias("mark"), F.lit(0).cast("long").alias("shift")), F.struct(F.lit("last").alias("mark"), reach.alias("shift")))
-    probes = met.select("event_id", "signature", F.col("ts").alias("event_ts"), "r", "countries", "s_countries", "sectors", "sector", F.explode(marks).alias("m"))
-    probes = probes.withColumn("ts", F.timestamp_micros(F.unix_micros("event_ts") + F.col("m.shift")))
-    found = asof(probes, numbered.select("signature", "ts", "n"), ["signature"], "ts", ["n"], tie="n").withColumn("n0", F.coalesce("match.n", F.lit(0).cast("long")))
-    number = lambda mark: F.max(F.when(F.col("m.mark") == mark, F.col("n0"))).alias(mark)
-    kept = ["r", "countries", "s_countries", "sectors", "sector", "event_ts"]
-    at = found.groupBy("event_id", "signature").agg(*[F.first(c).alias(c) for c in kept], number("first"), number("at"), number("last")).where(F.col("last") > F.col("first"))
-    numbers = F.sequence(F.greatest(F.col("first") + 1, F.col("at") - top + 1), F.least(F.col("last"), F.col("at") + top))
-    wanted = at.select("event_id", "signature", *kept, F.explode(numbers).alias("n"))
-    near = wanted.join(numbered.select("signature", "n", "ts", F.col("kind").alias("alert_type"), F.col("id").alias("alert_id")), ["signature", "n"])
-    t = linear_decay(F.col("event_ts"), F.col("ts"), window_hours)
-    scored = near.withColumn("t", t).where("t > 0").withColumn("score", F.round(0.7 * F.col("r") + 0.3 * F.col("t"), 3)).where(F.col("score") >= min_score)
-    best = top_per_key(scored, ["event_id"], [F.col("score").desc(), F.abs(F.unix_micros("ts") - F.unix_micros("event_ts")), F.col("alert_type"), F.col("alert_id")], top)
+    met = met.select("topic", "signature", "r", F.coalesce(F.arrays_overlap("countries", "s_countries"), F.lit(False)).alias("shared")).checkpoint()
+    held = lambda width, name: signals.groupBy("signature", F.floor(F.col("us") / width).alias(name)).agg(F.count("*").alias(f"n_{name}"))
+    placed = events.select("event_id", "us", "topic", F.floor(F.col("us") / fine).alias("fine"), F.floor(F.col("us") / wide).alias("wide"))
+    asked = placed.select("topic", "fine", "wide").distinct().join(met, "topic").join(held(fine, "fine"), ["signature", "fine"], "left").join(held(wide, "wide"), ["signature", "wide"], "left")
+    # by wide too: a fine slice may lie across the end of a wide one
+    cell = Window.partitionBy("topic", "fine", "wide")
+    upto = cell.orderBy(F.col("r").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = asked.withColumns({f"c_{w}": F.sum(F.coalesce(f"n_{w}", F.lit(0))).over(upto) for w in ("fine", "wide")})
+    sure = lambda name, width: F.max(F.when(F.col(f"c_{name}") >= top, 0.7 * F.col("r") + 0.3 * (1 - width / span))).over(cell)
+    # scores are rounded to thousandths
+    need = F.greatest(F.lit(min_score - 0.0006), sure("fine", fine) - 0.0012, sure("wide", wide) - 0.0012)
+    asked = asked.withColumn("need", need).where(0.7 * F.col("r") + 0.3 >= F.col("need"))
+    reach = F.floor((1 - F.greatest(F.lit(0.0), (F.col("need") - 0.7 * F.col("r")) / 0.3)) * span)
+    return placed.join(asked.select("topic", "fine", "wide", "signature", "r", "shared", reach.alias("reach")), ["topic", "fine", "wide"]).select("event_id", "us", "signature", "r", "shared", "reach")
+
+
+def signal_blocks(signals: DataFrame, top: int) -> DataFrame:
+    """(signature, kind, block, ts, back, back_ids, forth, forth_ids): every signature's signals by time in blocks of ``top``.
+
+    ``ts`` is when the block starts. ``back`` are the times of this block and the one before, ``forth`` those of this block
+    and the next, so that the ``top`` nearest on each side of a moment in the block are among them. Of signals of one
+    moment the smaller ids count as nearer, before and after.
+    """
+    out = None
+    for name, tie in (("back", "down"), ("forth", "up")):
+        # ids of one moment in falling order, so that the smaller ones come nearer to what follows
+        rows = signals if tie == "up" else signals.withColumn("down", F.dense_rank().over(Window.partitionBy("signature", "us").orderBy(F.col("id").desc())))
+        numbered = drop_bucket(running_sum(rows, ["signature"], "ts", F.lit(1), "n", tie=["id" if tie == "up" else "down"]))
+        packed = numbered.groupBy("signature", F.floor((F.col("n") - 1) / top).alias("block")).agg(F.first("kind").alias("kind"), F.min("ts").alias("ts"), F.array_sort(F.collect_list(F.struct("n", "us", "id"))).alias("own"))
+        packed = packed.select("signature", "block", "kind", "ts", F.col("own.us").alias("us"), F.col("own.id").alias("id"))
+        beside = packed.select("signature", (F.col("block") + (1 if tie == "down" else -1)).alias("block"), F.col("us").alias("b_us"), F.col("id").alias("b_id"))
+        both = packed.join(beside, ["signature", "block"], "left")
+        pair = lambda c: F.concat(F.coalesce(f"b_{c}", F.slice(c, 1, 0)), c) if tie == "down" else F.concat(c, F.coalesce(f"b_{c}", F.slice(c, 1, 0)))  # noqa: E731, B023
+        both = both.select("signature", "block", *(["kind", "ts"] if tie == "up" else []), pair("us").alias(name), pair("id").alias(f"{name}_ids"))
+        out = both if out is None else out.join(both, ["signature", "block"])
+    return out
+
+
+def correlate_events(events: DataFrame, signals: DataFrame, window_hours: float = 24.0, min_score: float = 0.55, top: int = 40) -> DataFrame:
+    """X08 (over J16): the strongest signals around each event, at most ``top``. Exact without pairing events with
+    every signal near them.
+
+    A signal's score depends on its signature (kind, sector, countries) and its distance in time. So per event and
+    signature only the ``top`` nearest signals can matter, and of them those near enough to pass at all
+    (``event_reaches``). They are read off one row of packed times (``signal_blocks``), and travel as arrays.
+    ``events`` are (id, ts, event_type, sectors, countries), ``signals`` are (kind, id, ts, sector, countries).
+    """
+    checkpoint_ready(events.sparkSession)
+    tidy = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.coalesce(c, F.array().cast("array<string>")))))
+    sig = signals.where("ts is not null").select("kind", "id", "ts", F.unix_micros("ts").alias("us"), "sector", tidy("countries").alias("countries"))
+    sig = sig.withColumn("signature", F.to_json(F.struct("kind", "sector", "countries")))
+    ev = events.where("ts is not null").select(F.col("id").alias("event_id"), F.unix_micros("ts").alias("us"), "event_type", tidy("sectors").alias("sectors"), tidy("countries").alias("countries"))
+    ev = ev.withColumn("topic", F.to_json(F.struct("event_type", "sectors", "countries")))
+    asked = event_reaches(ev, sig, window_hours, min_score, top).withColumn("ts", F.timestamp_micros("us"))
+    blocks = signal_blocks(sig, top).checkpoint()  # read twice
+    at = asof(asked, blocks.select("signature", "ts", "block"), ["signature"], "ts", ["block"], tie="block")
+    near = at.select("event_id", "us", "signature", "r", "shared", "reach", F.coalesce("match.block", F.lit(0)).alias("block")).join(blocks.drop("ts"), ["signature", "block"])
+    before = F.filter(F.arrays_zip(F.col("back").alias("us"), F.col("back_ids").alias("id")), lambda x: (x["us"] <= F.col("us")) & (x["us"] >= F.col("us") - F.col("reach")))
+    after = F.filter(F.arrays_zip(F.col("forth").alias("us"), F.col("forth_ids").alias("id")), lambda x: (x["us"] > F.col("us")) & (x["us"] <= F.col("us") + F.col("reach")))
+    # nearest first; of those equally near, by id, as they rank
+    close = F.transform(F.concat(before, after), lambda x: F.struct(F.abs(x["us"] - F.col("us")).alias("gap"), x["id"].alias("id"), x["us"].alias("us")))
+    near = near.select("event_id", "us", "kind", "r", "shared", F.slice(F.sort_array(close), 1, top).alias("close"))
+    packed = near.select("event_id", F.struct("us", "kind", "r", "shared", F.col("close.us").alias("at"), F.col("close.id").alias("id")).alias("s"))
+    span = window_hours * 3.6e9
+    # before rounding, what the last of the best scores leaves open; only what comes up to it is ranked
+    plain = lambda s: F.transform(s["at"], lambda a: 0.7 * s["r"] + 0.3 * (1 - F.abs(a - s["us"]) / span))
+    gathered = packed.groupBy("event_id").agg(F.collect_list("s").alias("s"))
+    gathered = gathered.withColumn("least", F.coalesce(F.try_element_at(F.sort_array(F.flatten(F.transform("s", plain)), asc=False), F.lit(top)) - 0.0012, F.lit(0.0)))
+
+    def ranked(s: Column) -> Column:
+        def one(x: Column) -> Column:
+            t = linear_decay(F.timestamp_micros(s["us"]), F.timestamp_micros(x["at"]), window_hours)
+            score = F.when(t > 0, F.round(0.7 * s["r"] + 0.3 * t, 3))
+            return F.struct((-score).alias("worse"), F.abs(x["at"] - s["us"]).alias("gap"), s["kind"].alias("kind"), x["id"].alias("id"), s["shared"].alias("shared"), s["us"].alias("us"), x["at"].alias("at"))
+
+        open_ = F.filter(F.arrays_zip(s["at"].alias("at"), s["id"].alias("id")), lambda x: F.abs(x["at"] - s["us"]) <= (1 - (F.col("least") - 0.7 * s["r"]) / 0.3) * span)
+        return F.filter(F.transform(open_, one), lambda x: -x["worse"] >= min_score)
+
+    best = gathered.select("event_id", F.explode(F.slice(F.sort_array(F.flatten(F.transform("s", ranked))), 1, top)).alias("b"))
     # minutes as a whole number towards zero
-    delta = ((F.unix_micros("ts") - F.unix_micros("event_ts")) / 6e7).cast("long")
-    shared = F.coalesce(F.arrays_overlap("countries", "s_countries"), F.lit(False))
+    delta = ((F.col("b.at") - F.col("b.us")) / 6e7).cast("long")
     return best.select(
-        "event_id", "alert_type", "alert_id", F.col("ts").alias("alert_ts"), "score", delta.alias("delta_min"), F.when(F.abs(delta) <= 15, "simultaneous").when(delta > 0, "after").otherwise("before").alias("direction"),
-        F.when(shared, "geographic").otherwise("topical").alias("correlation_type"),
+        "event_id", F.col("b.kind").alias("alert_type"), F.col("b.id").alias("alert_id"), F.timestamp_micros("b.at").alias("alert_ts"), (-F.col("b.worse")).alias("score"), delta.alias("delta_min"),
+        F.when(F.abs(delta) <= 15, "simultaneous").when(delta > 0, "after").otherwise("before").alias("direction"), F.when(F.col("b.shared"), "geographic").otherwise("topical").alias("correlation_type"),
     )
 
 
