@@ -114,7 +114,8 @@ def normalise_ais(positions: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Unavailable heading and speed become null, the flag comes from the MMSI prefix (prefix, iso), the IMO is
     validated and names are cleaned."""
     dim = prefixes.select(F.col("prefix").alias("_p"), F.col("iso").alias("_iso"))
-    joined = positions.withColumn("_p", F.substring(F.col("mmsi").cast("string"), 1, 3)).join(dim, "_p", "left")
+    # a row a prefix of three digits; positions, most of which share a few prefixes, stay where they are
+    joined = positions.withColumn("_p", F.substring(F.col("mmsi").cast("string"), 1, 3)).join(F.broadcast(dim), "_p", "left")
     flag = F.coalesce("flag", "_iso", F.lit("XX")) if "flag" in positions.columns else F.coalesce("_iso", F.lit("XX"))
     changed = {"heading": F.when(F.col("heading") < 511, F.col("heading")), "speed": F.when(F.col("speed") < 102.3, F.col("speed")), "imo": valid_imo(F.col("imo")), "name": clean_ais_name(F.col("name")), "destination": clean_ais_name(F.col("destination")), "flag": flag}
     return joined.withColumns({k: v for k, v in changed.items() if k == "flag" or k in positions.columns}).drop("_p", "_iso")

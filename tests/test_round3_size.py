@@ -5,6 +5,7 @@ from datetime import timedelta
 from conftest import NOW
 
 from intel_spark.operators import events as v
+from intel_spark.sources import ais
 
 
 def test_crowded_moments_link_the_smaller_ids(spark):
@@ -29,3 +30,17 @@ def test_crowded_moments_link_the_smaller_ids(spark):
     for r in found.collect():
         got.setdefault(r.event_id, set()).add((r.alert_type, r.alert_id))
     assert got == {k: w for k, w in want.items() if w}
+
+
+def test_positions_meet_their_prefix_where_they_are(spark):
+    # too large to be sent out by its size alone
+    positions = spark.range(40).selectExpr("concat('21', lpad(cast(id as string), 7, '0')) AS mmsi", "id", "cast(null as string) AS flag", "1.0D AS heading", "1.0D AS speed", "'A' AS name", "'B' AS destination", "cast(null as string) AS imo")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ais.normalise_ais(positions, spark.createDataFrame([("210", "CY")], "prefix string, iso string"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert {r.flag for r in found.collect()} == {"CY"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning(_p" not in plan
