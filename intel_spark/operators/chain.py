@@ -11,6 +11,7 @@ from intel_spark.functions.chain import listed_addresses, normalize_address, usd
 from intel_spark.operators.sanctions import insert_if_absent
 
 TRACEABLE = ["bitcoin", "ethereum", "tron"]
+MANY_LABELS = 100_000
 
 
 def wallet_assets(listings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -28,44 +29,63 @@ def wallet_assets(listings: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def label_transfers(transfers: DataFrame, labels: DataFrame) -> DataFrame:
-    """Wallet type and name on both ends of each transfer; Spark broadcasts the labels while they are small."""
+    """Wallet type and name on both ends of each transfer; Spark broadcasts the labels while they are small. Beyond that
+    they are hashed partition by partition, so that transfers are shuffled to them, but not sorted and spilled for it."""
     marks = labels.where(F.col("wallet_type").isin("sanctioned", "exchange", "mixer")).select("chain", "address", "wallet_type", F.coalesce("owner", "label").alias("who"))
-    named = transfers.withColumn("_f", normalize_address(F.col("chain"), F.col("src"))).withColumn("_t", normalize_address(F.col("chain"), F.col("dst")))
+    if marks.count() > MANY_LABELS:
+        marks = marks.hint("shuffle_hash")
+    named = transfers.withColumn("_f", normalize_address(F.col("chain"), F.col("src")))
     src = marks.select("chain", F.col("address").alias("_f"), F.col("wallet_type").alias("from_type"), F.col("who").alias("source_entity"))
     dst = marks.select("chain", F.col("address").alias("_t"), F.col("wallet_type").alias("to_type"), F.col("who").alias("destination_entity"))
-    return named.join(src, ["chain", "_f"], "left").join(dst, ["chain", "_t"], "left").drop("_f", "_t")
+    # the second key is made behind the first shuffle, which need not carry it
+    half = named.join(src, ["chain", "_f"], "left").drop("_f").withColumn("_t", normalize_address(F.col("chain"), F.col("dst")))
+    return half.join(dst, ["chain", "_t"], "left").drop("_t")
 
 
-def assess_transfers(transfers: DataFrame, labels: DataFrame, whale_usd: float = 5_000_000, prices: DataFrame | None = None) -> DataFrame:
-    """Pattern and risk of each transfer from the labels on its ends and its size.
-
-    ``transfers`` carry ``usd``, or ``amount`` and ``token`` valued with ``prices`` (token, price).
-    """
-    if prices is not None:
-        transfers = transfers.join(prices.select("token", F.col("price").alias("_p")), "token", "left").withColumn("usd", usd_value(F.col("amount"), F.col("token"), F.col("_p"))).drop("_p")
+def _patterned(transfers: DataFrame, labels: DataFrame, whale_usd: float) -> DataFrame:
+    """Transfers (with ``usd``) with the names, kinds and pattern that the labels on their ends and their size give."""
     t = label_transfers(transfers, labels)
     either = lambda kind: (F.coalesce(F.col("from_type") == kind, F.lit(False)) | F.coalesce(F.col("to_type") == kind, F.lit(False)))
     sanctioned, mixer, exchange = either("sanctioned"), either("mixer"), either("exchange")
-    usd = F.coalesce("usd", F.lit(0.0))
-    whale = usd >= whale_usd
+    whale = F.coalesce("usd", F.lit(0.0)) >= whale_usd
     pattern = (
         F.when(sanctioned & exchange, F.when(F.col("to_type") == "exchange", "exchange_cashout").otherwise("exchange_withdrawal_to_sanctioned"))
         .when(sanctioned & mixer, "sanctioned_mixer_usage").when(sanctioned, "sanctioned_counterparty").when(mixer, "mixer_usage").when(whale, "whale_transfer").otherwise("watched_wallet_activity")
     )
+    return t.select(*transfers.columns, "source_entity", "destination_entity", sanctioned.alias("involves_sanctioned"), mixer.alias("involves_mixer"), exchange.alias("involves_exchange"), pattern.alias("pattern"))
+
+
+def _described(t: DataFrame, whale_usd: float) -> DataFrame:
+    """Risk and text, which follow from what ``_patterned`` gives."""
+    sanctioned, mixer, exchange, pattern = (F.col(c) for c in ("involves_sanctioned", "involves_mixer", "involves_exchange", "pattern"))
+    usd = F.coalesce("usd", F.lit(0.0))
+    whale = usd >= whale_usd
     base = (
         F.when(sanctioned & (exchange | mixer), 0.95).when(sanctioned, 0.85).when(mixer, 0.6 + F.when(whale, 0.2).otherwise(0.0)).when(whale, 0.4 + F.least(F.lit(0.3), usd / (whale_usd * 20))).otherwise(0.3)
     )
     score = F.round(F.least(F.lit(1.0), base + F.when(usd >= whale_usd * 5, 0.05).otherwise(0.0)), 2)
     size = F.when(usd > 0, F.format_string("$%,.0f", usd)).otherwise("unknown value")
     summary = F.concat(F.replace(pattern, F.lit("_"), F.lit(" ")), F.lit(": "), size, F.lit(" "), F.coalesce("token", F.lit("")), F.lit(" from "), F.coalesce("source_entity", F.lit("unlabelled")), F.lit(" to "), F.coalesce("destination_entity", F.lit("unlabelled")))
-    return t.select(
-        *transfers.columns, "source_entity", "destination_entity", sanctioned.alias("involves_sanctioned"), mixer.alias("involves_mixer"), exchange.alias("involves_exchange"), pattern.alias("pattern"), score.alias("risk_score"), F.substring(summary, 1, 300).alias("summary")
-    )
+    return t.select("*", score.alias("risk_score"), F.substring(summary, 1, 300).alias("summary"))
+
+
+def assess_transfers(transfers: DataFrame, labels: DataFrame, whale_usd: float = 5_000_000, prices: DataFrame | None = None) -> DataFrame:
+    """Pattern and risk of each transfer from the labels on its ends and its size.
+
+    ``transfers`` carry ``usd``, or ``amount`` and ``token`` valued with ``prices`` (token, price).
+    """
+    if prices is not None:
+        transfers = transfers.join(prices.select("token", F.col("price").alias("_p")), "token", "left").withColumn("usd", usd_value(F.col("amount"), F.col("token"), F.col("_p"))).drop("_p")
+    return _described(_patterned(transfers, labels, whale_usd), whale_usd)
 
 
 def capture(transfers: DataFrame, labels: DataFrame, stored: DataFrame, watched: DataFrame | None = None, whale_usd: float = 5_000_000) -> DataFrame:
-    """X11: transfers worth storing (sanctioned, mixer, whale, or touching a watched wallet) that are not stored yet."""
-    scored = assess_transfers(transfers, labels, whale_usd)
+    """X11: transfers worth storing (sanctioned, mixer, whale, or touching a watched wallet) that are not stored yet.
+
+    Risk and text are worked out for the rows that are left: they follow from the other columns, so they neither travel
+    with the rows nor decide which of two equal keys is the least.
+    """
+    scored = _patterned(transfers, labels, whale_usd)
     keep = F.col("involves_sanctioned") | F.col("involves_mixer") | (F.col("pattern") == "whale_transfer")
     if watched is not None:
         ends = scored.select("chain", "tx_hash", F.explode(F.array("src", "dst")).alias("address"))
@@ -75,7 +95,7 @@ def capture(transfers: DataFrame, labels: DataFrame, stored: DataFrame, watched:
         scored = scored.where(keep).drop("_w")
     else:
         scored = scored.where(keep)
-    return insert_if_absent(scored, stored, ["chain", "tx_hash"])
+    return _described(insert_if_absent(scored, stored, ["chain", "tx_hash"]), whale_usd)
 
 
 def wallet_transfers(utxo: DataFrame, wallets: DataFrame) -> DataFrame:

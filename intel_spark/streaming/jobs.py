@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from intel_spark.operators import fusion, market, sanctions
-from intel_spark.operators.chain import assess_transfers
+from intel_spark.operators.chain import assess_transfers, capture
 from intel_spark.operators.timeline import newest_rows
 from intel_spark.session import checkpoint_ready
 
@@ -134,9 +134,8 @@ def start_token_flows(transfers: DataFrame, checkpoint: str, path: str, labels:
         first, last = span(batch)
         if first is None:
             return
-        scored = assess_transfers(batch, labels, whale_usd)
-        keep = scored.where(F.col("involves_sanctioned") | F.col("involves_mixer") | (F.col("pattern") == "whale_transfer"))
-        append_days(sanctions.insert_if_absent(keep, stored_days(spark, path, keep, first, last), ["chain", "tx_hash"]), path)
+        have = stored_days(spark, path, assess_transfers(batch, labels, whale_usd), first, last)
+        append_days(capture(batch, labels, have, whale_usd=whale_usd), path)
 
     return _each(transfers, checkpoint, handle, available_now)
 
