@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -415,26 +416,92 @@ def shared_party_links(vessels: DataFrame, focus: DataFrame) -> DataFrame:
     return mine.join(parties.withColumnRenamed("vessel_id", "other_id"), ["reason", "party"]).where("vessel_id <> other_id").select("vessel_id", "other_id", "reason", F.col("party").alias("detail"))
 
 
+LINK_BLOCK = 4096  # vessels of one party, listing or port that meet in one task
+
+
+def _link_profiles(vessels: DataFrame, breaches: DataFrame, calls: DataFrame, focus: DataFrame, since: Column) -> tuple[DataFrame, DataFrame]:
+    """Focus vessels (vessel_id) and all vessels (other_id) with what a pair is compared on: parties, listings and ports.
+
+    A focus vessel's ports are the risky ones of its recent calls, any other vessel's are all of them with their number of calls.
+    """
+    parties = [F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("owner", "operator", "beneficial_owner")]
+    listed = breaches.where(F.col("vessel_id").isNotNull() & F.col("entity_id").isNotNull()).groupBy("vessel_id").agg(F.collect_set("entity_id").alias("listings"))
+    recent = calls.where((F.col("arrival") >= since) & F.col("vessel_id").isNotNull() & F.col("port").isNotNull())
+    risky_ports = recent.where(F.col("is_sanctioned") | (F.col("risk_level") == "high")).groupBy("vessel_id").agg(F.collect_set("port").alias("ports"))
+    called = recent.groupBy("vessel_id", "port").agg(F.count("*").alias("k")).groupBy("vessel_id").agg(F.map_from_entries(F.collect_list(F.struct("port", "k"))).alias("calls"))
+    known = vessels.where("id is not null").select(F.col("id").alias("vessel_id"), *parties, "mmsi", "name", "flag", "risk_score").join(listed, "vessel_id", "left")
+    mine = focus.where("vessel_id is not null").select("vessel_id").distinct().join(vessels.select(F.col("id").alias("vessel_id"), *parties), "vessel_id", "left").join(listed, "vessel_id", "left").join(risky_ports, "vessel_id", "left")
+    others = known.join(called, "vessel_id", "left").withColumnRenamed("vessel_id", "other_id")
+    return mine, others
+
+
 def linked_vessels(vessels: DataFrame, breaches: DataFrame, sts: DataFrame, calls: DataFrame, focus: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
-    """Vessels tied to the focus vessels by party, shared listing, rendezvous or risky port, with combined strength."""
+    """Vessels tied to the focus vessels by party, shared listing, rendezvous or risky port, with combined strength.
+
+    The pairs of a party grow with the square of its fleet, so they are listed where they meet and nothing is shuffled,
+    sorted or held behind that: both vessels carry all that a pair is compared on, and a pair that meets under several keys is kept
+    under the first. Vessels of a key meet in blocks, so a task's memory and a group's work do not grow with the key. Shared
+    listings count once each, as do rendezvous and calls.
+    """
+    spark = vessels.sparkSession
+    checkpoint_ready(spark)
     since = F.lit(as_of) - F.expr(f"INTERVAL {days} DAYS")
-    links = [shared_party_links(vessels, focus).drop("detail")]
-    listed = breaches.where(F.col("entity_id").isNotNull()).select("vessel_id", "entity_id").distinct()
-    mine = listed.join(focus, "vessel_id", "left_semi")
-    # one row per shared listing counts once each, as do rendezvous and calls
-    links.append(mine.join(listed.withColumnRenamed("vessel_id", "other_id"), "entity_id").select("vessel_id", "other_id", F.lit("shared_sanctions_entity").alias("reason")))
-    met = sts.where(F.col("ts") >= since).select(F.explode(F.array(F.struct(F.col("vessel_a").alias("v"), F.col("vessel_b").alias("o")), F.struct(F.col("vessel_b").alias("v"), F.col("vessel_a").alias("o")))).alias("p"))
-    links.append(met.select(F.col("p.v").alias("vessel_id"), F.col("p.o").alias("other_id"), F.lit("transshipment_partner").alias("reason")).join(focus, "vessel_id", "left_semi"))
-    recent = calls.where(F.col("arrival") >= since)
-    risky_ports = recent.where(F.col("is_sanctioned") | (F.col("risk_level") == "high")).select("vessel_id", "port").distinct().join(focus, "vessel_id", "left_semi")
-    links.append(risky_ports.join(recent.groupBy("vessel_id", "port").agg(F.count("*").alias("k")).withColumnRenamed("vessel_id", "other_id"), "port").select("vessel_id", "other_id", F.lit("shared_high_risk_port").alias("reason"), "k"))
-    merged = links[0].withColumn("k", F.lit(1).cast("long"))
-    for part in links[1:]:
-        merged = merged.unionByName(part if "k" in part.columns else part.withColumn("k", F.lit(1).cast("long")))
-    merged = merged.where("vessel_id <> other_id").groupBy("vessel_id", "other_id", "reason").agg(F.sum("k").alias("k"))
-    miss = F.pow(1 - F.element_at(lookup(LINK_WEIGHTS), F.col("reason")), F.col("k"))
-    pairs = merged.groupBy("vessel_id", "other_id").agg(F.round(1 - F.product(miss), 2).alias("link_strength"), F.sort_array(F.collect_set("reason")).alias("reasons"))
-    return pairs.join(vessels.select(F.col("id").alias("other_id"), "mmsi", "name", "flag", "risk_score"), "other_id")
+    mine, others = (side.checkpoint() for side in _link_profiles(vessels, breaches, calls, focus, since))
+
+    def keyed(side: DataFrame, ports: Column) -> DataFrame:
+        many = lambda kind, values: F.transform(F.coalesce(values, F.array()), lambda x: F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("value")))
+        one = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(("owner", "operator", "beneficial_owner"))]), lambda x: x["value"].isNotNull())
+        return side.withColumn("key", F.explode(F.concat(one, many(3, F.col("listings")), many(4, ports))))
+
+    focal, met = keyed(mine, F.col("ports")), keyed(others, F.map_keys("calls"))
+    # blocks are as many as the fullest key needs that both sides hold
+    sizes = focal.groupBy("key").agg(F.count("*").alias("f")).join(met.groupBy("key").agg(F.count("*").alias("o")), "key").agg(F.max("f"), F.max("o")).first()
+    rows, blocks = (max(1, -(-(n or 0) // LINK_BLOCK)) for n in sizes)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+    both_ways = F.explode(F.array(F.struct(F.col("vessel_a").alias("vessel_id"), F.col("vessel_b").alias("other_id")), F.struct(F.col("vessel_b").alias("vessel_id"), F.col("vessel_a").alias("other_id"))))
+    rendezvous = sts.where(F.col("ts") >= since).select(both_ways.alias("p")).select("p.*").join(focus.select("vessel_id").distinct(), "vessel_id", "left_semi")
+    rendezvous = rendezvous.where("vessel_id <> other_id").groupBy("vessel_id", "other_id").agg(F.count("*").alias("k")).checkpoint()
+    partners = rendezvous.groupBy("vessel_id", block("other_id", blocks).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct("other_id", "k"))).alias("partners"))
+
+    left = ["vessel_id", "owner", "operator", "beneficial_owner", "listings", "ports"]
+    right = ["other_id", "owner", "operator", "beneficial_owner", "listings", "calls", "mmsi", "name", "flag", "risk_score"]
+    as_left = [F.col(c).alias(c if c == "vessel_id" else f"a_{c}") for c in left]
+    as_right = [F.col(c).alias(f"b_{c}" if c in left or c == "calls" else c) for c in right]
+    # a number of its own keeps adaptive execution from joining partitions that are small only until pairs are listed
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asking = focal.select("key", *as_left, block("vessel_id", rows).alias("row"), spread(blocks).alias("block")).join(partners, ["vessel_id", "block"], "left")
+    meeting = met.select("key", *as_right, block("other_id", blocks).alias("block"), spread(rows).alias("row"))
+    at = ["key", "row", "block"]
+    pairs = asking.repartition(parts, *at).join(meeting.hint("merge").repartition(parts, *at), at).where("vessel_id <> other_id").withColumn("met", F.try_element_at("partners", F.col("other_id")))
+    same = lambda c: F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False))
+    none = lambda c, kind: F.coalesce(c, F.expr(f"cast(array() as {kind})"))
+    entity = breaches.schema["entity_id"].dataType.simpleString()
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        shared = F.when(F.col("a_listings").isNotNull() & F.col("b_listings").isNotNull(), F.array_intersect("a_listings", "b_listings"))
+        ports = F.when(F.col("a_ports").isNotNull() & F.col("b_calls").isNotNull(), F.array_intersect("a_ports", F.map_keys("b_calls")))
+        return pairs.withColumns({"shared": none(shared, f"array<{entity}>"), "common": none(ports, "array<string>")})
+
+    def graded(pairs: DataFrame) -> DataFrame:
+        port_calls = F.aggregate("common", F.lit(0).cast("long"), lambda n, p: n + F.col("b_calls")[p])
+        counts = [
+            ("shared_beneficial_owner", same("beneficial_owner").cast("long")), ("shared_high_risk_port", F.when(F.size("common") > 0, port_calls).otherwise(0)), ("shared_operator", same("operator").cast("long")),
+            ("shared_owner", same("owner").cast("long")), ("shared_sanctions_entity", F.size("shared").cast("long")), ("transshipment_partner", F.coalesce("met", F.lit(0).cast("long"))),
+        ]
+        miss = reduce(lambda x, y: x * y, [F.pow(F.lit(1 - LINK_WEIGHTS[reason]), k) for reason, k in counts])
+        reasons = F.array_compact(F.array(*[F.when(k > 0, reason) for reason, k in counts]))
+        return pairs.select("other_id", "vessel_id", F.round(1 - miss, 2).alias("link_strength"), reasons.alias("reasons"), "mmsi", "name", "flag", "risk_score")
+
+    listed = compared(pairs)
+    least = F.when(same("owner"), 0).when(same("operator"), 1).when(same("beneficial_owner"), 2).when(F.size("shared") > 0, 3).otherwise(4)
+    value = F.when(F.col("key.kind") == 3, F.array_min("shared").cast("string")).when(F.col("key.kind") == 4, F.array_min("common"))
+    first = (F.col("key.kind") == least) & F.coalesce(value == F.col("key.value"), F.lit(True))
+    # rendezvous of vessels that share nothing else
+    alone = compared(rendezvous.withColumnRenamed("k", "met").join(mine.select(*as_left), "vessel_id").join(others.select(*as_right), "other_id"))
+    alone = alone.where(~same("owner") & ~same("operator") & ~same("beneficial_owner") & (F.size("shared") == 0) & (F.size("common") == 0))
+    return graded(listed.where(first)).unionByName(graded(alone))
 
 
 def fleet_groups(vessels: DataFrame, min_size: int = 2, members: int = 25) -> DataFrame:
