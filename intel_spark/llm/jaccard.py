@@ -292,6 +292,18 @@ def _edges(links: DataFrame) -> DataFrame:
     return links.select(F.struct("a", "b").alias("src"), F.struct(F.col("ca").alias("a"), F.col("cb").alias("b")).alias("dst"))
 
 
+def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) once further links join components and single nodes: only what they touch is gone through again."""
+    placed = joined.withColumnRenamed("component", "part")
+    ends = _edges(links)
+    for end in ("src", "dst"):
+        ends = ends.join(placed.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("part", end)).drop("part")
+    parts = connected_components(ends).withColumnRenamed("node", "part")
+    kept = joined.withColumnRenamed("component", "part").join(parts, "part", "left").select("node", F.coalesce("component", "part").alias("component"))
+    new = parts.withColumnRenamed("part", "node").join(joined, "node", "left_anti")
+    return kept.unionByName(new.select("node", "component"))
+
+
 def _grouped(docs: DataFrame, percent: int, k: int) -> DataFrame:
     """(doc_id, tk, n, a, b, component, component_id) of each row: text key, set key, and the group with its least id."""
     docs = docs.select("doc_id", "text")
@@ -309,10 +321,9 @@ def _grouped(docs: DataFrame, percent: int, k: int) -> DataFrame:
     )
     star = settled(star)
     near = settled(_verified(docs, star, classes, percent, k))
-    joined = connected_components(_edges(near))
+    joined = settled(connected_components(_edges(near)))
     rest = settled(_open_pairs(postings, joined, percent).join(star.select("a", "b", "ca", "cb"), ["a", "b", "ca", "cb"], "left_anti"))
-    links = near.union(_verified(docs, rest, classes, percent, k))
-    final = connected_components(_edges(links)).select("node.a", "node.b", "component")
+    final = _merged(joined, settled(_verified(docs, rest, classes, percent, k))).select("node.a", "node.b", "component")
 
     labelled = classes.join(final, ["a", "b"], "left").select("a", "b", "least", F.coalesce("component", F.struct("a", "b")).alias("component"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))

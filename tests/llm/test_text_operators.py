@@ -407,3 +407,22 @@ def test_sampling_and_decoding_frames(spark):
     assert sorted((str(r[0]), r[1]) for r in decoded) == [("1", "some text here"), ("3", ""), ("None", "no key")]
     assert Counter((r["doc_id"], r["sample"], tuple(r["ids"])) for r in P.sample_encode(docs.repartition(3)).collect()) == got
     assert P.sample_encode(docs.limit(0)).count() == 0
+
+
+def test_components_are_gone_through_once(spark, monkeypatch):
+    """Links found behind the stars join what they touch; all links went through a second time before, on the driver's account."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[:50], f"x{i}", *base[51:]]) for i in range(12)] + [" ".join(f"y{j}{i}" for j in range(20)) for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    edges, plain = [], J.connected_components
+    monkeypatch.setattr(J, "connected_components", lambda e: edges.append(e.count()) or plain(e))
+    got = {r["doc_id"]: r["component_id"] for r in J.jaccard_components(docs).collect()}
+    assert got == {i: 0 if i < 12 else i for i in range(15)} and edges[0] >= 11 and edges[1:] == [0]
+
+
+def test_further_links_merge_components(spark):
+    node = lambda x: (x, 0)
+    kind = "struct<a:long,b:int>"
+    joined = spark.createDataFrame([(node(1), node(1)), (node(2), node(1)), (node(5), node(5)), (node(6), node(5)), (node(8), node(8)), (node(9), node(8))], f"node {kind}, component {kind}")
+    links = spark.createDataFrame([(2, 0, 6, 0), (9, 0, 0, 0), (20, 0, 21, 0)], "a long, b int, ca long, cb int")
+    assert {(r.node.a, r.component.a) for r in J._merged(joined, links).collect()} == {(1, 1), (2, 1), (5, 1), (6, 1), (8, 0), (9, 0), (0, 0), (20, 20), (21, 20)}
