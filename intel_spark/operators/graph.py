@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from intel_spark.session import checkpoint_ready
+from intel_spark.session import WorkTables, checkpoint_ready, shuffles_let_go
+
+LARGE_ROUND = 1_000_000  # edges from which a round is written as tables; fewer are checkpointed, which takes less time
 
 
 def _stirred(x: Column) -> Column:
@@ -25,44 +27,60 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     then run between merged nodes and those inside one are gone. At most three in four nodes are expected to be left, a third
     of a chain's, so all rounds together cost little more than the first. The merges are then followed from the last round back to the first. Minima are
     combined before the shuffle, and joining them back is one row against a hot node's edges, which adaptive execution may
-    split. Rounds are cut with reliable checkpoints so a lost executor never replays earlier ones.
+    split. Rounds are cut in the shared folder so a lost executor never replays earlier ones; what a round leaves behind is
+    deleted when the next one stands, so the disk holds little more than the largest step.
     """
-    checkpoint_ready(edges.sparkSession)
-    held = edges.select("src", "dst").checkpoint()
-    nodes = held.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("id", F.xxhash64("node")).checkpoint()
-    held = held.where("src <> dst")
-    if nodes.groupBy("id").count().where("count > 1").isEmpty():
-        numbered = held.select(F.xxhash64("src").alias("u"), F.xxhash64("dst").alias("v"))
-    else:
-        nodes = nodes.select("node", F.monotonically_increasing_id().alias("id")).checkpoint()
-        end = lambda node, id: nodes.select(F.col("node").alias(node), F.col("id").alias(id))
-        numbered = held.join(end("src", "u"), "src").join(end("dst", "v"), "dst").select("u", "v")
-
-    pair = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
-    current = numbered.select(*pair).distinct().checkpoint()
-    merges = []
-    while not current.isEmpty():
-        if len(merges) == max_rounds:
-            raise RuntimeError("components did not settle; raise max_rounds")
-        around = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min(_stirred(F.col("v"))).alias("m")).select("u", F.least(_stirred(F.col("u")), "m").alias("m"))
-        further = around.join(least.select(F.col("u").alias("v"), "m"), "v").groupBy("u").agg(F.min("m").alias("into"))
-        merge = further.checkpoint()
-        merges.append(merge)
-        moved = current.join(merge, "u").select(F.col("into").alias("u"), "v").join(merge.select(F.col("u").alias("v"), F.col("into").alias("w")), "v").select("u", F.col("w").alias("v"))
-        current = moved.where("u <> v").select(*pair).distinct().checkpoint()
-    if not merges:
-        return nodes.select("node", F.col("node").alias("component"))
-
-    # a part is named by its last node and the round that ended it: names change from round to round
-    part = lambda k: F.struct(F.lit(k).alias("round"), F.col("into").alias("id"))
-    parts = merges[-1].select("u", part(len(merges) - 1).alias("part"))
-    for k in range(len(merges) - 2, -1, -1):
-        later = parts.select(F.col("u").alias("into"), F.col("part").alias("later"))
-        parts = merges[k].join(later, "into", "left").select("u", F.coalesce("later", part(k)).alias("part"))
-    placed = nodes.join(parts.checkpoint().withColumnRenamed("u", "id"), "id", "left").select("node", "part")
-    least = placed.where("part is not null").groupBy("part").agg(F.min("node").alias("component"))
-    return placed.join(least, "part", "left").select("node", F.coalesce("component", "node").alias("component"))
+    spark = edges.sparkSession
+    checkpoint_ready(spark)
+    tables = WorkTables(spark, "components")
+    with shuffles_let_go(spark):
+        held = tables.keep("edges", edges.select("src", "dst"))
+        nodes = tables.keep("nodes", held.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("id", F.xxhash64("node")))
+        held = held.where("src <> dst")
+        if nodes.groupBy("id").count().where("count > 1").isEmpty():
+            numbered = held.select(F.xxhash64("src").alias("u"), F.xxhash64("dst").alias("v"))
+        else:
+            nodes = tables.keep("numbers", nodes.select("node", F.monotonically_increasing_id().alias("id")))
+            end = lambda node, id: nodes.select(F.col("node").alias(node), F.col("id").alias(id))
+            numbered = held.join(end("src", "u"), "src").join(end("dst", "v"), "dst").select("u", "v")
+
+        pair = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
+        current = tables.keep("round0", numbered.select(*pair).distinct())
+        tables.drop("edges")
+        first = left = current.count()
+        merges = []
+        while left:
+            k = len(merges)
+            if k == max_rounds:
+                raise RuntimeError("components did not settle; raise max_rounds")
+            large = left >= LARGE_ROUND
+            keep = tables.keep if large else lambda name, df: df.checkpoint()
+            around = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = around.groupBy("u").agg(F.min(_stirred(F.col("v"))).alias("m")).select("u", F.least(_stirred(F.col("u")), "m").alias("m"))
+            least = tables.keep(f"least{k}", least) if large else least
+            further = lambda ends: ends.join(least.select(F.col("u").alias("v"), "m"), "v").groupBy("u").agg(F.min("m").alias("into"))  # noqa: B023, E731
+            # the largest step: in turns, so that half of the edges lie in shuffle files at a time
+            merge = reduce(DataFrame.union, [keep(f"merge{k}/{i}", further(around.where(F.pmod("u", F.lit(2)) == i))) for i in range(2)]) if large else keep("", further(around))
+            tables.drop(f"least{k}")
+            merges.append(merge)
+            moved = current.join(merge, "u").select(F.col("into").alias("u"), "v").join(merge.select(F.col("u").alias("v"), F.col("into").alias("w")), "v").select("u", F.col("w").alias("v"))
+            current = keep(f"round{k + 1}", moved.where("u <> v").select(*pair).distinct())
+            tables.drop(f"round{k}")
+            left = current.count()
+        if not merges:
+            return nodes.select("node", F.col("node").alias("component"))
+
+        # a part is named by its last node and the round that ended it: names change from round to round
+        parts = merges[-1].select("u", F.lit(len(merges) - 1).alias("round"), F.col("into").alias("last"))
+        for k in range(len(merges) - 2, -1, -1):
+            later = parts.select(F.col("u").alias("into"), F.col("round").alias("r"), F.col("last").alias("l"))
+            parts = merges[k].join(later, "into", "left").select("u", F.coalesce("r", F.lit(k)).alias("round"), F.coalesce("l", "into").alias("last"))
+        parts = tables.keep("parts", parts) if first >= LARGE_ROUND else parts.checkpoint()
+        tables.drop(*[f"merge{k}" for k in range(len(merges))])
+        placed = tables.keep("placed", nodes.join(parts.withColumnRenamed("u", "id"), "id", "left").select("node", "round", "last"))
+        tables.drop("edges", "nodes", "numbers", "parts", f"round{len(merges)}")
+    least = placed.where("round is not null").groupBy("round", "last").agg(F.min("node").alias("component"))
+    return placed.join(least, ["round", "last"], "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def reachable(links: DataFrame, heads: DataFrame, max_rounds: int = 40) -> DataFrame:
