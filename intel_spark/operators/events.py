@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import datetime
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intel_spark.functions.news import classify_text, classify_text_or_null, detect_countries, detect_sectors, impact_notes, severity_from_text, title_from_url
-from intel_spark.functions.scoring import linear_decay, rank_severity, severity_rank
+from intel_spark.functions.scoring import rank_severity, severity_rank
 from intel_spark.functions.text import contains_any
 from intel_spark.functions.vessel import lookup
 from intel_spark.operators.timeline import asof, drop_bucket, running_sum
@@ -186,36 +191,144 @@ def correlate_events(events: DataFrame, signals: DataFrame, window_hours: float
     blocks = signal_blocks(sig, top).checkpoint()  # read twice
     at = asof(asked, blocks.select("signature", "ts", "block"), ["signature"], "ts", ["block"], tie="block")
     near = at.select("event_id", "us", "signature", "r", "shared", "reach", F.coalesce("match.block", F.lit(0)).alias("block")).join(blocks.drop("ts"), ["signature", "block"])
-    before = F.filter(F.arrays_zip(F.col("back").alias("us"), F.col("back_ids").alias("id")), lambda x: (x["us"] <= F.col("us")) & (x["us"] >= F.col("us") - F.col("reach")))
-    after = F.filter(F.arrays_zip(F.col("forth").alias("us"), F.col("forth_ids").alias("id")), lambda x: (x["us"] > F.col("us")) & (x["us"] <= F.col("us") + F.col("reach")))
-    # nearest first; of those equally near, by id, as they rank
-    close = F.transform(F.concat(before, after), lambda x: F.struct(F.abs(x["us"] - F.col("us")).alias("gap"), x["id"].alias("id"), x["us"].alias("us")))
-    near = near.select("event_id", "us", "kind", "r", "shared", F.slice(F.sort_array(close), 1, top).alias("close"))
-    packed = near.select("event_id", F.struct("us", "kind", "r", "shared", F.col("close.us").alias("at"), F.col("close.id").alias("id")).alias("s"))
-    span = window_hours * 3.6e9
-    # before rounding, what the last of the best scores leaves open; only what comes up to it is ranked
-    plain = lambda s: F.transform(s["at"], lambda a: 0.7 * s["r"] + 0.3 * (1 - F.abs(a - s["us"]) / span))
-    gathered = packed.groupBy("event_id").agg(F.collect_list("s").alias("s"))
-    gathered = gathered.withColumn("least", F.coalesce(F.try_element_at(F.sort_array(F.flatten(F.transform("s", plain)), asc=False), F.lit(top)) - 0.0012, F.lit(0.0)))
-
-    def ranked(s: Column) -> Column:
-        def one(x: Column) -> Column:
-            t = linear_decay(F.timestamp_micros(s["us"]), F.timestamp_micros(x["at"]), window_hours)
-            score = F.when(t > 0, F.round(0.7 * s["r"] + 0.3 * t, 3))
-            return F.struct((-score).alias("worse"), F.abs(x["at"] - s["us"]).alias("gap"), s["kind"].alias("kind"), x["id"].alias("id"), s["shared"].alias("shared"), s["us"].alias("us"), x["at"].alias("at"))
-
-        open_ = F.filter(F.arrays_zip(s["at"].alias("at"), s["id"].alias("id")), lambda x: F.abs(x["at"] - s["us"]) <= (1 - (F.col("least") - 0.7 * s["r"]) / 0.3) * span)
-        return F.filter(F.transform(open_, one), lambda x: -x["worse"] >= min_score)
-
-    best = gathered.select("event_id", F.explode(F.slice(F.sort_array(F.flatten(F.transform("s", ranked))), 1, top)).alias("b"))
+    ids = blocks.schema["back_ids"].dataType
+    one = lambda df, name: f"{name} {df.schema[name].dataType.simpleString()}"
+    rows = near.select("event_id", "us", "kind", "r", "shared", "reach", "back", "back_ids", "forth", "forth_ids")
+    close = rows.mapInArrow(nearest(top), f"{one(rows, 'event_id')}, us bigint, kind string, r double, shared boolean, at array<bigint>, ids {ids.simpleString()}")
+    spark = events.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    best = close.repartition(parts, "event_id").sortWithinPartitions("event_id").mapInArrow(ranked(top, window_hours, min_score), f"{one(rows, 'event_id')}, us bigint, kind string, id {ids.elementType.simpleString()}, shared boolean, at bigint, score double")
     # minutes as a whole number towards zero
-    delta = ((F.col("b.at") - F.col("b.us")) / 6e7).cast("long")
+    delta = ((F.col("at") - F.col("us")) / 6e7).cast("long")
     return best.select(
-        "event_id", F.col("b.kind").alias("alert_type"), F.col("b.id").alias("alert_id"), F.timestamp_micros("b.at").alias("alert_ts"), (-F.col("b.worse")).alias("score"), delta.alias("delta_min"),
-        F.when(F.abs(delta) <= 15, "simultaneous").when(delta > 0, "after").otherwise("before").alias("direction"), F.when(F.col("b.shared"), "geographic").otherwise("topical").alias("correlation_type"),
+        "event_id", F.col("kind").alias("alert_type"), F.col("id").alias("alert_id"), F.timestamp_micros("at").alias("alert_ts"), "score", delta.alias("delta_min"),
+        F.when(F.abs(delta) <= 15, "simultaneous").when(delta > 0, "after").otherwise("before").alias("direction"), F.when(F.col("shared"), "geographic").otherwise("topical").alias("correlation_type"),
     )
 
 
+PIECE = 2_000  # rows of arrays that are worked on at once
+
+
+def _codes(values: pa.Array) -> np.ndarray:
+    """Numbers in the order of the values; null comes first."""
+    if pa.types.is_integer(values.type) and not values.null_count:
+        return values.to_numpy()
+    plain = values.to_pylist()
+    order = {v: i for i, v in enumerate(sorted({v for v in plain if v is not None}))}
+    return np.array([-1 if v is None else order[v] for v in plain], dtype="int64")
+
+
+def _order(group: np.ndarray, key: np.ndarray, bits: int, ties: Callable[[np.ndarray], list[np.ndarray]]) -> np.ndarray:
+    """The order by group, then key, which has so many bits, then the columns that ``ties`` gives for the rows that are equal so far.
+
+    Rows come as a few runs that are in order, which a stable sort makes use of; ties are few.
+    """
+    whole = (group << bits) | key if int(group[-1]).bit_length() + bits < 63 else None
+    order = np.argsort(whole, kind="stable") if whole is not None else np.lexsort((key, group))
+    g, k = group[order], key[order]
+    same = (g[1:] == g[:-1]) & (k[1:] == k[:-1])
+    if same.any():
+        at = np.flatnonzero(np.append(False, same) | np.append(same, False))
+        order[at] = order[at][np.lexsort((*reversed(ties(order[at])), k[at], g[at]))]
+    return order
+
+
+def _first(group: np.ndarray, n: int) -> np.ndarray:
+    """Which rows are among the first ``n`` of their group; groups follow each other."""
+    start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    return np.arange(len(group)) - np.repeat(start, np.diff(np.append(start, len(group)))) < n
+
+
+def _lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values)
+
+
+def nearest(top: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of (event_id, us, kind, r, shared, reach, back, back_ids, forth, forth_ids): the ``top`` signals nearest to ``us``
+    and within the reach, nearest first; of those equally near, by id, as they rank."""
+    def run(batches):
+        for batch in (whole.slice(i, PIECE) for whole in batches for i in range(0, whole.num_rows, PIECE)):
+            long = lambda name: pc.list_value_length(batch.column(name)).to_numpy().astype("int64")  # noqa: B023, E731
+            us, reach, n_back, n_forth = batch.column("us").to_numpy(), batch.column("reach").to_numpy(), long("back"), long("forth")
+            times = np.concatenate([batch.column("back").flatten().to_numpy(), batch.column("forth").flatten().to_numpy()])
+            ids = pa.concat_arrays([batch.column("back_ids").flatten(), batch.column("forth_ids").flatten()])
+            # both sides of a row from the near end on: earlier ones backwards, then later ones
+            count = n_back + n_forth
+            row = np.repeat(np.arange(batch.num_rows), count)
+            j = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            earlier = j < n_back[row]
+            at = np.where(earlier, np.cumsum(n_back)[row] - 1 - j, n_back.sum() + (np.cumsum(n_forth) - n_forth)[row] + j - n_back[row])
+            gap = us[row] - times[at]
+            kept = np.where(earlier, gap >= 0, gap < 0) & (np.abs(gap) <= reach[row])
+            row, at, gap = row[kept], at[kept], np.abs(gap[kept])
+            if len(row):
+                order = _order(row, gap, int(gap.max()).bit_length(), lambda i: [_codes(ids.take(pa.array(at[i])))])  # noqa: B023
+                order = order[_first(row[order], top)]
+                row, at = row[order], at[order]
+            count = np.bincount(row, minlength=batch.num_rows)
+            yield pa.record_batch([*[batch.column(c) for c in ("event_id", "us", "kind", "r", "shared")], _lists(pa.array(times[at]), count), _lists(ids.take(pa.array(at)), count)], ["event_id", "us", "kind", "r", "shared", "at", "ids"])
+
+    return run
+
+
+def _thousandths(score: np.ndarray) -> np.ndarray:
+    """Whole thousandths, halves away from zero as they are written in decimals."""
+    scaled = score * 1000
+    out = np.floor(scaled + 0.5).astype("int64")
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6):
+        out[i] = int(Decimal(repr(float(score[i]))).scaleb(3).quantize(Decimal(1), ROUND_HALF_UP))
+    return out
+
+
+def ranked(top: int, window_hours: float, min_score: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of (event_id, us, kind, r, shared, at, ids), those of an event together: its ``top`` best signals."""
+    def best(rows: pa.RecordBatch) -> pa.RecordBatch:
+        event = rows.column("event_id").dictionary_encode().indices.fill_null(-1).to_numpy()
+        event = np.cumsum(np.append(0, event[1:] != event[:-1])).astype("int64")
+        row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("at")).to_numpy())
+        at, ids = rows.column("at").flatten().to_numpy(), rows.column("ids").flatten()
+        off = at - rows.column("us").to_numpy()[row]
+        t = 1 - np.abs(off / 3.6e9) / window_hours
+        score = _thousandths(0.7 * rows.column("r").to_numpy()[row] + 0.3 * t)
+        kept = np.flatnonzero((t > 0) & (score / 1000 >= min_score))
+        if len(kept):
+            gap, shared = np.abs(off[kept]), rows.column("shared").to_numpy(zero_copy_only=False)
+            bits = int(gap.max()).bit_length()
+            kind = _codes(rows.column("kind"))
+            ties = lambda i: [kind[row[kept[i]]], _codes(ids.take(pa.array(kept[i]))), shared[row[kept[i]]], at[kept[i]]]
+            order = _order(event[row[kept]], ((1000 - score[kept]) << bits) | gap, bits + 10, ties)
+            kept = kept[order]
+            kept = kept[_first(event[row[kept]], top)]
+        of = lambda name: rows.column(name).take(pa.array(row[kept]))
+        return pa.record_batch([of("event_id"), of("us"), of("kind"), ids.take(pa.array(kept)), of("shared"), pa.array(at[kept]), pa.array(score[kept] / 1000)], ["event_id", "us", "kind", "id", "shared", "at", "score"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # the last event may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            ids = batch.column("event_id")
+            last = ids[-1].as_py()
+            if ids[0].as_py() == last:
+                if len(held) > 1 and held[-2].column("event_id")[-1].as_py() != last:
+                    yield best(_joined(held[:-1]))
+                    held = [batch]
+                continue
+            codes = ids.dictionary_encode().indices.fill_null(-1).to_numpy()
+            cut = int(np.flatnonzero(codes != codes[-1])[-1]) + 1
+            yield best(_joined([*held[:-1], batch.slice(0, cut)]))
+            held = [batch.slice(cut)]
+        if held:
+            yield best(_joined(held))
+
+    return run
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def mark_correlated(events: DataFrame, links: DataFrame) -> DataFrame:
     """Flags of each event for market, maritime and sanctions links."""
     has = lambda *kinds: F.max(F.col("alert_type").isin(*kinds))
