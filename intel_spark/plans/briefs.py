@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from intel_spark.session import checkpoint_ready
+
 
 def _within(col: str, start: datetime, end: datetime) -> Column:
     return F.col(col).between(F.lit(start), F.lit(end))
@@ -72,9 +74,14 @@ def cross_domain_brief(signals: DataFrame, links: DataFrame, alerts: DataFrame,
     recent = signals.where(_within("ts", start, end))
     # a link has two ends; the end of the lesser domain stands for it
     once = links.where("domain < other").withColumn("kind", F.concat_ws("_", "domain", "other"))
-    total = once.agg(F.coalesce(F.sum("links"), F.lit(0)).cast("double").alias("value")).select(F.lit("summary").alias("section"), F.lit("correlations").alias("metric"), "value")
-    kinds = once.groupBy("kind").agg(F.sum("links").cast("double").alias("value")).select(F.lit("correlations").alias("section"), F.concat(F.lit("type:"), "kind").alias("metric"), "value")
-    return _union([_count(recent, "summary", "signals"), _by(recent, "signals", "domain", "domain"), _by(recent, "signals", "severity", "severity"), total, kinds, _count(alerts, "summary", "composite_alerts"), _by(alerts, "composite_alerts", "severity", "severity")])
+    # counted once, a row a kind and a severity
+    checkpoint_ready(signals.sparkSession)
+    kinds = once.groupBy("kind").agg(F.sum("links").cast("double").alias("value")).checkpoint()
+    total = kinds.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value")).select(F.lit("summary").alias("section"), F.lit("correlations").alias("metric"), "value")
+    kinds = kinds.select(F.lit("correlations").alias("section"), F.concat(F.lit("type:"), "kind").alias("metric"), "value")
+    raised = _by(alerts, "composite_alerts", "severity", "severity").checkpoint()
+    alerted = raised.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value")).select(F.lit("summary").alias("section"), F.lit("composite_alerts").alias("metric"), "value")
+    return _union([_count(recent, "summary", "signals"), _by(recent, "signals", "domain", "domain"), _by(recent, "signals", "severity", "severity"), total, kinds, alerted, raised])
 
 
 def daily_digest(tables: dict[str, DataFrame], as_of: datetime) -> DataFrame:
