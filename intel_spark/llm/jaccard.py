@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from intel_spark.llm.base import query, settled, stored, table
 from intel_spark.llm.shingles import WORDS, mix, shingle_rows
-from intel_spark.operators.graph import connected_components
+from intel_spark.operators.graph import checkpointed_components as connected_components
 
 SKETCH_BITS = 22
 SKETCH_PARTS = 1024

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ def _stirred(x: Column) -> Column:
     return x
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 200, as_tables: bool = True) -> DataFrame:
     """(node, component) where component is the least node of the connected part; edges are (src, dst).
 
     Nodes travel as 64-bit hashes, or as numbers if two of them have the same hash. Each round merges every node into the
@@ -28,24 +29,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     of a chain's, so all rounds together cost little more than the first. The merges are then followed from the last round back to the first. Minima are
     combined before the shuffle, and joining them back is one row against a hot node's edges, which adaptive execution may
     split. Rounds are cut in the shared folder so a lost executor never replays earlier ones; what a round leaves behind is
-    deleted when the next one stands, so the disk holds little more than the largest step.
+    deleted when the next one stands, so the disk holds little more than the largest step. Without ``as_tables`` all is
+    checkpointed and left to Spark's cleaner.
     """
     spark = edges.sparkSession
     checkpoint_ready(spark)
     tables = WorkTables(spark, "components")
-    with shuffles_let_go(spark):
-        held = tables.keep("edges", edges.select("src", "dst"))
-        nodes = tables.keep("nodes", held.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("id", F.xxhash64("node")))
+    store = tables.keep if as_tables else lambda name, df: df.checkpoint()
+    with shuffles_let_go(spark) if as_tables else nullcontext():
+        held = store("edges", edges.select("src", "dst"))
+        nodes = store("nodes", held.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("id", F.xxhash64("node")))
         held = held.where("src <> dst")
         if nodes.groupBy("id").count().where("count > 1").isEmpty():
             numbered = held.select(F.xxhash64("src").alias("u"), F.xxhash64("dst").alias("v"))
         else:
-            nodes = tables.keep("numbers", nodes.select("node", F.monotonically_increasing_id().alias("id")))
+            nodes = store("numbers", nodes.select("node", F.monotonically_increasing_id().alias("id")))
             end = lambda node, id: nodes.select(F.col("node").alias(node), F.col("id").alias(id))
             numbered = held.join(end("src", "u"), "src").join(end("dst", "v"), "dst").select("u", "v")
 
         pair = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
-        current = tables.keep("round0", numbered.select(*pair).distinct())
+        current = store("round0", numbered.select(*pair).distinct())
         tables.drop("edges")
         first = left = current.count()
         merges = []
@@ -53,7 +56,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             k = len(merges)
             if k == max_rounds:
                 raise RuntimeError("components did not settle; raise max_rounds")
-            large = left >= LARGE_ROUND
+            large = as_tables and left >= LARGE_ROUND
             keep = tables.keep if large else lambda name, df: df.checkpoint()
             around = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = around.groupBy("u").agg(F.min(_stirred(F.col("v"))).alias("m")).select("u", F.least(_stirred(F.col("u")), "m").alias("m"))
@@ -75,14 +78,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         for k in range(len(merges) - 2, -1, -1):
             later = parts.select(F.col("u").alias("into"), F.col("round").alias("r"), F.col("last").alias("l"))
             parts = merges[k].join(later, "into", "left").select("u", F.coalesce("r", F.lit(k)).alias("round"), F.coalesce("l", "into").alias("last"))
-        parts = tables.keep("parts", parts) if first >= LARGE_ROUND else parts.checkpoint()
+        parts = tables.keep("parts", parts) if as_tables and first >= LARGE_ROUND else parts.checkpoint()
         tables.drop(*[f"merge{k}" for k in range(len(merges))])
-        placed = tables.keep("placed", nodes.join(parts.withColumnRenamed("u", "id"), "id", "left").select("node", "round", "last"))
+        placed = nodes.join(parts.withColumnRenamed("u", "id"), "id", "left").select("node", "round", "last")
+        placed = tables.keep("placed", placed) if as_tables else placed
         tables.drop("edges", "nodes", "numbers", "parts", f"round{len(merges)}")
     least = placed.where("round is not null").groupBy("round", "last").agg(F.min("node").alias("component"))
     return placed.join(least, ["round", "last"], "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def checkpointed_components(edges: DataFrame) -> DataFrame:
+    """``connected_components`` whose rounds are all checkpointed."""
+    return connected_components(edges, as_tables=False)
+
+
 def reachable(links: DataFrame, heads: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Ids reached from ``heads`` (id) by following ``links`` (id, next), each id having at most one successor.
 
